@@ -45,7 +45,7 @@ def bits_of(entry: Column) -> Column:
     """PROBES bits of a 64-bit block."""
     h, out = F.xxhash64(entry, F.lit(2)), None
     for i in range(PROBES):
-        bit = F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(h, F.lit(6 * i)).bitwiseAND(63).cast("int"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
         out = bit if out is None else out.bitwiseOR(bit)
     return out
 
