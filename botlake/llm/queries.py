@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ctph import op3_fingerprints
 from .langid import op1_language_id
+from .minhash import op9_minhash_near_dedup
 from .packing import op10_packing
 from .urls import OP4_SQL, op4_url_filters
 
@@ -14,7 +16,9 @@ from .urls import OP4_SQL, op4_url_filters
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_fingerprints": op3_fingerprints,
         "op4_url_filters": op4_url_filters,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_packing": op10_packing,
     }
 
