@@ -49,12 +49,13 @@ BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of every span [start, end): a polynomial over the
     bytes from prefix sums modulo 2^64, shifted to the span's start and mixed with its length."""
     n = len(data)
+    letters = mix(np.arange(256, dtype=U64) * U64(0xA24BAED4963EE407) + U64((salt + 1) * int(ODD) % 2**64))
     sums = np.zeros(n + 1, U64)
-    np.cumsum(mix(data.astype(U64) + ODD) * powers(BASE, n), out=sums[1:])
+    np.cumsum(letters[data] * powers(BASE, n), out=sums[1:])
     back = powers(INVERSE, n + 1)
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64) * ODD)
 

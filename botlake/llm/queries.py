@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cdc import op7_substring_dedup
 from .ctph import op3_fingerprints
 from .langid import op1_language_id
 from .minhash import op9_minhash_near_dedup
 from .packing import op10_packing
+from .quality import op8_quality_classifier
 from .urls import OP4_SQL, op4_url_filters
 
 
@@ -18,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op3_fingerprints": op3_fingerprints,
         "op4_url_filters": op4_url_filters,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_packing": op10_packing,
     }
