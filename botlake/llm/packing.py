@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 WINDOW, END_ID = 2048, 1
 #: Words whose ids a worker remembers before it starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,9 +46,15 @@ class WordEncoder:
     Its pre-tokenizer never joins characters across a blank or line feed, so a text's
     ids are those of its blank-separated parts. A part of Latin letters (and commas or
     full stops after them) is one pre-token for the library's model; any other part
-    goes through the whole tokenizer.
+    goes through the whole tokenizer. To meet fewer distinct parts, a text is lower-cased
+    first where Python does that as the vocabulary's normaliser does (no capital sigma or dotted I,
+    no special token), and a comma or full stop after a letter or digit is split off
+    where no other sign stands before one (signs in a row are one pre-token).
     """
 
+    ODD_CASE = re.compile(r"<\||[\u0130\u03a3]")
+    SIGN_BEFORE = re.compile(r"[^a-z0-9ß-öø-ÿ \n][,.](?=[ \n])")
+
     PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,]*)", re.ASCII)
     UPPER = str.maketrans({c: c.lower() for c in map(chr, [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])})
 
@@ -61,10 +68,12 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.first: list[int] = [0]
+        self.ids, self.first = array("I"), array("q", [0])
 
     def word(self, part: str) -> list[int]:
+        tokenize = self.tokenizer.model.tokenize
+        if part.isascii() and part.isalpha() and part.islower():
+            return [t.id for t in tokenize(part)]
         m = self.PLAIN.fullmatch(part.translate(self.UPPER)) if "<|" not in part else None
         if not m:
             return self.tokenizer.encode(part, add_special_tokens=False).ids
@@ -72,7 +81,7 @@ class WordEncoder:
         for x in m.groups():
             if x:
                 x = x if x.isascii() else "".join(self.letters[b] for b in x.encode())
-                out += [t.id for t in self.tokenizer.model.tokenize(x)]
+                out += [t.id for t in tokenize(x)]
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -80,24 +89,29 @@ class WordEncoder:
             self.forget()
         known, parts = self.known, []
         for text in texts:
-            words = text.replace("\n", " ").split(" ")
+            text = text if self.ODD_CASE.search(text) else text.lower()
+            text = text.replace("\n", " ")
+            if not self.SIGN_BEFORE.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+            words = text.split(" ")
             try:
                 at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             except KeyError:
                 for w in words:
                     if w not in known:
-                        self.ids += self.word(w) if w else []
+                        if w:
+                            self.ids.extend(self.word(w))
                         self.first.append(len(self.ids))
                         known[w] = len(known)
                 at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             parts.append(at)
-        flat, first = np.array(self.ids, np.uint32), np.array(self.first, np.int64)
+        flat, first = np.array(self.ids, np.uint32), np.array(self.first, np.int64)  # copies: an array can't grow while a view of it lives
         out = []
         for at in parts:
             size = first[at + 1] - first[at]
             ends = np.cumsum(size)
             n = int(ends[-1])
-            out.append(flat[np.arange(n) - np.repeat(ends - size - first[at], size)])
+            out.append(flat[np.arange(n, dtype=np.int32) - np.repeat((ends - size - first[at]).astype(np.int32), size)])
         return out
 
 
