@@ -11,15 +11,21 @@ from .ctph import op3_fingerprints
 from .langid import op1_language_id
 from .minhash import op9_minhash_near_dedup
 from .packing import op10_packing
+from .pagediff import op6_html_extraction
 from .quality import op8_quality_classifier
+from .sentencepieces import op5_sentencepiece
 from .urls import OP4_SQL, op4_url_filters
+from .vectors import op2_embedding_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op4_url_filters": op4_url_filters,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_html_extraction": op6_html_extraction,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
