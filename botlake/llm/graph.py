@@ -19,7 +19,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what stored() wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        if df is not None and getattr(df, "_stored_at", None):
+            spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -42,7 +52,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = stored(small.where(F.col("a") != F.col("b")).distinct(), "links")
+        before, edges = edges, stored(small.where(F.col("a") != F.col("b")).distinct(), "links")
+        discard(before)
     members = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots.join(members.select("node"), "node", "left_anti"))

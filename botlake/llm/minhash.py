@@ -6,13 +6,13 @@
    a hash of the node, and a document descends, for each drawn coordinate, to the child
    named by its minwise value there. A pair of similarity LAMBDA is expected to share one
    child of every node that it shares. TREES independent roots raise the recall: a pair at
-   0.8 meets in some first-level node with probability 1 - 0.2^(roots' draws), 25 of them.
-3. Contraction: every document is linked to the most similar of the first members of its
-   first-level nodes, if the full sets confirm it. A large group of near copies becomes
+   0.8 meets in some first-level node with probability 1 - 0.2^(roots' draws), about 20 of them.
+3. Contraction: of the first members of its first-level nodes, every document is linked to the
+   one it shares most nodes with, if the full sets confirm it. A large group of near copies becomes
    one component by as many links as it has members, not by all its pairs.
 4. Nodes whose members are all in one component are done. Small nodes are compared
-   exhaustively; large ones branch again. What is still large at MAX_DEPTH is compared in
-   blocks of bounded size: members outside the node's largest component against all.
+   exhaustively; larger ones in blocks of bounded size, the members outside the node's largest
+   component against all, if these are few; else they branch again, to MAX_DEPTH at most.
    Candidates need an estimate within four standard errors of the threshold, then the
    full sets decide. No pair is skipped but those in one component already.
 
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import ODD, U64, mix, slices, utf8
-from .graph import components, stored
+from .graph import components, discard, stored
 from .shingles import digests, sets, signatures
 
-WIDTH, TREES, LAMBDA, SMALL, MAX_DEPTH, BLOCK = 64, 20, 0.8, 48, 6, 512
+WIDTH, TREES, LAMBDA, SMALL, MAX_DEPTH, BLOCK = 64, 16, 0.8, 24, 6, 512
+#: First-level nodes that a document shares with the one it is linked to for contraction, of about 20.
+SHARED = 6
 #: Ids are broadcast to pick documents only up to so many (16 bytes each).
 BROADCAST_IDS = 4_000_000
 
@@ -43,7 +45,7 @@ def sketch(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, raw = utf8(b.column(1))
-            for lo, hi in slices(raw, 4_000_000):
+            for lo, hi in slices(raw, 1_500_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)
                 one, two = digests(h, ends)
                 sig = signatures(h, ends, WIDTH)
@@ -107,7 +109,7 @@ def estimate(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 same = (_sigs(b.column(2)) == _sigs(b.column(3))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int32())], names=["a", "b", "same"])
 
-    sig = classes.select("rep", "sig")
+    sig = _only(classes, "rep", pairs.select(F.explode(F.array("a", "b")).alias("rep"))).select("rep", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(run, "a long, b long, same int")
 
@@ -118,7 +120,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, raw = utf8(b.column(1))
-            for lo, hi in slices(raw, 4_000_000):
+            for lo, hi in slices(raw, 1_500_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], names=["k", "set"])
@@ -132,17 +134,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = docs.select(F.col(key).cast("long").alias("k"), F.col(text)).join(ids, "k", "left_semi")
+    chosen = _only(docs.select(F.col(key).cast("long").alias("k"), F.col(text)), "k", pairs.select(F.explode(F.array("a", "b")).alias("k")))
     full = stored(chosen.mapInArrow(run, "k long, set array<long>"), "sets")
-    # The hot side of a pair first, while its rows are short.
-    joined = pairs.join(full.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b").join(full.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+    one = _only(full.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b", pairs.select("b"))
+    two = _only(full.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a", pairs.select("a"))
+    joined = pairs.join(one, "b").join(two, "a")  # the hot side of a pair first, while its rows are short
+    out = stored(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct(), "links")
+    discard(full)
+    return out
+
+
+def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is wanted; the ids are broadcast while they are few, so that the rows aren't shuffled."""
+    ids = wanted.distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
 def blocks(large: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of nodes too large for one task: members outside the node's largest component against all members, in cells of at most two blocks."""
+    """Candidate pairs, from (node, rep, comp, sig, main, c, others), of nodes too large for one task: members outside the node's largest component against all members, in cells of at most two blocks."""
     least = least_matches(percent)
 
     def compare(t: pa.Table) -> pa.Table:
@@ -156,8 +165,7 @@ def blocks(large: DataFrame, percent: int) -> DataFrame:
             a += [rep[i]] * int(ok.sum())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sizes = large.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("others"))
-    rows = large.select("node", "rep", "comp", "sig").join(sizes, "node").withColumns({"nb": F.ceil(F.col("n") / BLOCK).cast("int"), "na": F.ceil(F.col("others") / BLOCK).cast("int")})
+    rows = large.select("node", "rep", "comp", "sig", "main", "c", "others").withColumns({"nb": F.ceil(F.col("c") / BLOCK).cast("int"), "na": F.ceil(F.col("others") / BLOCK).cast("int")})
     number = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
     targets = rows.select("node", number(3, "nb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), "rep", "comp", F.lit(False).alias("asks"), "sig")
     asking = rows.where(F.col("comp") != F.col("main")).select("node", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), number(5, "na").alias("j"), "rep", "comp", F.lit(True).alias("asks"), "sig")
@@ -180,34 +188,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     first = roots(classes)
     shared = first.groupBy("node").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where(F.col("c") > 1)
     met = stored(first.join(shared.select("node", "head"), "node"), "nodes")
-    heads = estimate(met.where(F.col("rep") != F.col("head")).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct(), classes)
-    stars = heads.where(F.col("same") >= least_matches(percent)).groupBy("a").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b"))
-    links = stored(confirm(stored(stars, "stars"), docs, size, percent, key, text), "links")
-    joined = components(links)
+    heads = met.where(F.col("rep") != F.col("head")).groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("same")).where(F.col("same") >= SHARED)
+    stars = stored(heads.groupBy("a").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b")), "stars")
+    links = confirm(stars, docs, size, percent, key, text)
+    discard(stars)
+    joined = stored(components(links), "joined")
 
     rows = met.select("node", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
-    found = None
+    found, spent = [], [met]
     for depth in range(1, MAX_DEPTH + 1):
         rows = stored(rows, "rows")
-        mixed = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "c")
-        rows = rows.join(mixed, "node")
+        spent.append(rows)
+        counts = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        mixed = counts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("comps")).where("comps > 1").select("node", "c", F.col("top.comp").alias("main"), (F.col("c") - F.col("top.c")).alias("others"))
+        rows = stored(rows.join(mixed, "node"), "mixed")
+        spent.append(rows)
         small = rows.where(F.col("c") <= SMALL).select("node", "rep", "comp")
         other = small.select("node", F.col("rep").alias("b"), F.col("comp").alias("other"))
         pairs = small.join(other, "node").where((F.col("rep") > F.col("b")) & (F.col("comp") != F.col("other"))).select(F.col("rep").alias("a"), "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        large = stored(rows.where(F.col("c") > SMALL).select("node", "rep", "comp"), "large")
-        if large.isEmpty():
+        few = (F.col("others") <= BLOCK // 4) | (F.col("c") <= BLOCK) | F.lit(depth == MAX_DEPTH)
+        large = rows.where(F.col("c") > SMALL)
+        with_sigs = lambda df: df.join(_only(classes, "rep", df.select("rep")), "rep")
+        found += [pairs, blocks(with_sigs(large.where(few)), percent)]
+        more = large.where(~few)
+        if more.isEmpty():
             break
-        large = large.join(classes, "rep")
-        if depth == MAX_DEPTH:
-            found = found.unionByName(blocks(large, percent))
-        else:
-            rows = descend(large)
-    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    candidates = stored(estimate(found, classes).where(F.col("same") >= least_matches(percent)).select("a", "b"), "candidates")
+        rows = descend(with_sigs(more))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    every = stored(every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    candidates = stored(estimate(every, classes).where(F.col("same") >= least_matches(percent)).select("a", "b"), "candidates")
+    discard(*spent, every, classes)
     if not candidates.isEmpty():
-        more = confirm(candidates, docs, size, percent, key, text)
-        joined = components(links.unionByName(more))
+        extra = confirm(candidates, docs, size, percent, key, text)
+        before, joined = joined, stored(components(links.unionByName(extra)), "joined")
+        discard(before, extra)
+    discard(candidates, links)
     return (
         marks.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "d1", "d2", "n")
         .join(groups, ["d1", "d2", "n"], "left")
