@@ -79,7 +79,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, ends = utf8(b.column(2))
-            for lo, hi in slices(ends, 4_000_000):
+            for lo, hi in slices(ends, 1_500_000):
                 part, own = data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
                 rows, starts, stops = cut(part, own)
                 one, two = span_hashes(part, starts, stops), span_hashes(part, starts, stops, salt=9)
