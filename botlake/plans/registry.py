@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import money
+from . import chats, knowledge, money
 
-MODULES = [money]
+MODULES = [money, knowledge, chats]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
