@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, knowledge, money
+from . import chats, knowledge, money, rules
 
-MODULES = [money, knowledge, chats]
+MODULES = [money, knowledge, chats, rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
