@@ -7,8 +7,9 @@
    named by its minwise value there. A pair of similarity LAMBDA is expected to share one
    child of every node that it shares. TREES independent roots raise the recall: a pair at
    0.8 meets in some first-level node with probability 1 - 0.2^(roots' draws), about 20 of them.
-3. Contraction: of the first members of its first-level nodes, every document is linked to the
-   one it shares most nodes with, if the full sets confirm it. A large group of near copies becomes
+3. Contraction: a first-level node's head is the member whose nodes are largest (the base of a group of
+   near copies is in nearly all of the group's nodes, a copy in fewer). Every document is linked to the head
+   it shares most nodes with, if the full sets confirm it. A large group of near copies becomes
    one component by as many links as it has members, not by all its pairs.
 4. Nodes whose members are all in one component are done. Small nodes are compared
    exhaustively; larger ones in blocks of bounded size, the members outside the node's largest
@@ -32,9 +33,11 @@ from .columns import ODD, U64, mix, slices, utf8
 from .graph import components, discard, stored
 from .shingles import digests, sets, signatures
 
-WIDTH, TREES, LAMBDA, SMALL, MAX_DEPTH, BLOCK = 64, 16, 0.8, 24, 6, 512
+WIDTH, TREES, LAMBDA, SMALL, MAX_DEPTH, BLOCK = 64, 18, 0.8, 24, 3, 512
 #: First-level nodes that a document shares with the one it is linked to for contraction, of about 20.
 SHARED = 6
+#: Trees whose nodes of SMALL to BLOCK members are compared: 8 draws, 1 - 0.2^8 of the pairs at 0.8.
+LARGE_TREES = 10
 #: Ids are broadcast to pick documents only up to so many (16 bytes each).
 BROADCAST_IDS = 4_000_000
 
@@ -58,7 +61,7 @@ def sketch(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 def children(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and child nodes that the members of nodes descend to."""
     coordinate = np.arange(1, WIDTH + 1).astype(U64) * ODD
-    drawn = mix(nodes.astype(np.int64).view(U64)[:, None] * ODD + coordinate[None, :])
+    drawn = mix(mix(nodes.astype(np.int64).view(U64) + ODD)[:, None] + coordinate[None, :])
     row, at = np.nonzero(drawn < U64(int(2**64 / (LAMBDA * WIDTH))))
     child = mix(drawn[row, at] ^ mix(sigs[row, at].astype(U64) + ODD))
     return row, child.view(np.int64)
@@ -69,7 +72,7 @@ def _sigs(column: pa.Array) -> np.ndarray:
 
 
 def roots(classes: DataFrame) -> DataFrame:
-    """(node, rep): the first level of all trees."""
+    """(node, rep, tree): the first level of all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,9 +80,9 @@ def roots(classes: DataFrame) -> DataFrame:
                 sig, rep = _sigs(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
                 for tree in range(TREES):
                     row, child = children(np.full(len(rep), tree + 1), sig)
-                    yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(rep[row])], names=["node", "rep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(rep[row]), pa.array(np.full(len(row), tree, np.int32))], names=["node", "rep", "tree"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "node long, rep long")
+    return classes.select("rep", "sig").mapInArrow(run, "node long, rep long, tree int")
 
 
 def descend(rows: DataFrame) -> DataFrame:
@@ -150,26 +153,79 @@ def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def short_sets(docs: DataFrame, reps: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """(rep, set): the shingle set of each wanted document as sorted distinct 32-bit hashes (binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, raw = utf8(b.column(1))
+            for lo, hi in slices(raw, 1_500_000):
+                h, ends = sets(b.column(1).slice(lo, hi - lo), size)
+                short = (h >> U64(32)).astype(np.uint32)
+                out = [np.unique(short[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], names=["rep", "set"])
+
+    chosen = _only(docs.select(F.col(key).cast("long").alias("rep"), F.col(text)), "rep", reps.select("rep"))
+    return chosen.mapInArrow(run, "rep long, set binary").dropDuplicates(["rep"])
+
+
+def similar(members: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (i, j) of sorted sets reach the threshold: by one product of incidence matrices, a stretch of members at a time, or pair by pair where few."""
+    sizes = np.array([len(m) for m in members])
+    both = np.zeros(len(i), np.int64)
+    if len(i) < 4 * len(members):
+        for n, (x, y) in enumerate(zip(i, j)):
+            both[n] = len(np.intersect1d(members[x], members[y], assume_unique=True))
+    else:
+        rows = np.repeat(np.arange(len(members)), sizes)
+        values, at, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+        shared = count[at] > 1
+        rank = np.cumsum(count > 1) - 1
+        rows, cols = rows[shared], rank[at[shared]]
+        total = np.zeros((len(members), len(members)), np.float32)
+        for lo in range(0, int((count > 1).sum()), 4096):
+            here = (cols >= lo) & (cols < lo + 4096)
+            part = np.zeros((len(members), 4096), np.float32)
+            part[rows[here], cols[here] - lo] = 1
+            total += part @ part.T
+        both = total[i, j].astype(np.int64)
+    return 100 * both >= percent * (sizes[i] + sizes[j] - both)
+
+
 def blocks(large: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs, from (node, rep, comp, sig, main, c, others), of nodes too large for one task: members outside the node's largest component against all members, in cells of at most two blocks."""
+    """Candidate pairs, from (node, rep, comp, sig, set, main, c, others), of nodes too large to compare in a join.
+
+    Members outside the node's largest component meet all members, in cells of at most two blocks. Only pairs
+    that the members' sets confirm (32 bits of each hash, which never misses a link) leave a cell.
+    """
     least = least_matches(percent)
 
     def compare(t: pa.Table) -> pa.Table:
-        rep, comp, asks, sig = t["rep"].to_numpy(), t["comp"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), _sigs(t["sig"].combine_chunks())
+        rep, comp, sig = t["rep"].to_numpy(), t["comp"].to_numpy(), _sigs(t["sig"].combine_chunks())
+        asks, target = t["asks"].to_numpy(zero_copy_only=False), np.flatnonzero(t["target"].to_numpy(zero_copy_only=False))
         a, b = [], []
-        targets = ~asks
         for i in np.flatnonzero(asks):
-            ok = targets & (comp != comp[i])
-            ok[ok] = (sig[ok] == sig[i]).sum(axis=1) >= least
-            b += rep[ok].tolist()
-            a += [rep[i]] * int(ok.sum())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    rows = large.select("node", "rep", "comp", "sig", "main", "c", "others").withColumns({"nb": F.ceil(F.col("c") / BLOCK).cast("int"), "na": F.ceil(F.col("others") / BLOCK).cast("int")})
+            ok = target[comp[target] != comp[i]]
+            ok = ok[(sig[ok] == sig[i]).sum(axis=1) >= least]
+            a.append(np.full(len(ok), i))
+            b.append(ok)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        if len(a):
+            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            binary = t["set"].combine_chunks()
+            keep = similar([np.frombuffer(binary[int(u)].as_py(), np.uint32) for u in used], place[: len(a)], place[len(a) :], percent)
+            a, b = a[keep], b[keep]
+        return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
+
+    rows = large.select("node", "rep", "comp", "sig", "set", "main", "c", "others").withColumns({"nb": F.ceil(F.col("c") / BLOCK).cast("int"), "na": F.ceil(F.col("others") / BLOCK).cast("int")})
     number = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    targets = rows.select("node", number(3, "nb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), "rep", "comp", F.lit(False).alias("asks"), "sig")
-    asking = rows.where(F.col("comp") != F.col("main")).select("node", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), number(5, "na").alias("j"), "rep", "comp", F.lit(True).alias("asks"), "sig")
-    return targets.unionByName(asking).groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
+    base = ["rep", "comp", "sig", "set"]
+    outside = F.col("comp") != F.col("main")
+    single = (F.col("nb") == 1) & (F.col("na") == 1)
+    one = rows.where(single).select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), *base, outside.alias("asks"), F.lit(True).alias("target"))
+    targets = rows.where(~single).select("node", number(3, "nb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), *base, F.lit(False).alias("asks"), F.lit(True).alias("target"))
+    asking = rows.where(~single & outside).select("node", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), number(5, "na").alias("j"), *base, F.lit(True).alias("asks"), F.lit(False).alias("target"))
+    return one.unionByName(targets).unionByName(asking).groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,16 +241,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     groups = useful.groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"))
     classes = stored(useful.select(F.col("k").alias("rep"), "sig").join(groups.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "classes")
 
-    first = roots(classes)
-    shared = first.groupBy("node").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where(F.col("c") > 1)
-    met = stored(first.join(shared.select("node", "head"), "node"), "nodes")
-    heads = met.where(F.col("rep") != F.col("head")).groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("same")).where(F.col("same") >= SHARED)
+    first = roots(classes)  # (node, rep, tree)
+    shared = first.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    met = stored(first.join(shared, "node"), "nodes")
+    weight = met.groupBy("rep").agg(F.sum("c").alias("w"))
+    best = met.join(weight, "rep").groupBy("node").agg(F.max(F.struct("w", F.negative("rep").alias("r"))).alias("x")).select("node", F.negative("x.r").alias("head"))
+    heads = met.join(best, "node").where(F.col("rep") != F.col("head")).groupBy(F.col("rep").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("same")).where(F.col("same") >= SHARED)
     stars = stored(heads.groupBy("a").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b")), "stars")
     links = confirm(stars, docs, size, percent, key, text)
     discard(stars)
     joined = stored(components(links), "joined")
 
-    rows = met.select("node", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
+    # nodes of medium size, all compared at once, are enough of the first LARGE_TREES trees
+    medium = (F.col("c") > SMALL) & (F.col("c") <= BLOCK) & (F.col("tree") >= LARGE_TREES)
+    rows = met.where(~medium).select("node", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
     found, spent = [], [met]
     for depth in range(1, MAX_DEPTH + 1):
         rows = stored(rows, "rows")
@@ -209,7 +269,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         few = (F.col("others") <= BLOCK // 4) | (F.col("c") <= BLOCK) | F.lit(depth == MAX_DEPTH)
         large = rows.where(F.col("c") > SMALL)
         with_sigs = lambda df: df.join(_only(classes, "rep", df.select("rep")), "rep")
-        found += [pairs, blocks(with_sigs(large.where(few)), percent)]
+        at_once = large.where(few)
+        compared = stored(blocks(with_sigs(at_once).join(short_sets(docs, at_once, size, key, text), "rep"), percent).distinct(), "compared")
+        spent.append(compared)
+        found += [pairs, compared]
         more = large.where(~few)
         if more.isEmpty():
             break
