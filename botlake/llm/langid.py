@@ -100,13 +100,15 @@ class CrossParser:
             table = np.full((len(moves), self.width), -1, np.int64)
             for s, go in enumerate(moves):
                 table[s, list(go)] = list(go.values())
+            # a missing transition ends the phrase and starts anew with the symbol; a symbol that the reference lacks is a phrase of its own
             restart = np.where(table[0] < 0, 0, table[0])
-            cut = table < 0
-            table = np.where(cut, restart, table) + at
-            tables.append(table * self.width * 2 + cut)
+            ends = np.where(table < 0, np.where(table[0] < 0, 2, 1)[None, :], 0)
+            ends[0] = table[0] < 0
+            table = np.where(table < 0, restart, table) + at
+            tables.append(table * self.width * 4 + ends)
             self.roots.append(at * self.width)
             at += len(moves)
-        self.table = np.concatenate(tables).ravel().astype(np.int32 if at * self.width * 2 < 2**31 else np.int64) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel().astype(np.int32 if at * self.width * 4 < 2**31 else np.int64) if tables else np.zeros(0, np.int32)
 
     def phrases(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases of every text against every language: an array (texts, languages)."""
@@ -130,10 +132,11 @@ class CrossParser:
         for t in range(int(size[0])):
             m = int(alive[t])
             to = self.table[state[:, :m] + codes[start[:m] + t]]
-            cuts[:, :m] += to & 1
-            state[:, :m] = to >> 1
+            cuts[:, :m] += to & 3
+            state[:, :m] = to >> 2
+        cuts += state != np.array(self.roots, self.table.dtype)[:, None]  # the phrase that the end cuts off
         for k in range(langs):
-            total[:, k] = np.bincount(owner, weights=cuts[k] + 1, minlength=n).astype(np.int64)
+            total[:, k] = np.bincount(owner, weights=cuts[k], minlength=n).astype(np.int64)
         return total
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
