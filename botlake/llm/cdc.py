@@ -116,8 +116,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     found = chunks(slim)
     owners = found.groupBy("d1", "d2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("d1", "d2", "first")
     later = found.join(owners, ["d1", "d2"]).where(F.col("k") > F.col("first"))
-    spans = later.groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
-    met = docs.withColumn("_h", F.xxhash64(text)).join(spans, (F.col(key) == F.col("k")) & (F.col("_h") == F.col("h")), "left").select(*names, "_spans")
+    spans = later.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    keyed = docs.withColumns({"_k": F.col(key).cast("long"), "_h": F.xxhash64(text)})
+    met = keyed.join(spans, ["_k", "_h"], "left").select(*names, "_spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
     place = names.index(text)
 

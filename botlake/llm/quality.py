@@ -28,6 +28,8 @@ from .columns import slices, utf8
 LABELLED, POOL = 3000, 3000
 ROUNDS, PER_ROUND, SURE = 5, 150, 0.95
 GRAMS, SOURCES, LANGS, SIZES, SHRINK = 1024, 64, 16, 24, 200
+#: Text features; how much weaker the penalty on shares of byte kinds is than on single trigrams.
+TEXT, DENSE = GRAMS + 6, 4.0
 META = SOURCES + LANGS + SIZES + 2
 
 
@@ -39,16 +41,27 @@ def gram_codes(data: np.ndarray) -> np.ndarray:
     return (h >> np.uint32(16)) & np.uint32(GRAMS - 1)
 
 
+def byte_kinds() -> np.ndarray:
+    """A kind of each byte: 0 other, 1 upper case, 2 digit, 3 sign but . and , 4 white space, 5 line feed."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[ord("A") : ord("Z") + 1], kinds[ord("0") : ord("9") + 1] = 1, 2
+    kinds[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,"]] = 3
+    kinds[[9, 11, 12, 13, 32]], kinds[10] = 4, 5
+    return kinds
+
+
 def text_features(column: pa.Array) -> np.ndarray:
-    """Trigram frequencies of every text (of few bytes: shrunk towards 0) and how concentrated they are, an array (texts, GRAMS + 1)."""
+    """Of every text: trigram frequencies (of few bytes: shrunk towards 0), how concentrated they are, and the shares of byte kinds."""
     data, ends = utf8(column)
     n, sizes = len(column), np.diff(ends)
     owner = np.repeat(np.arange(n), sizes)
     counts = np.bincount(owner * GRAMS + gram_codes(data), minlength=n * GRAMS).reshape(n, GRAMS)
-    out = np.empty((n, GRAMS + 1), np.float32)
+    out = np.empty((n, TEXT), np.float32)
     out[:, :GRAMS] = counts / (sizes + SHRINK)[:, None]
     pairs = (counts.astype(np.float64) * (counts - 1)).sum(axis=1) / np.maximum(1.0, sizes * (sizes - 1.0))
     out[:, GRAMS] = np.log(pairs * sizes / (sizes + SHRINK) + 1 / GRAMS)
+    kinds = np.bincount(owner * 6 + byte_kinds()[data], minlength=n * 6).reshape(n, 6)[:, 1:]
+    out[:, GRAMS + 1 :] = np.sqrt(kinds / (sizes + SHRINK / 10)[:, None])
     return out
 
 
@@ -83,8 +96,10 @@ def one_hot(codes: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a regularised logistic regression by accelerated gradient steps on standardised features."""
+    """Weights and bias of a regularised logistic regression by accelerated gradient steps on standardised features; the dense text features count DENSE times."""
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-6
+    if x.shape[1] == TEXT:
+        std[GRAMS:] /= DENSE
     z = ((x - mean) / std).astype(np.float64)
     w, b, v, u = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0
     rate = 4 / (float((z[: 500] ** 2).sum(axis=1).mean()) + 1) if len(z) else 1.0
@@ -140,7 +155,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     for _ in range(ROUNDS):
         for view, other in (("text", "meta"), ("meta", "text")):
             w, b = fitted(view)
-            p = 1 / (1 + np.exp(-np.clip(views[view][1] @ w + b, -30, 30)))
+            slope, offset = platt(views[view][0][held] @ w + b, y[held])  # a view that can't tell is never sure
+            p = 1 / (1 + np.exp(-np.clip(slope * (views[view][1] @ w + b) + offset, -30, 30)))
             for label, sure, n in ((1, p, int(PER_ROUND * share)), (0, 1 - p, int(PER_ROUND * (1 - share)) + 1)):
                 rows = np.flatnonzero(free & (sure >= SURE))
                 rows = rows[np.argsort(-sure[rows], kind="stable")[:n]]
@@ -185,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     order = np.random.default_rng(5).permutation(len(y))
     known, y = [known[i] for i in order], y[order]
-    grams = lambda rs: np.array([np.frombuffer(r["grams"], np.float32) for r in rs], np.float32).reshape(len(rs), GRAMS + 1)
+    grams = lambda rs: np.array([np.frombuffer(r["grams"], np.float32) for r in rs], np.float32).reshape(len(rs), TEXT)
     metas = lambda rs: one_hot(np.array([r["codes"] for r in rs], np.int64).reshape(len(rs), 3))
     return co_train(grams(known), metas(known), y, grams(unknown), metas(unknown))
 
