@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import U64, slices, span_hashes, utf8
@@ -27,6 +27,8 @@ LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 WINDOW, MIN_BLOCK, SIGNATURE, RUN = 7, 1, 64, 5
 #: Only texts of at most so many bytes are cut at every byte (block size 1).
 SHORT = 256
+#: Most ranges that the keys are cut into.
+RANGES = 4096
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -179,26 +181,23 @@ def _compare(keys: list, texts: list[str], following: list[str]) -> pa.RecordBat
 def compare_with_next(docs: DataFrame, partitions: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its edited self and its successor in ascending key order.
 
-    The key range is cut at its quantiles; each range gets, as a sentinel, the first
-    document of the next range that has one (the last range: the very first), so that every task
-    finds all successors among its own sorted rows. Texts are shuffled once.
+    The key range is cut at its quantiles, into more ranges than partitions; each range gets, as a sentinel, the
+    first document of the next range that has one (the last range: the very first), so that every task
+    finds all successors among its own sorted rows. Texts are shuffled once; the ranges' first keys
+    (at most RANGES) are all that reaches the driver.
     Null keys come first; rows with equal keys follow each other in text order.
     """
     docs = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    cuts = sorted(set(docs.select(F.percentile_approx("k", [i / partitions for i in range(1, partitions)], 10_000)).first()[0] or [])) if partitions > 1 else []
-
-    number = _bucket(F.col("k"), cuts)
-    firsts = docs.groupBy(number.alias("b")).agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k")).alias("m")).select("b", "m.k").collect()
+    ranges = min(RANGES, 4 * partitions)
+    cuts = sorted(set(docs.select(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or [])) if ranges > 1 else []
+    number = _range_of(F.col("k"), cuts)
+    known = F.struct(F.col("k").isNotNull().alias("known"), "k")
+    firsts = docs.groupBy(number.alias("b")).agg(F.min(known).alias("m")).select("b", "m.k").collect()
     if not firsts:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     order = sorted((r["b"], r["k"]) for r in firsts)
-    before = {order[i][1]: order[i - 1][0] for i in range(len(order))}  # first key of a range -> the range before (the last, for the first)
-    is_first = F.col("k").isin([k for k in before if k is not None]) | (F.col("k").isNull() if None in before else F.lit(False))
-    target = F.lit(before.get(None, 0))
-    for k, b in before.items():
-        if k is not None:
-            target = F.when(F.col("k") == k, F.lit(b)).otherwise(target)
-    heads = docs.where(is_first).groupBy("k").agg(F.min("t").alias("t")).select(target.alias("b"), F.lit(True).alias("s"), "k", "t")
+    before = docs.sparkSession.createDataFrame([(order[i - 1][0], order[i][1]) for i in range(len(order))], "b int, first long")  # the last range, for the first
+    heads = docs.join(F.broadcast(before), F.col("k").eqNullSafe(F.col("first"))).groupBy("b", "k").agg(F.min("t").alias("t")).select("b", F.lit(True).alias("s"), "k", "t")
     rows = docs.select(number.alias("b"), F.lit(False).alias("s"), "k", "t").unionByName(heads)
     dealt = rows.repartition(partitions, "b").sortWithinPartitions("b", "s", F.col("k").asc_nulls_first(), "t")
 
@@ -222,16 +221,15 @@ def compare_with_next(docs: DataFrame, partitions: int, key: str = "doc_id", tex
     return dealt.mapInArrow(run, SCHEMA)
 
 
-def _bucket(k, cuts: list[int]):
-    """The number of cuts that are not above k, by bisection over literals."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(k < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(k.isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
+def _range_of(k: Column, cuts: list[int], width: int = 64) -> Column:
+    """How many cuts are not above k: the stretch of `width` cuts by counting its bounds, then the place in it."""
+    if not cuts:
+        return F.lit(0)
+    stretches = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    bounds = F.array(*[F.lit(s[0]).cast("long") for s in stretches])
+    at = F.size(F.filter(bounds, lambda c: c <= k))
+    inside = F.element_at(F.array(*[F.array(*[F.lit(c).cast("long") for c in s]) for s in stretches]), at)
+    return F.when(k.isNull() | (at == 0), 0).otherwise((at - 1) * width + F.size(F.filter(inside, lambda c: c <= k)))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
