@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, knowledge, money, rules
+from . import chats, extra, knowledge, money, rules
 
-MODULES = [money, knowledge, chats, rules]
+MODULES = [money, knowledge, chats, rules, extra]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

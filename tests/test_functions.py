@@ -321,3 +321,22 @@ def test_read_table_types_json(spark, tmp_path):
     spark.createDataFrame([("1", "a", "widget", None, '[{"role":"user","content":"hi"}]', None, None)], "id string, agent_id string, source string, branch_id string, messages string, started_at timestamp, updated_at timestamp").write.parquet(str(tmp_path / "s"))
     row = read_table(spark, "chat_sessions", str(tmp_path / "s")).first()
     assert row["messages"][0]["content"] == "hi"
+
+
+def test_sabbath_times(spark):
+    days = spark.createDataFrame([(dt.date(2024, 1, 5),), (dt.date(2024, 1, 6),), (dt.date(2024, 6, 21),)], "day date")
+    got = {(r["day"].month, r["city"]): (r["candles"], r["ends"]) for r in schedule.sabbath_times(days).collect()}
+    assert len(got) == 10
+
+    def close(text, expected):
+        h, m = map(int, text.split(":"))
+        return abs(h * 60 + m - expected) <= 4
+
+    assert close(got[1, "jerusalem"][0], 16 * 60 + 8) and close(got[1, "tel-aviv"][0], 16 * 60 + 31) and close(got[6, "jerusalem"][0], 19 * 60 + 8)
+
+
+def test_independence_day_moves(spark):
+    named = lambda day: schedule.calendar_dim(spark, day, day).first()["holidays"]
+    assert any("Independence" in x for x in named("2024-05-14")) and not any("Independence" in x for x in named("2024-05-13"))
+    assert any("Independence" in x for x in named("2023-04-26"))
+    assert named("2024-04-22") == ["Passover begins tonight"]
