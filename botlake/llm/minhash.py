@@ -48,7 +48,7 @@ def sketch(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, raw = utf8(b.column(1))
-            for lo, hi in slices(raw, 1_500_000):
+            for lo, hi in slices(raw, 1_000_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)
                 one, two = digests(h, ends)
                 sig = signatures(h, ends, WIDTH)
@@ -123,7 +123,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, raw = utf8(b.column(1))
-            for lo, hi in slices(raw, 1_500_000):
+            for lo, hi in slices(raw, 1_000_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], names=["k", "set"])
@@ -159,7 +159,7 @@ def short_sets(docs: DataFrame, reps: DataFrame, size: int, key: str, text: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, raw = utf8(b.column(1))
-            for lo, hi in slices(raw, 1_500_000):
+            for lo, hi in slices(raw, 1_000_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)
                 short = (h >> U64(32)).astype(np.uint32)
                 out = [np.unique(short[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:])]

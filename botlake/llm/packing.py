@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 WINDOW, END_ID = 2048, 1
 #: Words whose ids a worker remembers before it starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
