@@ -5,8 +5,8 @@ cut into full windows and a remainder; the remainders are packed window by windo
 the longest one left opens the window and a bitset subset-sum over the multiset of
 remaining lengths (bit s: the sum s can be made) finds the fill closest to capacity;
 backtracking through the bitsets tells how many pieces of each length it takes. When
-no exact fill is left, a piece is cut to close the window, so that at most the last
-window of a task has padding.
+no exact fill is left, a piece is cut to close the window. What a task has left at the end
+is cut into windows of falling powers of two (at most eleven), which need no padding either.
 
 A window number is the task's partition number and a counter. Reading the same files
 again gives the same partitions, so a task that is run again makes the same windows.
@@ -166,7 +166,28 @@ def pack(remainders: list[tuple[int, int]], window: int) -> Iterator[list[tuple[
             chosen.append((item, start, free))
             bags[size - free].append((item, start + free))
             counts[size - free] = counts.get(size - free, 0) + 1
-        yield chosen
+            free = 0
+        if free:
+            yield from powers_of_two(chosen, window - free)
+        else:
+            yield chosen
+
+
+def powers_of_two(pieces: list[tuple[int, int, int]], total: int) -> Iterator[list[tuple[int, int, int]]]:
+    """The pieces cut into windows of falling powers of two, which need no padding."""
+    rest = list(reversed(pieces))
+    while total:
+        free = 1 << total.bit_length() - 1
+        total -= free
+        out = []
+        while free:
+            item, start, size = rest.pop()
+            n = min(size, free)
+            out.append((item, start, n))
+            if n < size:
+                rest.append((item, start + n, size - n))
+            free -= n
+        yield out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
