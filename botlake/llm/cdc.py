@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import slices, span_hashes, utf8
+from .columns import row_slices, slices, span_hashes, utf8
 
 MIN_CHUNK, MAX_CHUNK, MIN_PASSAGE = 16, 512, 96
 
@@ -77,7 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """(d1, d2, k, h, lo, hi): digest, document and byte range of every chunk of (k, h, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in row_slices(batches):
             data, ends = utf8(b.column(2))
             for lo, hi in slices(ends, 1_500_000):
                 part, own = data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +62,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64) * ODD)
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows, so that what is computed of one part bounds a worker's memory."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of rows that hold about `most` bytes each (a longer row stands alone)."""
     out, lo, n = [], 0, len(offsets) - 1

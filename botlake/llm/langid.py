@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import slices, utf8
+from .columns import row_slices, slices, utf8
 
 UNKNOWN = "und"
 BLOCK = 2048
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, references: dict[str, bytes], text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(references)
-        for b in batches:
+        for b in row_slices(batches):
             names, score = p.predict(b.column(text))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

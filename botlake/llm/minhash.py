@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import ODD, U64, mix, slices, utf8
+from .columns import ODD, U64, mix, row_slices, slices, utf8
 from .graph import components, discard, stored
 from .shingles import digests, sets, signatures
 
@@ -46,7 +46,7 @@ def sketch(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """(k, n, d1, d2, sig): set size, set digest and minwise values of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in row_slices(batches):
             _, raw = utf8(b.column(1))
             for lo, hi in slices(raw, 1_000_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)
@@ -121,7 +121,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str
     """The pairs (a, b) whose full shingle sets have 100 x intersection >= percent x union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in row_slices(batches):
             _, raw = utf8(b.column(1))
             for lo, hi in slices(raw, 1_000_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)
@@ -157,7 +157,7 @@ def short_sets(docs: DataFrame, reps: DataFrame, size: int, key: str, text: str)
     """(rep, set): the shingle set of each wanted document as sorted distinct 32-bit hashes (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in row_slices(batches):
             _, raw = utf8(b.column(1))
             for lo, hi in slices(raw, 1_000_000):
                 h, ends = sets(b.column(1).slice(lo, hi - lo), size)

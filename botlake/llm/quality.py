@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import slices, utf8
+from .columns import row_slices, slices, utf8
 
 #: Most labelled rows (two of three train, one calibrates) and unlabelled rows that the models see.
 LABELLED, POOL = 3000, 3000
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", source: str
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in row_slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(model.score(b.column("_t"), meta_codes(b)))], names=[*names, to])
 
     return full.mapInArrow(run, schema)
