@@ -231,7 +231,7 @@ def effective_models(people: DataFrame, billing: DataFrame, platform_default: st
 def org_price_list(catalog: DataFrame, billing: DataFrame) -> DataFrame:
     """Each organization's prices of the catalog's models: catalog x (1 + markup), 4 places.
 
-    The catalog (hundreds of models) meets every organization by an equi-join on a constant-free explode of its rows.
+    The catalog (hundreds of models) is one row that is broadcast, and is exploded beside each organization.
     """
     prices = catalog.agg(F.collect_list(F.struct("model", "input_per_m", "output_per_m")).alias("_c"))
     factor = 1 + F.coalesce(F.col("markup_pct"), F.lit(0)).cast("double") / 100
