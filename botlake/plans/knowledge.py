@@ -31,6 +31,16 @@ def q_rewrites(s: SparkSession, d: str) -> DataFrame:
     return _digest(kb.apply_rewrites(docs, slices).select("id", "normalized", "content"), "content")
 
 
+def q_contexts(s: SparkSession, d: str) -> DataFrame:
+    """The prompt of every agent with the whole units that search finds for its questions, question by question."""
+    docs, questions = _docs(s, d), view(s, d, "questions")
+    units = kb.searchable_units(docs, kb.chunk_documents(docs))
+    found = kb.search(units, questions).join(units.select("unit_id", "title", "content"), "unit_id").join(questions.select("query_id", "agent_id"), "query_id")
+    hits = found.select("agent_id", F.struct("query_id", "position").alias("position"), "title", "content")
+    agents = view(s, d, "agents").select("id", F.concat(F.lit("You are "), "name").alias("base_prompt"), F.lit("").alias("notice"))
+    return kb.build_contexts(agents, hits, "2024-01-15 21:30:00")
+
+
 WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 QUERIES = {
     "tx10_chunk_documents": lambda s, d: _digest(kb.chunk_documents(_docs(s, d)), "content"),
@@ -47,7 +57,7 @@ QUERIES = {
     "tx14_mask_pii": lambda s, d: _digest(_docs(s, d).select("id", tx.mask_pii(F.col("content"), F.col("agent_id").cast("int") % 2 == 0, F.lit(True)).alias("content")), "content"),
     "tx15_mask_secrets": lambda s, d: _digest(_docs(s, d).select("id", tx.mask_secrets(F.to_json(F.struct("content")), F.array(F.substring("content", 3, 6), F.lit("the"), F.lit("ing "))).alias("content")), "content"),
     "tx16_clip_json": lambda s, d: view(s, d, "llm_usage").select("id", tx.clip_json(F.to_json(F.struct("id", "source", "model")), 45).alias("value")),
-    "tx20_build_contexts": lambda s, d: kb.build_contexts(view(s, d, "agents").where("cast(id as int) < 7").select("id", F.concat(F.lit("You are "), "name").alias("base_prompt"), F.lit("").alias("notice")), _docs(s, d).where("cast(id as int) < 30").select("agent_id", F.col("id").cast("int").alias("position"), "title", F.substring("content", 1, 40).alias("content")), "2024-01-15 21:30:00"),
+    "tx20_build_contexts": q_contexts,
     "tx22_read_answer": lambda s, d: view(s, d, "messages").select("id", tx.read_answer(F.element_at(F.array(F.lit(" Yes! "), F.lit("no."), F.lit("כן"), F.lit("maybe"), F.col("text")), (F.col("id") % 5 + 1).cast("int"))).alias("answer"), tx.is_hebrew(F.element_at(F.array(F.lit("שלום"), F.col("text")), (F.col("id") % 2 + 1).cast("int"))).alias("hebrew")),
     "tx23_parse_json_reply": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", tx.parse_json_reply(F.element_at(F.array(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.concat(F.lit("Sure: "), "props", F.lit(" done")), F.col("event_type")), (F.col("event_id") % 3 + 1).cast("int"))).alias("reply")),
     "tx17_normalize_phone": lambda s, d: view(s, d, "users").select("id", tx.normalize_phone(F.element_at(F.array(F.concat(F.lit("050-"), F.lpad("id", 7, "1")), F.concat(F.lit("00972 5"), F.lpad("id", 8, "2")), F.concat(F.lit("5"), F.lpad("id", 8, "3")), F.col("id")), (F.col("id").cast("int") % 4 + 1))).alias("phone")),
