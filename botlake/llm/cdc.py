@@ -1,8 +1,8 @@
 """Substring deduplication by content-defined chunks of a gear rolling hash.
 
-A gear hash of the last 32 bytes ends a chunk where its high bits are zero: after white
-space with a chance of 1 in 8, inside words of 1 in 256, at MIN_CHUNK to MAX_CHUNK bytes. As a boundary depends
-on the bytes before it alone, text inserted or removed elsewhere doesn't move it. Chunks
+A gear hash ends a chunk where some of its bits are zero: after white space with a chance of
+1 in 4, inside words of 1 in 256, at MIN_CHUNK to MAX_CHUNK bytes. The bits are those that the last 16 bytes
+decide, so a passage has boundaries of its own from there on. As a boundary depends on the bytes before it alone, text inserted or removed elsewhere doesn't move it. Chunks
 go by a 128-bit digest; a digest's first owner is the smallest key that has it. In every
 other document, neighbouring chunks with an earlier owner form a passage; passages of at
 least MIN_PASSAGE bytes are removed, shorter ones (common phrases) stay.
@@ -42,7 +42,7 @@ def cut(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     h = gear(data)
     space = np.zeros(256, bool)
     space[[0x20, 9, 10, 11, 12, 13]] = True
-    hit = (space[data] & (h >> np.uint32(29) == 0)) | (h >> np.uint32(24) == 0)
+    hit = (space[data] & (h & np.uint32(0x300) == 0)) | (h & np.uint32(0xFF00) == 0)
     if len(data):
         hit[:-1] &= data[1:] & 0xC0 != 0x80  # never inside a character
     marks = np.flatnonzero(hit) + 1
