@@ -5,10 +5,9 @@ each is paired with the neighbour in that order, of the same host, that shares t
 prefix. The lines of the two are aligned by a longest common subsequence; lines that both
 have at aligned places are the site's frame (menus, notices, footers) and are deleted.
 
-What a page declares decides where differencing can't: lines inside its `article` or `main` element
-are never deleted (two pages may carry the same passage), lines outside of it are, shared or
-not, and so is what stands in menus, forms, scripts and the like anywhere. A page without such an element
-keeps what differs from its neighbour.
+What a page declares protects where differencing can't: lines inside its `article` or `main` element
+are never deleted (two pages may carry the same passage). Lines outside of it go if the neighbour has them and stay
+if it hasn't. What stands in menus, forms, scripts and the like goes anywhere.
 
 Pages are range-partitioned by (host, path, id): a host with a third of all pages spreads over
 many tasks, and a task holds one page and its two neighbours at a time. The text is shuffled once.
@@ -163,11 +162,9 @@ def kinship(a: str, b: str) -> int:
 
 
 def main_text(page: list[tuple[str, str]], neighbour: list[tuple[str, str]] | None) -> str:
-    """The page's lines without those it shares with its neighbour and without its frame, joined by blank lines."""
-    has_main = any(z == "m" for z, _ in page)
+    """The page's lines without those it shares with its neighbour outside the main element, joined by blank lines."""
     shared = aligned([t for _, t in page], [t for _, t in neighbour]) if neighbour else set()
-    kept = [t for i, (z, t) in enumerate(page) if z == "m" or (z == "o" and not has_main and i not in shared)]
-    return "\n\n".join(kept)
+    return "\n\n".join(t for i, (z, t) in enumerate(page) if z == "m" or (z == "o" and i not in shared))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
