@@ -7,20 +7,22 @@ have at aligned places are the site's frame (menus, notices, footers) and are de
 
 What a page declares protects where differencing can't: lines inside its `article` or `main` element
 are never deleted (two pages may carry the same passage). Lines outside of it go if the neighbour has them and stay
-if it hasn't. What stands in menus, forms, scripts and the like goes anywhere.
+if it hasn't. What stands in menus, forms, scripts and the like goes anywhere. Copies of a page (the
+same lines) count as one page here: the neighbour is the nearest page whose lines differ.
 
 Pages are range-partitioned by (host, path, id): a host with a third of all pages spreads over
-many tasks, and a task holds one page and its two neighbours at a time. The text is shuffled once.
+many tasks, and a task holds one page, the names of its copies and its two neighbours at a time. The text is shuffled once.
+The first and last page of a range have one neighbour less.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,44 +112,54 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
+def prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of a longest common subsequence of a and every prefix of b, by bit vectors over b."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, x in enumerate(b):
+        places[x].append(j)
+    full = v = (1 << len(b)) - 1
+    masks: dict[str, int] = {}  # of frequent lines alone, so that they stay small together
+    for x in a:
+        mask = masks.get(x)
+        if mask is None:
+            js = places.get(x, ())
+            mask = sum(1 << j for j in js) if len(js) < 64 else int("".join("1" if y == x else "0" for y in reversed(b)), 2)
+            if len(js) >= 64:
+                masks[x] = mask
+        if mask:
+            u = v & mask
+            v = (v + u | v - u) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def aligned(a: list[str], b: list[str]) -> set[int]:
     """Positions of a that a longest common subsequence of the lists matches.
 
-    Equal ends are matched first. Of lines repeated so often that a million pairs
-    match, the n-th of one list only matches the n-th of the other.
+    Hirschberg's division at every size: a is halved, b is cut where the lengths of both halves add up to the most.
     """
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    out = {*range(head), *range(len(a) - tail, len(a))}
-    places = defaultdict(list)
-    for j in range(head, len(b) - tail):
-        places[b[j]].append(j)
-    mine = Counter(a[head : len(a) - tail])
-    many = sum(n * len(places.get(x, ())) for x, n in mine.items()) > 1_000_000
-    ends: list[int] = []  # last position in b of the best chain of each length
-    links: list[tuple[int, tuple | None]] = []
-    seen: Counter[str] = Counter()
-    for i in range(head, len(a) - tail):
-        js = places.get(a[i], ())
-        if many:
-            js = js[seen[a[i]] : seen[a[i]] + 1]
-            seen[a[i]] += 1
-        for j in reversed(js):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    link = links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
+    out: set[int] = set()
+    both = set(a) & set(b)
+    at = [i for i, x in enumerate(a) if x in both]
+    a, b = [a[i] for i in at], [x for x in b if x in both]
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        lo, hi, low, high = todo.pop()
+        while lo < hi and low < high and a[lo] == b[low]:
+            out.add(at[lo])
+            lo, low = lo + 1, low + 1
+        while lo < hi and low < high and a[hi - 1] == b[high - 1]:
+            hi, high = hi - 1, high - 1
+            out.add(at[hi])
+        if lo == hi or low == high:
+            continue
+        if hi - lo == 1:
+            if a[lo] in b[low:high]:
+                out.add(at[lo])
+            continue
+        mid, part = (lo + hi) // 2, b[low:high]
+        cut = low + int(np.argmax(prefix_lengths(a[lo:mid], part) + prefix_lengths(a[mid:hi][::-1], part[::-1])[::-1]))
+        todo += [(lo, mid, low, cut), (mid, hi, cut, high)]
     return out
 
 
@@ -171,8 +183,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(key, url, text, n_chars) of every row of pages.
 
     A null html is empty and gives an empty text. Pages with a null URL (or one without a host) count as one
-    host with an empty path. Repeated rows are neighbours: each keeps its main element, or, without
-    one, nothing that both have. An empty table gives no rows.
+    host with an empty path. Repeated rows and copies beside each other are compared with the nearest page of other lines;
+    where their host has none, they keep their main element, or, without one, everything. An empty table gives no rows.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,29 +198,43 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(zones), pa.array(texts, pa.list_(pa.string()))], names=["host", "path", "id", "url", "zones", "lines"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = page = None
-
-        def row(before: dict | None, page: dict, after: dict | None) -> tuple:
-            near = [x for x in (before, after) if x and x["host"] == page["host"]]
-            other = max(near, key=lambda x: kinship(x["path"], page["path"])) if near else None  # the first of equals
-            text = main_text(list(zip(page["zones"], page["lines"])), list(zip(other["zones"], other["lines"])) if other else None)
-            return page["id"], page["url"], text, len(text)
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
+        before, run, rows = None, [], []  # the last page of other lines, pages with the same lines, finished rows
+
+        def finish(after: dict | None) -> None:
+            near = [x for x in (before, after) if x and x["host"] == run[0]["host"]]
+            texts: dict[tuple, str] = {}
+            for page in run:
+                other = max(near, key=lambda x: kinship(x["path"], page["path"])) if near else None  # the first of equals
+                if not near and len(run) > 1 and "m" in page["zones"]:
+                    other = run[0]  # copies alone: what is outside the main element is in every one
+                which = (id(other), page["zones"])
+                if which not in texts:
+                    texts[which] = main_text(list(zip(page["zones"], run[0]["lines"])), list(zip(other["zones"], other["lines"])) if other else None)
+                rows.append((page["id"], page["url"], texts[which], len(texts[which])))
+
+        def out() -> pa.RecordBatch:
             a, b, c, d = zip(*rows)
+            rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.int64())], names=["id", "url", "text", "n_chars"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                rows = []
-                for after in b.slice(lo, 500).to_pylist():
-                    if page:
-                        rows.append(row(before, page, after))
-                    before, page = page, after
+                for page in b.slice(lo, 500).to_pylist():
+                    if not page["lines"]:  # nothing to keep, and nothing to compare with
+                        rows.append((page["id"], page["url"], "", 0))
+                    elif run and page["host"] == run[0]["host"] and page["lines"] == run[0]["lines"]:
+                        run.append(page | {"lines": None})
+                    else:
+                        if run:
+                            finish(page)
+                            before = run[-1] | {"lines": run[0]["lines"]}
+                        run = [page]
                 if rows:
-                    yield out(rows)
-        if page:
-            yield out([row(before, page, None)])
+                    yield out()
+        if run:
+            finish(None)
+        if rows:
+            yield out()
 
     slim = pages.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     parsed = slim.mapInArrow(parse, "host string, path string, id long, url string, zones string, lines array<string>")

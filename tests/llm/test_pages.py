@@ -1,7 +1,9 @@
-"""Page differencing decides outside the main element."""
+"""Page differencing decides outside the main element, aligns exactly at every size and sees past copies."""
 
 from __future__ import annotations
 
+import random
+
 from botlake.llm import pagediff
 
 SCHEMA = "page_id long, url string, html string"
@@ -15,3 +17,26 @@ def test_differencing_decides_outside_the_main_element(spark):
     page = "<p>Site name</p><h1>Headline {0}</h1><p>Lead {0}</p><article><p>Shared story</p><p>Story {0}</p></article><p>All rights</p>"
     got = texts(spark, [(i, f"http://a.b/x/{i}", page.format(i)) for i in (1, 2)])
     assert got == {i: f"Headline {i}\n\nLead {i}\n\nShared story\n\nStory {i}" for i in (1, 2)}
+
+
+def test_long_lists_align_exactly():
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for j, y in enumerate(b):
+                diagonal, row[j + 1] = row[j + 1], diagonal + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(5)
+    for kinds in (2, 3, 40):
+        a, b = ([f"line {rng.randrange(kinds)}" for _ in range(n)] for n in (1700, 1500))
+        got = sorted(pagediff.aligned(a, b))
+        rest = iter(b)
+        assert len(got) == length(a, b) and all(a[i] in rest for i in got)
+
+
+def test_copies_meet_the_next_other_page(spark):
+    copy = "<p>menu</p><p>own one</p>"
+    got = texts(spark, [(1, "http://a.b/x/1", copy), (2, "http://a.b/x/2", copy), (3, "http://a.b/x/3", copy), (4, "http://a.b/x/4", "<p>menu</p><p>own two</p>"), (5, "http://c.d/1", copy), (6, "http://c.d/2", copy)])
+    assert got == {1: "own one", 2: "own one", 3: "own one", 4: "own two", 5: "menu\n\nown one", 6: "menu\n\nown one"}
