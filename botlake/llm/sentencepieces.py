@@ -4,7 +4,8 @@ A text is cut before each blank into marked words: the blank becomes the mark U+
 the text's start is marked as well. The distinct words of an Arrow batch are sorted, which
 lays them out as the depth-first order of a trie: two neighbours share a path as long as
 their common prefix. The forward scores of the path (best score and last piece at every
-depth) stay on a stack; only what lies below the shared prefix is computed.
+depth) stay on a stack; only what lies below the shared prefix is computed. Words longer than LONGEST_WORD
+go one by one, by the same rule with scores only as deep as the longest piece.
 
 The vocabulary is a public model's pieces. That model ranks its pieces by merges and has no
 probabilities, so a piece's score is the log of a Zipf law over its rank. The segmentation
@@ -16,6 +17,7 @@ so every text comes back exactly.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,7 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain.append(i)
                 self.text[i] = piece
+        self.longest = max(map(len, self.text.values()), default=1)
         self.bytes = {i: b for b, i in enumerate(self.byte_ids)}
         total = float(np.sum(1 / np.arange(1, len(plain) + 1)))
         self.root: dict = {}
@@ -119,15 +122,49 @@ class Pieces:
         return [[i for w in ws for i in memo[w]] for ws in split]
 
     def encode_hard(self, word: str) -> tuple[int, ...]:
-        """A word that holds a literal mark, or is very long: parts between marks, and stretches of LONGEST_WORD characters."""
-        ids: list[int] = list(self.encode_sorted([MARK])[0])
+        """A word that holds a literal mark, or is very long: its parts between marks, the first one with the mark in front."""
+        ids: list[int] = []
         for n, part in enumerate(word[1:].split(MARK)):
             if n:
                 ids += [self.byte_ids[b] for b in MARK.encode()]
-            for at in range(0, len(part), LONGEST_WORD):
-                ids += self.encode_sorted([part[at : at + LONGEST_WORD]])[0]
+            ids += self.encode_long(part if n else MARK + part)
         return tuple(ids)
 
+    def encode_long(self, word: str) -> list[int]:
+        """The best path of a word of any length: scores and trie nodes only as deep as a piece, back pointers in arrays.
+
+        The same relaxation, in the same order, as encode_sorted.
+        """
+        start, piece = array("i", [0]), array("i", [0])  # of the last piece at each depth; id -1: bytes
+        best = [0.0] * (self.longest + 1)  # by depth modulo its length
+        live: list[tuple[int, dict]] = []
+        room = len(best)
+        for d, c in enumerate(word):
+            top, link = best[d % room] + self.byte_score * len(c.encode()), (d, -1)
+            going = []
+            for at, node in (*live, (d, self.root)):
+                to = node.get(c)
+                if to is not None:
+                    going.append((at, to))
+                    end = to.get("")
+                    if end is not None and best[at % room] + end[1] > top:
+                        top, link = best[at % room] + end[1], (at, end[0])
+            best[(d + 1) % room] = top
+            start.append(link[0])
+            piece.append(link[1])
+            live = going
+        ids: list[int] = []
+        d = len(word)
+        while d:
+            at, i = start[d], piece[d]
+            if i < 0:
+                ids.extend(self.byte_ids[b] for b in reversed(word[at:d].encode()))
+            else:
+                ids.append(i)
+            d = at
+        ids.reverse()
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces with marks as blanks, byte pieces as UTF-8, less the first mark."""
         raw = bytearray()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from botlake.llm import cdc
+import public_tokenizers
+
+from botlake.llm import cdc, sentencepieces
 
 
 def test_short_passages_go(spark):
@@ -22,3 +24,19 @@ def test_short_passages_go(spark):
     assert not any(out[k] for k, _ in rows[:600])
     assert sum(x == 0 for x in shares) <= 0.01 * len(shares)
     assert sum(shares) / len(shares) >= 0.8
+
+
+def test_long_words_get_their_best_path():
+    """A word of any length has the ids of the plain forward pass, with and without literal marks."""
+    p = sentencepieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    parts = ["international", "isation", "ther", "eby", "日本", "é", "😀", "station", "ing", "q"]
+    for size in (4095, 4096, 4097, 9000, 20000):
+        for _ in range(4):
+            word = "▁" + "".join(rng.choice(parts) for _ in range(size))[: size - 1]
+            plain = p.encode_sorted([word])[0]
+            assert tuple(p.encode([word[1:]])[0]) == plain == p.encode_hard(word)
+    long = "".join(rng.choice(parts) for _ in range(3000))
+    tail = p.encode_sorted([long])[0]
+    assert tuple(p.encode(["a▁" + long])[0]) == (*p.encode_sorted(["▁a"])[0], *[p.byte_ids[b] for b in "▁".encode()], *tail)
+    assert p.decode(p.encode(["▁▁" + long + "▁"])[0]) == "▁▁" + long + "▁"
