@@ -35,7 +35,7 @@ def org_summary(orgs: DataFrame, users: DataFrame, items: DataFrame) -> DataFram
     kinds = items.groupBy("org_id").pivot("kind", ["agent", "table", "app"]).count()
     out = orgs.join(people, orgs["id"] == people["org_id"], "left").drop("org_id").join(kinds, orgs["id"] == kinds["org_id"], "left")
     zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n)
-    return out.select(orgs["id"], orgs["name"], zero("members", "members"), zero("admins", "admins"), zero("agent", "agents"), zero("table", "tables"), zero("app", "apps"))
+    return out.select(orgs["id"], orgs["name"], zero("members", "members"), zero("admins", "admins"), zero("agent", "bots"), zero("table", "tables"), zero("app", "apps"))
 
 
 def child_counts(parent: DataFrame, child: DataFrame, key: str, parent_key: str, to: str) -> DataFrame:
@@ -45,6 +45,6 @@ def child_counts(parent: DataFrame, child: DataFrame, key: str, parent_key: str,
 
 
 def duplicate_claims(claims: DataFrame, phone: str = "phone", agent: str = "agent_id") -> DataFrame:
-    """Phones that more than one agent claims, with the agents in order."""
-    out = claims.select(phone, agent).distinct().groupBy(phone).agg(F.count("*").alias("claims"), F.sort_array(F.collect_list(agent)).alias("agents"))
+    """Phones that more than one agent claims, with the bots in order."""
+    out = claims.select(phone, agent).distinct().groupBy(phone).agg(F.count("*").alias("claims"), F.sort_array(F.collect_list(agent)).alias("bots"))
     return out.where("claims > 1")

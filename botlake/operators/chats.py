@@ -27,7 +27,7 @@ def session_measures(sessions: DataFrame) -> DataFrame:
 
 
 def search_sessions(
-    sessions: DataFrame, agents: DataFrame, users: DataFrame, *, agent: str | None = None, source: str | None = None, q: str | None = None, day_from: str | None = None, day_to: str | None = None,
+    sessions: DataFrame, bots: DataFrame, users: DataFrame, *, agent: str | None = None, source: str | None = None, q: str | None = None, day_from: str | None = None, day_to: str | None = None,
     min_seconds: int | None = None, max_seconds: int | None = None, min_messages: int | None = None,
 ) -> DataFrame:
     """Conversations that pass every given filter, with agent and owner names; without a channel, all but `test`.
@@ -48,7 +48,7 @@ def search_sessions(
     for column, low, high in (("duration_seconds", min_seconds, max_seconds), ("message_count", min_messages, None)):
         out = out.where(F.col(column) >= low) if low is not None else out
         out = out.where(F.col(column) <= high) if high is not None else out
-    named = agents.select(F.col("id").alias("agent_id"), F.col("name").alias("agent_name"), F.col("user_id").alias("_owner"))
+    named = bots.select(F.col("id").alias("agent_id"), F.col("name").alias("agent_name"), F.col("user_id").alias("_owner"))
     return out.join(named, "agent_id").join(users.select(F.col("id").alias("_owner"), F.col("username").alias("owner_name")), "_owner", "left").drop("_owner")
 
 

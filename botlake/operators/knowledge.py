@@ -122,9 +122,9 @@ def backfill_report(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.length("content").alias("chars"), F.when(n > 1, n).otherwise(0).alias("chunks"), ((F.col("source_type") != "crawl") & (F.length("content") <= MOST_REWRITE)).alias("eligible"))
 
 
-def build_contexts(agents: DataFrame, hits: DataFrame, as_of: str, zone: str = "Asia/Jerusalem") -> DataFrame:
-    """Prompt of every agent: base, notice, retrieved passages in order, date block last. agents: id, base_prompt, notice; hits: agent_id, position, title, content."""
+def build_contexts(bots: DataFrame, hits: DataFrame, as_of: str, zone: str = "Asia/Jerusalem") -> DataFrame:
+    """Prompt of every agent: base, notice, retrieved passages in order, date block last. bots: id, base_prompt, notice; hits: agent_id, position, title, content."""
     passages = hits.groupBy(F.col("agent_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "title", "content"))), lambda p: F.concat(F.lit("["), p["title"], F.lit("]\n"), p["content"])).alias("_p"))
     local = F.from_utc_timestamp(F.lit(as_of).cast("timestamp_ntz"), zone)
     parts = F.array(F.col("base_prompt"), F.col("notice"), F.array_join("_p", "\n\n"), F.date_format(local, "'Today is' EEEE, yyyy-MM-dd HH:mm"))
-    return agents.join(passages, "id", "left").select("id", F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n\n").alias("prompt"))
+    return bots.join(passages, "id", "left").select("id", F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n\n").alias("prompt"))

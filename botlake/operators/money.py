@@ -41,9 +41,9 @@ def charge_usage(usage: DataFrame, billing: DataFrame) -> DataFrame:
 def spend_scopes(usage: DataFrame) -> DataFrame:
     """One row per call and scope that it moves: (scope, key, amount) beside the call's columns.
 
-    platform: its cost. org-public: the cost of strangers' calls (no user, from agents or app). item, member: what is charged.
+    platform: its cost. org-public: the cost of strangers' calls (no user, from bots or app). item, member: what is charged.
     """
-    public = F.col("user_id").isNull() & F.col("source").isin("agents", "app")
+    public = F.col("user_id").isNull() & F.col("source").isin("bots", "app")
     row = lambda scope, key, amount: F.struct(F.lit(scope).alias("scope"), key.alias("key"), F.col(amount).cast(CHARGE).alias("amount"))
     scopes = F.array(
         row("platform", F.lit(""), "cost_usd"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.compare import coerce, compare, fill_template, matchable
+from ..functions.compare import coerce, compare, fill_template, folded_name
 
 MOST_COLUMNS, MOST_ITEMS, TYPES = 40, 500, ("text", "number", "date", "boolean")
 COLUMN = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "name", "type")])
@@ -46,9 +46,9 @@ def shape_rows(rows: DataFrame, tables: DataFrame) -> DataFrame:
     columns = tables.select(F.col("id").alias("table_id"), F.posexplode("columns").alias("n", "c"))
     exact = columns.select("table_id", "n", "c", F.explode(F.array_distinct(F.array("c.key", "c.name"))).alias("field"))
     exact = exact.groupBy("table_id", "field").agg(F.min_by("c", "n").alias("exact"))
-    folded = columns.select("table_id", "n", "c", F.explode(F.array_distinct(F.array(matchable(F.col("c.key")), matchable(F.col("c.name"))))).alias("fold"))
+    folded = columns.select("table_id", "n", "c", F.explode(F.array_distinct(F.array(folded_name(F.col("c.key")), folded_name(F.col("c.name"))))).alias("fold"))
     folded = folded.groupBy("table_id", "fold").agg(F.min_by("c", "n").alias("folded"))
-    met = fields.withColumn("fold", matchable(F.col("field"))).join(exact, ["table_id", "field"], "left").join(folded, ["table_id", "fold"], "left").withColumn("c", F.coalesce("exact", "folded"))
+    met = fields.withColumn("fold", folded_name(F.col("field"))).join(exact, ["table_id", "field"], "left").join(folded, ["table_id", "fold"], "left").withColumn("c", F.coalesce("exact", "folded"))
     met = met.withColumn("out", F.when(F.col("c").isNotNull(), coerce(F.col("value"), F.col("c.type"))))
     ok, lost = F.col("out").isNotNull(), F.col("c").isNull() & F.col("field").isNotNull()
     refused = F.col("c").isNotNull() & F.col("out").isNull()
@@ -82,17 +82,17 @@ def patch_rows(rows: DataFrame, patches: DataFrame) -> DataFrame:
     return out.withColumns({"data": F.when(F.col("_p").isNotNull(), F.map_concat(kept, "_p")).otherwise(F.col("data")), "written_by": F.coalesce("_w", "written_by")}).drop("_p", "_w")
 
 
-def tables_for_agents(agents: DataFrame, tables: DataFrame) -> DataFrame:
-    """(agent_id, table_id): ticked on the agent and of its owner's organization. agents: id, org_id, tables (array of ids); tables: id, org_id."""
-    ticked = agents.select(F.col("id").alias("agent_id"), "org_id", F.explode(F.array_distinct("tables")).alias("table_id"))
+def tables_for_bots(bots: DataFrame, tables: DataFrame) -> DataFrame:
+    """(agent_id, table_id): ticked on the agent and of its owner's organization. bots: id, org_id, tables (array of ids); tables: id, org_id."""
+    ticked = bots.select(F.col("id").alias("agent_id"), "org_id", F.explode(F.array_distinct("tables")).alias("table_id"))
     return ticked.join(tables.select(F.col("id").alias("table_id"), "org_id"), ["table_id", "org_id"], "left_semi").select("agent_id", "table_id")
 
 
 def find_tables(wanted: DataFrame, tables: DataFrame) -> DataFrame:
     """(request_id, table_id): by id, else by folded name within the organization (the smallest id). wanted: request_id, org_id, ref."""
     by_id = tables.select("org_id", F.col("id").alias("ref"), F.col("id").alias("_i"))
-    by_name = tables.groupBy("org_id", matchable(F.col("name")).alias("_f")).agg(F.min("id").alias("_n"))
-    return wanted.withColumn("_f", matchable(F.col("ref"))).join(by_id, ["org_id", "ref"], "left").join(by_name, ["org_id", "_f"], "left").select("request_id", F.coalesce("_i", "_n").alias("table_id"))
+    by_name = tables.groupBy("org_id", folded_name(F.col("name")).alias("_f")).agg(F.min("id").alias("_n"))
+    return wanted.withColumn("_f", folded_name(F.col("ref"))).join(by_id, ["org_id", "ref"], "left").join(by_name, ["org_id", "_f"], "left").select("request_id", F.coalesce("_i", "_n").alias("table_id"))
 
 
 # ---- rules

@@ -27,7 +27,7 @@ def _sha(df: DataFrame, *names: str) -> DataFrame:
 
 
 def q_sessions(s: SparkSession, d: str) -> DataFrame:
-    out = chats.search_sessions(_sessions(s, d), view(s, d, "agents"), view(s, d, "users"), q="an%the", day_to="2024-01-30", min_messages=2)
+    out = chats.search_sessions(_sessions(s, d), view(s, d, "bots"), view(s, d, "users"), q="an%the", day_to="2024-01-30", min_messages=2)
     return _sha(out.select("id", "agent_id", "source", "duration_seconds", "message_count", "first_user_message", "agent_name", "owner_name"), "first_user_message")
 
 
@@ -81,7 +81,7 @@ US = "epoch_us({0})"
 ORACLES = {
     "js01_session_measures": "SELECT id, greatest(cast(epoch(updated_at - started_at) AS bigint), 0) AS duration_seconds, len(roles) AS message_count, sha256(substr(texts[list_position(roles, 'user')], 1, 300)) AS first_user_message FROM #chat_sessions",
     "pf01_search_sessions": """SELECT c.id, agent_id, source, greatest(cast(epoch(updated_at - started_at) AS bigint), 0) AS duration_seconds, len(roles) AS message_count, sha256(substr(texts[list_position(roles, 'user')], 1, 300)) AS first_user_message, a.name AS agent_name, u.username AS owner_name
-  FROM #chat_sessions c JOIN #agents a ON a.id = agent_id LEFT JOIN #users u ON u.id = a.user_id
+  FROM #chat_sessions c JOIN #bots a ON a.id = agent_id LEFT JOIN #users u ON u.id = a.user_id
   WHERE source <> 'test' AND started_at <= timestamp '2024-01-30 23:59:59.999' AND len(roles) >= 2 AND '[' || array_to_string(list_transform(list_zip(roles, texts), lambda m: '{"role":"' || m[1] || '","content":"' || replace(replace(m[2], '"', '\\"'), chr(10), '\\n') || '"}'), ',') || ']' ILIKE '%an%the%'""",
     "tk02_session_page": "SELECT id, source, cast(len(roles) AS bigint) AS message_count FROM #chat_sessions WHERE source <> 'test' ORDER BY len(roles) DESC, id LIMIT 25 OFFSET 5",
     "ag05_channel_counts": "SELECT source, count(*) AS sessions FROM #chat_sessions WHERE source <> 'test' GROUP BY 1",

@@ -41,7 +41,7 @@ def _usage(e: Engine) -> str:
     return f"""
 SELECT event_id AS id, ts AS at, cast(c_nationkey AS string) AS org_id,
   CASE WHEN event_type IN ('click', 'view') THEN NULL ELSE cast(user_id AS string) END AS user_id,
-  CASE event_type WHEN 'click' THEN 'agents' WHEN 'view' THEN 'app' WHEN 'purchase' THEN 'automation' WHEN 'signup' THEN 'home' ELSE 'knowledge' END AS source,
+  CASE event_type WHEN 'click' THEN 'bots' WHEN 'view' THEN 'app' WHEN 'purchase' THEN 'automation' WHEN 'signup' THEN 'home' ELSE 'knowledge' END AS source,
   CASE event_type WHEN 'click' THEN 'agent' WHEN 'view' THEN 'app' WHEN 'purchase' THEN 'automation' END AS item_type,
   CASE WHEN event_type IN ('click', 'view', 'purchase') THEN cast({e.k} % 10 AS string) END AS item_id,
   concat('model-', cast({e.k} % 4 AS string)) AS model, {e.k} * 10 AS input_tokens, {e.k} % 7 * 5 AS output_tokens,
@@ -55,7 +55,7 @@ VIEWS = {
 SELECT cast(c_custkey AS string) AS id, c_name AS username, c_custkey % 211 = 0 AS is_admin, cast(c_nationkey AS string) AS org_id,
   CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'member' END AS org_role,
   CASE c_custkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'view' ELSE 'edit' END AS org_access FROM @customer""",
-    "agents": lambda e: "SELECT cast(s_suppkey AS string) AS id, s_name AS name, cast(s_nationkey AS string) AS org_id, cast(s_suppkey * 3 AS string) AS user_id FROM @supplier",
+    "bots": lambda e: "SELECT cast(s_suppkey AS string) AS id, s_name AS name, cast(s_nationkey AS string) AS org_id, cast(s_suppkey * 3 AS string) AS user_id FROM @supplier",
     "grants": lambda e: """
 SELECT cast(o_custkey AS string) AS user_id, 'agent' AS kind, cast(o_orderkey % 100 AS string) AS item_id,
   CASE max(o_orderkey) % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'view' ELSE 'edit' END AS level FROM @orders GROUP BY o_custkey, o_orderkey % 100""",

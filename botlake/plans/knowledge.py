@@ -37,8 +37,8 @@ def q_contexts(s: SparkSession, d: str) -> DataFrame:
     units = kb.searchable_units(docs, kb.chunk_documents(docs))
     found = kb.search(units, questions).join(units.select("unit_id", "title", "content"), "unit_id").join(questions.select("query_id", "agent_id"), "query_id")
     hits = found.select("agent_id", F.struct("query_id", "position").alias("position"), "title", "content")
-    agents = view(s, d, "agents").select("id", F.concat(F.lit("You are "), "name").alias("base_prompt"), F.lit("").alias("notice"))
-    return kb.build_contexts(agents, hits, "2024-01-15 21:30:00")
+    bots = view(s, d, "bots").select("id", F.concat(F.lit("You are "), "name").alias("base_prompt"), F.lit("").alias("notice"))
+    return kb.build_contexts(bots, hits, "2024-01-15 21:30:00")
 
 
 WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"

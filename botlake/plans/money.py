@@ -18,9 +18,9 @@ def _double(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    agents = view(spark, d, "agents")
+    bots = view(spark, d, "bots")
     apps = view(spark, d, "organizations").select(F.col("id").alias("org_id"), F.col("id"), F.lit("").alias("name"))
-    return money.chargeable_items(("agent", agents), ("app", apps))
+    return money.chargeable_items(("agent", bots), ("app", apps))
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
@@ -37,10 +37,10 @@ def _catalog(spark: SparkSession, d: str) -> DataFrame:
 CHARGED = """charged AS (SELECT u.*, cost_usd * (100 + coalesce(markup_pct, 0)) * 0.01 AS charged_usd FROM #llm_usage u LEFT JOIN #org_billing b ON u.org_id = b.org_id)"""
 SCOPES = f"""{CHARGED}, scopes AS (
   SELECT 'platform' AS scope, '' AS key, at, id, cast(cost_usd AS decimal(38,12)) AS amount FROM charged
-  UNION ALL SELECT 'org-public', org_id, at, id, cast(cost_usd AS decimal(38,12)) FROM charged WHERE user_id IS NULL AND source IN ('agents', 'app')
+  UNION ALL SELECT 'org-public', org_id, at, id, cast(cost_usd AS decimal(38,12)) FROM charged WHERE user_id IS NULL AND source IN ('bots', 'app')
   UNION ALL SELECT 'item', org_id || ':' || item_type || ':' || item_id, at, id, cast(charged_usd AS decimal(38,12)) FROM charged WHERE item_id IS NOT NULL
   UNION ALL SELECT 'member', org_id || ':' || user_id, at, id, cast(charged_usd AS decimal(38,12)) FROM charged WHERE user_id IS NOT NULL)"""
-ITEMS = "items AS (SELECT 'agent' AS kind, org_id, id, name FROM #agents UNION ALL SELECT 'app', id, id, '' FROM #organizations)"
+ITEMS = "items AS (SELECT 'agent' AS kind, org_id, id, name FROM #bots UNION ALL SELECT 'app', id, id, '' FROM #organizations)"
 LEVEL = f"""{ITEMS}, levels AS (
   SELECT u.id AS user_id, i.kind, i.id AS item_id, CASE WHEN org_role = 'admin' THEN 'edit' ELSE coalesce(g.level, org_access) END AS level
   FROM #users u JOIN items i ON u.org_id = i.org_id LEFT JOIN #grants g ON g.user_id = u.id AND g.kind = i.kind AND g.item_id = i.id WHERE NOT is_admin)"""
@@ -77,7 +77,7 @@ QUERIES = {
     "jn03_visible_sessions": lambda s, d: access.visible(
         view(s, d, "chat_sessions").select("id", F.col("agent_id"), F.explode(F.sequence(F.lit(0), F.lit(20)).cast("array<string>")).alias("user_id")), _levels(s, d), "agent", "agent_id", "user_id"),
     "ag06_org_summary": lambda s, d: access.org_summary(view(s, d, "organizations"), view(s, d, "users"), _items(s, d)),
-    "ag06_child_counts": lambda s, d: access.child_counts(view(s, d, "users").select("id", "username"), view(s, d, "agents").select("user_id"), "id", "user_id", "agents"),
+    "ag06_child_counts": lambda s, d: access.child_counts(view(s, d, "users").select("id", "username"), view(s, d, "bots").select("user_id"), "id", "user_id", "bots"),
     "ag16_duplicate_claims": lambda s, d: access.duplicate_claims(view(s, d, "messages").select((F.col("phone").cast("long") % 50).cast("string").alias("phone"), F.col("number_id").alias("agent_id"))),
 }
 
@@ -136,8 +136,8 @@ ORACLES = {
     "jn03_visible_sessions": f"""WITH {LEVEL}, s AS (SELECT id, agent_id, cast(unnest(range(0, 21)) AS string) AS user_id FROM #chat_sessions)
   SELECT agent_id, user_id, id FROM s WHERE EXISTS (SELECT 1 FROM levels l WHERE l.kind = 'agent' AND l.level <> 'none' AND l.item_id = agent_id AND l.user_id = s.user_id)""",
     "ag06_org_summary": f"""WITH {ITEMS} SELECT o.id, o.name, (SELECT count(*) FROM #users u WHERE u.org_id = o.id) AS members, (SELECT count(*) FROM #users u WHERE u.org_id = o.id AND org_role = 'admin') AS admins,
-  (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'agent') AS agents, cast(0 AS bigint) AS tables, (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'app') AS apps FROM #organizations o""",
-    "ag06_child_counts": "SELECT u.id, username, count(a.id) AS agents FROM #users u LEFT JOIN #agents a ON a.user_id = u.id GROUP BY u.id, username",
-    "ag16_duplicate_claims": "SELECT cast(cast(phone AS bigint) % 50 AS string) AS phone, count(DISTINCT number_id) AS claims, list_sort(list(DISTINCT number_id)) AS agents FROM #messages GROUP BY 1 HAVING count(DISTINCT number_id) > 1",
+  (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'agent') AS bots, cast(0 AS bigint) AS tables, (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'app') AS apps FROM #organizations o""",
+    "ag06_child_counts": "SELECT u.id, username, count(a.id) AS bots FROM #users u LEFT JOIN #bots a ON a.user_id = u.id GROUP BY u.id, username",
+    "ag16_duplicate_claims": "SELECT cast(cast(phone AS bigint) % 50 AS string) AS phone, count(DISTINCT number_id) AS claims, list_sort(list(DISTINCT number_id)) AS bots FROM #messages GROUP BY 1 HAVING count(DISTINCT number_id) > 1",
 }
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}

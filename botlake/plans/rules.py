@@ -90,7 +90,7 @@ def q_replies(s: SparkSession, d: str) -> DataFrame:
 
 def _automations(s: SparkSession, d: str) -> DataFrame:
     n = F.col("id").cast("int")
-    return view(s, d, "agents").select(F.concat(F.lit("a"), "id").alias("id"), "org_id", (n % 4 > 0).alias("enabled"), (n % 5).cast("string").alias("table_id"), F.concat(F.lit("Line "), n % 3).alias("connection"), "user_id", F.col("user_id").alias("publisher"))
+    return view(s, d, "bots").select(F.concat(F.lit("a"), "id").alias("id"), "org_id", (n % 4 > 0).alias("enabled"), (n % 5).cast("string").alias("table_id"), F.concat(F.lit("Line "), n % 3).alias("connection"), "user_id", F.col("user_id").alias("publisher"))
 
 
 def q_listening(s: SparkSession, d: str) -> DataFrame:
@@ -147,14 +147,14 @@ def q_due_work(s: SparkSession, d: str) -> DataFrame:
 
 def q_branches(s: SparkSession, d: str) -> DataFrame:
     n = F.col("id").cast("int")
-    b = view(s, d, "agents").select(F.concat(F.lit("b"), "id").alias("id"), (n % 10).cast("string").alias("agent_id"), F.when(n % 5 == 0, "draft").otherwise("branch").alias("kind"), (n % 4).alias("traffic_weight"), F.lit(None).cast("timestamp_ntz").alias("merged_at"))
+    b = view(s, d, "bots").select(F.concat(F.lit("b"), "id").alias("id"), (n % 10).cast("string").alias("agent_id"), F.when(n % 5 == 0, "draft").otherwise("branch").alias("kind"), (n % 4).alias("traffic_weight"), F.lit(None).cast("timestamp_ntz").alias("merged_at"))
     se = view(s, d, "chat_sessions").select("id", "agent_id", (F.col("id").cast("int") % 3 == 0).alias("decided"), F.lit("old").alias("branch_id"))
     return experiments.assign_branches(se, b, 7)
 
 
 def q_traffic(s: SparkSession, d: str) -> DataFrame:
     n = F.col("id").cast("int")
-    return experiments.traffic(view(s, d, "agents").select((n % 10).cast("string").alias("agent_id"), F.when(n % 5 == 0, "draft").otherwise("branch").alias("kind"), (n % 27).alias("traffic_weight"), F.lit(None).cast("timestamp_ntz").alias("merged_at")))
+    return experiments.traffic(view(s, d, "bots").select((n % 10).cast("string").alias("agent_id"), F.when(n % 5 == 0, "draft").otherwise("branch").alias("kind"), (n % 27).alias("traffic_weight"), F.lit(None).cast("timestamp_ntz").alias("merged_at")))
 
 
 def q_feed(s: SparkSession, d: str) -> DataFrame:
@@ -199,8 +199,8 @@ QUERIES = {
     "pf05_robots_allowed": lambda s, d: crawl.robots_allowed(_pages(s, d).select("page_id", "site", u.url_part(F.col("url"), "path").alias("path")), _robots(s, d)).select("page_id", "allowed"),
     "tk04_next_frontier": q_frontier,
     "ag09_crawl_report": lambda s, d: crawl.crawl_report(_crawled(s, d), _pages(s, d).select("site", "url").distinct(), crawl.robots_allowed(_pages(s, d).select("site", u.url_part(F.col("url"), "path").alias("path")), _robots(s, d))),
-    "ag10_recrawl_plan": lambda s, d: crawl.recrawl_plan(view(s, d, "agents").select("id", F.array(F.concat(F.lit("https://s"), F.col("id").cast("int") % 9, F.lit(".example/?a")), F.lit("ftp://x"), F.concat(F.lit("https://s"), F.col("id").cast("int") % 4, F.lit(".example/"))).alias("urls"), (F.col("id").cast("int") % 3 * 400).alias("max_pages"), F.when(F.col("id").cast("int") % 3 > 0, F.col("id")).alias("last_crawled_at"))).select("key", "max_pages", "url", F.array_join("agents", ",").alias("agents")),
-    "jn14_copy_crawl": lambda s, d: crawl.copy_crawl(view(s, d, "knowledge").select("id", F.lit(None).cast("string").alias("parent_id"), "source_url", "agent_id"), view(s, d, "agents").select(F.concat(F.lit("src"), F.col("id").cast("int") % 20).alias("source_url"), F.col("id").alias("agent_id")).where("cast(agent_id as int) < 40")),
+    "ag10_recrawl_plan": lambda s, d: crawl.recrawl_plan(view(s, d, "bots").select("id", F.array(F.concat(F.lit("https://s"), F.col("id").cast("int") % 9, F.lit(".example/?a")), F.lit("ftp://x"), F.concat(F.lit("https://s"), F.col("id").cast("int") % 4, F.lit(".example/"))).alias("urls"), (F.col("id").cast("int") % 3 * 400).alias("max_pages"), F.when(F.col("id").cast("int") % 3 > 0, F.col("id")).alias("last_crawled_at"))).select("key", "max_pages", "url", F.array_join("bots", ",").alias("bots")),
+    "jn14_copy_crawl": lambda s, d: crawl.copy_crawl(view(s, d, "knowledge").select("id", F.lit(None).cast("string").alias("parent_id"), "source_url", "agent_id"), view(s, d, "bots").select(F.concat(F.lit("src"), F.col("id").cast("int") % 20).alias("source_url"), F.col("id").alias("agent_id")).where("cast(agent_id as int) < 40")),
     "pf06_compare": q_compare,
     "pf07_route": q_route,
     "dt01_parse_day": q_days,
@@ -210,7 +210,7 @@ QUERIES = {
     "js04_materialize_table": lambda s, d: tables.materialize_table(tables.shape_rows(_rows(s, d), _definitions(s, d)), [("size", "number"), ("retail_price", "number"), ("brand", "text")]),
     "pf02_search_rows": lambda s, d: tables.search_rows(_rows(s, d), "brand#2%many", 40, 3).select("id"),
     "ss05_patch_rows": lambda s, d: tables.patch_rows(_rows(s, d).withColumn("written_by", F.lit("user")), _rows(s, d).where("id % 5 = 0").select("id", F.create_map(F.lit("brand"), F.lit("new")).alias("data"), F.lit("bot").alias("written_by"))).select("id", F.col("data")["brand"].alias("brand"), F.col("data")["size"].alias("size"), "written_by"),
-    "jn05_tables_for_agents": lambda s, d: tables.tables_for_agents(view(s, d, "agents").select("id", "org_id", F.array((F.col("id").cast("int") % 5).cast("string"), (F.col("id").cast("int") % 3).cast("string")).alias("tables")), view(s, d, "organizations").select((F.col("id").cast("int") % 5).cast("string").alias("id"), F.col("id").alias("org_id"))),
+    "jn05_tables_for_bots": lambda s, d: tables.tables_for_bots(view(s, d, "bots").select("id", "org_id", F.array((F.col("id").cast("int") % 5).cast("string"), (F.col("id").cast("int") % 3).cast("string")).alias("tables")), view(s, d, "organizations").select((F.col("id").cast("int") % 5).cast("string").alias("id"), F.col("id").alias("org_id"))),
     "pf08_match_messages": q_triggers,
     "jn07_listening": q_listening,
     "jn08_row_triggers": q_row_triggers,
@@ -227,9 +227,9 @@ QUERIES = {
     "dt04_due_work": q_due_work,
     "dt05_calendar": lambda s, d: _events(s, d).select(F.to_date("ts").alias("day")).groupBy("day").agg(F.count("*").alias("n")).join(F.broadcast(schedule.calendar_dim(s, "2024-01-01", "2024-02-29")), "day").select("day", "n", "weekday", "hday", "hmonth", "hyear"),
     "dt06_anniversaries": q_anniversaries,
-    "ag11_snapshot_agents": lambda s, d: _sha(experiments.snapshot_agents(view(s, d, "agents"), view(s, d, "knowledge").select("agent_id", "id", "title", "content")), "documents"),
+    "ag11_snapshot_bots": lambda s, d: _sha(experiments.snapshot_bots(view(s, d, "bots"), view(s, d, "knowledge").select("agent_id", "id", "title", "content")), "documents"),
     "ag14_run_log": lambda s, d: experiments.run_log(view(s, d, "runs").select("id", "status"), s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_returnflag").alias("step_type"), F.col("l_linestatus").alias("status"))).select("id", F.size("steps").alias("steps"), F.array_join(F.transform("steps", lambda x: F.concat_ws("/", x["id"], x["step_type"], x["status"])), ",").alias("log")),
-    "jn15_seed_starters": lambda s, d: experiments.seed_starters(view(s, d, "agents").where("cast(id as int) < 12").select("id", F.when(F.col("id").cast("int") % 4 > 0, F.col("org_id")).alias("org_id"), F.to_json(F.array(F.struct(F.col("name").alias("title"), F.lit("text").alias("content")))).alias("documents")), view(s, d, "users").where("cast(id as int) < 200")),
+    "jn15_seed_starters": lambda s, d: experiments.seed_starters(view(s, d, "bots").where("cast(id as int) < 12").select("id", F.when(F.col("id").cast("int") % 4 > 0, F.col("org_id")).alias("org_id"), F.to_json(F.array(F.struct(F.col("name").alias("title"), F.lit("text").alias("content")))).alias("documents")), view(s, d, "users").where("cast(id as int) < 200")),
     "tx24_clean_hooks": lambda s, d: experiments.clean_hooks(_events(s, d).select("id", F.create_map(F.lit("Cookie"), F.lit("x"), F.lit("X-Kind"), F.col("event_type")).alias("headers"), F.concat(F.col("event_type"), F.lit("\x00")).alias("body"))).select("id", F.array_join(F.map_keys("headers"), ",").alias("names"), F.col("headers")["X-Kind"].alias("kind"), "body", "refused"),
     "tx25_content_version": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", experiments.content_version("props").alias("version")),
     "ex01_assign_branches": q_branches,
@@ -246,7 +246,7 @@ _SITE = "regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.
 _PATH = "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
 _ALLOW = "CASE WHEN path LIKE '/fr/8%' THEN true WHEN path LIKE '/fr/%' THEN false WHEN path LIKE '/%/' THEN false ELSE true END"
 _E = "e AS (SELECT event_id AS id, ts, user_id, event_type, value, cast(json_extract_string(props, '$.k') AS int) AS k FROM events)"
-_AUTO = "a AS (SELECT 'a' || id AS id, org_id, cast(id AS int) % 4 > 0 AS enabled, cast(cast(id AS int) % 5 AS string) AS table_id, 'line ' || (cast(id AS int) % 3) AS connection, user_id AS publisher FROM #agents)"
+_AUTO = "a AS (SELECT 'a' || id AS id, org_id, cast(id AS int) % 4 > 0 AS enabled, cast(cast(id AS int) % 5 AS string) AS table_id, 'line ' || (cast(id AS int) % 3) AS connection, user_id AS publisher FROM #bots)"
 _SHAPE = "p AS (SELECT id, table_id, p_name AS name, p_brand AS brand, CASE WHEN p_size % 7 = 0 THEN NULL ELSE cast(p_size AS string) END AS size, cast(printf('%.2f', p_retailprice) AS double) AS price, p_size FROM #table_rows)"
 _NUM = "(CASE WHEN id % 11 <> 0 AND id % 4 < 2 THEN true ELSE false END)"
 
@@ -265,7 +265,7 @@ ORACLES = {
     "tx05_site_crawl_keys": f"SELECT page_id, {_SITE} AS site, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/$', '') AS key FROM #web_pages",
     "pf04_crawlable": f"SELECT page_id, NOT regexp_matches({_PATH}, '(?i)\\.(pdf|docx?|jpe?g|png|css|js|xml)$') AS crawlable FROM #web_pages",
     "pf05_robots_allowed": f"SELECT page_id, {_ALLOW} AS allowed FROM (SELECT page_id, {_PATH} AS path FROM #web_pages)",
-    "jn14_copy_crawl": "SELECT a.id || '-' || k.id AS id, cast(NULL AS string) AS parent_id, source_url, a.id AS agent_id FROM #knowledge k JOIN #agents a ON source_url = 'src' || (cast(a.id AS int) % 20) AND cast(a.id AS int) < 40",
+    "jn14_copy_crawl": "SELECT a.id || '-' || k.id AS id, cast(NULL AS string) AS parent_id, source_url, a.id AS agent_id FROM #knowledge k JOIN #bots a ON source_url = 'src' || (cast(a.id AS int) % 20) AND cast(a.id AS int) < 40",
     "pf06_compare": _compare_sql(),
     "pf07_route": f"WITH {_E} SELECT id, CASE WHEN k > 50 OR starts_with(event_type, 'p') THEN 'yes' ELSE 'no' END AS branch, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' ELSE 'default' END AS port FROM e",
     "dt01_parse_day": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 4 = 2 THEN '20' || strftime(o_orderdate, '%y-%m-%d') END AS day FROM orders",
@@ -275,7 +275,7 @@ ORACLES = {
     "js04_materialize_table": f"WITH {_SHAPE} SELECT id, cast(size AS double) AS size, price AS retail_price, brand FROM p",
     "pf02_search_rows": "SELECT id FROM #table_rows WHERE p_brand LIKE 'Brand#2%' AND p_size % 7 = 0 ORDER BY id LIMIT 40 OFFSET 3",
     "ss05_patch_rows": f"WITH {_SHAPE} SELECT id, CASE WHEN id % 5 = 0 THEN 'new' ELSE brand END AS brand, coalesce(size, 'many') AS size, CASE WHEN id % 5 = 0 THEN 'bot' ELSE 'user' END AS written_by FROM p",
-    "jn05_tables_for_agents": "SELECT DISTINCT a.id AS agent_id, t AS table_id FROM (SELECT id, org_id, unnest([cast(cast(id AS int) % 5 AS string), cast(cast(id AS int) % 3 AS string)]) AS t FROM #agents) a WHERE EXISTS (SELECT 1 FROM #organizations o WHERE cast(cast(o.id AS int) % 5 AS string) = t AND o.id = a.org_id)",
+    "jn05_tables_for_bots": "SELECT DISTINCT a.id AS agent_id, t AS table_id FROM (SELECT id, org_id, unnest([cast(cast(id AS int) % 5 AS string), cast(cast(id AS int) % 3 AS string)]) AS t FROM #bots) a WHERE EXISTS (SELECT 1 FROM #organizations o WHERE cast(cast(o.id AS int) % 5 AS string) = t AND o.id = a.org_id)",
     "pf08_match_messages": """WITH t AS (SELECT id AS trigger_id, cast(id AS int) AS n, cast(cast(id AS int) % 3 AS string) AS number_id FROM #organizations), m AS (SELECT id AS message_id, number_id, phone, lower(text) AS t FROM #messages)
   SELECT message_id, trigger_id FROM m JOIN t USING (number_id) WHERE (n % 4 > 0 OR phone IN (cast(n * 5 AS string), cast(n + 1 AS string)))
   AND CASE n % 3 WHEN 0 THEN true WHEN 1 THEN contains(t, CASE n % 2 WHEN 0 THEN 'click' ELSE 'view {' END) ELSE starts_with(ltrim(t), CASE n % 2 WHEN 0 THEN 'click' ELSE 'view {' END) END""",
@@ -302,10 +302,10 @@ ORACLES = {
   SELECT s.id, min(c.at) AS next_run_at FROM s LEFT JOIN c ON c.id = s.id AND c.at > s.t AND CASE s.n % 4 WHEN 0 THEN c.d = date '2024-01-10' + s.n % 20 WHEN 1 THEN true WHEN 2 THEN dayofweek(c.d) IN (s.n % 7, (s.n + 2) % 7) ELSE day(c.d) = least(s.n % 31 + 1, day(last_day(c.d))) END GROUP BY s.id""",
     "dt04_due_work": """SELECT id, CASE WHEN id % 5 = 0 OR chat = '4' THEN 'wait' WHEN id % 13 = 0 THEN 'send' WHEN date_diff('second', ts, timestamp '2024-01-15 12:00:00') > 10800 AND epoch(timestamp '2024-01-15 12:00:00' - ts) >= 10801 THEN 'skip' WHEN ts <= timestamp '2024-01-15 12:00:00' OR epoch(ts - timestamp '2024-01-15 12:00:00') < 1 THEN 'send' ELSE 'wait' END AS step FROM #messages""",
     "ag14_run_log": "SELECT o_orderkey AS id, count(l_linenumber) AS steps, coalesce(string_agg(l_linenumber || '/' || l_returnflag || '/' || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus), '') AS log FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
-    "jn15_seed_starters": "SELECT u.id AS user_id, a.id AS agent_id, 0 AS position, a.name AS title, 'text' AS content FROM #agents a JOIN #users u ON cast(u.id AS int) < 200 AND (cast(a.id AS int) % 4 = 0 OR u.org_id = a.org_id) WHERE cast(a.id AS int) < 12",
+    "jn15_seed_starters": "SELECT u.id AS user_id, a.id AS agent_id, 0 AS position, a.name AS title, 'text' AS content FROM #bots a JOIN #users u ON cast(u.id AS int) < 200 AND (cast(a.id AS int) % 4 = 0 OR u.org_id = a.org_id) WHERE cast(a.id AS int) < 12",
     "tx24_clean_hooks": f"WITH {_E} SELECT id, 'X-Kind' AS names, event_type AS kind, event_type AS body, false AS refused FROM e",
     "tx25_content_version": "SELECT event_id, substr(sha256(replace(props, ' ', '')), 1, 32) AS version FROM events",
-    "ex02_traffic": "SELECT agent_id, sum(w) AS branches, greatest(100 - sum(w), 0) AS main, sum(w) > 100 AS rejected FROM (SELECT cast(cast(id AS int) % 10 AS string) AS agent_id, cast(id AS int) % 27 AS w FROM #agents WHERE cast(id AS int) % 5 > 0) GROUP BY 1",
+    "ex02_traffic": "SELECT agent_id, sum(w) AS branches, greatest(100 - sum(w), 0) AS main, sum(w) > 100 AS rejected FROM (SELECT cast(cast(id AS int) % 10 AS string) AS agent_id, cast(id AS int) % 27 AS w FROM #bots WHERE cast(id AS int) % 5 > 0) GROUP BY 1",
     "st08_poll_feed": """WITH i AS (SELECT chat AS feed, id, ts, id % 3 = 0 AS m, count(*) FILTER (id % 3 = 0) OVER (PARTITION BY chat ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n FROM #messages WHERE ts > timestamp '2024-01-05'), l AS (SELECT feed, min(ts) FILTER (m AND n > 25) AS x FROM i GROUP BY 1)
   SELECT feed, id, ts AS at FROM i WHERE m AND n <= 25 UNION ALL SELECT feed, -1, max(ts) FILTER (ts < coalesce(x, timestamp '2999-01-01')) FROM i JOIN l USING (feed) GROUP BY 1""",
     "st09_claim_status": f"WITH {_E}, c AS (SELECT id % 3000 AS message_id, arg_max(k % 2 = 0, (ts, k % 2 = 0)) AS done, max(ts) AS ts FROM e GROUP BY 1) SELECT message_id, CASE WHEN done THEN 'done' WHEN epoch_us(timestamp '2024-01-30 20:00:00') - epoch_us(ts) >= 86400000000 THEN 'takeable' ELSE 'busy' END AS outcome FROM c",

@@ -3,7 +3,7 @@
 USERS = "id string, username string, is_admin boolean, org_id string, org_role string, org_access string, last_login_at timestamp, created_at timestamp"
 ORGANIZATIONS = "id string, name string, created_at timestamp"
 ACCESS_GRANTS = "user_id string, kind string, item_id string, level string"
-AGENTS = "id string, user_id string, org_id string, data string, updated_at timestamp"
+BOTS = "id string, user_id string, org_id string, data string, updated_at timestamp"
 DOCUMENTS = "id string, agent_id string, skill_id string, parent_id string, chunk_index int, title string, content string, raw_content string, normalized boolean, source_type string, source_url string, created_at timestamp"
 CHAT_SESSIONS = "id string, agent_id string, source string, branch_id string, messages string, started_at timestamp, updated_at timestamp"
 DATA_TABLES = "id string, org_id string, name string, columns string, updated_at timestamp"
@@ -13,7 +13,7 @@ ERROR_LOG = "id long, agent_id string, source string, message string, context st
 AUTOMATION_RUNS = "id string, automation_id string, org_id string, mode string, source string, status string, resume_at timestamp, heartbeat_at timestamp, reclaims int, state string, started_at timestamp, finished_at timestamp"
 
 TABLES = {
-    "users": USERS, "organizations": ORGANIZATIONS, "access_grants": ACCESS_GRANTS, "agents": AGENTS, "documents": DOCUMENTS, "chat_sessions": CHAT_SESSIONS,
+    "users": USERS, "organizations": ORGANIZATIONS, "access_grants": ACCESS_GRANTS, "bots": BOTS, "documents": DOCUMENTS, "chat_sessions": CHAT_SESSIONS,
     "data_tables": DATA_TABLES, "data_table_rows": DATA_TABLE_ROWS, "llm_usage": LLM_USAGE, "error_log": ERROR_LOG, "automation_runs": AUTOMATION_RUNS,
 }
 
@@ -22,5 +22,5 @@ JSON_COLUMNS = {
     ("chat_sessions", "messages"): "array<struct<role:string,content:string>>",
     ("data_tables", "columns"): "array<struct<key:string,name:string,type:string>>",
     ("data_table_rows", "data"): "map<string,string>",
-    ("agents", "data"): "struct<name:string,basePrompt:string,tables:array<string>,skills:array<string>,dlp:struct<creditCard:boolean,israeliId:boolean>,crawlConfig:struct<urls:array<string>,maxPages:int,lastCrawledAt:string>>",
+    ("bots", "data"): "struct<name:string,basePrompt:string,tables:array<string>,skills:array<string>,dlp:struct<creditCard:boolean,israeliId:boolean>,crawlConfig:struct<urls:array<string>,maxPages:int,lastCrawledAt:string>>",
 }

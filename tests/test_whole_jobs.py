@@ -12,12 +12,12 @@ def test_contexts_of_every_agent(spark, sf):
     docs, questions = view(spark, sf, "knowledge"), view(spark, sf, "questions")
     units = {r["unit_id"]: r for r in kb.searchable_units(docs, kb.chunk_documents(docs)).collect()}
     asked = {r["query_id"]: r["agent_id"] for r in questions.collect()}
-    wanted = {r["id"]: [] for r in view(spark, sf, "agents").collect()}
+    wanted = {r["id"]: [] for r in view(spark, sf, "bots").collect()}
     assert set(prompts) == set(wanted)
     for r in sorted(kb.search(kb.searchable_units(docs, kb.chunk_documents(docs)), questions).collect(), key=lambda r: (r["query_id"], r["position"])):
         if asked[r["query_id"]] in wanted:
             wanted[asked[r["query_id"]]].append(units[r["unit_id"]])
-    names = {r["id"]: r["name"] for r in view(spark, sf, "agents").collect()}
+    names = {r["id"]: r["name"] for r in view(spark, sf, "bots").collect()}
     assert any(len(u["content"]) > 40 for us in wanted.values() for u in us)
     for k, us in wanted.items():
         parts = ["You are " + names[k], *(f"[{u['title']}]\n{u['content']}" for u in us), "Today is Monday, 2024-01-15 23:30"]
