@@ -1,34 +1,43 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page becomes text lines (its blocks) in page order. Pages are ordered by host and URL path, and
-each is paired with the neighbour in that order, of the same host, that shares the longer path
+A page becomes text lines (its blocks) in page order. Pages are ordered by host, URL path, URL and id, and
+each is paired with the neighbour in that order, of the same host and another URL, that shares the longer path
 prefix. The lines of the two are aligned by a longest common subsequence; lines that both
 have at aligned places are the site's frame (menus, notices, footers) and are deleted.
 
-What a page declares protects where differencing can't: lines inside its `article` or `main` element
-are never deleted (two pages may carry the same passage). Lines outside of it go if the neighbour has them and stay
-if it hasn't. What stands in menus, forms, scripts and the like goes anywhere. Copies of a page (the
+What a page declares decides where differencing can't: lines inside its `article` or `main` element
+are never deleted (two pages may carry the same passage), and what stands in menus, forms, adverts, comments and the like
+goes even if this page alone has it. Copies of a page (the
 same lines) count as one page here: the neighbour is the nearest page whose lines differ.
 
-Pages are range-partitioned by (host, path, id): a host with a third of all pages spreads over
-many tasks, and a task holds one page, the names of its copies and its two neighbours at a time. The text is shuffled once.
-The first and last page of a range have one neighbour less.
+Pages are dealt in key ranges, so a host with a third of all pages spreads over many tasks; a task holds one page,
+the names of its copies and its two neighbours at a time. A first pass over slim rows (keys and a digest of the
+lines) finds the nearest differing pages beyond both ends of every range; the second pass sends those to the
+range as well. The result doesn't depend on the ranges, and the text is shuffled once.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import row_slices
 from .urls import url_host, url_path
 
+#: Most key ranges, sampled keys of each, and the id that stands for a null one in the order.
+RANGES, PER_RANGE, LEAST_ID = 4096, 32, -(1 << 63)
+SENT = ["b", "s", "host", "path", "url", "id", "digest", "zones", "lines"]
+
 # Elements by what they do to the text.
 RAW = "script style noscript template textarea select button iframe svg object title".split()
 SKIPPED = "nav footer aside form menu dialog".split()
@@ -173,73 +182,194 @@ def kinship(a: str, b: str) -> int:
     return n
 
 
-def main_text(page: list[tuple[str, str]], neighbour: list[tuple[str, str]] | None) -> str:
-    """The page's lines without those it shares with its neighbour outside the main element, joined by blank lines."""
+def main_text(page: list[tuple[str, str]], neighbour: list[tuple[str, str]] | None) -> tuple[str, int, int]:
+    """The page's lines without those it shares with its neighbour outside the main element, joined by blank lines;
+    how many lines went because the neighbour has them, and how many more because of the element they stand in."""
     shared = aligned([t for _, t in page], [t for _, t in neighbour]) if neighbour else set()
-    return "\n\n".join(t for i, (z, t) in enumerate(page) if z == "m" or (z == "o" and i not in shared))
+    kept = [t for i, (z, t) in enumerate(page) if z == "m" or (z == "o" and i not in shared)]
+    n_shared = sum(page[i][0] != "m" for i in shared)
+    return "\n\n".join(kept), n_shared, len(page) - len(kept) - n_shared
+
+
+Key = tuple[str, str, str, int, int]  # host, path, url, id, digest of the lines that may be kept
+
+
+@dataclass
+class Ranges:
+    """Key ranges, and for each what lies beyond its ends: pages to send there as neighbours, and whether copies go on there."""
+
+    cuts: list[Key]
+    before: dict[Key, list[int]] = field(default_factory=dict)
+    after: dict[Key, list[int]] = field(default_factory=dict)
+    copied: set[tuple[int, int]] = field(default_factory=set)  # (range, 0: its first lines stand before it too, 2: its last ones after it)
+
+    def of(self, key: Key) -> int:
+        return bisect.bisect_right(self.cuts, key)
+
+
+def digest_of(lines: list[tuple[str, str]]) -> int:
+    """Of the lines that may be kept; 0 without any."""
+    kept = "\n".join(t for z, t in lines if z != "f")
+    return int.from_bytes(hashlib.blake2b(kept.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1 if kept else 0
+
+
+def keyed(part: pa.RecordBatch) -> tuple[list[list[tuple[str, str]]], list[Key]]:
+    """Lines and keys of rows (host, path, url, id, ..., html)."""
+    lines = [lines_of(h) for h in part.column(part.num_columns - 1).to_pylist()]
+    host, path, url, key = (part.column(i).to_pylist() for i in range(4))
+    return lines, [(h, p, u or "", LEAST_ID if i is None else i, digest_of(x)) for h, p, u, i, x in zip(host, path, url, key, lines, strict=True)]
+
+
+def find_ranges(slim: DataFrame, partitions: int) -> Ranges:
+    """Cuts from a bounded sample of the keys, then the ends of all ranges from a pass over the lines' digests.
+
+    At most RANGES cuts and four keys of each range reach the driver.
+    """
+    ranges = min(RANGES, 4 * partitions)
+    n = slim.count()
+    keys = ["host", "path", "u", "i"]
+    draw = F.pmod(F.xxhash64("u", "i", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    key_rows = slim.select("host", "path", F.coalesce("url", F.lit("")).alias("u"), F.coalesce("id", F.lit(LEAST_ID)).alias("i"))
+    sample = sorted(tuple(r) for r in key_rows.where(draw < PER_RANGE * ranges / max(n, 1)).limit(2 * PER_RANGE * ranges).collect())
+    out = Ranges(sorted({(*sample[len(sample) * k // ranges], -(1 << 63)) for k in range(1, ranges)}) if sample else [])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches, 200):
+            rows = [(out.of(k), *k) for k in keyed(part)[1] if k[4]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["b", *keys, "digest"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, first, second, last, other = None, None, None, None, None
+
+        def row() -> pa.RecordBatch:
+            found = [(b, n, *k) for n, k in enumerate((first, second, last, other)) if k]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["b", "n", *keys, "digest"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                k = r[1:]
+                if r[0] != b:
+                    if first:
+                        yield row()
+                    b, first, second, last, other = r[0], k, None, k, None
+                elif (k[0], k[4]) != (last[0], last[4]):
+                    second, other = second or k, last
+                last = k
+        if first:
+            yield row()
+
+    digests = slim.mapInArrow(parse, "b long, host string, path string, u string, i long, digest long")
+    found = digests.repartition(partitions, "b").sortWithinPartitions("b", *keys, "digest").mapInArrow(ends, "b long, n long, host string, path string, u string, i long, digest long").collect()
+    by_range: dict[int, dict[int, Key]] = defaultdict(dict)
+    for r in found:
+        by_range[r["b"]][r["n"]] = tuple(r)[2:]
+    order = sorted(by_range)
+    same = lambda x, y: (x[0], x[4]) == (y[0], y[4])
+
+    def sentinels(order: list[int], own: int, near: int, far: int, to: dict[Key, list[int]]) -> None:
+        """The nearest page of other lines before each range (in the given order): the neighbouring range's end, or
+        the one beyond that end's copies, or, if all of that range is copies of it, its own neighbour."""
+        beyond: Key | None = None
+        for at, b in enumerate(order[1:], 1):
+            ends, mine = by_range[order[at - 1]], by_range[b][own]
+            if same(ends[near], mine):
+                out.copied.add((b, own))
+                beyond = ends.get(far) or beyond
+            else:
+                beyond = ends[near]
+            if beyond and beyond[0] == mine[0]:
+                to.setdefault(beyond, []).append(b)
+
+    sentinels(order, 0, 2, 3, out.before)
+    sentinels(order[::-1], 2, 0, 1, out.after)
+    return out
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, text, n_chars) of every row of pages.
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", partitions: int | None = None) -> DataFrame:
+    """(key, url, text, n_chars, n_shared, n_frame) of every row of pages.
 
-    A null html is empty and gives an empty text. Pages with a null URL (or one without a host) count as one
+    n_shared lines went because the neighbour has them, n_frame more because of the element they stand in. A null html
+    is empty and gives an empty text. Pages with a null URL (or one without a host) count as one
     host with an empty path. Repeated rows and copies beside each other are compared with the nearest page of other lines;
-    where their host has none, they keep their main element, or, without one, everything. An empty table gives no rows.
+    where their host has none, they keep their main element, or, without one, everything. A page whose neighbours have its own URL keeps
+    what no frame element holds. Very long pages are aligned exactly too. An empty table gives no rows.
     """
+    slim = pages.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(url).alias("url"), F.col(key).cast("long").alias("id"), F.col(html).alias("html"))
+    partitions = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = find_ranges(slim, partitions)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                lines = [lines_of(h) for h in part.column(4).to_pylist()]
-                # frame lines end here: no rule keeps them
-                zones = ["".join(z for z, _ in x if z != "f") for x in lines]
-                texts = [[t for z, t in x if z != "f"] for x in lines]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(zones), pa.array(texts, pa.list_(pa.string()))], names=["host", "path", "id", "url", "zones", "lines"])
+        for part in row_slices(batches, 200):
+            lines, keys = keyed(part)
+            # 0: a page before the range, 1: of the range, 2: after it
+            sent = [(ranges.of(k), 1, n) for n, k in enumerate(keys)]
+            sent += [(b, 0, n) for n, k in enumerate(keys) for b in ranges.before.get(k, ())] + [(b, 2, n) for n, k in enumerate(keys) for b in ranges.after.get(k, ())]
+            b, s, n = zip(*sent)
+            rows = part.take(pa.array(n))
+            zones = ["".join(z for z, _ in lines[i]) for i in n]
+            texts = [[t for _, t in lines[i]] for i in n]
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.int32()), *rows.columns[:4], pa.array([keys[i][4] for i in n]), pa.array(zones), pa.array(texts, pa.list_(pa.string()))], names=SENT)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, run, rows = None, [], []  # the last page of other lines, pages with the same lines, finished rows
+        at = None  # the range
 
         def finish(after: dict | None) -> None:
-            near = [x for x in (before, after) if x and x["host"] == run[0]["host"]]
-            texts: dict[tuple, str] = {}
+            is_first, is_last = before is None or before["s"] == 0, after is None or after["s"] == 2
+            copied = len(run) > 1 or (is_first and (at, 0) in ranges.copied) or (is_last and (at, 2) in ranges.copied)
+            texts: dict[tuple, tuple] = {}
             for page in run:
+                near = [x for x in (before, after) if x and x["host"] == page["host"] and (x["url"] is None or x["url"] != page["url"])]
                 other = max(near, key=lambda x: kinship(x["path"], page["path"])) if near else None  # the first of equals
-                if not near and len(run) > 1 and "m" in page["zones"]:
+                if not near and copied and "m" in page["zones"]:
                     other = run[0]  # copies alone: what is outside the main element is in every one
-                which = (id(other), page["zones"])
+                lines, theirs = page["lines"] or run[0]["lines"], other and (other["lines"] or run[0]["lines"])
+                which = (id(other), id(lines), page["zones"])
                 if which not in texts:
-                    texts[which] = main_text(list(zip(page["zones"], run[0]["lines"])), list(zip(other["zones"], other["lines"])) if other else None)
-                rows.append((page["id"], page["url"], texts[which], len(texts[which])))
+                    texts[which] = main_text(list(zip(page["zones"], lines)), list(zip(other["zones"], theirs)) if other else None)
+                text, n_shared, n_frame = texts[which]
+                rows.append((page["id"], page["url"], text, len(text), n_shared, n_frame))
+            run.clear()
 
         def out() -> pa.RecordBatch:
-            a, b, c, d = zip(*rows)
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))]
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.int64())], names=["id", "url", "text", "n_chars"])
-
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                for page in b.slice(lo, 500).to_pylist():
-                    if not page["lines"]:  # nothing to keep, and nothing to compare with
-                        rows.append((page["id"], page["url"], "", 0))
-                    elif run and page["host"] == run[0]["host"] and page["lines"] == run[0]["lines"]:
-                        run.append(page | {"lines": None})
-                    else:
-                        if run:
-                            finish(page)
-                            before = run[-1] | {"lines": run[0]["lines"]}
-                        run = [page]
-                if rows:
-                    yield out()
+            return pa.RecordBatch.from_arrays(cols, names=["id", "url", "text", "n_chars", "n_shared", "n_frame"])
+
+        for part in row_slices(batches, 500):
+            for page in part.to_pylist():
+                if page["b"] != at:
+                    if run:
+                        finish(None)
+                    at, before = page["b"], None
+                if page["s"] == 0:
+                    before = page
+                elif page["s"] == 2:
+                    if run:
+                        finish(page)
+                elif not page["digest"]:  # nothing to keep, and nothing to compare with
+                    rows.append((page["id"], page["url"], "", 0, 0, len(page["zones"])))
+                elif run and (page["host"], page["digest"]) == (run[0]["host"], run[0]["digest"]):
+                    run.append(page | {"lines": None if page["lines"] == run[0]["lines"] else page["lines"]})
+                else:
+                    if run:
+                        last = run[-1] | {"lines": run[-1]["lines"] or run[0]["lines"]}
+                        finish(page)
+                        before = last
+                    run.append(page)
+            if rows:
+                yield out()
         if run:
             finish(None)
         if rows:
             yield out()
 
-    slim = pages.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    parsed = slim.mapInArrow(parse, "host string, path string, id long, url string, zones string, lines array<string>")
-    dealt = parsed.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
-    return dealt.mapInArrow(pair, "id long, url string, text string, n_chars long").select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars")
+    parsed = slim.mapInArrow(parse, "b int, s int, host string, path string, url string, id long, digest long, zones string, lines array<string>")
+    order = ["b", "s", "host", "path", F.coalesce("url", F.lit("")), F.coalesce("id", F.lit(LEAST_ID)), "digest"]
+    dealt = parsed.repartition(partitions, "b").sortWithinPartitions(*order)
+    found = dealt.mapInArrow(pair, "id long, url string, text string, n_chars long, n_shared long, n_frame long")
+    return found.select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars", "n_shared", "n_frame")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
