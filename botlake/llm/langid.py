@@ -9,8 +9,9 @@ log2 of the reference length and by the text length, wins.
 The automaton is unrolled into a dense table `state x byte class -> state`, in which
 a missing transition restarts at the root and raises a flag. All documents of an
 Arrow batch, and all languages, walk through the table side by side in numpy, a byte
-a step. A text of more than `BLOCK` bytes is walked in blocks (each block end closes
-a phrase), so one very long document doesn't hold up the others.
+a step. So that one very long document doesn't hold up the others, a text is walked in blocks
+from the root, and then again from the state in which the block before it ended, until both walks are in one state
+(a few phrases on) and stay together: the phrases are those of one walk through the whole text.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from .columns import row_slices, slices, utf8
 
 UNKNOWN = "und"
 BLOCK = 2048
-#: Bytes of normalised text that one language's automaton holds, rows they are drawn from, and bytes of each.
-REFERENCE_BYTES, REFERENCE_ROWS, ROW_BYTES = 16_000, 160, 400
+#: The bounded sample that teaches: bytes of one language's whole texts (the last one ends with them), rows that are
+#: drawn for them, and the size up to which a text is drawn first; languages at most.
+REFERENCE_BYTES, REFERENCE_ROWS, ROW_CHARS, MOST_LANGUAGES = 16_000, 160, 2000, 512
 
 
 def byte_classes(data: np.ndarray) -> np.ndarray:
@@ -110,35 +112,65 @@ class CrossParser:
             at += len(moves)
         self.table = np.concatenate(tables).ravel().astype(np.int32 if at * self.width * 4 < 2**31 else np.int64) if tables else np.zeros(0, np.int32)
 
-    def phrases(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def phrases(self, symbols: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """Phrases of every text against every language: an array (texts, languages)."""
         n, langs = len(ends) - 1, len(self.langs)
         total = np.zeros((n, langs), np.int64)
-        sizes = np.diff(ends)
-        blocks = -(-sizes // BLOCK)
+        blocks = -(-np.diff(ends) // block)
         owner = np.repeat(np.arange(n), blocks)
         if not len(owner):
             return total
-        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        start = ends[:-1][owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
-        size = np.minimum(ends[1:][owner] - start, BLOCK)
+        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])[owner]
+        start = ends[:-1][owner] + (np.arange(len(owner)) - first) * block
+        size = np.minimum(ends[1:][owner] - start, block)
+        codes, roots = self.code[symbols], np.array(self.roots, self.table.dtype)[:, None]
         order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        codes = self.code[symbols]
-        alive = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # blocks longer than t
+        begun = start[order]
+        alive = np.searchsorted(-size[order], -np.arange(int(size.max())), side="left")  # blocks longer than t
         state = np.empty((langs, len(owner)), self.table.dtype)
-        state[:] = np.array(self.roots, self.table.dtype)[:, None]
+        state[:] = roots
         cuts = np.zeros((langs, len(owner)), np.int32)
-        for t in range(int(size[0])):
-            m = int(alive[t])
-            to = self.table[state[:, :m] + codes[start[:m] + t]]
+        for t, m in enumerate(alive):
+            to = self.table[state[:, :m] + codes[begun[:m] + t]]
             cuts[:, :m] += to & 3
             state[:, :m] = to >> 2
-        cuts += state != np.array(self.roots, self.table.dtype)[:, None]  # the phrase that the end cuts off
+        back = np.argsort(order, kind="stable")
+        cuts, state = cuts[:, back], state[:, back]
+        self._join(cuts, state, codes, start, size, np.arange(len(owner)) > first)
+        last = np.ones(len(owner), bool)
+        last[:-1] = owner[1:] != owner[:-1]
+        cuts += (state != roots) & last  # the phrase that the end cuts off
         for k in range(langs):
             total[:, k] = np.bincount(owner, weights=cuts[k], minlength=n).astype(np.int64)
         return total
 
+    def _join(self, cuts: np.ndarray, state: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray, follows: np.ndarray) -> None:
+        """Corrects cuts and last states of blocks that follow others of their text, from walks that began at the root.
+
+        A block whose last state changes is entered anew by the next one; most blocks' walks meet after a few bytes.
+        """
+        apart, own_cuts = state.copy(), cuts.copy()
+        lang, block = np.nonzero(np.broadcast_to(follows, cuts.shape))
+        while len(block):
+            true, own = state[lang, block - 1], np.array(self.roots, self.table.dtype)[lang]
+            more, end = np.zeros(len(block), np.int32), apart[lang, block]
+            act, t = np.flatnonzero(true != own), 0
+            while len(act):
+                over = size[block[act]] <= t
+                end[act[over]] = true[act[over]]
+                act = act[~over]
+                code = codes[start[block[act]] + t]
+                x, y = self.table[true[act] + code], self.table[own[act] + code]
+                more[act] += (x & 3) - (y & 3)
+                true[act], own[act] = x >> 2, y >> 2
+                act, t = act[true[act] != own[act]], t + 1
+            cuts[lang, block] = own_cuts[lang, block] + more
+            changed = (end != state[lang, block]) & (block + 1 < len(follows))
+            state[lang, block] = end
+            lang, block = lang[changed], block[changed] + 1
+            keep = follows[block]
+            lang, block = lang[keep], block[keep]
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of every text; null or letterless texts: `und`, 0."""
         texts = texts.cast(pa.large_string())
@@ -167,33 +199,30 @@ class CrossParser:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """References by language from a bounded, hash-drawn sample of labelled rows.
 
-    A first pass counts rows by language; the second keeps about four times
+    A first pass counts rows by language (an error past MOST_LANGUAGES); the second keeps about four times
     REFERENCE_ROWS of each language by a hash threshold, so that what is ranked and
-    sent to the driver (at most REFERENCE_ROWS x ROW_BYTES characters a language)
-    doesn't grow with the corpus. Rows with a null label or no text are left out.
+    sent to the driver doesn't grow with the corpus. Whole texts teach, in the order of the draw, those of up to ROW_CHARS
+    characters first, until there are REFERENCE_BYTES. Rows with a null label or no text are left out.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).count().collect()}
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.col(key).cast("string").alias("k"))
+    counts = rows.groupBy("l").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, 4.0 * REFERENCE_ROWS / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 30))
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 4.0 * REFERENCE_ROWS / r["count"]))])
+    draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30))
     kept = (
-        rows.where(draw / F.lit(float(1 << 30)) < share)
-        .select(F.col(lang).alias("l"), draw.alias("d"), F.substring(F.col(text), 1, ROW_BYTES).alias("t"), F.col(key).cast("string").alias("k"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("d", "k", "t")))
-        .where(F.col("r") <= REFERENCE_ROWS)
+        rows.where(draw / F.lit(float(1 << 30)) < F.element_at(shares, F.col("l")))
+        .withColumns({"d": draw, "long": F.length("t") > ROW_CHARS})
+        .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("long", "d", "k", "t")))
+        .where((F.col("r") <= REFERENCE_ROWS) & (~F.col("long") | (F.col("r") == 1)))
     )
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in kept.select("l", "r", "t").collect():
-        texts.setdefault(r[0], []).append((r[1], r[2]))
-    out = {}
-    for name, found in texts.items():
-        symbols, _ = normalise(pa.array([" ".join(t for _, t in sorted(found))], pa.large_string()))
-        out[name] = symbols[:REFERENCE_BYTES].tobytes()
-    return {k: v for k, v in out.items() if v}
+    out: dict[str, bytes] = {}
+    for r in kept.select("l", "r", F.substring("t", 1, REFERENCE_BYTES).alias("t")).orderBy("l", "r").collect():
+        symbols, _ = normalise(pa.array([r["t"] + " "], pa.large_string()))
+        out[r["l"]] = (out.get(r["l"], b"") + symbols.tobytes())[:REFERENCE_BYTES]
+    return {k: v for k, v in out.items() if v.strip(b"\0")}
 
 
 _PARSERS: dict[int, CrossParser] = {}
