@@ -8,7 +8,8 @@ other document, neighbouring chunks with an earlier owner form a passage; passag
 least MIN_PASSAGE bytes are removed, shorter ones (common phrases) stay.
 
 Digests meet in a partial aggregate (smallest and largest key) and in an equi-join whose
-hot digests adaptive execution can split; whole texts are shuffled once, to meet their passages.
+hot digests adaptive execution can split. Only chunks that a Bloom filter of the repeated digests (of a bounded size; it has no
+false negatives) lets pass are shuffled to that join; whole texts are shuffled once, to meet their passages.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import row_slices, slices, span_hashes, utf8
+from .columns import U64, row_slices, slices, span_hashes, utf8
+from .graph import stored
 
 MIN_CHUNK, MAX_CHUNK, MIN_PASSAGE = 16, 512, 96
+#: Bits of the filter for each repeated digest, probes, and 64-bit blocks at most (16 MB).
+FILTER_BITS, PROBES, MOST_BLOCKS = 16, 5, 1 << 21
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -73,8 +77,31 @@ def forced(data: np.ndarray, at: int) -> int:
     return at
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(d1, d2, k, h, lo, hi): digest, document and byte range of every chunk of (k, h, t)."""
+def digest_filter(repeated: DataFrame) -> np.ndarray:
+    """A blocked Bloom filter of digests (d1, d2): one 64-bit block by d1, PROBES bits of it by d2."""
+    blocks = 1024
+    wanted = min(MOST_BLOCKS, repeated.count() * FILTER_BITS // 64)
+    while blocks < wanted:
+        blocks *= 2
+    bits = F.lit(0).cast("long")
+    for i in range(PROBES):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("d2", 6 * i).bitwiseAND(F.lit(63)).cast("int")))
+    found = repeated.groupBy(F.col("d1").bitwiseAND(F.lit(blocks - 1)).alias("block")).agg(F.bit_or(bits).alias("bits")).toPandas()
+    out = np.zeros(blocks, np.int64)
+    out[found["block"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(U64)
+
+
+def may_hold(blocks: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which digests the filter lets pass."""
+    need = np.zeros(len(one), U64)
+    for i in range(PROBES):
+        need |= U64(1) << (two >> U64(6 * i) & U64(63))
+    return blocks[(one & U64(len(blocks) - 1)).astype(np.int64)] & need == need
+
+
+def chunks(docs: DataFrame, passing=None) -> DataFrame:
+    """(d1, d2, k, h, lo, hi): digest, document and byte range of every chunk of (k, h, t), or of those that a broadcast filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches):
@@ -83,6 +110,9 @@ def chunks(docs: DataFrame) -> DataFrame:
                 part, own = data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
                 rows, starts, stops = cut(part, own)
                 one, two = span_hashes(part, starts, stops), span_hashes(part, starts, stops, salt=9)
+                if passing is not None:
+                    some = may_hold(passing.value, one, two)
+                    one, two, rows, starts, stops = one[some], two[some], rows[some], starts[some], stops[some]
                 pick = pa.array(rows + lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array((starts - own[rows]).astype(np.int32)), pa.array((stops - own[rows]).astype(np.int32))],
@@ -108,24 +138,27 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     the removed ranges as (start, length) in characters of the old text.
 
     Null texts stay null and a null key keeps its text (it owns nothing). Rows with
-    one key don't lose text to each other. Repeats inside one document stay. An empty table gives no rows.
+    one key don't lose text to each other; of equal keys each loses its own. Repeats inside one document stay. Texts of any length are cut whole. Columns of
+    any name go through (`removed` is replaced). An empty table gives no rows.
     """
     names = [c for c in docs.columns if c != "removed"]
     docs = docs.select(*names)
+    keyed = docs.select(F.struct(*names).alias("row"), F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"))
     slim = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    found = chunks(slim)
-    owners = found.groupBy("d1", "d2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("d1", "d2", "first")
-    later = found.join(owners, ["d1", "d2"]).where(F.col("k") > F.col("first"))
-    spans = later.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
-    keyed = docs.withColumns({"_k": F.col(key).cast("long"), "_h": F.xxhash64(text)})
-    met = keyed.join(spans, ["_k", "_h"], "left").select(*names, "_spans")
+    ends = chunks(slim).groupBy("d1", "d2").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    owners = stored(ends.where("first < last").select("d1", "d2", "first"), "owners")
+    passing = docs.sparkSession.sparkContext.broadcast(digest_filter(owners))
+    later = chunks(slim, passing).join(owners, ["d1", "d2"]).where(F.col("k") > F.col("first"))
+    spans = later.groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    met = keyed.join(spans, ["k", "h"], "left").select("row", "spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, gone = b.column(place).to_pylist(), []
-            for i, s in enumerate(b.column(len(names)).to_pylist()):
+        for b in row_slices(batches):
+            cols = pa.RecordBatch.from_struct_array(b.column(0)).columns
+            texts, gone = cols[place].to_pylist(), []
+            for i, s in enumerate(b.column(1).to_pylist()):
                 cuts = passages([(x["lo"], x["hi"]) for x in s], least) if s else []
                 mine = []
                 if cuts:
@@ -139,7 +172,6 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                         at = hi
                     texts[i] = "".join(kept) + raw[at:].decode()
                 gone.append(mine)
-            cols = list(b.columns[: len(names)])
             cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=[*names, "removed"])
 
@@ -147,7 +179,10 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every document loses to documents with a smaller id: characters before and after, passages, and a digest of what stays."""
+    """What every document loses to documents with a smaller id: characters before and after, passages, and a digest of what stays.
+
+    Nulls count as empty texts, a null doc_id loses nothing, repeated rows lose nothing to each other; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_substrings(docs.withColumn("n_chars", F.length("text").cast("long")))
     return out.select(

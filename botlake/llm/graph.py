@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; the warehouse where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that the session names in spark.checkpoint.dir. A local master may do without: its warehouse is in reach of all its tasks."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return base.rstrip("/")
 
 
@@ -32,8 +36,8 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of links (a, b): component is the smallest node reachable.
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of every node of links (a, b): component is the smallest node reachable. A stored table.
 
     Each round turns every node's larger neighbours, then its smaller ones, towards its
     smallest neighbour; the number of links never grows. Minima are partial
@@ -42,7 +46,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, seen = stored(edges, "links"), None
-    for _ in range(rounds):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state[0] == 0 or tuple(state) == seen:
             break
@@ -56,4 +60,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         discard(before)
     members = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return members.unionByName(roots.join(members.select("node"), "node", "left_anti"))
+    out = stored(members.unionByName(roots.join(members.select("node"), "node", "left_anti")), "components")
+    discard(edges)
+    return out

@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     stars = stored(heads.groupBy("a").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b")), "stars")
     links = confirm(stars, docs, size, percent, key, text)
     discard(stars)
-    joined = stored(components(links), "joined")
+    joined = components(links)
 
     # nodes of medium size, all compared at once, are enough of the first LARGE_TREES trees
     medium = (F.col("c") > SMALL) & (F.col("c") <= BLOCK) & (F.col("tree") >= LARGE_TREES)
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     discard(*spent, every, classes)
     if not candidates.isEmpty():
         extra = confirm(candidates, docs, size, percent, key, text)
-        before, joined = joined, stored(components(links.unionByName(extra)), "joined")
+        before, joined = joined, components(links.unionByName(extra))
         discard(before, extra)
     discard(candidates, links)
     return (

@@ -35,7 +35,7 @@ from .columns import row_slices
 from .urls import url_host, url_path
 
 #: Most key ranges, sampled keys of each, and the id that stands for a null one in the order.
-RANGES, PER_RANGE, LEAST_ID = 4096, 32, -(1 << 63)
+RANGES, PER_RANGE, LEAST_ID = 4096, 64, -(1 << 63)
 SENT = ["b", "s", "host", "path", "url", "id", "digest", "zones", "lines"]
 
 # Elements by what they do to the text.
@@ -225,7 +225,7 @@ def find_ranges(slim: DataFrame, partitions: int) -> Ranges:
 
     At most RANGES cuts and four keys of each range reach the driver.
     """
-    ranges = min(RANGES, 4 * partitions)
+    ranges = min(RANGES, partitions)
     n = slim.count()
     keys = ["host", "path", "u", "i"]
     draw = F.pmod(F.xxhash64("u", "i", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -260,7 +260,7 @@ def find_ranges(slim: DataFrame, partitions: int) -> Ranges:
             yield row()
 
     digests = slim.mapInArrow(parse, "b long, host string, path string, u string, i long, digest long")
-    found = digests.repartition(partitions, "b").sortWithinPartitions("b", *keys, "digest").mapInArrow(ends, "b long, n long, host string, path string, u string, i long, digest long").collect()
+    found = digests.repartitionById(ranges, F.col("b").cast("int")).sortWithinPartitions("b", *keys, "digest").mapInArrow(ends, "b long, n long, host string, path string, u string, i long, digest long").collect()
     by_range: dict[int, dict[int, Key]] = defaultdict(dict)
     for r in found:
         by_range[r["b"]][r["n"]] = tuple(r)[2:]
@@ -367,7 +367,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     parsed = slim.mapInArrow(parse, "b int, s int, host string, path string, url string, id long, digest long, zones string, lines array<string>")
     order = ["b", "s", "host", "path", F.coalesce("url", F.lit("")), F.coalesce("id", F.lit(LEAST_ID)), "digest"]
-    dealt = parsed.repartition(partitions, "b").sortWithinPartitions(*order)
+    dealt = parsed.repartitionById(len(ranges.cuts) + 1, F.col("b")).sortWithinPartitions(*order)
     found = dealt.mapInArrow(pair, "id long, url string, text string, n_chars long, n_shared long, n_frame long")
     return found.select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars", "n_shared", "n_frame")
 

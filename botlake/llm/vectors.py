@@ -1,12 +1,14 @@
 """Embedding near-duplicates: an exact metric range join over pivots.
 
 Vectors are scaled to length 1, where a cosine of at least c is a distance of at most
-r = sqrt(2 - 2c). A label's pivots are a bounded hash-drawn sample of its vectors; every
+r = sqrt(2 - 2c). A label's pivots are a hash-drawn sample of its vectors; every
 vector belongs to the cell of its nearest pivot. By the triangle inequality a vector within r of a
 member of another cell has a distance to that cell's pivot of at most its own pivot
 distance + 2r, and lies within r of the hyperplane between the two pivots (the sharper bound
 in a Euclidean space); only then is it copied there. Each cell then finds all
-neighbours of its own members without looking at other cells.
+neighbours of its own members without looking at other cells. Cells that are still large get pivots of
+their own, by the same rule, to LEVELS levels. A cell whose vectors would be copied to most of its pivots (one dense
+heap) stays whole.
 
 Equal vectors are one vector with a count before any of this. A cell with more than
 BLOCK members is compared in pairs of hash blocks, so a task never holds more than two blocks. A comparison
@@ -24,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components, stored
+from .graph import components, discard, stored
 
-#: Vectors of a cell that are aimed at, pivots of one label at most, of all labels at most, and members of a block.
-CELL, PIVOTS, ALL_PIVOTS, BLOCK = 512, 64, 4096, 1024
+#: Vectors of a cell that are aimed at, pivots of one cell at most, members of a block, levels of cells, and
+#: the size past which a cell of the first level is cut again.
+CELL, PIVOTS, BLOCK, LEVELS, LARGE = 512, 64, 1024, 3, 8192
+#: A cell is cut if its sampled vectors go to so many of its new cells on average, or to fewer than it has blocks.
+MOST_COPIES = 16
 #: Widens the radius in the pivot bounds, so that rounding never loses a pair; pairs are decided by cosine.
 SLACK = 1e-6
 
@@ -38,71 +43,97 @@ def unit_rows(column: pa.ListArray, width: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(l, v, k, c): distinct vectors of each label that can link, with the smallest key and the number of rows."""
+    """(l, v, key, c, k): distinct vectors of each label that can link, with the smallest key, the number of rows, and a number of their own."""
     values = F.col(vector).cast("array<double>")
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     some = F.exists(values, lambda x: x != 0)
     good = vectors.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.coalesce(finite & some, F.lit(False)))
-    return good.groupBy(F.col(label).cast("string").alias("l"), values.alias("v")).agg(F.min(F.col(key).cast("long")).alias("k"), F.count("*").alias("c"))
-
-
-def pivots(points: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Pivots by (label, dimension) of labels with more than a cell of vectors; others need none."""
-    sizes = points.groupBy("l", F.size("v").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    wanted = [(r["l"], r["d"], min(PIVOTS, math.ceil(r["n"] / CELL)), r["n"]) for r in sizes.orderBy(F.desc("n"), "l", "d").limit(ALL_PIVOTS).collect()]
-    out: dict[tuple[str, int], np.ndarray] = {}
-    chosen, total = [], 0
-    for w in wanted:
-        total += w[2]
-        if total > ALL_PIVOTS:
-            break
-        chosen.append(w)
-    if not chosen:
-        return out
-    spark = points.sparkSession
-    plan = spark.createDataFrame([(label, d, n, 4.0 * n / rows) for label, d, n, rows in chosen], "l string, d int, want int, share double")
-    draw = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = points.withColumn("d", F.size("v")).join(F.broadcast(plan), ["l", "d"]).where(draw < F.col("share")).select("l", "d", "want", "v", draw.alias("r")).collect()
-    for label, d, want, _ in chosen:
-        mine = sorted((x for x in found if (x["l"], x["d"]) == (label, d)), key=lambda x: (x["r"], x["v"]))[:want]
-        if mine:
-            x = np.array([m["v"] for m in mine], np.float64)
-            out[label, d] = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return out
-
-
-def assign(points: DataFrame, at: dict[tuple[str, int], np.ndarray], radius: float) -> DataFrame:
-    """(l, d, cell, own, k, c, v): each vector in its own cell and, copied, in the cells that it may have neighbours in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return good.groupBy(F.col(label).cast("string").alias("l"), values.alias("v")).agg(F.min(F.col(key).cast("long")).alias("key"), F.count("*").alias("c")).withColumn("k", F.monotonically_increasing_id())
+
+
+CELLS = ["l", "d", "cell"]
+
+
+def reaches(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of every vector, and which pivots' cells may hold vectors within the radius of it."""
+    far = np.maximum(0, 2 - 2 * (x @ p.T))  # squared distances to the pivots
+    home = far.argmin(axis=1)
+    near = far[np.arange(len(x)), home]
+    between = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[home]
+    goes = (far - near[:, None] <= 2 * between * radius + SLACK) & (np.sqrt(far) <= np.sqrt(near)[:, None] + 2 * radius + SLACK)
+    goes[np.arange(len(x)), home] = True
+    return home, goes
+
+
+def choose_pivots(cells: DataFrame, large: DataFrame, radius: float, level: int) -> DataFrame:
+    """(l, d, cell, n, v) of the pivots of the large cells that are worth cutting, from a bounded sample of each."""
+    draw = F.pmod(F.xxhash64("v", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    want = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL))
+    sample = cells.join(large, CELLS).where(draw < 4.0 * want / F.col("n")).select(*CELLS, "n", want.cast("int").alias("want"), draw.alias("r"), "v")
+
+    def choose(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("r", "ascending")])
+        n, want = t["n"][0].as_py(), t["want"][0].as_py()
+        x = unit_rows(t["v"].combine_chunks(), t["d"][0].as_py())
+        copies = reaches(x, x[:want], radius)[1].sum(axis=1).mean()
+        return t.slice(0, want if want > 1 and copies <= max(MOST_COPIES, n / BLOCK) else 0).select([*CELLS, "n", "v"])
+
+    return sample.groupBy(*CELLS).applyInArrow(choose, "l string, d int, cell string, n long, v array<double>")
+
+
+def cut_cells(cells: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
+    """cells (l, d, cell, own, k, c, v), the large ones cut at pivots of their own: each vector in the cell of its nearest pivot
+    and, not its own there, in the cells that it may have neighbours in.
+
+    Pivots and vectors meet in sorted partitions, the pivots first; a cell's vectors are dealt to several (pivots go to
+    each), so that no task holds more than the pivots of one cell and a batch of vectors.
+    """
+    parts = F.ceil(F.col("n") / LARGE).cast("int")
+    sizes = pivots.select(*CELLS, "n").distinct()
+    whole = cells.join(sizes, CELLS, "left_anti")
+    vectors = cells.join(sizes, CELLS).select(*CELLS, F.pmod(F.xxhash64("k"), parts).cast("int").alias("part"), F.lit(1).alias("s"), "own", "k", "c", "v")
+    ahead = pivots.select(*CELLS, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("s"), F.lit(False).alias("own"), F.xxhash64("v").alias("k"), F.lit(0).cast("long").alias("c"), "v")
+    met = vectors.unionByName(ahead).repartition(*CELLS, "part").sortWithinPartitions(*CELLS, "part", "s", "k")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for b in batches:
-            labels, sizes = np.array(b.column(0).to_pylist(), object), np.diff(b.column(1).offsets.to_numpy())
-            for d in sorted(set(sizes.tolist())):
-                for label in sorted(set(labels[sizes == d])):
-                    rows = np.flatnonzero((sizes == d) & (labels == label))
-                    part = b.take(pa.array(rows))
-                    p = at.get((label, d))
-                    if p is None:
-                        to, cell, own = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
-                    else:
-                        x = unit_rows(part.column(1), d)
-                        far = np.maximum(0, 2 - 2 * (x @ p.T))  # squared distances to the pivots
-                        home = far.argmin(axis=1)
-                        near = far[np.arange(len(x)), home]
-                        between = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[home]
-                        plane = (far - near[:, None]) <= 2 * between * radius + SLACK
-                        ball = np.sqrt(far) <= np.sqrt(near)[:, None] + 2 * radius + SLACK
-                        goes = plane & ball
-                        goes[np.arange(len(x)), home] = True
-                        to, cell = np.nonzero(goes)
-                        own = home[to] == cell
-                    sent = part.take(pa.array(to))
-                    yield pa.RecordBatch.from_arrays(
-                        [sent.column(0), pa.array(np.full(len(to), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(own), sent.column(2), sent.column(3), sent.column(1)],
-                        names=["l", "d", "cell", "own", "k", "c", "v"],
-                    )
-
-    return points.select("l", "v", "k", "c").mapInArrow(run, "l string, d int, cell int, own boolean, k long, c long, v array<double>")
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:5])))  # l, d, cell, part, s
+            lo = 0
+            while lo < len(keys):
+                hi = lo
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                part, (l, d, cell, number, s) = b.slice(lo, hi - lo), keys[lo]
+                lo = hi
+                if (l, d, cell, number) != at:
+                    at, held = (l, d, cell, number), []
+                x = unit_rows(part.column("v"), d)
+                if s == 0:
+                    held.append(x)
+                    continue
+                home, goes = reaches(x, np.concatenate(held), radius)
+                to, new = np.nonzero(goes)
+                sent = part.take(pa.array(to))
+                own = sent.column("own").to_numpy(zero_copy_only=False) & (home[to] == new)
+                yield pa.RecordBatch.from_arrays([sent.column("l"), sent.column("d"), pa.array([f"{cell}.{i}" for i in new]), pa.array(own, pa.bool_()), sent.column("k"), sent.column("c"), sent.column("v")], names=[*CELLS, "own", "k", "c", "v"])
+
+    return whole.unionByName(met.mapInArrow(assign, "l string, d int, cell string, own boolean, k long, c long, v array<double>"))
+
+
+def cells_of(points: DataFrame, radius: float) -> DataFrame:
+    """(l, d, cell, own, k, c, v), stored: the vectors of every label and dimension in cells, cut until they are small or no use cutting."""
+    cells = points.select("l", F.size("v").alias("d"), F.lit("").alias("cell"), F.lit(True).alias("own"), "k", "c", "v")
+    before = None
+    for level in range(LEVELS):
+        large = cells.groupBy(*CELLS).agg(F.count("*").alias("n")).where(F.col("n") > (CELL if level == 0 else LARGE))
+        if large.isEmpty():
+            break
+        pivots = stored(choose_pivots(cells, large, radius, level + 3), "pivots")
+        cells = stored(cut_cells(cells, pivots, radius), "cells")
+        discard(before, pivots)
+        before = cells
+    return cells
 
 
 def compare(t: pa.Table, cosine: float) -> pa.Table:
@@ -143,24 +174,30 @@ def range_join(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", ve
     Rows link if their labels are equal and not null and the cosine (double precision) is at least
     `cosine`; vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths. Rows with equal vectors link with each
-    other. A null key links with nothing: its component is null and it is kept. An empty table gives no rows.
+    other. Rows that share a key are judged one by one, by their own vectors. A null key links with nothing: its component is null and it is
+    kept. Vectors of any dimension and ties at the threshold are compared in double precision. An empty table gives no rows.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     points = stored(usable(vectors, key, vector, label), "points")
-    cells = stored(assign(points, pivots(points), radius), "cells")
+    cells = cells_of(points, radius)
     # a block pair: own members ask, all members are targets; small cells are one block
-    sizes = cells.groupBy("l", "d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = cells.join(sizes, ["l", "d", "cell"]).withColumn("i", F.pmod(F.xxhash64("k", F.lit(1)), F.col("nb")).cast("int"))
+    sizes = cells.groupBy(*CELLS).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    rows = cells.join(sizes, CELLS).withColumn("i", F.pmod(F.xxhash64("k", F.lit(1)), F.col("nb")).cast("int"))
     every = F.sequence(F.lit(0), F.col("nb") - 1)
-    base = ["l", "d", "cell", "k", "c", "v"]
+    base = [*CELLS, "k", "c", "v"]
     one = rows.where("nb = 1").select(*base, F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("own").alias("asks"), F.lit(True).alias("target"))
     asking = rows.where("nb > 1 and own").select(*base, "i", F.explode(every).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("target"))
     targets = rows.where("nb > 1").select(*base, F.explode(every).alias("i"), F.col("i").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("target"))
-    met = one.unionByName(asking).unionByName(targets).groupBy("l", "d", "cell", "i", "j").applyInArrow(lambda t: compare(t, cosine), "k long, links long, root long")
+    met = one.unionByName(asking).unionByName(targets).groupBy(*CELLS, "i", "j").applyInArrow(lambda t: compare(t, cosine), "k long, links long, root long")
     found = stored(met, "found")
+    discard(cells)
     near = found.groupBy("k").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")))
-    classes = points.join(near, "k", "left").join(group.select(F.col("node").alias("k"), "component"), "k", "left").select("l", "v", F.col("c").alias("_c"), F.coalesce("links", F.lit(0)).alias("_links"), F.coalesce("component", "k").alias("_component"))
+    known = points.join(near, "k", "left").join(group.select(F.col("node").alias("k"), "component"), "k", "left")
+    known = known.select("l", "v", "key", F.col("c").alias("_c"), F.coalesce("links", F.lit(0)).alias("_links"), F.coalesce("component", "k").alias("_g"))
+    least = known.groupBy("_g").agg(F.min("key").alias("_component"))  # of a component: its smallest key
+    classes = stored(known.join(least, "_g").select("l", "v", "_c", "_links", "_component"), "classes")
+    discard(points, found, group)
     rows = vectors.select(F.col(key), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"))
     back = rows.where(F.col(key).isNotNull()).join(classes, ["l", "v"], "left").select(key, "_c", "_links", "_component")
     none = rows.where(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("_c"), F.lit(None).cast("long").alias("_links"), F.lit(None).cast("long").alias("_component"))
