@@ -2,12 +2,13 @@
 
 The text view is a linear model over hashed byte-trigram frequencies of the whole text,
 the metadata view one over source, language, length and what is missing. Both
-start from a bounded sample of labelled rows; in each round each classifier labels the
-rows of a bounded unlabelled pool that it is surest of, and hands them to the other one.
+start from a bounded sample of labelled rows. In each round each classifier, calibrated, scores all unlabelled
+documents in a pass over the table; of those that it is surest of, a hash-drawn choice (of a bounded size, equal texts once)
+is handed to the other one with its labels.
 At the end each view is calibrated (Platt) on labelled rows that neither was trained on, and a
 document's score adds the calibrated log-odds of both views, less the prior's once.
 
-The models are fitted on the driver from at most LABELLED + POOL feature rows; all
+The models are fitted on the driver from at most LABELLED + ROUNDS x 2 PER_ROUND feature rows; all
 documents are scored where they are read, without a shuffle.
 """
 
@@ -18,15 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import row_slices, slices, utf8
 
-#: Most labelled rows (two of three train, one calibrates) and unlabelled rows that the models see.
-LABELLED, POOL = 3000, 3000
-ROUNDS, PER_ROUND, SURE = 5, 150, 0.95
+#: Most labelled rows that the models see (two of three train, one calibrates).
+LABELLED = 3000
+#: Rounds of pseudo-labels, how many a view hands over in one, and how sure of them it must be.
+ROUNDS, PER_ROUND, SURE = 3, 250, 0.95
 GRAMS, SOURCES, LANGS, SIZES, SHRINK = 1024, 64, 16, 24, 200
 #: Text features; how much weaker the penalty on shares of byte kinds is than on single trigrams.
 TEXT, DENSE = GRAMS + 6, 4.0
@@ -83,9 +85,9 @@ def meta_codes(batch: pa.RecordBatch) -> np.ndarray:
     def code(values: list, n: int) -> list[int]:
         return [n - 1 if v is None else zlib.crc32(str(v).encode()) % (n - 1) for v in values]
 
-    source = np.array(code(batch.column("_source").to_pylist(), SOURCES))
-    lang = np.array(code(batch.column("_lang").to_pylist(), LANGS)) + SOURCES
-    size = np.array([0 if v is None else min(SIZES - 1, 1 + abs(int(v)).bit_length()) for v in batch.column("_size").to_pylist()]) + SOURCES + LANGS
+    source = np.array(code(batch.column("source").to_pylist(), SOURCES))
+    lang = np.array(code(batch.column("lang").to_pylist(), LANGS)) + SOURCES
+    size = np.array([0 if v is None else min(SIZES - 1, 1 + abs(int(v)).bit_length()) for v in batch.column("size").to_pylist()]) + SOURCES + LANGS
     return np.stack([source, lang, size], axis=1) if len(source) else np.zeros((0, 3), np.int64)
 
 
@@ -131,92 +133,150 @@ class Model:
     meta_scale: tuple[float, float]
     prior: float
 
-    def score(self, texts: pa.Array, codes: np.ndarray) -> np.ndarray:
+    def odds(self, texts: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log-odds of both views."""
         one = self.text_scale[0] * text_margin(texts, self.text, self.text_bias) + self.text_scale[1]
-        two = self.meta_scale[0] * (self.meta[codes].sum(axis=1) + self.meta_bias) + self.meta_scale[1]
+        return one, self.meta_scale[0] * (self.meta[codes].sum(axis=1) + self.meta_bias) + self.meta_scale[1]
+
+    def score(self, texts: pa.Array, codes: np.ndarray) -> np.ndarray:
+        one, two = self.odds(texts, codes)
         return 1 / (1 + np.exp(-np.clip(one + two - self.prior, -30, 30)))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
-    """y: 0 or 1. Every third labelled row is kept for calibration."""
-    held = np.arange(len(y)) % 3 == 2
-    train = ~held if len(set(y[~held])) == 2 else np.ones(len(y), bool)
-    held = held if len(set(y[held])) == 2 else train
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    given = {v: (np.zeros(0, np.int64), np.zeros(0)) for v in views}  # pool rows and pseudo-labels that a view got from the other
-    free = np.ones(len(pool_text), bool)
-    share = min(0.9, max(0.1, y[train].mean()))
+class CoTraining:
+    """Labelled features, the pseudo-labels that each view got from the other, and the models of both.
 
-    def fitted(view: str) -> tuple[np.ndarray, float]:
-        own, pool = views[view]
-        rows, labels = given[view]
-        return logistic(np.concatenate([own[train], pool[rows]]), np.concatenate([y[train], labels]))
+    y: 0 or 1. Every third labelled row is kept for calibration.
+    """
 
-    for _ in range(ROUNDS):
-        for view, other in (("text", "meta"), ("meta", "text")):
-            w, b = fitted(view)
-            slope, offset = platt(views[view][0][held] @ w + b, y[held])  # a view that can't tell is never sure
-            p = 1 / (1 + np.exp(-np.clip(slope * (views[view][1] @ w + b) + offset, -30, 30)))
-            for label, sure, n in ((1, p, int(PER_ROUND * share)), (0, 1 - p, int(PER_ROUND * (1 - share)) + 1)):
-                rows = np.flatnonzero(free & (sure >= SURE))
-                rows = rows[np.argsort(-sure[rows], kind="stable")[:n]]
-                free[rows] = False
-                given[other] = (np.concatenate([given[other][0], rows]), np.concatenate([given[other][1], np.full(len(rows), label)]))
-    (tw, tb), (mw, mb) = fitted("text"), fitted("meta")
-    odds = float(np.log(max(y[held].mean(), 1e-3) / max(1 - y[held].mean(), 1e-3)))
-    return Model(tw, tb, mw, mb, platt(text[held] @ tw + tb, y[held]), platt(meta[held] @ mw + mb, y[held]), odds)
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        held = np.arange(len(y)) % 3 == 2
+        self.train = ~held if len(set(y[~held])) == 2 else np.ones(len(y), bool)
+        self.held = held if len(set(y[held])) == 2 else self.train
+        self.own, self.y = {"text": text, "meta": meta}, y
+        self.given = {"text": (np.zeros((0, TEXT), np.float32), np.zeros(0)), "meta": (np.zeros((0, META), np.float32), np.zeros(0))}
+        self.share = min(0.9, max(0.1, y[self.train].mean()))
+
+    def give(self, to: str, features: np.ndarray, labels: np.ndarray) -> None:
+        rows, known = self.given[to]
+        self.given[to] = (np.concatenate([rows, features]), np.concatenate([known, labels]))
+
+    def model(self) -> Model:
+        fitted, scales = {}, {}
+        for view, own in self.own.items():
+            rows, labels = self.given[view]
+            w, b = logistic(np.concatenate([own[self.train], rows]), np.concatenate([self.y[self.train], labels]))
+            fitted[view], scales[view] = (w, b), platt(own[self.held] @ w + b, self.y[self.held])  # a view that can't tell is never sure
+        share = self.y[self.held].mean()
+        odds = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
+        return Model(*fitted["text"], *fitted["meta"], scales["text"], scales["meta"], odds)
 
 
 def _views(docs: DataFrame, key: str, text: str, source: str, lang: str, size: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"), F.col(source).cast("string").alias("_source"), F.col(lang).cast("string").alias("_lang"), F.col(size).cast("long").alias("_size"))
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(size).cast("long").alias("size"))
+
+
+FEATURES = "k long, y int, draw long, grams binary, codes array<int>"
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """FEATURES of rows (k, t, source, lang, size, y, draw)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches, 200):
+            grams = pa.array([g.tobytes() for g in text_features(part.column("t"))], pa.binary())
+            codes = pa.array(meta_codes(part).tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), part.column("draw"), grams, codes], names=["k", "y", "draw", "grams", "codes"])
+
+    return rows.select("k", "t", "source", "lang", "size", F.col("y").cast("int"), "draw").mapInArrow(run, FEATURES)
+
+
+def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    text = np.array([np.frombuffer(r["grams"], np.float32) for r in rows], np.float32).reshape(len(rows), TEXT)
+    return text, one_hot(np.array([r["codes"] for r in rows], np.int64).reshape(len(rows), 3))
+
+
+def surest(views: DataFrame, model: Model, wanted: dict[int, int], labelled: list[int], used: set[int]) -> dict[str, list]:
+    """FEATURES (y: the pseudo-label) by view of hash-drawn rows among all that it is SURE of: wanted[label] of each label, equal texts once,
+    none of the labelled ones and none whose text was used.
+
+    Every task keeps that many of the smallest draws of each kind, then as many are taken of all, and their texts are looked up.
+    """
+    draw = F.xxhash64("t", F.lit(13))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {(view, label): np.zeros(0, np.int64) for view in (0, 1) for label in (0, 1)}
+        gone, known = np.array(sorted(used), np.int64), np.array(labelled, np.int64)
+        for part in row_slices(batches):
+            draws = part.column("draw").to_numpy()
+            fresh = ~np.isin(draws, gone) & ~np.isin(part.column("k").fill_null(-1).to_numpy(), known)
+            for view, odds in enumerate(model.odds(part.column("t"), meta_codes(part))):
+                p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+                for label, sure in ((1, p), (0, 1 - p)):
+                    best[view, label] = np.unique(np.concatenate([best[view, label], draws[fresh & (sure >= SURE)]]))[: wanted[label]]
+        for (view, label), found in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), 2 * view + label, np.int32)), pa.array(found)], names=["kind", "draw"])
+
+    found = views.withColumn("draw", draw).mapInArrow(run, "kind int, draw long").distinct()
+    order = F.row_number().over(Window.partitionBy("kind").orderBy("draw"))
+    chosen: dict[tuple[int, int], list[int]] = {(view, label): [] for view in (0, 1) for label in (0, 1)}
+    for r in found.withColumn("n", order).where(F.col("n") <= max(wanted.values())).collect():
+        if r["n"] <= wanted[r["kind"] % 2]:
+            chosen[r["kind"] // 2, r["kind"] % 2].append(r["draw"])
+    draws = sorted({d for ds in chosen.values() for d in ds})
+    texts = views.withColumn("draw", draw).where(F.col("draw").isin(draws)).groupBy("draw").agg(F.min(F.struct("k", "t", "source", "lang", "size")).alias("r"))
+    rows = {r["draw"]: r for r in _features(texts.select("r.*", F.lit(0).alias("y"), "draw")).collect()} if draws else {}
+    return {name: [(rows[d], label) for label in (0, 1) for d in sorted(chosen[view, label])] for view, name in enumerate(("text", "meta"))}
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", size: str = "n_chars", label: str = "quality") -> Model | None:
-    """A model from bounded samples; None if the labelled rows aren't of two classes.
+    """A model from a bounded sample of labelled rows and all unlabelled ones; None if the labelled rows aren't of two classes.
 
-    Samples are drawn by a hash of the key against a threshold from counts. Labels other
-    than 0 and 1 and null keys are left out; of contradicting labels the smaller counts.
+    The sample is drawn by a hash of the key against a threshold from counts. Labels other
+    than 0 and 1 and null keys are left out; of contradicting labels the smaller counts, of rows that share a labelled key one.
     """
-    draw = lambda seed: F.pmod(F.xxhash64(F.col("_k"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_k")).agg(F.min(label).cast("int").alias("_y"))
-    n, rows = clean.count(), docs.select(key).count()
-    if not n or not rows:
+    draw = F.pmod(F.xxhash64(F.col("k"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k")).agg(F.min(label).cast("int").alias("y"))
+    n = clean.count()
+    if not n or docs.isEmpty():
         return None
-    views = _views(docs, key, text, source, lang, size).where(F.col("_k").isNotNull())
-    some = clean.where(draw(11) < LABELLED / n).limit(2 * LABELLED)
-    pool = views.where(draw(13) < POOL / rows)
-    wanted = views.join(F.broadcast(some), "_k").unionByName(pool.withColumn("_y", F.lit(-1)))
+    views = _views(docs, key, text, source, lang, size)
+    some = clean.where(draw < LABELLED / n).limit(2 * LABELLED)
+    one = Window.partitionBy("k").orderBy(F.xxhash64("t", "source", "lang", "size"))
+    labelled = views.join(F.broadcast(some), "k").withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                grams = text_features(part.column("_t")).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column("_k"), part.column("_y").cast(pa.int32()), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(meta_codes(part).tolist(), pa.list_(pa.int32()))], names=["k", "y", "grams", "codes"])
-
-    found = sorted(wanted.mapInArrow(run, "k long, y int, grams binary, codes array<int>").collect(), key=lambda r: (r["y"], r["k"], r["grams"]))
-    known, unknown = [r for r in found if r["y"] >= 0][: 2 * LABELLED], [r for r in found if r["y"] < 0][: 2 * POOL]
+    known = sorted(_features(labelled.withColumn("draw", F.lit(0).cast("long"))).collect(), key=lambda r: r["k"])
     y = np.array([r["y"] for r in known], np.float64)
     if len(set(y)) < 2:
         return None
     order = np.random.default_rng(5).permutation(len(y))
-    known, y = [known[i] for i in order], y[order]
-    grams = lambda rs: np.array([np.frombuffer(r["grams"], np.float32) for r in rs], np.float32).reshape(len(rs), TEXT)
-    metas = lambda rs: one_hot(np.array([r["codes"] for r in rs], np.int64).reshape(len(rs), 3))
-    return co_train(grams(known), metas(known), y, grams(unknown), metas(unknown))
+    both = CoTraining(*_arrays([known[i] for i in order]), y[order])
+    wanted = {1: int(PER_ROUND * both.share), 0: int(PER_ROUND * (1 - both.share)) + 1}
+    used: set[int] = set()
+    for _ in range(ROUNDS):
+        found = surest(views, both.model(), wanted, [r["k"] for r in known], used)
+        for view, other in (("text", "meta"), ("meta", "text")):
+            rows = [(r, label) for r, label in found[view] if r["draw"] not in used]
+            used |= {r["draw"] for r, _ in rows}
+            texts, metas = _arrays([r for r, _ in rows])
+            both.give(other, texts if other == "text" else metas, np.array([label for _, label in rows], np.float64))
+        if not any(found.values()):
+            break
+    return both.model()
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", source: str = "source", lang: str = "lang", size: str = "n_chars", to: str = "quality_score") -> DataFrame:
-    """All columns of docs and `to`, 0 to 1 (null without a model)."""
+    """All columns of docs and `to`, 0 to 1 (null without a model). Columns of any name go through (`to` is replaced)."""
     names = [c for c in docs.columns if c != to]
     if model is None:
         return docs.select(*names, F.lit(None).cast("double").alias(to))
-    full = docs.select(*names, F.col(text).alias("_t"), F.col(source).cast("string").alias("_source"), F.col(lang).cast("string").alias("_lang"), F.col(size).cast("long").alias("_size"))
+    full = docs.select(F.struct(*names).alias("row"), F.col(text).alias("t"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(size).cast("long").alias("size"))
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(model.score(b.column("_t"), meta_codes(b)))], names=[*names, to])
+            cols = pa.RecordBatch.from_struct_array(b.column("row")).columns
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(model.score(b.column("t"), meta_codes(b)))], names=[*names, to])
 
     return full.mapInArrow(run, schema)
 
