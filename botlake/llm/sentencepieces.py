@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import row_slices
+
 MARK, MEMO_WORDS, LONGEST_WORD = "▁", 400_000, 4096
 #: What one byte piece costs more than the rarest piece.
 BYTE_PENALTY = 10.0
@@ -57,7 +59,15 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[""] = (i, -float(np.log((rank + 1) * total)))
         self.byte_score = -float(np.log(max(1, len(plain)) * total)) - BYTE_PENALTY
-        self.memo: dict[str, tuple[int, ...]] = {}
+        pieces = {**{i: t.replace(MARK, " ").encode() for i, t in self.text.items()}, **{i: bytes([b]) for i, b in self.bytes.items()}}
+        each = [pieces.get(i, b"") for i in range(model.get_piece_size())]
+        self.raw, self.raw_ends = np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts the memo of words anew: the place of each, and all their ids one after the other."""
+        self.known: dict[str, int] = {}
+        self.ids, self.first = array("i"), array("q", [0])
 
     def encode_sorted(self, words: list[str]) -> list[tuple[int, ...]]:
         """ids of sorted distinct words, reusing forward scores along shared prefixes.
@@ -104,22 +114,24 @@ class Pieces:
             before = word
         return out
 
-    def words(self, text: str) -> list[str]:
-        """Marked words of a text; their concatenation is the text with a mark in front and for each blank."""
-        return [MARK + w for w in text.split(" ")]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.words(t) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = sorted({w for ws in split for w in ws if w not in self.memo})
-        short = [w for w in new if len(w) <= LONGEST_WORD and MARK not in w[1:]]
-        self.memo.update(zip(short, self.encode_sorted(short), strict=True))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of every text: of its words, each with a mark in front for the text's start or the blank before it."""
+        if len(self.known) > MEMO_WORDS:
+            self.forget()
+        known, split = self.known, [t.split(" ") for t in texts]
+        new = sorted({w for ws in split for w in ws if w not in known})
+        short = [w for w in new if len(w) < LONGEST_WORD and MARK not in w]
+        found = dict(zip(short, self.encode_sorted([MARK + w for w in short]), strict=True))
         for w in new:
-            if w not in self.memo:
-                self.memo[w] = self.encode_hard(w)
-        memo = self.memo
-        return [[i for w in ws for i in memo[w]] for ws in split]
+            self.ids.extend(found[w] if w in found else self.encode_hard(MARK + w))
+            self.first.append(len(self.ids))
+            known[w] = len(known)
+        flat, first = np.array(self.ids, np.int32), np.array(self.first, np.int64)  # copies: an array can't grow while a view of it lives
+        out = []
+        for ws in split:
+            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+            out.append(flat[stretches(first[at], first[at + 1])])
+        return out
 
     def encode_hard(self, word: str) -> tuple[int, ...]:
         """A word that holds a literal mark, or is very long: its parts between marks, the first one with the mark in front."""
@@ -165,16 +177,17 @@ class Pieces:
         ids.reverse()
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces with marks as blanks, byte pieces as UTF-8, less the first mark."""
-        raw = bytearray()
-        for i in ids:
-            b = self.bytes.get(i)
-            if b is None:
-                raw += self.text[i].replace(MARK, " ").encode()
-            else:
-                raw.append(b)
-        return raw.decode("utf-8", "replace")[1:]
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The text of ids: pieces with marks as blanks, byte pieces as UTF-8, less the first mark. Control pieces have no text."""
+        at = np.asarray(ids, np.int64)
+        return self.raw[stretches(self.raw_ends[at], self.raw_ends[at + 1])].tobytes().decode("utf-8", "replace")[1:]
+
+
+def stretches(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places start to end - 1 of all stretches, one after the other."""
+    sizes = ends - starts
+    upto = np.cumsum(sizes)
+    return np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - sizes - starts, sizes)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -187,36 +200,34 @@ def pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """All columns of docs and `to`, the array of ids (null text: null). Rows stay where they are."""
+    """All columns of docs and `to`, the array of ids. Rows stay where they are.
+
+    A null text has null ids, an empty one the mark alone; repeated rows are encoded one by one; texts and words of any length get
+    their best path, and of paths that score alike the one whose last piece starts first. Columns of any name go through (`to` is replaced). An empty table gives no rows.
+    """
     names = [c for c in docs.columns if c != to]
-    full = docs.select(*names, F.col(text).alias("_t"))
     schema = docs.select(*names).withColumn(to, F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = part.column("_t").to_pylist()
-                ids = iter(pieces(model).encode([t for t in texts if t is not None]))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32()))], names=[*names, to])
+        for part in row_slices(batches, 500):
+            texts = part.column("text").to_pylist()
+            ids = iter(pieces(model).encode([t for t in texts if t is not None]))
+            yield pa.RecordBatch.from_arrays([*pa.RecordBatch.from_struct_array(part.column("row")).columns, pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32()))], names=[*names, to])
 
-    return full.mapInArrow(run, schema)
+    return docs.select(F.struct(*names).alias("row"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
-    """All columns of tokens and `to`, the text of the ids (null ids: null)."""
+    """All columns of tokens and `to`, the text of the ids (null ids: null). Columns of any name go through (`to` is replaced)."""
     names = [c for c in tokens.columns if c != to]
-    full = tokens.select(*names, F.col(ids).alias("_i"))
     schema = tokens.select(*names).withColumn(to, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = [None if x is None else pieces(model).decode(x) for x in part.column("_i").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, to])
+        for part in row_slices(batches, 500):
+            texts = [None if x is None else pieces(model).decode(x) for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*pa.RecordBatch.from_struct_array(part.column("row")).columns, pa.array(texts, pa.string())], names=[*names, to])
 
-    return full.mapInArrow(run, schema)
+    return tokens.select(F.struct(*names).alias("row"), F.col(ids).alias("ids")).mapInArrow(run, schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
@@ -233,17 +244,15 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = iter(p.encode([t for t in texts if t is not None]))
-                rows = []
-                for k, t in zip(keys, texts, strict=True):
-                    ids = None if t is None else next(found)
-                    rows.append((k, 0, None, None) if ids is None else (k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), p.decode(ids) == t))
-                if rows:
-                    a, n, c, r = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+        for part in row_slices(batches, 500):
+            keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            found = iter(p.encode([t for t in texts if t is not None]))
+            rows = []
+            for k, t in zip(keys, texts, strict=True):
+                ids = None if t is None else next(found)
+                rows.append((k, 0, None, None) if ids is None else (k, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p.decode(ids) == t))
+            if rows:
+                a, n, c, r = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
     return docs.mapInArrow(run, schema)
