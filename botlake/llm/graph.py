@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def gathered() -> Iterator[list[DataFrame]]:
+    """The tables that are stored inside, to be discarded when their last reader has run."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and survives a lost executor."""
     spark = df.sparkSession
@@ -25,6 +41,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for made in _OPEN:
+        made.append(out)
     return out
 
 

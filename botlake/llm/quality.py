@@ -35,11 +35,15 @@ TEXT, DENSE = GRAMS + 6, 4.0
 META = SOURCES + LANGS + SIZES + 2
 
 
-def gram_codes(data: np.ndarray) -> np.ndarray:
-    """The hash (0 to GRAMS - 1) of the three bytes that end at each position."""
+def gram_codes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The hash (0 to GRAMS - 1) of the three bytes that end at each position; bytes before a text's start count as 0."""
     h = data.astype(np.uint32) * np.uint32(0x9E3779B1)
-    h[1:] += data[:-1].astype(np.uint32) * np.uint32(0x85EBCA77)
-    h[2:] += data[:-2].astype(np.uint32) * np.uint32(0xC2B2AE3D)
+    for back, factor in ((1, 0x85EBCA77), (2, 0xC2B2AE3D)):
+        older = np.zeros(len(data), np.uint32)
+        older[back:] = data[:-back]
+        for k in range(back):
+            older[starts[starts + k < len(data)] + k] = 0
+        h += older * np.uint32(factor)
     return (h >> np.uint32(16)) & np.uint32(GRAMS - 1)
 
 
@@ -57,7 +61,7 @@ def text_features(column: pa.Array) -> np.ndarray:
     data, ends = utf8(column)
     n, sizes = len(column), np.diff(ends)
     owner = np.repeat(np.arange(n), sizes)
-    counts = np.bincount(owner * GRAMS + gram_codes(data), minlength=n * GRAMS).reshape(n, GRAMS)
+    counts = np.bincount(owner * GRAMS + gram_codes(data, ends[:-1][sizes > 0]), minlength=n * GRAMS).reshape(n, GRAMS)
     out = np.empty((n, TEXT), np.float32)
     out[:, :GRAMS] = counts / (sizes + SHRINK)[:, None]
     pairs = (counts.astype(np.float64) * (counts - 1)).sum(axis=1) / np.maximum(1.0, sizes * (sizes - 1.0))
