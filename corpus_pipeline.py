@@ -9,20 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from botlake.llm import cdc, langid, minhash, packing, quality
-from botlake.llm.graph import stored
+from botlake.llm.graph import discard, gathered, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose best and second language need almost equally many phrases have no language.
 LEAST_LANGUAGE_SCORE = 0.02
 LEAST_QUALITY = 0.5
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages: those without a letter, or alike near to two languages, go."""
+    """Documents in one of the labelled languages: those without a letter (null and empty texts too), or alike near to two languages, go.
+
+    Repeated rows are judged one by one, texts of any length whole; ties go by the language that sorts first and are alike near.
+    Without labels nothing goes. Columns beside those of documents are dropped; an empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     references = langid.fit(docs)
     if not references:
@@ -32,7 +38,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of quality LEAST_QUALITY or more; all of them where no labels of two classes exist."""
+    """Documents of quality LEAST_QUALITY or more; all of them where no labels of two classes exist.
+
+    Null texts are scored as empty ones, null metadata as such, repeated rows one by one, texts of any length whole.
+    Columns beside those of documents are dropped; an empty table stays empty.
+    """
     docs = docs.select(*COLUMNS)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = quality.score(docs, model)
@@ -40,17 +50,36 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.8): the smallest doc_id, in one row."""
-    docs = docs.select(*COLUMNS)
-    found = minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # rows that repeat an id: one of them stays; rows without an id all do
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8): the smallest doc_id, in one row.
+
+    Rows that share an id but not the text are documents of their own; of rows that share both the first by the other
+    columns stays. Rows without an id all stay. Texts without words are no one's duplicates. Columns beside those of
+    documents are dropped; an empty table stays empty.
+    """
+    docs = row_keys(docs.select(*COLUMNS))
+    found = minhash.near_duplicates(docs, key="k")
+    gone = found.where(~F.col("kept")).select("k").distinct()
+    kept = docs.where(F.col("k").isNotNull()).join(gone, "k", "left_anti")
+    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("source", "lang", "n_chars"))).where("n = 1")
+    return first.select(*COLUMNS).unionByName(docs.where(F.col("k").isNull()).select(*COLUMNS))
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with k: the doc_id, and for the second and further texts of an id a number past all ids of its own."""
+    digest = F.xxhash64("text")
+    versions = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("doc_id", "low")
+    if versions.isEmpty():
+        return docs.withColumn("k", F.col("doc_id").cast("long"))
+    own = F.xxhash64("doc_id", digest).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return docs.join(versions, "doc_id", "left").withColumn("k", F.when(F.col("low") != digest, own).otherwise(F.col("doc_id").cast("long"))).drop("low")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a smaller doc_id has too; n_chars is that of the new text, and texts of which nothing is left go."""
+    """Documents without the passages that a smaller doc_id has too; n_chars is that of the new text, and texts of which nothing is left go.
+
+    Null and empty texts and rows without an id stay as they are; rows that share an id lose nothing to each other.
+    Columns beside those of documents are dropped; an empty table stays empty.
+    """
     out = cdc.dedup_substrings(docs.select(*COLUMNS))
     changed = F.size("removed") > 0
     out = out.where(~changed | (F.trim("text") != ""))
@@ -58,7 +87,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 ids."""
+    """The pieces of all documents in windows of 2048 ids. Null and empty texts are one id, repeated rows are packed one by one, a null id stays null; an empty table has no pieces."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -77,12 +106,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage{k}")
-    return docs
+    """All stages one after the other. When a stage's table is written, all that was stored for it is deleted, the stage before included."""
+    # whole texts go to the workers and back: small batches bound what executors hold of them
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, str(min(BATCH_ROWS, int(spark.conf.get(rows)))))
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with gathered() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        discard(before, *[table for table in made if table is not docs])
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
