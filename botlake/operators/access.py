@@ -9,24 +9,33 @@ LEVELS = ("none", "view", "edit")
 
 
 def access_levels(users: DataFrame, items: DataFrame, grants: DataFrame) -> DataFrame:
-    """(user_id, kind, item_id, level) of every person and item of one organization.
+    """(user_id, kind, item_id, level): what a person may do with items of the own organization, without writing out all pairs.
 
-    An organization's admin edits; else a grant replaces the organization-wide level, up or
-    down. Platform admins edit everything and people reach nothing of other organizations:
-    neither is written out here (see level_of), so the result is no product of all
-    people and items. users: id, is_admin, org_id, org_role, org_access; items: kind, id, org_id; grants: user_id, kind, item_id, level.
+    One row per person and kind of item (item_id null) holds the level of all its items, and one per grant on an item
+    that differs from it. An organization's admin edits everything; else a grant replaces the organization-wide level, up or
+    down. Platform admins edit everything and people reach nothing of other organizations: neither is written out.
+    users: id, is_admin, org_id, org_role, org_access; items: kind, id, org_id; grants: user_id, kind, item_id, level.
     """
-    people = users.where("not is_admin").select(F.col("id").alias("user_id"), "org_id", "org_role", "org_access")
-    both = people.join(items.select("kind", F.col("id").alias("item_id"), "org_id"), "org_id")
-    out = both.join(grants.where(F.col("level").isin(*LEVELS)), ["user_id", "kind", "item_id"], "left")
-    level = F.when(F.col("org_role") == "admin", "edit").otherwise(F.coalesce("level", "org_access"))
-    return out.select("user_id", "kind", "item_id", level.alias("level"))
+    people = users.where("not is_admin").select(F.col("id").alias("user_id"), "org_id", F.when(F.col("org_role") == "admin", "edit").otherwise(F.col("org_access")).alias("_default"), "org_role")
+    kinds = people.join(items.select("kind", "org_id").distinct(), "org_id").select("user_id", "kind", F.lit(None).cast("string").alias("item_id"), F.col("_default").alias("level"))
+    own = grants.where(F.col("level").isin(*LEVELS)).join(people.where("org_role is distinct from 'admin'"), "user_id")
+    own = own.join(items.select("kind", F.col("id").alias("item_id"), "org_id"), ["kind", "item_id", "org_id"], "left_semi")
+    return kinds.unionByName(own.where("level is distinct from _default").select("user_id", "kind", "item_id", "level"))
 
 
-def visible(rows: DataFrame, levels: DataFrame, kind: str, item: str, user: str) -> DataFrame:
+def levels_of(rows: DataFrame, levels: DataFrame, users: DataFrame, items: DataFrame, kind: str, item: str, user: str) -> DataFrame:
+    """rows with the level of their user on their item of a kind: the exception, else the person's default; none outside the own organization."""
+    mine = levels.where(F.col("kind") == kind)
+    default = mine.where(F.col("item_id").isNull()).join(users.select(F.col("id").alias("user_id"), F.col("org_id").alias("_o")), "user_id").select(F.col("user_id").alias(user), "_o", F.col("level").alias("_default"))
+    grant = mine.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias(item), F.col("user_id").alias(user), F.col("level").alias("_own"))
+    there = items.where(F.col("kind") == kind).select(F.col("id").alias(item), F.col("org_id").alias("_o"))
+    out = rows.join(there, item, "left").join(default, [user, "_o"], "left").join(grant, [item, user], "left")
+    return out.withColumn("level", F.coalesce("_own", "_default", F.lit("none"))).drop("_o", "_default", "_own")
+
+
+def visible(rows: DataFrame, levels: DataFrame, users: DataFrame, items: DataFrame, kind: str, item: str, user: str) -> DataFrame:
     """Rows (item, user columns) that the user may see."""
-    seen = levels.where((F.col("kind") == kind) & (F.col("level") != "none")).select(F.col("item_id").alias(item), F.col("user_id").alias(user))
-    return rows.join(seen, [item, user], "left_semi")
+    return levels_of(rows, levels, users, items, kind, item, user).where("level <> 'none'").select(*rows.columns)
 
 
 def org_summary(orgs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -41,20 +41,26 @@ def scope_docs(units: DataFrame, agent: str, skills: list[str] | None = None, in
     return own if include_skills else own.where(F.col("skill_id").isNull() | F.col("skill_id").isin(skills or []))
 
 
-def lexemes(rows: DataFrame, text: Column, english: bool = True) -> DataFrame:
-    """rows with terms: map<lexeme, occurrences>, both vocabularies summed, as the stored search vector concatenates them."""
-    words = tx.words_of(text)
-    every = F.concat(words, tx.stems(words)) if english else words
-    out = rows.withColumn("_w", every)
-    counts = F.transform(F.array_distinct("_w"), lambda t: F.struct(t.alias("k"), F.size(F.filter("_w", lambda x: x == t)).alias("v")))
-    return out.withColumn("terms", F.map_from_entries(counts)).drop("_w")
+def word_lexemes(words: DataFrame, english: bool = True) -> DataFrame:
+    """(word, lexeme, weight) of distinct words: the word itself and, in the English vocabulary, its stem; weight 2 where they are one."""
+    own = F.array(F.struct(F.col("word").alias("lexeme"), F.lit(1).alias("weight")))
+    if not english:
+        return words.select("word", F.explode(own).alias("x")).select("word", "x.*")
+    stemmed = words.withColumn("_s", tx.stem_of("word"))
+    both = F.when(F.col("_s").isNull(), own).when(F.col("_s") == F.col("word"), F.array(F.struct(F.col("word").alias("lexeme"), F.lit(2).alias("weight"))))
+    return stemmed.select("word", F.explode(both.otherwise(F.concat(own, F.array(F.struct(F.col("_s").alias("lexeme"), F.lit(1).alias("weight")))))).alias("x")).select("word", "x.*")
 
 
 def lexeme_counts(rows: DataFrame, key: str, text: Column, english: bool = True) -> DataFrame:
-    """The inverted index (key, lexeme, tf): counted by (key, lexeme), so long texts stay linear."""
-    words = tx.words_of(text)
-    every = F.concat(words, tx.stems(words)) if english else words
-    return rows.select(key, F.explode(every).alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("tf"))
+    """The inverted index (key, lexeme, tf), both vocabularies summed, as the stored search vector concatenates them.
+
+    Words are counted first, so each distinct word of the table is stemmed once and long texts stay linear.
+    """
+    counted = rows.select(key, F.explode(tx.words_of(text)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
+    if not english:
+        return counted.withColumnRenamed("word", "lexeme")
+    met = counted.join(word_lexemes(counted.select("word").distinct()), "word")
+    return met.groupBy(key, "lexeme").agg(F.sum(F.col("tf") * F.col("weight")).alias("tf"))
 
 
 def occurrence_score(tf: Column) -> Column:
@@ -71,8 +77,8 @@ def search(units: DataFrame, queries: DataFrame, k: int = 6, english: bool = Tru
 
     units: unit_id, agent_id, title, content; queries: query_id, agent_id, question. A unit matches if it
     has any lexeme of the question in either vocabulary. Its rank under a vocabulary is the sum of
-    its lexemes' scores over the number of the question's lexemes; the greater one counts. The
-    index is joined by (agent, lexeme); only lexemes that some query has are shuffled on.
+    its lexemes' scores over the number of the question's lexemes; the greater one counts.
+    Distinct words are stemmed once; of a unit's words only those that an agent's questions ask for are counted and shuffled.
     """
     k = min(max(k, 1), 20)
     words = tx.words_of(F.col("question"))
@@ -83,7 +89,14 @@ def search(units: DataFrame, queries: DataFrame, k: int = 6, english: bool = Tru
         own = own.select("query_id", "agent_id", "vocabulary", F.size("ws").alias("n"), F.explode("ws").alias("lexeme"))
         asked = own if asked is None else asked.unionByName(own)
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    index = lexeme_counts(units.select("unit_id", "agent_id", text.alias("t")).withColumn("u", F.struct("unit_id", "agent_id")), "u", F.col("t"), english).select("u.*", "lexeme", "tf")
+    words = units.select("unit_id", "agent_id", F.explode(tx.words_of(text)).alias("word"))
+    wanted = asked.select("agent_id", "lexeme").distinct()
+    if english:
+        meant = word_lexemes(words.select("word").distinct())
+    else:
+        meant = wanted.select(F.col("lexeme").alias("word")).distinct().transform(word_lexemes, False)
+    meant = meant.join(wanted, "lexeme").select("agent_id", "word", "lexeme", "weight")
+    index = words.join(meant, ["agent_id", "word"]).groupBy("agent_id", "unit_id", "lexeme").agg(F.sum("weight").alias("tf"))
     hits = index.join(asked, ["agent_id", "lexeme"]).groupBy("query_id", "unit_id", "vocabulary").agg((F.sum(occurrence_score(F.col("tf"))) / F.max("n")).alias("rank"))
     best = hits.groupBy("query_id", "unit_id").agg(F.round(F.max("rank"), 9).alias("rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "unit_id")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: USD a million tokens (input, output) where the catalog has no price; output tokens that are assumed, and allowed at most.
 FALLBACK_PRICE, DEFAULT_OUTPUT, MOST_OUTPUT = (10.0, 40.0), 4096, 128_000
 CHARGE = "decimal(38,12)"
+#: Sources of calls that strangers make; the names are the table's own.
+PUBLIC_SOURCES = ("bots", "app")
 
 
 def month_of(at: Column) -> Column:
@@ -38,12 +40,12 @@ def charge_usage(usage: DataFrame, billing: DataFrame) -> DataFrame:
     return usage.join(billing.select("org_id", "markup_pct"), "org_id", "left").withColumn("charged_usd", (F.col("cost_usd") * (F.lit(100).cast("decimal(9,4)") + markup) * F.lit("0.01").cast("decimal(3,2)")).cast(CHARGE)).drop("markup_pct")
 
 
-def spend_scopes(usage: DataFrame) -> DataFrame:
+def spend_scopes(usage: DataFrame, public_sources: tuple[str, ...] = PUBLIC_SOURCES) -> DataFrame:
     """One row per call and scope that it moves: (scope, key, amount) beside the call's columns.
 
-    platform: its cost. org-public: the cost of strangers' calls (no user, from bots or app). item, member: what is charged.
+    platform: its cost. org-public: the cost of strangers' calls (no user, from a public source). item, member: what is charged.
     """
-    public = F.col("user_id").isNull() & F.col("source").isin("bots", "app")
+    public = F.col("user_id").isNull() & F.col("source").isin(*public_sources)
     row = lambda scope, key, amount: F.struct(F.lit(scope).alias("scope"), key.alias("key"), F.col(amount).cast(CHARGE).alias("amount"))
     scopes = F.array(
         row("platform", F.lit(""), "cost_usd"),
@@ -147,17 +149,31 @@ def balance_ledger(topups: DataFrame, usage: DataFrame) -> DataFrame:
 
     No balance (null) before the first top-up, which starts from 0, and after a removal
     (a top-up row with removal = true). Charges come off only while there is a
-    balance; a null charge takes nothing. At one instant top-ups come first.
+    balance; a null charge takes nothing. At one instant top-ups come first. Windows run inside one organization's
+    day, and over day totals: no organization is one task.
     """
     rows = topups.select("org_id", "at", F.lit(0).alias("step"), "id", F.when(~F.col("removal"), F.col("amount_usd").cast(CHARGE)).alias("amount"), F.col("removal")).unionByName(
         usage.select("org_id", "at", F.lit(1).alias("step"), "id", (-F.coalesce("charged_usd", F.lit(0).cast(CHARGE))).cast(CHARGE).alias("amount"), F.lit(False).alias("removal"))
     )
-    order = Window.partitionBy("org_id").orderBy("at", "step", "id")
-    rows = rows.withColumn("era", F.sum(F.col("removal").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    era = Window.partitionBy("org_id", "era").orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("started", F.max(((F.col("step") == 0) & ~F.col("removal")).cast("int")).over(era))
-    live = (F.col("started") == 1) & ~F.col("removal")
-    return rows.withColumn("balance", F.when(live, F.sum(F.when(live, F.col("amount"))).over(era))).select("org_id", "at", F.when(F.col("step") == 0, "topup").otherwise("charge").alias("kind"), "id", "amount", "balance")
+    rows = rows.withColumn("day", F.to_date("at"))
+    # each running value is that of the days before, from day totals, and that inside the day
+    upto, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    today = Window.partitionBy("org_id", "day").orderBy("at", "step", "id").rowsBetween(*upto)
+    days = rows.groupBy("org_id", "day").agg(F.count_if("removal").alias("_n"))
+    days = days.select("org_id", "day", F.coalesce(F.sum("_n").over(Window.partitionBy("org_id").orderBy("day").rowsBetween(*earlier)), F.lit(0)).alias("_era"))
+    rows = rows.withColumn("era", F.count_if("removal").over(today)).join(days, ["org_id", "day"]).withColumn("era", F.col("era") + F.col("_era")).drop("_era")
+    begins = (F.col("step") == 0) & ~F.col("removal")
+    before = Window.partitionBy("org_id", "era").orderBy("day").rowsBetween(*earlier)
+    inside = Window.partitionBy("org_id", "era", "day").orderBy("at", "step", "id").rowsBetween(*upto)
+    days = rows.groupBy("org_id", "era", "day").agg(F.bool_or(begins).alias("_b"))
+    days = days.select("org_id", "era", "day", F.coalesce(F.bool_or("_b").over(before), F.lit(False)).alias("_started"))
+    rows = rows.withColumn("_begun", F.bool_or(begins).over(inside)).join(days, ["org_id", "era", "day"])
+    live = (F.col("_started") | F.col("_begun")) & ~F.col("removal")
+    rows = rows.withColumn("_live", live).withColumn("_counts", F.when(live, F.col("amount")))
+    days = rows.groupBy("org_id", "era", "day").agg(F.sum("_counts").alias("_t"))
+    days = days.select("org_id", "era", "day", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_inside", F.sum("_counts").over(inside)).join(days, ["org_id", "era", "day"])
+    return rows.select("org_id", "at", F.when(F.col("step") == 0, "topup").otherwise("charge").alias("kind"), "id", "amount", F.when(F.col("_live"), F.col("_before") + F.coalesce("_inside", F.lit(0))).alias("balance"))
 
 
 def limit_audit(usage: DataFrame, caps: DataFrame) -> DataFrame:
@@ -231,9 +247,8 @@ def effective_models(people: DataFrame, billing: DataFrame, platform_default: st
 def org_price_list(catalog: DataFrame, billing: DataFrame) -> DataFrame:
     """Each organization's prices of the catalog's models: catalog x (1 + markup), 4 places.
 
-    The catalog (hundreds of models) is one row that is broadcast, and is exploded beside each organization.
+    Catalog and organizations meet on a constant; which side is sent to the other is left to adaptive execution.
     """
-    prices = catalog.agg(F.collect_list(F.struct("model", "input_per_m", "output_per_m")).alias("_c"))
     factor = 1 + F.coalesce(F.col("markup_pct"), F.lit(0)).cast("double") / 100
-    rows = billing.select("org_id", "markup_pct").crossJoin(F.broadcast(prices)).select("org_id", factor.alias("_f"), F.explode("_c").alias("m"))
-    return rows.select("org_id", "m.model", F.round(F.col("m.input_per_m") * F.col("_f"), 4).alias("input_per_m"), F.round(F.col("m.output_per_m") * F.col("_f"), 4).alias("output_per_m"))
+    rows = billing.select("org_id", factor.alias("_f"), F.lit(0).alias("_c")).join(catalog.withColumn("_c", F.lit(0)), "_c")
+    return rows.select("org_id", "model", F.round(F.col("input_per_m") * F.col("_f"), 4).alias("input_per_m"), F.round(F.col("output_per_m") * F.col("_f"), 4).alias("output_per_m"))

@@ -49,7 +49,8 @@ def shape_rows(rows: DataFrame, tables: DataFrame) -> DataFrame:
     folded = columns.select("table_id", "n", "c", F.explode(F.array_distinct(F.array(folded_name(F.col("c.key")), folded_name(F.col("c.name"))))).alias("fold"))
     folded = folded.groupBy("table_id", "fold").agg(F.min_by("c", "n").alias("folded"))
     met = fields.withColumn("fold", folded_name(F.col("field"))).join(exact, ["table_id", "field"], "left").join(folded, ["table_id", "fold"], "left").withColumn("c", F.coalesce("exact", "folded"))
-    met = met.withColumn("out", F.when(F.col("c").isNotNull(), coerce(F.col("value"), F.col("c.type"))))
+    # a generator is a boundary of projections: each value is coerced once, in code of its own
+    met = met.select("id", "table_id", "field", "value", "c", F.explode(F.array(F.when(F.col("c").isNotNull(), coerce(F.col("value"), F.col("c.type"))))).alias("out"))
     ok, lost = F.col("out").isNotNull(), F.col("c").isNull() & F.col("field").isNotNull()
     refused = F.col("c").isNotNull() & F.col("out").isNull()
     # two fields of one column: the last in field order counts

@@ -39,7 +39,7 @@ def q_dates(s: SparkSession, d: str) -> DataFrame:
 
 def q_recap(s: SparkSession, d: str) -> DataFrame:
     m = _messages(s, d)
-    asks = m.where("id % 97 = 0 and not from_me").select(F.col("id").alias("request_id"), "number_id", "chat", "phone", F.col("ts").alias("asked_at"), (F.col("id") % 48 + 1).cast("int").alias("hours"))
+    asks = m.where("id % 50 = 0 and not from_me").select(F.col("id").alias("request_id"), "number_id", "chat", "phone", F.col("ts").alias("asked_at"), (F.col("id") % 48 + 1).cast("int").alias("hours"))
     return groups.recap_messages(asks, m, m.where("text = ''").select("number_id", "chat", "phone", F.col("ts").alias("joined_at")), 50)
 
 
@@ -104,7 +104,7 @@ ORACLES = {
     "ss07_apply_retention": "SELECT id, ts AS created_at FROM #messages WHERE ts >= timestamp '2024-01-16 00:00:00'",
     "tk03_recent_errors": "SELECT event_id AS id, '3' AS agent_id, 'chat' AS source, ts AS created_at FROM events WHERE event_type = 'error' AND user_id % 10 = 3 ORDER BY ts DESC, event_id DESC LIMIT 100",
     "jn06_resolve_quotes": "SELECT m.id, coalesce('#' || q.id, 'said ' || m.quoted_wa_id) AS quote FROM #messages m LEFT JOIN #messages q ON q.number_id = m.number_id AND q.chat = m.chat AND q.wa_id = m.quoted_wa_id",
-    "jn11_recap_messages": """WITH r AS (SELECT id AS request_id, number_id, chat, phone, ts - to_hours(id % 48 + 1) AS since FROM #messages WHERE id % 97 = 0 AND NOT from_me),
+    "jn11_recap_messages": """WITH r AS (SELECT id AS request_id, number_id, chat, phone, ts - to_hours(id % 48 + 1) AS since FROM #messages WHERE id % 50 = 0 AND NOT from_me),
   s AS (SELECT r.*, greatest(since, coalesce((SELECT max(ts) FROM #messages j WHERE j.text = '' AND j.number_id = r.number_id AND j.chat = r.chat AND j.phone = r.phone), (SELECT min(ts) FROM #messages f WHERE NOT f.from_me AND f.number_id = r.number_id AND f.chat = r.chat AND f.phone = r.phone))) AS start FROM r)
   SELECT request_id, m.id, m.ts FROM s JOIN #messages m ON m.number_id = s.number_id AND m.chat = s.chat AND m.ts > s.start QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY m.id DESC) <= 50""",
     "pf09_calls_agent": "SELECT conv_id, turn, regexp_matches(regexp_replace(text, '[׳''’`\"״]', '', 'g'), '(?i)(^|[^\\p{L}\\p{N}])[והלשבכמ]{0,2}(the|que)($|[^\\p{L}\\p{N}])') AS called FROM conversations",

@@ -19,6 +19,12 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "knowledge")
 
 
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """The lines of every document as its chunks, where it has more than one."""
+    lines = F.split("content", "\n")
+    return _docs(s, d).where(F.size(lines) > 1).select(F.col("id").alias("parent_id"), F.posexplode(lines).alias("chunk_index", "content"))
+
+
 def q_search(s: SparkSession, d: str, english: bool) -> DataFrame:
     docs = _docs(s, d)
     units = docs.select(F.col("id").alias("unit_id"), "agent_id", "title", "content") if not english else kb.searchable_units(docs, kb.chunk_documents(docs))
@@ -48,7 +54,7 @@ QUERIES = {
     "tx12_apply_rewrites": q_rewrites,
     "tx13_lexemes_simple": lambda s, d: kb.lexeme_counts(_docs(s, d), "id", F.col("content"), english=False),
     "tx13_lexemes_english": lambda s, d: kb.lexeme_counts(_docs(s, d), "id", F.col("content")),
-    "jn04_searchable_units": lambda s, d: _digest(kb.searchable_units(_docs(s, d), _docs(s, d).where("length(content) > 900").select(F.col("id").alias("parent_id"), F.lit(0).alias("chunk_index"), F.substring("content", 1, 900).alias("content"))), "content"),
+    "jn04_searchable_units": lambda s, d: _digest(kb.searchable_units(_docs(s, d), _lines(s, d)), "content"),
     "pf03_scope_docs": lambda s, d: kb.scope_docs(_docs(s, d), "3", ["1"]).select("id", "agent_id", "skill_id", "title"),
     "tk01_search_simple": lambda s, d: q_search(s, d, False),
     "tk01_search": lambda s, d: q_search(s, d, True),
@@ -69,8 +75,8 @@ _W = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 ORACLES = {
     "tx13_lexemes_simple": f"SELECT id, lexeme, count(*) AS tf FROM (SELECT id, unnest({_W.format('content')}) AS lexeme FROM #knowledge) GROUP BY ALL",
     "jn04_searchable_units": f"""SELECT unit_id, document_id, agent_id, skill_id, title, {_SHA.format('content')} FROM (
-  SELECT id || '#0' AS unit_id, id AS document_id, agent_id, skill_id, title, substr(content, 1, 900) AS content FROM #knowledge WHERE length(content) > 900
-  UNION ALL SELECT id, id, agent_id, skill_id, title, content FROM #knowledge WHERE length(content) <= 900)""",
+  SELECT id || '#' || (generate_subscripts(x, 1) - 1) AS unit_id, id AS document_id, agent_id, skill_id, title, unnest(x) AS content FROM (SELECT *, string_split(content, chr(10)) AS x FROM #knowledge) WHERE len(x) > 1
+  UNION ALL SELECT id, id, agent_id, skill_id, title, content FROM #knowledge WHERE NOT contains(content, chr(10)))""",
     "pf03_scope_docs": "SELECT id, agent_id, skill_id, title FROM #knowledge WHERE agent_id = '3' AND (skill_id IS NULL OR skill_id IN ('1'))",
     "tk01_search_simple": f"""WITH q AS (SELECT query_id, agent_id, list_distinct({_W.format('question')}) AS ws FROM #questions), a AS (SELECT query_id, agent_id, len(ws) AS n, unnest(ws) AS lexeme FROM q),
   i AS (SELECT id AS unit_id, agent_id, lexeme, count(*) AS tf FROM (SELECT id, agent_id, unnest({_W.format("title || ' ' || content")}) AS lexeme FROM #knowledge) GROUP BY ALL),
@@ -81,6 +87,8 @@ ORACLES = {
     "tx23_parse_json_reply": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS reply FROM events",
     "tx17_normalize_phone": "SELECT id, CASE cast(id AS int) % 4 WHEN 0 THEN '97250' || lpad(id, 7, '1') WHEN 1 THEN '9725' || lpad(id, 8, '2') WHEN 2 THEN '9725' || lpad(id, 8, '3') END AS phone FROM #users",
     "pf12_valid_session_id": "SELECT id, CASE id % 4 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true ELSE length(wa_id) * 60 <= 120 END AS valid FROM #messages",
+    "tx15_mask_secrets": f"""SELECT id, {_SHA.format('content')} FROM (SELECT id, replace(replace(CASE WHEN length(m) >= 4 THEN replace(j, replace(replace(replace(m, chr(92), repeat(chr(92), 2)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), '••••') ELSE j END, 'ing ', '••••'), 'ing ', '••••') AS content
+  FROM (SELECT id, substr(content, 3, 6) AS m, cast(to_json({{'content': content}}) AS string) AS j FROM #knowledge))""",
     "tx16_clip_json": """SELECT id, CASE WHEN length(j) > 45 THEN '{"__truncated":true,"bytes":' || length(j) || ',"preview":"' || replace(substr(j, 1, 2000), '"', '\\"') || '"}' ELSE j END AS value
   FROM (SELECT id, '{"id":' || id || ',"source":"' || source || '","model":"' || model || '"}' AS j FROM #llm_usage)""",
 }

@@ -64,7 +64,7 @@ QUERIES = {
     "ag04_member_report": lambda s, d: money.member_report(_charged(s, d), view(s, d, "users"), view(s, d, "usage_limits")),
     "ag15_ceiling_outlook": lambda s, d: money.ceiling_outlook(money.balance_health(view(s, d, "org_billing"), view(s, d, "org_topups").where("not removal")), view(s, d, "llm_usage").agg(F.sum("cost_usd").alias("spent_usd"))),
     "wn09_balance_ledger": lambda s, d: _double(money.balance_ledger(view(s, d, "org_topups"), _charged(s, d)), "amount", "balance", places=6),
-    "wn10_limit_audit": lambda s, d: money.limit_audit(_charged(s, d), money.spend_scopes(_charged(s, d)).where("scope <> 'member'").select("scope", "key").distinct().withColumn("cap_usd", F.when(F.col("scope") == "platform", 20.0).otherwise(0.5))).withColumn("spent_before", F.round("spent_before", 6)),
+    "wn10_limit_audit": lambda s, d: money.limit_audit(_charged(s, d), money.spend_scopes(_charged(s, d)).select("scope", "key").distinct().withColumn("cap_usd", F.when(F.col("scope") == "platform", 20.0).otherwise(0.5))).withColumn("spent_before", F.round("spent_before", 6)),
     "st07_gate_calls": q_pending,
     "jn16_orphan_limits": lambda s, d: _double(money.orphan_limits(view(s, d, "usage_limits"), _items(s, d), view(s, d, "users").where("cast(id as int) % 8 <> 0")), "monthly_usd"),
     "jn10_latest_topup": lambda s, d: _double(money.last_topups(view(s, d, "org_topups")), "last_topup"),
@@ -75,7 +75,8 @@ QUERIES = {
     "so01_chargeable_items": _items,
     "jn02_access_levels": _levels,
     "jn03_visible_sessions": lambda s, d: access.visible(
-        view(s, d, "chat_sessions").select("id", F.col("agent_id"), F.explode(F.sequence(F.lit(0), F.lit(20)).cast("array<string>")).alias("user_id")), _levels(s, d), "agent", "agent_id", "user_id"),
+        view(s, d, "messages").select("id", (F.col("id") % 10).cast("string").alias("agent_id"), F.col("phone").alias("user_id")), _levels(s, d), view(s, d, "users"), _items(s, d), "agent", "agent_id", "user_id"
+    ),
     "ag06_org_summary": lambda s, d: access.org_summary(view(s, d, "organizations"), view(s, d, "users"), _items(s, d)),
     "ag06_child_counts": lambda s, d: access.child_counts(view(s, d, "users").select("id", "username"), view(s, d, "bots").select("user_id"), "id", "user_id", "bots"),
     "ag16_duplicate_claims": lambda s, d: access.duplicate_claims(view(s, d, "messages").select((F.col("phone").cast("long") % 50).cast("string").alias("phone"), F.col("number_id").alias("agent_id"))),
@@ -118,7 +119,7 @@ ORACLES = {
   f AS (SELECT *, count(*) FILTER (step = 0 AND NOT removal) OVER (PARTITION BY org_id, era ORDER BY at, step, id ROWS UNBOUNDED PRECEDING) > 0 AND NOT removal AS live FROM e)
   SELECT org_id, at, CASE step WHEN 0 THEN 'topup' ELSE 'charge' END AS kind, id, round(cast(amount AS double), 6) AS amount,
     CASE WHEN live THEN round(cast(sum(amount) FILTER (live) OVER (PARTITION BY org_id, era ORDER BY at, step, id ROWS UNBOUNDED PRECEDING) AS double), 6) END AS balance FROM f""",
-    "wn10_limit_audit": f"""WITH {SCOPES}, r AS (SELECT *, CASE scope WHEN 'platform' THEN 20.0 ELSE 0.5 END AS cap, coalesce(sum(cast(amount AS decimal(38,12))) OVER (PARTITION BY scope, key, date_trunc('month', at) ORDER BY at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM scopes WHERE scope <> 'member')
+    "wn10_limit_audit": f"""WITH {SCOPES}, r AS (SELECT *, CASE scope WHEN 'platform' THEN 20.0 ELSE 0.5 END AS cap, coalesce(sum(cast(amount AS decimal(38,12))) OVER (PARTITION BY scope, key, date_trunc('month', at) ORDER BY at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM scopes)
   SELECT scope, key, id, at, round(cast(b AS double), 6) AS spent_before, b < cap AND b + cast(amount AS decimal(38,12)) >= cap AS crossed FROM r""",
     "st07_gate_calls": f"""WITH {SCOPES}, m AS (SELECT scope, key, sum(cast(amount AS decimal(38,12))) AS s FROM scopes WHERE date_trunc('month', at) = date '2024-01-01' GROUP BY ALL)
   SELECT c.id, c.org_id, c.user_id, c.item_type, c.item_id, CASE WHEN balance_usd <= 0 THEN 'ORG_BALANCE' WHEN coalesce(i.s, 0) >= il.monthly_usd THEN 'ITEM_LIMIT' WHEN coalesce(m2.s, 0) >= ml.monthly_usd THEN 'MEMBER_LIMIT' END AS refusal
@@ -132,8 +133,10 @@ ORACLES = {
     "jn13_effective_models": """WITH p AS (SELECT id, u.org_id, 'model-' || (cast(id AS int) % 4) AS own_model, coalesce(nullif(default_model, ''), 'model-0') AS d FROM #users u LEFT JOIN #org_billing b ON b.org_id = u.org_id)
   SELECT id, org_id, own_model, CASE WHEN own_model IN ('model-1', 'model-2') OR own_model = d THEN own_model ELSE d END AS model FROM p""",
     "so01_chargeable_items": f"WITH {ITEMS} SELECT * FROM items",
-    "jn02_access_levels": f"WITH {LEVEL} SELECT * FROM levels",
-    "jn03_visible_sessions": f"""WITH {LEVEL}, s AS (SELECT id, agent_id, cast(unnest(range(0, 21)) AS string) AS user_id FROM #chat_sessions)
+    "jn02_access_levels": f"""WITH {LEVEL} SELECT DISTINCT u.id AS user_id, i.kind, cast(NULL AS string) AS item_id, CASE WHEN org_role = 'admin' THEN 'edit' ELSE org_access END AS level
+    FROM #users u JOIN items i ON u.org_id = i.org_id WHERE NOT is_admin
+  UNION ALL SELECT l.user_id, l.kind, l.item_id, l.level FROM levels l JOIN #users u ON u.id = l.user_id WHERE l.level <> CASE WHEN org_role = 'admin' THEN 'edit' ELSE org_access END""",
+    "jn03_visible_sessions": f"""WITH {LEVEL}, s AS (SELECT id, cast(id % 10 AS string) AS agent_id, phone AS user_id FROM #messages)
   SELECT agent_id, user_id, id FROM s WHERE EXISTS (SELECT 1 FROM levels l WHERE l.kind = 'agent' AND l.level <> 'none' AND l.item_id = agent_id AND l.user_id = s.user_id)""",
     "ag06_org_summary": f"""WITH {ITEMS} SELECT o.id, o.name, (SELECT count(*) FROM #users u WHERE u.org_id = o.id) AS members, (SELECT count(*) FROM #users u WHERE u.org_id = o.id AND org_role = 'admin') AS admins,
   (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'agent') AS bots, cast(0 AS bigint) AS tables, (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'app') AS apps FROM #organizations o""",

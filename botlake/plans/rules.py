@@ -95,7 +95,7 @@ def _automations(s: SparkSession, d: str) -> DataFrame:
 
 def q_listening(s: SparkSession, d: str) -> DataFrame:
     n = F.col("id").cast("int")
-    c = view(s, d, "users").where("cast(id as int) < 300").select(F.concat(F.lit("c"), "id").alias("id"), "org_id", F.concat(F.lit("LINE "), n % 3).alias("name"), (n % 2 == 0).alias("shared"), F.col("id").alias("created_by"))
+    c = view(s, d, "users").select(F.concat(F.lit("c"), "id").alias("id"), "org_id", F.concat(F.lit("LINE "), n % 3).alias("name"), (n % 2 == 0).alias("shared"), F.col("id").alias("created_by"))
     return tables.listening(_automations(s, d), c, view(s, d, "users"))
 
 
@@ -200,7 +200,7 @@ QUERIES = {
     "tk04_next_frontier": q_frontier,
     "ag09_crawl_report": lambda s, d: crawl.crawl_report(_crawled(s, d), _pages(s, d).select("site", "url").distinct(), crawl.robots_allowed(_pages(s, d).select("site", u.url_part(F.col("url"), "path").alias("path")), _robots(s, d))),
     "ag10_recrawl_plan": lambda s, d: crawl.recrawl_plan(view(s, d, "bots").select("id", F.array(F.concat(F.lit("https://s"), F.col("id").cast("int") % 9, F.lit(".example/?a")), F.lit("ftp://x"), F.concat(F.lit("https://s"), F.col("id").cast("int") % 4, F.lit(".example/"))).alias("urls"), (F.col("id").cast("int") % 3 * 400).alias("max_pages"), F.when(F.col("id").cast("int") % 3 > 0, F.col("id")).alias("last_crawled_at"))).select("key", "max_pages", "url", F.array_join("bots", ",").alias("bots")),
-    "jn14_copy_crawl": lambda s, d: crawl.copy_crawl(view(s, d, "knowledge").select("id", F.lit(None).cast("string").alias("parent_id"), "source_url", "agent_id"), view(s, d, "bots").select(F.concat(F.lit("src"), F.col("id").cast("int") % 20).alias("source_url"), F.col("id").alias("agent_id")).where("cast(agent_id as int) < 40")),
+    "jn14_copy_crawl": lambda s, d: crawl.copy_crawl(view(s, d, "knowledge").select("id", F.lit(None).cast("string").alias("parent_id"), "source_url", "agent_id"), view(s, d, "bots").select(F.concat(F.lit("src"), F.col("id").cast("int") % 20).alias("source_url"), F.col("id").alias("agent_id"))),
     "pf06_compare": q_compare,
     "pf07_route": q_route,
     "dt01_parse_day": q_days,
@@ -225,11 +225,11 @@ QUERIES = {
     "dt02_next_firings": q_schedules,
     "dt03_next_group_runs": q_group_runs,
     "dt04_due_work": q_due_work,
-    "dt05_calendar": lambda s, d: _events(s, d).select(F.to_date("ts").alias("day")).groupBy("day").agg(F.count("*").alias("n")).join(F.broadcast(schedule.calendar_dim(s, "2024-01-01", "2024-02-29")), "day").select("day", "n", "weekday", "hday", "hmonth", "hyear"),
+    "dt05_calendar": lambda s, d: _events(s, d).select(F.to_date("ts").alias("day")).groupBy("day").agg(F.count("*").alias("n")).transform(schedule.calendar_of).select("day", "n", "weekday", "hday", "hmonth", "hyear"),
     "dt06_anniversaries": q_anniversaries,
     "ag11_snapshot_bots": lambda s, d: _sha(experiments.snapshot_bots(view(s, d, "bots"), view(s, d, "knowledge").select("agent_id", "id", "title", "content")), "documents"),
     "ag14_run_log": lambda s, d: experiments.run_log(view(s, d, "runs").select("id", "status"), s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_returnflag").alias("step_type"), F.col("l_linestatus").alias("status"))).select("id", F.size("steps").alias("steps"), F.array_join(F.transform("steps", lambda x: F.concat_ws("/", x["id"], x["step_type"], x["status"])), ",").alias("log")),
-    "jn15_seed_starters": lambda s, d: experiments.seed_starters(view(s, d, "bots").where("cast(id as int) < 12").select("id", F.when(F.col("id").cast("int") % 4 > 0, F.col("org_id")).alias("org_id"), F.to_json(F.array(F.struct(F.col("name").alias("title"), F.lit("text").alias("content")))).alias("documents")), view(s, d, "users").where("cast(id as int) < 200")),
+    "jn15_seed_starters": lambda s, d: experiments.seed_starters(view(s, d, "bots").select("id", F.when(F.col("id").cast("int") % 40 > 0, F.col("org_id")).alias("org_id"), F.to_json(F.array(F.struct(F.col("name").alias("title"), F.lit("text").alias("content")))).alias("documents")), view(s, d, "users")),
     "tx24_clean_hooks": lambda s, d: experiments.clean_hooks(_events(s, d).select("id", F.create_map(F.lit("Cookie"), F.lit("x"), F.lit("X-Kind"), F.col("event_type")).alias("headers"), F.concat(F.col("event_type"), F.lit("\x00")).alias("body"))).select("id", F.array_join(F.map_keys("headers"), ",").alias("names"), F.col("headers")["X-Kind"].alias("kind"), "body", "refused"),
     "tx25_content_version": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", experiments.content_version("props").alias("version")),
     "ex01_assign_branches": q_branches,
@@ -265,7 +265,7 @@ ORACLES = {
     "tx05_site_crawl_keys": f"SELECT page_id, {_SITE} AS site, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/$', '') AS key FROM #web_pages",
     "pf04_crawlable": f"SELECT page_id, NOT regexp_matches({_PATH}, '(?i)\\.(pdf|docx?|jpe?g|png|css|js|xml)$') AS crawlable FROM #web_pages",
     "pf05_robots_allowed": f"SELECT page_id, {_ALLOW} AS allowed FROM (SELECT page_id, {_PATH} AS path FROM #web_pages)",
-    "jn14_copy_crawl": "SELECT a.id || '-' || k.id AS id, cast(NULL AS string) AS parent_id, source_url, a.id AS agent_id FROM #knowledge k JOIN #bots a ON source_url = 'src' || (cast(a.id AS int) % 20) AND cast(a.id AS int) < 40",
+    "jn14_copy_crawl": "SELECT a.id || '-' || k.id AS id, cast(NULL AS string) AS parent_id, source_url, a.id AS agent_id FROM #knowledge k JOIN #bots a ON source_url = 'src' || (cast(a.id AS int) % 20)",
     "pf06_compare": _compare_sql(),
     "pf07_route": f"WITH {_E} SELECT id, CASE WHEN k > 50 OR starts_with(event_type, 'p') THEN 'yes' ELSE 'no' END AS branch, CASE event_type WHEN 'click' THEN 'a' WHEN 'view' THEN 'b' ELSE 'default' END AS port FROM e",
     "dt01_parse_day": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 4 = 2 THEN '20' || strftime(o_orderdate, '%y-%m-%d') END AS day FROM orders",
@@ -279,7 +279,7 @@ ORACLES = {
     "pf08_match_messages": """WITH t AS (SELECT id AS trigger_id, cast(id AS int) AS n, cast(cast(id AS int) % 3 AS string) AS number_id FROM #organizations), m AS (SELECT id AS message_id, number_id, phone, lower(text) AS t FROM #messages)
   SELECT message_id, trigger_id FROM m JOIN t USING (number_id) WHERE (n % 4 > 0 OR phone IN (cast(n * 5 AS string), cast(n + 1 AS string)))
   AND CASE n % 3 WHEN 0 THEN true WHEN 1 THEN contains(t, CASE n % 2 WHEN 0 THEN 'click' ELSE 'view {' END) ELSE starts_with(ltrim(t), CASE n % 2 WHEN 0 THEN 'click' ELSE 'view {' END) END""",
-    "jn07_listening": f"""WITH {_AUTO} SELECT a.id AS automation_id, 'c' || c.id AS connection_id FROM a JOIN #users c ON cast(c.id AS int) < 300 AND c.org_id = a.org_id AND a.connection = 'line ' || (cast(c.id AS int) % 3) LEFT JOIN #users p ON p.id = a.publisher
+    "jn07_listening": f"""WITH {_AUTO} SELECT a.id AS automation_id, 'c' || c.id AS connection_id FROM a JOIN #users c ON c.org_id = a.org_id AND a.connection = 'line ' || (cast(c.id AS int) % 3) LEFT JOIN #users p ON p.id = a.publisher
   WHERE a.enabled AND (cast(c.id AS int) % 2 = 0 OR c.id = a.publisher OR coalesce(p.is_admin, false) OR (p.org_role = 'admin' AND p.org_id = a.org_id))""",
     "jn08_row_triggers": f"WITH {_AUTO} SELECT r.id AS row_id, a.id AS automation_id FROM #table_rows r JOIN a ON a.enabled AND a.table_id = r.table_id AND a.org_id = cast(r.id % 25 AS string) WHERE a.id <> 'a' || (r.id % 100)",
     "pf11_run_health": "SELECT id, CASE WHEN status = 'running' AND epoch(timestamp '1998-06-01 00:05:00' - heartbeat_at) > 600 THEN CASE WHEN reclaims > 3 THEN 'failed' ELSE 'stale' END ELSE status END AS health FROM #runs",
@@ -302,7 +302,7 @@ ORACLES = {
   SELECT s.id, min(c.at) AS next_run_at FROM s LEFT JOIN c ON c.id = s.id AND c.at > s.t AND CASE s.n % 4 WHEN 0 THEN c.d = date '2024-01-10' + s.n % 20 WHEN 1 THEN true WHEN 2 THEN dayofweek(c.d) IN (s.n % 7, (s.n + 2) % 7) ELSE day(c.d) = least(s.n % 31 + 1, day(last_day(c.d))) END GROUP BY s.id""",
     "dt04_due_work": """SELECT id, CASE WHEN id % 5 = 0 OR chat = '4' THEN 'wait' WHEN id % 13 = 0 THEN 'send' WHEN date_diff('second', ts, timestamp '2024-01-15 12:00:00') > 10800 AND epoch(timestamp '2024-01-15 12:00:00' - ts) >= 10801 THEN 'skip' WHEN ts <= timestamp '2024-01-15 12:00:00' OR epoch(ts - timestamp '2024-01-15 12:00:00') < 1 THEN 'send' ELSE 'wait' END AS step FROM #messages""",
     "ag14_run_log": "SELECT o_orderkey AS id, count(l_linenumber) AS steps, coalesce(string_agg(l_linenumber || '/' || l_returnflag || '/' || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus), '') AS log FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
-    "jn15_seed_starters": "SELECT u.id AS user_id, a.id AS agent_id, 0 AS position, a.name AS title, 'text' AS content FROM #bots a JOIN #users u ON cast(u.id AS int) < 200 AND (cast(a.id AS int) % 4 = 0 OR u.org_id = a.org_id) WHERE cast(a.id AS int) < 12",
+    "jn15_seed_starters": "SELECT u.id AS user_id, a.id AS agent_id, 0 AS position, a.name AS title, 'text' AS content FROM #bots a JOIN #users u ON cast(a.id AS int) % 40 = 0 OR u.org_id = a.org_id",
     "tx24_clean_hooks": f"WITH {_E} SELECT id, 'X-Kind' AS names, event_type AS kind, event_type AS body, false AS refused FROM e",
     "tx25_content_version": "SELECT event_id, substr(sha256(replace(props, ' ', '')), 1, 32) AS version FROM events",
     "ex02_traffic": "SELECT agent_id, sum(w) AS branches, greatest(100 - sum(w), 0) AS main, sum(w) > 100 AS rejected FROM (SELECT cast(cast(id AS int) % 10 AS string) AS agent_id, cast(id AS int) % 27 AS w FROM #bots WHERE cast(id AS int) % 5 > 0) GROUP BY 1",
