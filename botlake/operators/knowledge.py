@@ -35,6 +35,15 @@ def searchable_units(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return of_chunks.unionByName(whole).select("unit_id", "document_id", "agent_id", "skill_id", "title", "content")
 
 
+def chunk_units(docs: DataFrame) -> DataFrame:
+    """searchable_units of documents that are chunked here, in one pass over their texts."""
+    cut = F.pandas_udf(lambda s: s.map(tx.chunk_text), "array<string>")
+    rows = docs.select(F.col("id").alias("document_id"), "agent_id", "skill_id", "title", "content", cut("content").alias("_c"))
+    several = F.size("_c") > 1
+    rows = rows.select("document_id", "agent_id", "skill_id", "title", several.alias("_s"), F.posexplode(F.when(several, F.col("_c")).otherwise(F.array("content"))).alias("_n", "content"))
+    return rows.select(F.when(F.col("_s"), F.concat_ws("#", "document_id", "_n")).otherwise(F.col("document_id")).alias("unit_id"), "document_id", "agent_id", "skill_id", "title", "content")
+
+
 def scope_docs(units: DataFrame, agent: str, skills: list[str] | None = None, include_skills: bool = False) -> DataFrame:
     """An agent's units: with all skills, or those without a skill or with one of the list."""
     own = units.where(F.col("agent_id") == agent)

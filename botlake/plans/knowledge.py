@@ -27,7 +27,7 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
 
 def q_search(s: SparkSession, d: str, english: bool) -> DataFrame:
     docs = _docs(s, d)
-    units = docs.select(F.col("id").alias("unit_id"), "agent_id", "title", "content") if not english else kb.searchable_units(docs, kb.chunk_documents(docs))
+    units = docs.select(F.col("id").alias("unit_id"), "agent_id", "title", "content") if not english else kb.chunk_units(docs)
     return kb.search(units, view(s, d, "questions"), 6, english=english)
 
 
@@ -40,7 +40,7 @@ def q_rewrites(s: SparkSession, d: str) -> DataFrame:
 def q_contexts(s: SparkSession, d: str) -> DataFrame:
     """The prompt of every agent with the whole units that search finds for its questions, question by question."""
     docs, questions = _docs(s, d), view(s, d, "questions")
-    units = kb.searchable_units(docs, kb.chunk_documents(docs))
+    units = kb.chunk_units(docs)
     found = kb.search(units, questions).join(units.select("unit_id", "title", "content"), "unit_id").join(questions.select("query_id", "agent_id"), "query_id")
     hits = found.select("agent_id", F.struct("query_id", "position").alias("position"), "title", "content")
     bots = view(s, d, "bots").select("id", F.concat(F.lit("You are "), "name").alias("base_prompt"), F.lit("").alias("notice"))
