@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import row_slices, slices, utf8
+from .graph import discard, stored
 
 #: Most labelled rows that the models see (two of three train, one calibrates).
 LABELLED = 3000
@@ -221,12 +222,11 @@ def surest(views: DataFrame, model: Model, wanted: dict[int, int], labelled: lis
         for (view, label), found in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), 2 * view + label, np.int32)), pa.array(found)], names=["kind", "draw"])
 
-    found = views.withColumn("draw", draw).mapInArrow(run, "kind int, draw long").distinct()
-    order = F.row_number().over(Window.partitionBy("kind").orderBy("draw"))
-    chosen: dict[tuple[int, int], list[int]] = {(view, label): [] for view in (0, 1) for label in (0, 1)}
-    for r in found.withColumn("n", order).where(F.col("n") <= max(wanted.values())).collect():
-        if r["n"] <= wanted[r["kind"] % 2]:
-            chosen[r["kind"] // 2, r["kind"] % 2].append(r["draw"])
+    found = stored(views.withColumn("draw", draw).mapInArrow(run, "kind int, draw long").distinct(), "draws")
+    chosen = {
+        (view, label): [r["draw"] for r in found.where(F.col("kind") == 2 * view + label).orderBy("draw").limit(wanted[label]).collect()] for view in (0, 1) for label in (0, 1)
+    }
+    discard(found)
     draws = sorted({d for ds in chosen.values() for d in ds})
     texts = views.withColumn("draw", draw).where(F.col("draw").isin(draws)).groupBy("draw").agg(F.min(F.struct("k", "t", "source", "lang", "size")).alias("r"))
     rows = {r["draw"]: r for r in _features(texts.select("r.*", F.lit(0).alias("y"), "draw")).collect()} if draws else {}
