@@ -31,7 +31,7 @@ from .graph import components, discard, stored
 #: Vectors of a cell that are aimed at, pivots of one cell at most, members of a block, levels of cells, and
 #: the size past which a cell of the first level is cut again.
 CELL, PIVOTS, BLOCK, LEVELS, LARGE = 512, 64, 1024, 3, 8192
-#: A cell is cut if its sampled vectors go to so many of its new cells on average, or to fewer than it has blocks.
+#: A cell is cut if its sampled vectors go to at most so many of its new cells on average, or to fewer than the blocks that they would be sent to in the whole cell.
 MOST_COPIES = 16
 #: Widens the radius in the pivot bounds, so that rounding never loses a pair; pairs are decided by cosine.
 SLACK = 1e-6
@@ -76,7 +76,7 @@ def choose_pivots(cells: DataFrame, large: DataFrame, radius: float, level: int)
         n, want = t["n"][0].as_py(), t["want"][0].as_py()
         x = unit_rows(t["v"].combine_chunks(), t["d"][0].as_py())
         copies = reaches(x, x[:want], radius)[1].sum(axis=1).mean()
-        return t.slice(0, want if want > 1 and copies <= max(MOST_COPIES, n / BLOCK) else 0).select([*CELLS, "n", "v"])
+        return t.slice(0, want if want > 1 and copies <= max(MOST_COPIES, 2 * n / BLOCK) else 0).select([*CELLS, "n", "v"])
 
     return sample.groupBy(*CELLS).applyInArrow(choose, "l string, d int, cell string, n long, v array<double>")
 
