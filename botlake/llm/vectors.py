@@ -180,14 +180,15 @@ def range_join(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", ve
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     points = stored(usable(vectors, key, vector, label), "points")
     cells = cells_of(points, radius)
-    # a block pair: own members ask, all members are targets; small cells are one block
-    sizes = cells.groupBy(*CELLS).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = cells.join(sizes, CELLS).withColumn("i", F.pmod(F.xxhash64("k", F.lit(1)), F.col("nb")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    # a pair of blocks: own members ask, all members are targets, each in blocks of their own number; small cells are one pair
+    sizes = cells.groupBy(*CELLS).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.greatest(F.ceil(F.count_if("own") / BLOCK), F.lit(1)).cast("int").alias("na"))
+    number = lambda blocks: F.pmod(F.xxhash64("k", F.lit(1)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    rows = cells.join(sizes, CELLS)
     base = [*CELLS, "k", "c", "v"]
     one = rows.where("nb = 1").select(*base, F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("own").alias("asks"), F.lit(True).alias("target"))
-    asking = rows.where("nb > 1 and own").select(*base, "i", F.explode(every).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("target"))
-    targets = rows.where("nb > 1").select(*base, F.explode(every).alias("i"), F.col("i").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("target"))
+    asking = rows.where("nb > 1 and own").select(*base, number("na").alias("i"), every("nb").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("target"))
+    targets = rows.where("nb > 1").select(*base, every("na").alias("i"), number("nb").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("target"))
     met = one.unionByName(asking).unionByName(targets).groupBy(*CELLS, "i", "j").applyInArrow(lambda t: compare(t, cosine), "k long, links long, root long")
     found = stored(met, "found")
     discard(cells)
