@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import collections
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from botlake.operators import chats, money
+from botlake.operators import chats, money, tables
 from botlake.plans.inputs import view
 from botlake.streaming import stateful, streams
 
@@ -72,3 +73,52 @@ def test_bursts(spark, messages, tmp_path):
     got = collect(spark, streams.stream_bursts(read(spark, messages), "240 seconds").select("number_id", "chat", "messages"), tmp_path, "bursts", "complete")
     want = chats.merge_bursts(spark.read.parquet(messages).withColumn("ts", F.col("ts").cast("timestamp_ntz")), ["number_id", "chat"], 240.0).select("number_id", "chat", "messages")
     assert rows(got) == rows(want)
+
+
+def test_loops(spark, messages, tmp_path):
+    plain = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("chat", F.col("phone"))
+    got = collect(spark, stateful.stream_loops(plain(read(spark, messages)), 600.0, 2, 1800), tmp_path, "loops")
+    want = stateful.detect_loops(plain(spark.read.parquet(messages)), 600.0, 2, 1800)
+    assert rows(got.select("chat", "id", "paused")) == rows(want.select("chat", "id", "paused"))
+
+
+def test_triggers(spark, messages, tmp_path):
+    automations = spark.createDataFrame([("a1", "0", "1", True), ("a2", "1", "2", True), ("a3", "0", "1", False), ("a4", "2", "3", True)], "id string, org_id string, table_id string, enabled boolean")
+    added = lambda df: df.select("id", F.col("number_id").alias("org_id"), F.col("chat").alias("table_id"), F.concat(F.lit("automation:a"), (F.col("id") % 3).cast("string")).alias("written_by"))
+    got = collect(spark, streams.stream_triggers(added(read(spark, messages)), automations), tmp_path, "triggers")
+    want = tables.row_triggers(added(spark.read.parquet(messages)), automations)
+    assert rows(got) == rows(want) and got.count() > 0
+
+
+def test_upserts(spark, messages, tmp_path):
+    """Batches upserted one after the other leave what one upsert of the newest rows leaves."""
+    state = {"df": spark.createDataFrame([("0", "x", "kept")], "phone string, number_id string, text string")}
+
+    def write(df):
+        path = str(tmp_path / f"table{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        state["df"] = spark.read.parquet(path)
+
+    one = read(spark, messages).select("phone", "number_id", "text").dropDuplicates(["phone"])
+    q = one.writeStream.foreachBatch(streams.upsert_sink(lambda: state["df"], write, "phone", ["number_id"])).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    after = {r["phone"]: (r["number_id"], r["text"]) for r in state["df"].collect()}
+    known = {r["phone"] for r in spark.read.parquet(messages).select("phone").distinct().collect()}
+    assert set(after) == known | {"0"} and after["0"] == ("x", "kept")
+
+
+def test_admission_refuses_in_order():
+    """Each of the five refusals, a settled hold, and a hold that lapsed after ten minutes."""
+    minute, n = 60 * stateful.SECOND, iter(range(100))
+    scopes = [["platform", ""], ["org-public", "o"], ["item", "o:i"], ["member", "o:m"]]
+    event = lambda at, kind, call, estimate=0.0, actual=0.0, of=scopes: {"id": next(n), "us": at, "kind": kind, "call": call, "org_id": "o", "scopes": of, "estimate": estimate, "actual": actual}
+
+    def refusals(events, caps, balances):
+        return stateful.admit_group(pd.DataFrame(events), caps, balances)["refusal"].tolist()
+
+    caps = {("platform", ""): 10.0, ("org-public", "o"): 8.0, ("item", "o:i"): 4.0, ("member", "o:m"): 2.0}
+    asks = [event(0, "ask", k, e) for k, e in enumerate((11.0, 9.0, 5.0, 3.0, 1.0))]
+    assert refusals(asks, caps, {}) == ["platform", "org-public", "item", "member", None]
+    assert refusals([event(0, "ask", 1, 6.0)], caps, {"o": 5.0}) == ["balance"]
+    held = [event(0, "ask", 1, 1.5), event(1, "ask", 2, 1.0), event(2, "settle", 1, actual=0.5), event(3, "ask", 3, 1.5), event(11 * minute, "ask", 4, 1.5)]
+    assert refusals(held, caps, {}) == [None, "member", None, None]
