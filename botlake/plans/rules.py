@@ -301,6 +301,9 @@ ORACLES = {
   c AS (SELECT s.*, d + clock AS at, cast(d AS date) AS d FROM s, (SELECT unnest(range(timestamp '2024-01-10', timestamp '2025-02-10', interval 1 day)) AS d))
   SELECT s.id, min(c.at) AS next_run_at FROM s LEFT JOIN c ON c.id = s.id AND c.at > s.t AND CASE s.n % 4 WHEN 0 THEN c.d = date '2024-01-10' + s.n % 20 WHEN 1 THEN true WHEN 2 THEN dayofweek(c.d) IN (s.n % 7, (s.n + 2) % 7) ELSE day(c.d) = least(s.n % 31 + 1, day(last_day(c.d))) END GROUP BY s.id""",
     "dt04_due_work": """SELECT id, CASE WHEN id % 5 = 0 OR chat = '4' THEN 'wait' WHEN id % 13 = 0 THEN 'send' WHEN date_diff('second', ts, timestamp '2024-01-15 12:00:00') > 10800 AND epoch(timestamp '2024-01-15 12:00:00' - ts) >= 10801 THEN 'skip' WHEN ts <= timestamp '2024-01-15 12:00:00' OR epoch(ts - timestamp '2024-01-15 12:00:00') < 1 THEN 'send' ELSE 'wait' END AS step FROM #messages""",
+    "ag10_recrawl_plan": """WITH b AS (SELECT id, cast(id AS int) AS n, CASE WHEN cast(id AS int) % 3 > 0 THEN id END AS crawled FROM #bots), due AS (SELECT * FROM b ORDER BY crawled NULLS FIRST, id LIMIT 200),
+  r AS (SELECT id, crawled, greatest(least(n % 3 * 400, 500), 1) AS max_pages, p, 'https://s' || CASE p WHEN 0 THEN n % 9 ELSE n % 4 END || '.example' AS key, CASE p WHEN 0 THEN '/?a' ELSE '/' END AS rest FROM due, (SELECT unnest([0, 1]) AS p))
+  SELECT key, cast(max_pages AS int) AS max_pages, first(key || rest ORDER BY crawled NULLS FIRST, id, p) AS url, string_agg(id, ',' ORDER BY crawled NULLS FIRST, id, p) AS bots FROM r GROUP BY key, max_pages""",
     "ag14_run_log": "SELECT o_orderkey AS id, count(l_linenumber) AS steps, coalesce(string_agg(l_linenumber || '/' || l_returnflag || '/' || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus), '') AS log FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "jn15_seed_starters": "SELECT u.id AS user_id, a.id AS agent_id, 0 AS position, a.name AS title, 'text' AS content FROM #bots a JOIN #users u ON cast(a.id AS int) % 40 = 0 OR u.org_id = a.org_id",
     "tx24_clean_hooks": f"WITH {_E} SELECT id, 'X-Kind' AS names, event_type AS kind, event_type AS body, false AS refused FROM e",
