@@ -304,6 +304,9 @@ ORACLES = {
     "ag10_recrawl_plan": """WITH b AS (SELECT id, cast(id AS int) AS n, CASE WHEN cast(id AS int) % 3 > 0 THEN id END AS crawled FROM #bots), due AS (SELECT * FROM b ORDER BY crawled NULLS FIRST, id LIMIT 200),
   r AS (SELECT id, crawled, greatest(least(n % 3 * 400, 500), 1) AS max_pages, p, 'https://s' || CASE p WHEN 0 THEN n % 9 ELSE n % 4 END || '.example' AS key, CASE p WHEN 0 THEN '/?a' ELSE '/' END AS rest FROM due, (SELECT unnest([0, 1]) AS p))
   SELECT key, cast(max_pages AS int) AS max_pages, first(key || rest ORDER BY crawled NULLS FIRST, id, p) AS url, string_agg(id, ',' ORDER BY crawled NULLS FIRST, id, p) AS bots FROM r GROUP BY key, max_pages""",
+    "ag11_snapshot_bots": """SELECT b.id, sha256(coalesce(j, '[]')) AS documents FROM #bots b LEFT JOIN (
+    SELECT agent_id, '[' || string_agg(cast(to_json({'title': title, 'content': content}) AS string), ',' ORDER BY id) || ']' AS j
+    FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY id) AS place FROM #knowledge) WHERE place <= 200 GROUP BY agent_id) k ON k.agent_id = b.id""",
     "ag14_run_log": "SELECT o_orderkey AS id, count(l_linenumber) AS steps, coalesce(string_agg(l_linenumber || '/' || l_returnflag || '/' || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus), '') AS log FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "jn15_seed_starters": "SELECT u.id AS user_id, a.id AS agent_id, 0 AS position, a.name AS title, 'text' AS content FROM #bots a JOIN #users u ON cast(a.id AS int) % 40 = 0 OR u.org_id = a.org_id",
     "tx24_clean_hooks": f"WITH {_E} SELECT id, 'X-Kind' AS names, event_type AS kind, event_type AS body, false AS refused FROM e",
