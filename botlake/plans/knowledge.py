@@ -33,7 +33,7 @@ def q_search(s: SparkSession, d: str, english: bool) -> DataFrame:
 
 def q_rewrites(s: SparkSession, d: str) -> DataFrame:
     docs = _docs(s, d).select("id", "content")
-    slices = kb.slice_documents(docs.where("cast(id as long) % 2 = 0")).withColumn("content", F.when(F.col("id").cast("long") % 4 == 0, F.lit("short")).otherwise(F.upper("content")))
+    slices = kb.slice_documents(docs.where("cast(id as long) % 2 = 0")).withColumn("content", F.when(F.col("id").cast("long") % 4 == 0, F.lit("short")).otherwise(F.lower("content")))
     return _digest(kb.apply_rewrites(docs, slices).select("id", "normalized", "content"), "content")
 
 

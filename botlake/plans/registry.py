@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, extra, knowledge, money, rules
+from . import chats, extra, knowledge, money, rules, statements
 
-MODULES = [money, knowledge, chats, rules, extra]
+MODULES = [money, knowledge, chats, rules, extra, statements]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
