@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions import urls as u
 from ..operators import crawl, experiments, schedule, tables
 from ..sources import tables as src
-from ..streaming import stateful
+from ..streaming import stateful, streams
 from .inputs import view, with_views
 
 AS_OF = "2024-01-15 12:00:00"
@@ -169,12 +169,38 @@ def q_limit(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_admit(s: SparkSession, d: str) -> DataFrame:
+    """Calls settle after 30 seconds. Anonymous ones spend the public cap, a person's the member cap, an item's the item cap, all the balance."""
     e = view(s, d, "llm_usage").where("org_id is not null")
-    scopes = F.array_compact(F.array(F.struct(F.lit("platform").alias("scope"), F.lit("").alias("key")), F.when(F.col("item_id").isNotNull(), F.struct(F.lit("item").alias("scope"), F.concat_ws(":", "org_id", "item_type", "item_id").alias("key")))))
-    asks = e.select("id", F.col("at").alias("ts"), F.lit("ask").alias("kind"), F.col("id").alias("call"), "org_id", scopes.alias("scopes"), (F.col("cost_usd") * 2).cast("double").alias("estimate"), F.lit(0.0).alias("actual"))
-    settled = e.select((-F.col("id") - 1).alias("id"), F.timestamp_add("SECOND", F.lit(30), F.col("at")).alias("ts"), F.lit("settle").alias("kind"), F.col("id").alias("call"), "org_id", scopes.alias("scopes"), F.lit(0.0).alias("estimate"), F.col("cost_usd").cast("double").alias("actual"))
-    caps = e.where("item_id is not null").select(F.lit("item").alias("scope"), F.concat_ws(":", "org_id", "item_type", "item_id").alias("key"), "org_id").distinct().withColumn("cap_usd", F.lit(0.3))
-    return stateful.admit_calls(asks.unionByName(settled), caps, view(s, d, "org_billing"))
+    person, item = F.concat_ws(":", "org_id", "user_id"), F.concat_ws(":", "org_id", "item_type", "item_id")
+    of = lambda when, scope, key: F.when(when, F.struct(F.lit(scope).alias("scope"), key.alias("key")))
+    e = e.withColumn(
+        "scopes",
+        F.array_compact(F.array(of(F.lit(True), "platform", F.lit("")), of(F.col("item_id").isNotNull(), "item", item), of(F.col("user_id").isNull(), "org-public", F.col("org_id")), of(F.col("user_id").isNotNull(), "member", person))),
+    )
+    zero, cost = F.lit(0.0), F.col("cost_usd").cast("double")
+    asks = e.select("id", F.col("at").alias("ts"), F.lit("ask").alias("kind"), F.col("id").alias("call"), "org_id", "scopes", (cost * 2).alias("estimate"), zero.alias("actual"))
+    later = F.timestamp_add("SECOND", F.lit(30), F.col("at"))
+    settled = e.select((-F.col("id") - 1).alias("id"), later.alias("ts"), F.lit("settle").alias("kind"), F.col("id").alias("call"), "org_id", "scopes", zero.alias("estimate"), cost.alias("actual"))
+    items = e.where("item_id is not null").select(F.lit("item").alias("scope"), item.alias("key"), "org_id").distinct().withColumn("cap_usd", F.lit(0.3))
+    public = view(s, d, "org_billing").where("public_monthly_cap_usd is not null").select(F.lit("org-public").alias("scope"), F.col("org_id").alias("key"), "org_id", F.col("public_monthly_cap_usd").cast("double").alias("cap_usd"))
+    members = view(s, d, "usage_limits").where("kind = 'member'").select(F.lit("member").alias("scope"), F.concat_ws(":", "org_id", "target_id").alias("key"), "org_id", F.col("monthly_usd").cast("double").alias("cap_usd"))
+    return stateful.admit_calls(asks.unionByName(settled), items.unionByName(public).unionByName(members), view(s, d, "org_billing"))
+
+
+def q_bursts(s: SparkSession, d: str) -> DataFrame:
+    m = streams.event_time(view(s, d, "messages").withColumn("addressed", F.col("id") % 3 == 0))
+    out = streams.stream_bursts(m, gap="10 minutes")
+    return out.select("number_id", "chat", F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"), "messages", "addressed", F.sha2("text", 256).alias("text"))
+
+
+def q_rates(s: SparkSession, d: str) -> DataFrame:
+    return streams.stream_rates(streams.event_time(view(s, d, "messages")), "chat", "1 hour").select("chat", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+def q_stream_triggers(s: SparkSession, d: str) -> DataFrame:
+    """The batch twin of the fan-out of added rows: the stream's plan over stored rows."""
+    rows = view(s, d, "table_rows").select("id", "table_id", F.concat_ws("", F.col("id") % 25).alias("org_id"), F.concat(F.lit("automation:a"), F.col("id") % 50).alias("written_by"))
+    return streams.stream_triggers(rows, _automations(s, d))
 
 
 def q_anniversaries(s: SparkSession, d: str) -> DataFrame:
@@ -237,6 +263,9 @@ QUERIES = {
     "st04_rate_limit": q_limit,
     "st05_detect_loops": lambda s, d: stateful.detect_loops(view(s, d, "messages").select("chat", "id", "ts", "from_me"), 600.0, 2, 1800),
     "st06_admit_calls": q_admit,
+    "st02_stream_bursts": q_bursts,
+    "st03_stream_rates": q_rates,
+    "st10_stream_triggers": q_stream_triggers,
     "st08_poll_feed": q_feed,
     "st09_claim_status": lambda s, d: experiments.claim_status(_events(s, d).select((F.col("id") % 3000).alias("message_id"), F.col("ts").alias("at"), (F.col("k") % 2 == 0).alias("done")), "2024-01-30 20:00:00", 86_400),
     "ud01_apply_user_fn": lambda s, d: tables.apply_user_fn(_events(s, d).select("id", "value", "k"), lambda v, k: v * 2 + k, ["value", "k"], "double").select("id", F.round("result", 6).alias("result")),

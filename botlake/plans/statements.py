@@ -8,6 +8,7 @@ from __future__ import annotations
 from ..functions import text as tx
 from ..functions import urls as u
 from ..operators import crawl, schedule
+from ..streaming import stateful
 from .inputs import with_views
 
 
@@ -172,6 +173,37 @@ MACHINES = {
     "st05_detect_loops": replayed("SELECT chat, id, {'us': epoch_us(ts), 'me': from_me} AS e FROM #messages", "chat", _loops(600, 2, 1800), "{'replied': NULL::bigint, 'awaiting': false, 'streak': 0::bigint, 'until': NULL::bigint, 'out': []::boolean[]}", "paused"),
 }
 
+
+def _admission() -> str:
+    """The state keeps what was settled and what is held as lists of calls; amounts are billionths."""
+    live = f"list_filter(s.holds, lambda h: h.us > x.us - {stateful.HOLD_SECONDS * 10**6})"
+    used = lambda keep: f"coalesce(list_sum(list_transform(list_filter(list_concat(s.settled, {live}), lambda h: {keep}), lambda h: h.v)), 0)"
+    refusal = f"""CASE WHEN x.person IS NULL AND {used("h.person IS NULL")} + x.v > x.public_cap THEN 'org-public'
+      WHEN x.balance - {used("true")} < x.v THEN 'balance' WHEN x.item IS NOT NULL AND {used("h.item = x.item")} + x.v > 300000000 THEN 'item'
+      WHEN x.person IS NOT NULL AND {used("h.person = x.person")} + x.v > x.member_cap THEN 'member' END"""
+    mine = "{'us': x.us, 'call': x.call, 'item': x.item, 'person': x.person, 'v': x.v}"
+    step = f"""{{'settled': CASE WHEN x.ask THEN s.settled ELSE list_append(s.settled, {mine}) END,
+    'holds': CASE WHEN NOT x.ask THEN list_filter({live}, lambda h: h.call <> x.call) WHEN ({refusal}) IS NULL THEN list_append({live}, {mine}) ELSE {live} END,
+    'out': CASE WHEN x.ask THEN list_append(s.out, {{'id': x.call, 'refusal': {refusal}}}) ELSE s.out END}}"""
+    call = "STRUCT(us bigint, \"call\" bigint, item varchar, person varchar, v bigint)[]"
+    return f"""WITH u AS (SELECT l.*, item_type || ':' || item_id AS item, cast(round(cast(public_monthly_cap_usd AS double) * 1e9) AS bigint) AS public_cap, cast(round(cast(balance_usd AS double) * 1e9) AS bigint) AS balance,
+    cast(round(cast(m.monthly_usd AS double) * 1e9) AS bigint) AS member_cap FROM #llm_usage l LEFT JOIN #org_billing b ON b.org_id = l.org_id
+    LEFT JOIN #usage_limits m ON m.kind = 'member' AND m.org_id = l.org_id AND m.target_id = l.user_id WHERE l.org_id IS NOT NULL),
+  e AS (SELECT org_id, epoch_us(at) AS us, true AS ask, id AS call, id AS n, item, user_id AS person, public_cap, balance, member_cap, cast(round(cast(cost_usd AS double) * 2e9) AS bigint) AS v FROM u
+    UNION ALL SELECT org_id, epoch_us(at) + 30000000, false, id, -id - 1, item, user_id, public_cap, balance, member_cap, cast(round(cast(cost_usd AS double) * 1e9) AS bigint) FROM u),
+  g AS (SELECT org_id, list({{'us': us, 'ask': ask, 'call': call, 'item': item, 'person': person, 'public_cap': public_cap, 'balance': balance, 'member_cap': member_cap, 'v': v}} ORDER BY us, NOT ask, n) AS es FROM e GROUP BY org_id),
+  f AS (SELECT unnest(list_reduce(es, lambda s, x: {step}, {{'settled': []::{call}, 'holds': []::{call}, 'out': []::STRUCT(id bigint, refusal varchar)[]}}).out) AS o FROM g)
+  SELECT o.id AS id, o.refusal AS refusal FROM f"""
+
+
+MACHINES["st06_admit_calls"] = _admission()
+MACHINES["st02_stream_bursts"] = """WITH m AS (SELECT *, ts - lag(ts) OVER (PARTITION BY number_id, chat ORDER BY ts, id) AS quiet FROM #messages),
+  b AS (SELECT *, count(*) FILTER (quiet IS NULL OR quiet >= to_minutes(10)) OVER (PARTITION BY number_id, chat ORDER BY ts, id) AS burst FROM m)
+  SELECT number_id, chat, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, count(*) AS messages, bool_or(id % 3 = 0) AS addressed, sha256(string_agg(text, chr(10) ORDER BY ts, id)) AS text FROM b GROUP BY number_id, chat, burst"""
+MACHINES["st03_stream_rates"] = "SELECT chat, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM #messages GROUP BY 1, 2"
+MACHINES["st10_stream_triggers"] = """SELECT r.id AS row_id, 'a' || b.id AS automation_id FROM #table_rows r JOIN #bots b ON cast(b.id AS int) % 4 > 0 AND cast(cast(b.id AS int) % 5 AS string) = r.table_id
+  AND b.org_id = cast(r.id % 25 AS string) WHERE b.id <> cast(r.id % 50 AS string)"""
+
 # ---- calendars
 
 # The Hebrew calendar from its arithmetic: mean conjunctions, postponements, the lengths of years and months.

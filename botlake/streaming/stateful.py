@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -57,19 +58,34 @@ def session_step(state: tuple, us: int, ended: bool, idle: int) -> tuple[tuple,
     return (us, session, ended), session
 
 
-def replay(rows: DataFrame, keys: list[str], start: tuple, step: Callable, inputs: list[str], to: str, kind: str) -> DataFrame:
-    """The batch twin: rows (keys, id, ts, inputs) of a key in (ts, id) order through step; one key's rows are one group, as its state is sequential."""
-    rows = rows.withColumn("_us", micros(F.col("ts")))
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t, state, out = t.sort_values(["_us", "id"]), start, []
-        for args in zip(t["_us"].astype("int64"), *[t[c] for c in inputs]):
-            state, value = step(state, *args)
-            out.append(value)
-        return pd.DataFrame({**{k: t[k] for k in keys}, "id": t["id"], to: out})
+def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, to: str, kind: str) -> DataFrame:
+    """(keys, id, to) of rows walked key by key in the given order; step(state, row) returns the next state and the row's value.
 
+    Spark shuffles by key and sorts; a task walks its rows Arrow batch by Arrow batch and holds one state and one batch,
+    so a key of any number of rows is bounded in memory (its rows stay sequential, as the rule is). Null keys are one key.
+    """
     kinds = dict(rows.dtypes)
-    return rows.select(*keys, "id", "_us", *inputs).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "id long", f"{to} {kind}"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != at:
+                    at, state = key, start()
+                state, value = step(state, row)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keys, "id"]), pa.array(out, {"boolean": pa.bool_(), "string": pa.string()}[kind])], names=[*keys, "id", to])
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"id {kinds['id']}", f"{to} {kind}"])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def replay(rows: DataFrame, keys: list[str], start: tuple, step: Callable, inputs: list[str], to: str, kind: str) -> DataFrame:
+    """The batch twin: rows (keys, id, ts, inputs) of a key in (ts, id) order through step."""
+    rows = rows.withColumn("_us", micros(F.col("ts"))).select(*keys, "id", "_us", *inputs)
+    return in_order(rows, keys, ["_us", "id"], lambda: start, lambda s, r: step(s, r["_us"], *(r[c] for c in inputs)), to, kind)
 
 
 def rate_limit(events: DataFrame, limit: int = 10, window: int = 900, lock: int = 900) -> DataFrame:
@@ -126,65 +142,97 @@ def stream_sessions(messages: DataFrame, idle: int = 1800) -> DataFrame:
 HOLD_SECONDS = 600
 
 
+ORDER = ("platform", "org-public", "balance", "item", "member")
+NANO = 10**9
+
+
+class Admission:
+    """What decides on the calls of one ordered group: amounts spent and held a scope, balances, caps and open holds, all in billionths of a dollar.
+
+    Running sums make a decision cost its own scopes only; holds lie in time order, so those that lapsed are at the front.
+    """
+
+    def __init__(self, caps: dict[tuple[str, str], float], balances: dict[str, float]):
+        self.caps, self.left = {k: nano(v) for k, v in caps.items()}, {k: nano(v) for k, v in balances.items()}
+        self.used: dict[tuple[str, str], int] = {}
+        self.held: dict[str | None, int] = {}
+        self.holds: dict[int, tuple[int, str | None, list[tuple[str, str]], int]] = {}
+
+    def _add(self, org: str | None, scopes: list[tuple[str, str]], amount: int) -> None:
+        for scope in scopes:
+            self.used[scope] = self.used.get(scope, 0) + amount
+        self.held[org] = self.held.get(org, 0) + amount
+
+    def release(self, call: int) -> list[tuple[str, str]] | None:
+        """Takes a call's hold back; its scopes, or None without one."""
+        hold = self.holds.pop(call, None)
+        if hold:
+            self._add(hold[1], hold[2], -hold[3])
+        return hold[2] if hold else None
+
+    def step(self, us: int, kind: str, call: int, org: str | None, scopes: list[tuple[str, str]], estimate: float, actual: float) -> str | None:
+        """The refusal of an ask, or None."""
+        while self.holds and next(iter(self.holds.values()))[0] <= us - HOLD_SECONDS * SECOND:
+            self.release(next(iter(self.holds)))
+        if kind == "settle":
+            for scope in self.release(call) or scopes:
+                self.used[scope] = self.used.get(scope, 0) + nano(actual)
+            if org in self.left:
+                self.left[org] -= nano(actual)
+            return None
+        wanted = nano(estimate)
+        found = {s[0] for s in scopes if s in self.caps and self.used.get(s, 0) + wanted > self.caps[s]}
+        if org in self.left and self.left[org] - self.held.get(org, 0) < wanted:
+            found.add("balance")
+        refusal = next((name for name in ORDER if name in found), None)
+        if refusal is None:
+            self.release(call)
+            self.holds[call] = (us, org, scopes, wanted)
+            self._add(org, scopes, wanted)
+        return refusal
+
+
+def nano(dollars: float) -> int:
+    return round(dollars * NANO)
+
+
 def admit_group(events: pd.DataFrame, caps: dict[tuple[str, str], float], balances: dict[str, float]) -> pd.DataFrame:
-    """Decisions on the calls of one ordered group: refusal or null.
+    """Decisions on the asks of one ordered group: refusal or null.
 
     events in time order: id, us, kind (ask or settle), call, org_id, scopes (list of scope, key), estimate, actual. An ask
     is refused by the first of platform, org-public, balance, item, member whose spend, holds and estimate pass the cap; else
     its estimate is held on every scope until it settles or ten minutes pass.
     """
-    spent: dict[tuple[str, str], float] = {}
-    holds: dict[int, tuple[int, str, list, float]] = {}
-    left = dict(balances)
-    order = {"platform": 0, "org-public": 1, "balance": 2, "item": 3, "member": 4}
-    out = []
-    for e in events.itertuples():
-        for call in [c for c, h in holds.items() if h[0] <= e.us - HOLD_SECONDS * SECOND] if holds else []:
-            del holds[call]
-        if e.kind == "settle":
-            held = holds.pop(e.call, None)
-            scopes = held[2] if held else [tuple(x) for x in e.scopes]
-            for s in scopes:
-                spent[s] = spent.get(s, 0.0) + e.actual
-            if e.org_id in left:
-                left[e.org_id] -= e.actual
-            continue
-        scopes = [tuple(x) for x in e.scopes]
-        found = []
-        for s in scopes:
-            if s in caps:
-                now = spent.get(s, 0.0) + sum(h[3] for h in holds.values() if s in h[2])
-                if now + e.estimate > caps[s]:
-                    found.append(s[0])
-        if e.org_id in left and left[e.org_id] - sum(h[3] for h in holds.values() if h[1] == e.org_id) - e.estimate < 0:
-            found.append("balance")
-        refusal = min(found, key=order.get) if found else None
-        if refusal is None:
-            holds[e.call] = (e.us, e.org_id, scopes, e.estimate)
-        out.append((e.id, refusal))
-    return pd.DataFrame(out, columns=["id", "refusal"])
+    state = Admission(caps, balances)
+    out = [(e.id, e.kind, state.step(e.us, e.kind, e.call, e.org_id, [tuple(x) for x in e.scopes], e.estimate, e.actual)) for e in events.itertuples()]
+    return pd.DataFrame([(i, refusal) for i, kind, refusal in out if kind == "ask"], columns=["id", "refusal"])
 
 
 def admit_calls(events: DataFrame, caps: DataFrame, billing: DataFrame, platform_cap: float | None = None) -> DataFrame:
     """(id, refusal) of every ask in events (id, ts, kind, call, org_id, scopes array<struct<scope,key>>, estimate, actual).
 
     With a platform cap every decision depends on all earlier ones, so all calls are one ordered group, which is
-    what the rule says (a month's calls bound it); without, an organization's are. An organization's caps
-    (scope, key, org_id, cap_usd) and balance travel with its events, so nothing is broadcast or collected.
+    what the rule says; without, an organization's are. A task holds one batch of rows and the group's sums. Each cap
+    (scope, key, org_id, cap_usd) comes with the rows of its scope and key by an equi-join, each balance with its organization's.
     """
-    caps_of = caps.groupBy("org_id").agg(F.collect_list(F.struct("scope", "key", F.col("cap_usd").cast("double").alias("cap"))).alias("_caps"))
     money = billing.where(F.col("balance_usd").isNotNull()).select("org_id", F.col("balance_usd").cast("double").alias("_bal"))
     group = F.lit("all") if platform_cap is not None else F.coalesce("org_id", F.lit(""))
-    first = F.row_number().over(Window.partitionBy("org_id").orderBy("ts", "id")) == 1
-    rows = events.withColumn("_first", first).join(caps_of, "org_id", "left").join(money, "org_id", "left")
-    rows = rows.select(group.alias("g"), "id", micros(F.col("ts")).alias("us"), "kind", "call", "org_id", F.transform("scopes", lambda s: F.array(s["scope"], s["key"])).alias("scopes"), F.col("estimate").cast("double").alias("estimate"), F.col("actual").cast("double").alias("actual"), F.when(F.col("_first"), F.transform("_caps", lambda c: F.array(c["scope"], c["key"], c["cap"].cast("string")))).alias("caps"), "_bal")
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["us", "kind", "id"])
-        known = {("platform", ""): platform_cap} if platform_cap is not None else {}
-        for cs in t["caps"].dropna():
-            known.update({(c[0], c[1]): float(c[2]) for c in cs})
-        balances = {o: b for o, b in zip(t["org_id"], t["_bal"]) if pd.notna(b)}
-        return admit_group(t, known, balances)
-
-    return rows.groupBy("g").applyInPandas(run, "id long, refusal string")
+    kept = events.select(group.alias("g"), "id", micros(F.col("ts")).alias("_us"), "kind", "call", "org_id", "scopes", F.col("estimate").cast("double").alias("estimate"), F.col("actual").cast("double").alias("actual"))
+    priced = caps.groupBy("scope", "key").agg(F.max(F.col("cap_usd").cast("double")).alias("_cap"))
+    one = kept.select("id", "kind", F.explode("scopes").alias("s")).select("id", "kind", "s.scope", "s.key").join(priced, ["scope", "key"])
+    capped = one.groupBy("id", "kind").agg(F.collect_list(F.struct("scope", "key", "_cap")).alias("_caps"))
+    rows = kept.join(capped, ["id", "kind"], "left").join(money, "org_id", "left")
+
+    def start() -> Admission:
+        return Admission({("platform", ""): platform_cap} if platform_cap is not None else {}, {})
+
+    def step(state: Admission, row: dict) -> tuple[Admission, str | None]:
+        for c in row["_caps"] or []:
+            state.caps.setdefault((c["scope"], c["key"]), nano(c["_cap"]))
+        if row["_bal"] is not None:
+            state.left.setdefault(row["org_id"], nano(row["_bal"]))
+        scopes = [(s["scope"], s["key"]) for s in row["scopes"] or []]
+        refusal = state.step(row["_us"], row["kind"], row["call"], row["org_id"], scopes, row["estimate"], row["actual"])
+        return state, refusal if row["kind"] == "ask" else "settled"
+
+    return in_order(rows, ["g"], ["_us", "kind", "id"], start, step, "refusal", "string").where("refusal is null or refusal <> 'settled'").drop("g")
