@@ -72,7 +72,7 @@ QUERIES = {
     "so03_record_joins": lambda s, d: groups.record_joins(_messages(s, d).select("number_id", F.col("chat").alias("jid"), F.array("phone", F.col("chat"), "phone").alias("members"), F.col("ts").alias("at"))),
     "ag07_number_people": lambda s, d: groups.number_people(_messages(s, d).select("number_id").distinct(), _messages(s, d).groupBy("number_id", F.col("phone").alias("name")).agg(F.min("ts").alias("joined_at")).withColumn("active", F.col("name").cast("int") % 50 == 1)),
     "tx19_transcript": lambda s, d: _sha(groups.transcript(_messages(s, d).select("number_id", "chat", "id", "ts", F.col("phone").alias("sender"), F.col("quoted_wa_id").alias("quote"), "text"), "UTC"), "text"),
-    "tx18_resolve_mentions": lambda s, d: groups.resolve_mentions(_messages(s, d).select("id", "chat", F.concat(F.lit("hi @Customer "), "phone", F.lit(" and @all"[:0]), "text").alias("text")), _messages(s, d).select("chat", F.concat("phone", F.lit("@s")).alias("jid"), F.concat(F.lit("Customer "), "phone").alias("name"), "phone").distinct()).select("id", "text", F.size("mentions").alias("mentions")),
+    "tx18_resolve_mentions": lambda s, d: groups.resolve_mentions(_messages(s, d).select("id", "chat", F.concat(F.lit("hi @Customer "), "phone", F.lit(" and @"), "chat", F.lit(" "), "text").alias("text")), _messages(s, d).select("chat", F.concat("phone", F.lit("@s")).alias("jid"), F.concat(F.lit("Customer "), "phone").alias("name"), "phone").distinct()).select("id", "text", F.size("mentions").alias("mentions")),
     "js05_clean_dates": lambda s, d: groups.clean_dates(q_dates(s, d)).select("id", "name", "year", "kind", "error"),
     "so02_import_dates": lambda s, d: groups.import_dates(q_dates(s, d).where("id % 4 = 0"), q_dates(s, d).where("id % 4 <> 1")).select("id", "outcome"),
 }

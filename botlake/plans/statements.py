@@ -112,6 +112,49 @@ ADDRESSES = {
     "tk04_next_frontier": FRONTIER,
 }
 
+# ---- pages as text
+
+
+def page_text(source: str) -> str:
+    """CTEs up to `texted` (page_id, t): every tag says what it writes and whether a line (1) or a paragraph (2) ends before it; lines are joined again by what ended them.
+
+    Of character references only those of the tables are decoded.
+    """
+    unread = "|".join(["<!--.*?-->", *[f"<{n}(?:[^a-z0-9:>-][^>]*)?>.*?</{n}>" for n in tx.UNREAD]])
+    block = ", ".join(f"'{n}'" for n in tx.PARAGRAPHS)
+    decoded = "line"
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        decoded = f"regexp_replace({decoded}, '&{name};?', '{sign}', 'g')"
+    heads = "regexp_matches(tag, '^h[1-6]$')"
+    return f"""tokens AS (SELECT page_id, x, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?si){unread}', '<->', 'g'), '<[^>]+>|[^<]+|<') AS x FROM {source})),
+  tags AS (SELECT page_id, n, x[n] AS tok, starts_with(x[n], '<') AND length(x[n]) > 1 AS is_tag, starts_with(x[n], '</') AS ends, coalesce(nullif(lower(regexp_extract(x[n], '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)), ''), '-') AS tag FROM tokens),
+  marked AS (SELECT *, is_tag AND {heads} AS head, is_tag AND ends AND tag IN ({block}) AS closes FROM tags),
+  stated AS (SELECT *, coalesce(last_value(CASE WHEN head AND NOT ends THEN true WHEN closes OR head THEN false END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM marked),
+  written AS (SELECT page_id, n, CASE WHEN NOT is_tag THEN replace(tok, chr(10), CASE WHEN inside THEN ' ' ELSE chr(1) END) WHEN head THEN chr(2) || CASE WHEN ends THEN '' ELSE repeat('#', least(cast(tag[2] AS int) + 1, 6)) || ' ' END
+    WHEN inside AND NOT closes THEN ' ' WHEN tag = 'br' OR (tag = 'li' AND NOT ends) THEN chr(1) || CASE tag WHEN 'li' THEN '- ' ELSE '' END
+    WHEN closes THEN chr(2) WHEN ends AND tag IN ('td', 'th') THEN chr(9) ELSE ' ' END AS w FROM stated),
+  pages_written AS (SELECT page_id, string_agg(w, '' ORDER BY n) || chr(1) AS t FROM written GROUP BY page_id),
+  ended AS (SELECT page_id, k, trim(regexp_replace(replace({decoded.replace('line', 'x[k][:-2]')}, chr(160), ' '), '[ \t]{{2,}}', ' ', 'g'), ' ' || chr(9)) AS line, x[k][-1] = chr(2) AS blank
+    FROM (SELECT page_id, x, generate_subscripts(x, 1) AS k FROM (SELECT page_id, regexp_extract_all(t, '(?s)[^\x01\x02]*[\x01\x02]') AS x FROM pages_written))),
+  kept AS (SELECT *, line <> '' AND NOT regexp_matches(line, '^(-|#+)$') AS keeps FROM ended),
+  runs AS (SELECT page_id, g, any_value(line) FILTER (keeps) AS line, bool_or(blank OR line = '') AS gap FROM (SELECT *, count(*) FILTER (keeps) OVER (PARTITION BY page_id ORDER BY k) AS g FROM kept) GROUP BY page_id, g),
+  texted AS (SELECT p.page_id, coalesce({strip('r.t')}, '') AS t FROM {source} p LEFT JOIN (SELECT page_id, string_agg(line || CASE WHEN gap THEN chr(10) || chr(10) ELSE chr(10) END, '' ORDER BY g) AS t FROM runs WHERE g > 0 GROUP BY page_id) r USING (page_id))"""
+
+
+_ONE = f"pages_of AS (SELECT page_id, html, {canonical('url')} AS url FROM #web_pages QUALIFY row_number() OVER (PARTITION BY {canonical('url')} ORDER BY page_id) = 1)"
+_CRAWLED = f"""{_ONE}, {page_text('pages_of')},
+  crawled AS (SELECT page_id, {_SITE} AS site, url, substr(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '<[^>]+>', '', 'g')), 1, 200) AS title,
+    CASE WHEN length(t) > {crawl.MOST_CHARS} THEN substr(t, 1, {crawl.MOST_CHARS}) || chr(10) || chr(10) || '[…truncated]' ELSE t END AS content, length(t) > {crawl.MOST_CHARS} AS truncated
+    FROM pages_of JOIN texted USING (page_id) WHERE length(t) >= {crawl.LEAST_CHARS})"""
+PAGES = {
+    "tx01_html_to_text": f"WITH {page_text('#web_pages')} SELECT page_id, sha256(t) AS text FROM texted",
+    "tx09_crawl_documents": f"WITH {_CRAWLED} SELECT page_id, site, url, title, sha256(content) AS content, truncated FROM crawled",
+    "ag09_crawl_report": f"""WITH {_CRAWLED},
+  stored AS (SELECT site, count(*) AS pages, sum(length(content)) AS chars, count(*) FILTER (length(content) < {crawl.THIN_CHARS}) AS thin, count(*) FILTER (truncated) AS truncated FROM crawled GROUP BY site),
+  asked AS (SELECT site, count(DISTINCT url) AS found, count(*) FILTER (NOT CASE WHEN path LIKE '/fr/8%' THEN true WHEN path LIKE '/fr/%' THEN false ELSE path NOT LIKE '/%/' END) AS blocked FROM (SELECT {_SITE} AS site, url, {_PATH} AS path FROM #web_pages) GROUP BY site)
+  SELECT site, coalesce(pages, 0) AS pages, cast(coalesce(chars, 0) AS bigint) AS chars, coalesce(thin, 0) AS thin, coalesce(truncated, 0) AS truncated, found, blocked FROM asked LEFT JOIN stored USING (site)""",
+}
+
 # ---- conversations
 
 _HISTORY = """talk AS (SELECT id, len(roles) AS n, list_filter(list_zip(roles, texts)[-500:], lambda m: m[1] IN ('user', 'assistant')) AS t FROM #chat_sessions),
@@ -132,6 +175,8 @@ CONVERSATIONS = {
     FROM m JOIN w USING (number_id, phone) WHERE started_at <= ts AND ts <= started_at + to_hours(48) AND (NOT approval OR answers) GROUP BY ALL),
   taken AS (SELECT unnest(list_reduce(c, lambda s, x: CASE WHEN len(list_filter(s, lambda y: y.m = x.m OR y.r = x.r)) > 0 THEN s ELSE list_append(s, x) END, [{'m': -1::bigint, 'r': -1::bigint}])) AS x FROM met)
   SELECT x.m AS message_id, x.r AS run_id FROM taken WHERE x.m >= 0""",
+    "tx18_resolve_mentions": """SELECT id, 'hi @' || phone || ' and @' || chat || ' ' || text AS text,
+    1 + (chat <> phone AND EXISTS (SELECT 1 FROM #messages o WHERE o.chat = m.chat AND o.phone = m.chat))::int AS mentions FROM #messages m""",
     "ex01_assign_branches": """WITH b AS (SELECT 'b' || id AS branch_id, cast(cast(id AS int) % 10 AS string) AS agent_id, cast(id AS int) % 4 AS weight FROM #bots WHERE cast(id AS int) % 5 > 0 AND cast(id AS int) % 4 > 0),
   c AS (SELECT agent_id, branch_id, weight, sum(weight) OVER (PARTITION BY agent_id ORDER BY branch_id) AS hi FROM b),
   s AS (SELECT id, agent_id, cast(id AS int) % 3 = 0 AS decided, cast('0x' || substr(md5(id || ':7'), 1, 8) AS bigint) % 10000 / 100 AS roll FROM #chat_sessions)
@@ -250,4 +295,4 @@ CALENDARS = {
 }
 
 QUERIES: dict = {}
-ORACLES = {k: with_views(v) for group in (TEXTS, ADDRESSES, CONVERSATIONS, MACHINES, CALENDARS) for k, v in group.items()}
+ORACLES = {k: with_views(v) for group in (TEXTS, ADDRESSES, PAGES, CONVERSATIONS, MACHINES, CALENDARS) for k, v in group.items()}
