@@ -85,7 +85,6 @@ ORACLES = {
   WHERE source <> 'test' AND started_at <= timestamp '2024-01-30 23:59:59.999' AND len(roles) >= 2 AND '[' || array_to_string(list_transform(list_zip(roles, texts), lambda m: '{"role":"' || m[1] || '","content":"' || replace(replace(m[2], '"', '\\"'), chr(10), '\\n') || '"}'), ',') || ']' ILIKE '%an%the%'""",
     "tk02_session_page": "SELECT id, source, cast(len(roles) AS bigint) AS message_count FROM #chat_sessions WHERE source <> 'test' ORDER BY len(roles) DESC, id LIMIT 25 OFFSET 5",
     "ag05_channel_counts": "SELECT source, count(*) AS sessions FROM #chat_sessions WHERE source <> 'test' GROUP BY 1",
-    "ss06_append_exchange": "SELECT id, len(roles) * CASE WHEN cast(id AS int) % 6 = 0 THEN 2 ELSE 1 END AS messages FROM #chat_sessions",
     "st01_first_deliveries": "SELECT id, number_id, wa_id, epoch_us(arrived_at) - epoch_us(ts) > 600000000 AS late FROM (SELECT * REPLACE (cast(id % 4000 AS string) AS wa_id) FROM #messages) QUALIFY row_number() OVER (PARTITION BY number_id, wa_id ORDER BY arrived_at, ts) = 1",
     "wn02_last_n": "SELECT number_id, chat, id FROM #messages QUALIFY row_number() OVER (PARTITION BY number_id, chat ORDER BY id DESC) <= 20",
     "wn03_sessionize": """SELECT id, number_id, phone, sum(o) OVER (PARTITION BY number_id, phone ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM (

@@ -93,11 +93,9 @@ ORACLES = {
   SELECT site, 0 AS position, false AS allow, '/private' AS path, 2000 AS delay_ms FROM s UNION ALL SELECT site, 1, true, '/' || site, 2000 FROM s UNION ALL SELECT site, 0, NULL, 'https://' || site || '/map.xml', 2000 FROM s""",
     "tx08_parse_sitemap": f"SELECT {_SITE} AS site, false AS is_index, url AS loc FROM #web_pages",
     "js02_normalize_columns": "SELECT id, k || '/' || p_name || '/text,' || k || '_2/' || upper(p_name) || '/number,k/' || p_brand || '/text,again/Again/date' AS columns FROM (SELECT *, replace(p_name, ' ', '_') AS k FROM #table_rows)",
-    "jn05_find_tables": "SELECT id AS request_id, org_id AS table_id FROM #users",
     "mn04_clean_catalog": "SELECT id, round(p_retailprice / 1e9 * 1e6, 4) AS input_per_m, round(p_size / 1e6 * 1e6, 4) AS output_per_m, id % 2 = 0 AS tools, id % 2 <> 0 AS json, 'A model of ' || p_type AS description FROM #table_rows",
     "dt04_due_summaries": """WITH s AS (SELECT id, number_id, chat, greatest(coalesce(CASE WHEN id % 4 = 0 THEN timestamp '2024-01-15 12:00:00' - to_days(cast(id % 13 AS int)) END, timestamp '2024-01-15 12:00:00' - to_days(CASE WHEN id % 3 = 0 THEN 1 ELSE 7 END)), timestamp '2024-01-08 12:00:00') AS since FROM #messages WHERE id % 100 = 0)
   SELECT s.id, since, count(*) AS messages FROM s JOIN #messages m ON m.number_id = s.number_id AND m.chat = s.chat AND NOT m.from_me AND m.ts > since AND m.ts <= timestamp '2024-01-15 12:00:00' GROUP BY 1, 2 HAVING count(*) >= 5""",
-    "ag11_starter_drift": "SELECT id, id = '3' AS drifted FROM #bots",
     "tx12_restore_originals": "SELECT id, sha256(CASE WHEN cast(id AS bigint) % 2 = 0 THEN content ELSE 'rewritten' END) AS content, false AS normalized FROM #knowledge",
     "ex02_stop_experiments": "SELECT id, CASE WHEN date_diff('second', updated_at, timestamp '2024-01-03 00:00:00') < 31 * 60 THEN 'b1' END AS branch_id FROM #chat_sessions",
     "tx15_redact_definitions": "SELECT id, '{\"username\":\"' || username || '\",\"token\":\"\",\"inner\":{\"apiKey\":\"\",\"org_id\":\"' || org_id || '\"}}' AS definition FROM #users",

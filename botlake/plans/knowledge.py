@@ -83,10 +83,7 @@ ORACLES = {
   h AS (SELECT query_id, unit_id, round(sum(0.1::double * list_sum(list_transform(range(1, least(tf, 256) + 1), lambda j: 1.0::double / (j * j))) / 1.64493406685::double) / max(n), 9) AS rank FROM i JOIN a USING (agent_id, lexeme) GROUP BY ALL)
   SELECT query_id, unit_id, rank, cast(row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, unit_id) AS int) AS position FROM h QUALIFY position <= 6""",
     "tx14_mask_pii": f"SELECT id, {_SHA.format('content')} FROM (SELECT id, regexp_replace(CASE WHEN cast(agent_id AS int) % 2 = 0 THEN regexp_replace(content, '\\b\\d{{4}}[- ]?\\d{{4}}[- ]?\\d{{4}}[- ]?\\d{{4}}\\b', '[MASKED]', 'g') ELSE content END, '\\b\\d{{9}}\\b', '[MASKED]', 'g') AS content FROM #knowledge)",
-    "tx22_read_answer": "SELECT id, CASE id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'yes' END AS answer, id % 2 = 0 AS hebrew FROM #messages",
     "tx23_parse_json_reply": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS reply FROM events",
-    "tx17_normalize_phone": "SELECT id, CASE cast(id AS int) % 4 WHEN 0 THEN '97250' || lpad(id, 7, '1') WHEN 1 THEN '9725' || lpad(id, 8, '2') WHEN 2 THEN '9725' || lpad(id, 8, '3') END AS phone FROM #users",
-    "pf12_valid_session_id": "SELECT id, CASE id % 4 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true ELSE length(wa_id) * 60 <= 120 END AS valid FROM #messages",
     "tx15_mask_secrets": f"""SELECT id, {_SHA.format('content')} FROM (SELECT id, replace(replace(CASE WHEN length(m) >= 4 THEN replace(j, replace(replace(replace(m, chr(92), repeat(chr(92), 2)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), '••••') ELSE j END, 'ing ', '••••'), 'ing ', '••••') AS content
   FROM (SELECT id, substr(content, 3, 6) AS m, cast(to_json({{'content': content}}) AS string) AS j FROM #knowledge))""",
     "tx16_clip_json": """SELECT id, CASE WHEN length(j) > 45 THEN '{"__truncated":true,"bytes":' || length(j) || ',"preview":"' || replace(substr(j, 1, 2000), '"', '\\"') || '"}' ELSE j END AS value

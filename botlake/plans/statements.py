@@ -294,5 +294,26 @@ CALENDARS = {
   SELECT id, CASE WHEN by_hebrew THEN now - hyear ELSE 2024 - y END AS years FROM kept WHERE due""",
 }
 
+# ---- rules over inputs that differ by row
+
+_SNAPSHOT = "coalesce((SELECT list({{'t': {title}, 'c': content}} ORDER BY id)[:200] FROM #knowledge k WHERE k.agent_id = b.id), [])"
+_WORDS = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+RULES = {
+    "tx17_normalize_phone": """WITH r AS (SELECT id, CASE cast(id AS int) % 4 WHEN 0 THEN '050-' || lpad(id, 7, '1') WHEN 1 THEN '00972 5' || lpad(id, 8, '2') WHEN 2 THEN '5' || lpad(id, 8, '3') ELSE id END AS raw FROM #users),
+  d AS (SELECT id, regexp_replace(regexp_replace(raw, '[^0-9]', '', 'g'), '^00', '') AS d FROM r),
+  h AS (SELECT id, CASE WHEN length(d) = 10 AND starts_with(d, '0') THEN '972' || substr(d, 2) WHEN length(d) = 9 AND starts_with(d, '5') THEN '972' || d ELSE d END AS d FROM d)
+  SELECT id, CASE WHEN length(d) BETWEEN 8 AND 15 THEN d END AS phone FROM h""",
+    "tx22_read_answer": f"""WITH t AS (SELECT id, CASE id % 5 WHEN 0 THEN ' Yes! ' WHEN 1 THEN 'no.' WHEN 2 THEN 'כן' WHEN 3 THEN 'maybe' ELSE text END AS said, CASE id % 2 WHEN 0 THEN 'שלום' ELSE text END AS other FROM #messages),
+  b AS (SELECT *, lower(regexp_replace(ltrim(said), '\\s*[.!]*\\s*$', '')) AS bare FROM t)
+  SELECT id, CASE WHEN bare IN {_WORDS(tx.YES)} THEN 'yes' WHEN bare IN {_WORDS(tx.NO)} THEN 'no' END AS answer, regexp_matches(other, '[\\x{{0590}}-\\x{{05ff}}]') AS hebrew FROM b""",
+    "pf12_valid_session_id": """WITH v AS (SELECT id, CASE id % 4 WHEN 0 THEN text WHEN 1 THEN 'wa_' || wa_id WHEN 2 THEN number_id || ':' || wa_id ELSE repeat(wa_id, 60) END AS value FROM #messages)
+  SELECT id, length(value) <= 120 AND regexp_matches(value, '^[A-Za-z0-9_.:+-]+$') AND NOT regexp_matches(value, '(?i)^wal?_') AS valid FROM v""",
+    "ss06_append_exchange": """WITH e AS (SELECT id, agent_id, CASE WHEN cast(id AS int) % 2 = 0 THEN source ELSE 'x' END AS source, len(roles) AS n FROM #chat_sessions WHERE cast(id AS int) % 3 = 0)
+  SELECT s.id, len(roles) + coalesce(n, 0) AS messages FROM #chat_sessions s LEFT JOIN e ON e.id = s.id AND e.agent_id = s.agent_id AND e.source = s.source""",
+    "jn05_find_tables": """WITH w AS (SELECT id, org_id, CASE WHEN cast(id AS int) % 2 = 0 THEN org_id ELSE 'nation-' || org_id END AS ref FROM #users)
+  SELECT w.id AS request_id, o.id AS table_id FROM w JOIN #organizations o ON o.id = w.org_id AND (o.id = w.ref OR translate(lower(o.name), '_-. ', '') = translate(lower(w.ref), '_-. ', ''))""",
+    "ag11_starter_drift": f"SELECT id, {_SNAPSHOT.format(title='title')} <> {_SNAPSHOT.format(title="CASE WHEN agent_id = '3' THEN upper(title) ELSE title END")} AS drifted FROM #bots b",
+}
+
 QUERIES: dict = {}
-ORACLES = {k: with_views(v) for group in (TEXTS, ADDRESSES, PAGES, CONVERSATIONS, MACHINES, CALENDARS) for k, v in group.items()}
+ORACLES = {k: with_views(v) for group in (TEXTS, ADDRESSES, PAGES, CONVERSATIONS, MACHINES, CALENDARS, RULES) for k, v in group.items()}
