@@ -113,7 +113,8 @@ def with_views(text: str) -> str:
     """The oracle's SQL with a WITH clause of the views that it names as `#view`."""
     names = [n for n in VIEWS if re.search(rf"#{n}\b", text)]
     views = ",\n".join(f"v_{n} AS ({VIEWS[n](Engine(True)).replace('@', '').strip()})" for n in names)
-    body = re.sub(r"\bat\b", '"at"', re.sub(r"#(" + "|".join(VIEWS) + r")\b", r"v_\1", text).strip())  # a reserved word there
+    named = re.sub(r"#(" + "|".join(VIEWS) + r")\b", r"v_\1", text).strip()
+    body = re.sub(r"('(?:[^']|'')*')|\bat\b", lambda m: m[1] or '"at"', named)  # a reserved word there, but for quoted texts
     if not views:
         return body
     return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"

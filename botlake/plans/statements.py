@@ -71,6 +71,75 @@ TEXTS = {
   SELECT id, length(content) AS chars, CASE WHEN len(c) > 1 THEN len(c) ELSE 0 END AS chunks, source_url NOT LIKE '%3' AND length(content) <= 120000 AS eligible FROM #knowledge LEFT JOIN chunked USING (id)""",
 }
 
+# ---- search in both vocabularies
+
+_WORDS_OF = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+_REGION = "^[^aeiouy]*[aeiouy]*[^aeiouy]?"
+
+
+def short_end(w: str) -> str:
+    return f"(regexp_matches({w}, '^[aeiouy][^aeiouy]$') OR regexp_matches({w}, '[^aeiouy][aeiouy][^aeiouywxY]$'))"
+
+
+def cut_end(n: int, to: str = "", w: str = "w") -> str:
+    return f"left({w}, length({w}) - {n}) || '{to}'"
+
+
+def first_ending(pairs: list[tuple[str, str]], region: str, rest: str = "") -> str:
+    """The first ending that fits is replaced if it lies in the region."""
+    cases = " ".join(f"WHEN ends_with(w, '{end}') THEN CASE WHEN length(w) - {len(end)} >= {region} THEN {cut_end(len(end), to)} ELSE w END" for end, to in pairs)
+    return f"CASE {cases} {rest} ELSE w END"
+
+
+def stemmed(words: str) -> str:
+    """CTEs up to `stemmed` (word, s): the Porter2 stem of each of the distinct words, null for stop words; each step is one projection."""
+    special = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx._SPECIAL.items())
+    vowel = lambda x: f"regexp_matches({x}, '[aeiouy]')"
+    base, b = "CASE " + " ".join(f"WHEN ends_with(w, '{e}') THEN {cut_end(len(e))}" for e in ("ingly", "edly", "ing", "ed")) + " END", "b"
+    repaired = f"""CASE WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN {cut_end(1, w=b)}
+      WHEN {short_end('b')} AND r1 >= length(b) THEN b || 'e' ELSE b END"""
+    ogi = f"WHEN ends_with(w, 'ogi') AND length(w) - 3 >= r1 AND regexp_matches(w, 'logi$') THEN {cut_end(1)} WHEN length(w) - 2 >= r1 AND regexp_matches(w, '[cdeghkmnrt]li$') THEN {cut_end(2)}"
+    steps = [
+        ("s1", f"CASE WHEN ends_with(w, 'sses') THEN {cut_end(2)} WHEN regexp_matches(w, 'ie[ds]$') THEN CASE WHEN length(w) > 4 THEN {cut_end(2)} ELSE {cut_end(1)} END WHEN regexp_matches(w, '[^us]s$|^s$') AND {vowel('left(w, length(w) - 2)')} THEN {cut_end(1)} ELSE w END"),
+        ("s2", f"CASE WHEN w IN ({', '.join(repr(x) for x in sorted(tx._STAY))}) THEN w WHEN regexp_matches(w, 'eed(ly)?$') THEN {first_ending([('eedly', 'ee'), ('eed', 'ee')], 'r1')} WHEN b IS NOT NULL AND {vowel('b')} THEN {repaired} ELSE w END"),
+        ("s3", f"CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$') THEN {cut_end(1, 'i')} ELSE w END"),
+        ("s4", first_ending(tx._STEP2, "r1", ogi)),
+        ("s5", first_ending(tx._STEP3, "r1", f"WHEN ends_with(w, 'ative') AND length(w) - 5 >= r2 THEN {cut_end(5)}")),
+        ("s6", first_ending([(e, "") for e in tx._STEP4], "r2", f"WHEN length(w) - 3 >= r2 AND regexp_matches(w, '[st]ion$') THEN {cut_end(3)}")),
+        ("s7", f"CASE WHEN ends_with(w, 'e') THEN CASE WHEN length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT {short_end(cut_end(1))}) THEN {cut_end(1)} ELSE w END WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN {cut_end(1)} ELSE w END"),
+    ]
+    out = f"""s0 AS (SELECT word, w, r1, r1 + length(regexp_extract(substr(w, r1 + 1), '{_REGION}')) AS r2, false AS stays FROM (SELECT word, w, CASE WHEN regexp_matches(w, '^(gener|arsen)') THEN 5 WHEN starts_with(w, 'commun') THEN 6 ELSE length(regexp_extract(w, '{_REGION}')) END AS r1
+    FROM (SELECT DISTINCT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM {words})))"""
+    for n, (name, step) in enumerate(steps):
+        stays = f"w IN ({', '.join(repr(x) for x in sorted(tx._STAY))})" if name == "s2" else "stays"
+        source = f"(SELECT *, {base} AS b FROM s{n})" if name == "s2" else f"s{n}"
+        out += f",\n  {name} AS (SELECT word, CASE WHEN stays THEN w ELSE {step} END AS w, r1, r2, {stays} AS stays FROM {source})"
+    stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+    return out + f",\n  stemmed AS (SELECT word, CASE WHEN word IN ({stop}) THEN NULL WHEN length(word) <= 2 THEN word ELSE CASE word {special} ELSE replace(w, 'Y', 'y') END END AS s FROM s7)"
+
+
+_UNITS = f"""{chunks('#knowledge')},
+  units AS (SELECT CASE WHEN len(c) > 1 THEN id || '#' || k ELSE id END AS unit_id, agent_id, title, content FROM (
+    SELECT id, agent_id, title, c, generate_subscripts(x, 1) - 1 AS k, unnest(x) AS content FROM (SELECT k.*, c, CASE WHEN len(c) > 1 THEN c ELSE [content] END AS x FROM #knowledge k LEFT JOIN chunked USING (id))))"""
+_FOUND = f"""{_UNITS},
+  unit_words AS (SELECT unit_id, agent_id, word, count(*) AS tf FROM (SELECT unit_id, agent_id, unnest({_WORDS_OF.format("coalesce(title, '') || ' ' || coalesce(content, '')")}) AS word FROM units) GROUP BY ALL),
+  question_words AS (SELECT DISTINCT query_id, agent_id, unnest({_WORDS_OF.format('question')}) AS word FROM #questions),
+  {stemmed('(SELECT word FROM unit_words UNION ALL SELECT word FROM question_words)')},
+  lexemes AS (SELECT unit_id, agent_id, lexeme, sum(tf) AS tf FROM (SELECT unit_id, agent_id, word AS lexeme, tf FROM unit_words UNION ALL SELECT unit_id, agent_id, s, tf FROM unit_words JOIN stemmed USING (word) WHERE s IS NOT NULL) GROUP BY ALL),
+  asked AS (SELECT query_id, agent_id, 'simple' AS vocabulary, word AS lexeme FROM question_words UNION SELECT query_id, agent_id, 'english', s FROM question_words JOIN stemmed USING (word) WHERE s IS NOT NULL),
+  counted AS (SELECT *, count(*) OVER (PARTITION BY query_id, agent_id, vocabulary) AS n FROM asked),
+  ranks AS (SELECT query_id, unit_id, vocabulary, sum(0.1::double * list_sum(list_transform(range(1, cast(least(tf, 256) AS bigint) + 1), lambda j: 1.0::double / (j * j))) / 1.64493406685::double) / max(n) AS rank FROM lexemes JOIN counted USING (agent_id, lexeme) GROUP BY ALL),
+  best AS (SELECT query_id, unit_id, round(max(rank), 9) AS rank FROM ranks GROUP BY ALL),
+  found AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, unit_id) AS int) AS position FROM best QUALIFY position <= 6)"""
+SEARCH = {
+    "tx13_lexemes_english": f"""WITH counted AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest({_WORDS_OF.format('content')}) AS word FROM #knowledge) GROUP BY ALL), {stemmed('counted')}
+  SELECT id, lexeme, cast(sum(tf) AS bigint) AS tf FROM (SELECT id, word AS lexeme, tf FROM counted UNION ALL SELECT id, s, tf FROM counted JOIN stemmed USING (word) WHERE s IS NOT NULL) GROUP BY ALL""",
+    "tk01_search": f"WITH {_FOUND} SELECT query_id, unit_id, rank, position FROM found",
+    "tx20_build_contexts": f"""WITH {_FOUND},
+  passages AS (SELECT q.agent_id AS id, string_agg('[' || title || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY f.query_id, f.position, title, content) AS p FROM found f JOIN units USING (unit_id) JOIN #questions q USING (query_id) GROUP BY 1)
+  SELECT b.id, 'You are ' || name || chr(10) || chr(10) || coalesce(p || chr(10) || chr(10), '') || strftime(timestamp '2024-01-15 21:30:00' AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Jerusalem', 'Today is %A, %Y-%m-%d %H:%M') AS prompt FROM #bots b LEFT JOIN passages p ON p.id = b.id""",
+}
+
 # ---- addresses
 
 _SITE = "regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '')"
@@ -316,4 +385,4 @@ RULES = {
 }
 
 QUERIES: dict = {}
-ORACLES = {k: with_views(v) for group in (TEXTS, ADDRESSES, PAGES, CONVERSATIONS, MACHINES, CALENDARS, RULES) for k, v in group.items()}
+ORACLES = {k: with_views(v) for group in (TEXTS, SEARCH, ADDRESSES, PAGES, CONVERSATIONS, MACHINES, CALENDARS, RULES) for k, v in group.items()}
