@@ -122,3 +122,33 @@ def test_admission_refuses_in_order():
     assert refusals([event(0, "ask", 1, 6.0)], caps, {"o": 5.0}) == ["balance"]
     held = [event(0, "ask", 1, 1.5), event(1, "ask", 2, 1.0), event(2, "settle", 1, actual=0.5), event(3, "ask", 3, 1.5), event(11 * minute, "ask", 4, 1.5)]
     assert refusals(held, caps, {}) == [None, "member", None, None]
+
+
+def test_a_key_may_span_batches(spark):
+    """One hot key, a null key and small ones, dealt in batches of seven rows, against the step function by hand."""
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 5}", i, i * 97 % 400, i % 4 == 0) for i in range(400)]
+    events = spark.createDataFrame(rows, "bucket string, id long, s int, success boolean").withColumn("ts", F.timestamp_add("SECOND", F.col("s"), F.lit("2024-01-01").cast("timestamp_ntz")))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r["id"]: r["refused"] for r in stateful.rate_limit(events, 3, 60, 30).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    states, want = {}, {}
+    for key, i, s, success in sorted(rows, key=lambda r: (r[2], r[1])):
+        states[key], want[i] = stateful.limiter_step(states.get(key, (0, None, None)), s * 1_000_000, success, 3, 60, 30)
+    assert got == want and set(want.values()) == {True, False}
+    assert stateful.rate_limit(events.limit(0)).count() == 0
+
+
+def test_a_platform_cap_orders_all_calls(spark):
+    """Two organizations share the platform's cap; a settled call gives its hold back."""
+    of = "array(struct('platform' as scope, '' as key))"
+    rows = [(1, 0, "ask", 1, "a", 6.0, 0.0), (2, 1, "ask", 2, "b", 5.0, 0.0), (3, 2, "settle", 1, "a", 0.0, 1.0), (4, 3, "ask", 3, "b", 5.0, 0.0)]
+    events = spark.createDataFrame(rows, "id long, s int, kind string, call long, org_id string, estimate double, actual double")
+    events = events.withColumn("scopes", F.expr(of)).withColumn("ts", F.timestamp_add("SECOND", F.col("s"), F.lit("2024-01-01").cast("timestamp_ntz")))
+    caps = spark.createDataFrame([], "scope string, key string, org_id string, cap_usd double")
+    billing = spark.createDataFrame([("b", 100.0)], "org_id string, balance_usd double")
+    got = {r["id"]: r["refusal"] for r in stateful.admit_calls(events, caps, billing, 10.0).collect()}
+    assert got == {1: None, 2: "platform", 4: None}
+    assert {r["id"]: r["refusal"] for r in stateful.admit_calls(events, caps, billing).collect()} == {1: None, 2: None, 4: None}
