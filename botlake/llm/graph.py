@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,6 +35,18 @@ def gathered() -> Iterator[list[DataFrame]]:
         _OPEN.remove(made)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of about so many bytes for what is run (stored, counted) inside; a longer row stands alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(size, int(re.sub(r"\D", "", before)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and survives a lost executor."""
     spark = df.sparkSession
