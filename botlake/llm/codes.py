@@ -48,14 +48,14 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 def pivots_of(book: np.ndarray, count: int) -> np.ndarray:
     """(part, pivot, position): of each position's first entries, the first one and then always the one farthest from those chosen."""
     out = []
-    for entries in book:
+    for entries in book if count else []:
         chosen = [0]
         far = ((entries - entries[0]) ** 2).sum(1)
         while len(chosen) < min(count, len(entries)):
             chosen.append(int(far.argmax()))
             far = np.minimum(far, ((entries - entries[chosen[-1]]) ** 2).sum(1))
         out.append(entries[chosen])
-    return np.stack(out)
+    return np.array(out)
 
 
 def squares(x: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -105,9 +105,10 @@ class Coder:
 
     def __init__(self, rows: DataFrame, parts: int, entries: int, pivots: int):
         first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()
-        x = np.array([r["x"] for r in first], np.int64).reshape(len(first), parts, -1)
+        width = len(first[0]["x"]) // parts if first else 1
+        x = np.array([r["x"] for r in first], np.int64).reshape(len(first), parts, width)
         self.book = np.ascontiguousarray(x.transpose(1, 0, 2))
-        self.pivots = pivots_of(self.book, pivots)
+        self.pivots = pivots_of(self.book, pivots if first else 0)
         self.parts = parts
 
     def measure(self, rows: DataFrame) -> DataFrame:
