@@ -13,7 +13,7 @@ def access_levels(users: DataFrame, items: DataFrame, grants: DataFrame) -> Data
 
     One row per person and kind of item (item_id null) holds the level of all its items, and one per grant on an item
     that differs from it. An organization's admin edits everything; else a grant replaces the organization-wide level, up or
-    down. Platform admins edit everything and people reach nothing of other organizations: neither is written out.
+    down. Platform admins edit everything (levels_of sees to that) and people reach nothing of other organizations: neither is written out.
     users: id, is_admin, org_id, org_role, org_access; items: kind, id, org_id; grants: user_id, kind, item_id, level.
     """
     people = users.where("not is_admin").select(F.col("id").alias("user_id"), "org_id", F.when(F.col("org_role") == "admin", "edit").otherwise(F.col("org_access")).alias("_default"), "org_role")
@@ -24,13 +24,16 @@ def access_levels(users: DataFrame, items: DataFrame, grants: DataFrame) -> Data
 
 
 def levels_of(rows: DataFrame, levels: DataFrame, users: DataFrame, items: DataFrame, kind: str, item: str, user: str) -> DataFrame:
-    """rows with the level of their user on their item of a kind: the exception, else the person's default; none outside the own organization."""
+    """rows with the level of their user on their item of a kind: `edit` for platform admins in any organization; else the
+    exception, else the person's default; none outside the own organization, and on items that don't exist.
+    """
+    admins = users.where("is_admin").select(F.col("id").alias(user), F.lit(True).alias("_all")).distinct()
     mine = levels.where(F.col("kind") == kind)
     default = mine.where(F.col("item_id").isNull()).join(users.select(F.col("id").alias("user_id"), F.col("org_id").alias("_o")), "user_id").select(F.col("user_id").alias(user), "_o", F.col("level").alias("_default"))
     grant = mine.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias(item), F.col("user_id").alias(user), F.col("level").alias("_own"))
-    there = items.where(F.col("kind") == kind).select(F.col("id").alias(item), F.col("org_id").alias("_o"))
-    out = rows.join(there, item, "left").join(default, [user, "_o"], "left").join(grant, [item, user], "left")
-    return out.withColumn("level", F.coalesce("_own", "_default", F.lit("none"))).drop("_o", "_default", "_own")
+    there = items.where(F.col("kind") == kind).select(F.col("id").alias(item), F.col("org_id").alias("_o"), F.lit(True).alias("_there"))
+    out = rows.join(there, item, "left").join(default, [user, "_o"], "left").join(grant, [item, user], "left").join(admins, user, "left")
+    return out.withColumn("level", F.when(F.col("_all") & F.col("_there"), "edit").otherwise(F.coalesce("_own", "_default", F.lit("none")))).drop("_o", "_there", "_default", "_own", "_all")
 
 
 def visible(rows: DataFrame, levels: DataFrame, users: DataFrame, items: DataFrame, kind: str, item: str, user: str) -> DataFrame:

@@ -137,7 +137,8 @@ ORACLES = {
     FROM #users u JOIN items i ON u.org_id = i.org_id WHERE NOT is_admin
   UNION ALL SELECT l.user_id, l.kind, l.item_id, l.level FROM levels l JOIN #users u ON u.id = l.user_id WHERE l.level <> CASE WHEN org_role = 'admin' THEN 'edit' ELSE org_access END""",
     "jn03_visible_sessions": f"""WITH {LEVEL}, s AS (SELECT id, cast(id % 10 AS string) AS agent_id, phone AS user_id FROM #messages)
-  SELECT agent_id, user_id, id FROM s WHERE EXISTS (SELECT 1 FROM levels l WHERE l.kind = 'agent' AND l.level <> 'none' AND l.item_id = agent_id AND l.user_id = s.user_id)""",
+  SELECT agent_id, user_id, id FROM s WHERE EXISTS (SELECT 1 FROM levels l WHERE l.kind = 'agent' AND l.level <> 'none' AND l.item_id = agent_id AND l.user_id = s.user_id)
+    OR EXISTS (SELECT 1 FROM #users u, #bots b WHERE u.id = s.user_id AND u.is_admin AND b.id = s.agent_id)""",
     "ag06_org_summary": f"""WITH {ITEMS} SELECT o.id, o.name, (SELECT count(*) FROM #users u WHERE u.org_id = o.id) AS members, (SELECT count(*) FROM #users u WHERE u.org_id = o.id AND org_role = 'admin') AS admins,
   (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'agent') AS bots, cast(0 AS bigint) AS tables, (SELECT count(*) FROM items i WHERE i.org_id = o.id AND kind = 'app') AS apps FROM #organizations o""",
     "ag06_child_counts": "SELECT u.id, username, count(a.id) AS bots FROM #users u LEFT JOIN #bots a ON a.user_id = u.id GROUP BY u.id, username",
