@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import knowledge as kb
+from ..operators import search_index as ix
+from ..sources.shared import new_folder
 from .inputs import view, with_views
 
 
@@ -25,10 +27,21 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).where(F.size(lines) > 1).select(F.col("id").alias("parent_id"), F.posexplode(lines).alias("chunk_index", "content"))
 
 
-def q_search(s: SparkSession, d: str, english: bool) -> DataFrame:
-    docs = _docs(s, d)
-    units = docs.select(F.col("id").alias("unit_id"), "agent_id", "title", "content") if not english else kb.chunk_units(docs)
-    return kb.search(units, view(s, d, "questions"), 6, english=english)
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(s: SparkSession, d: str) -> str:
+    """The folder of the tables' stored index, built by the application's first query that needs it."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = new_folder(s, "index")
+        ix.build_index(_docs(s, d), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def q_search_simple(s: SparkSession, d: str) -> DataFrame:
+    return kb.search(_docs(s, d).select(F.col("id").alias("unit_id"), "agent_id", "title", "content"), view(s, d, "questions"), 6, english=False)
 
 
 def q_rewrites(s: SparkSession, d: str) -> DataFrame:
@@ -39,9 +52,8 @@ def q_rewrites(s: SparkSession, d: str) -> DataFrame:
 
 def q_contexts(s: SparkSession, d: str) -> DataFrame:
     """The prompt of every agent with the whole units that search finds for its questions, question by question."""
-    docs, questions = _docs(s, d), view(s, d, "questions")
-    units = kb.chunk_units(docs)
-    found = kb.search(units, questions).join(units.select("unit_id", "title", "content"), "unit_id").join(questions.select("query_id", "agent_id"), "query_id")
+    questions, path = view(s, d, "questions"), index_of(s, d)
+    found = ix.unit_texts(s, path, ix.search_index(s, path, questions)).join(questions.select("query_id", "agent_id"), "query_id")
     hits = found.select("agent_id", F.struct("query_id", "position").alias("position"), "title", "content")
     bots = view(s, d, "bots").select("id", F.concat(F.lit("You are "), "name").alias("base_prompt"), F.lit("").alias("notice"))
     return kb.build_contexts(bots, hits, "2024-01-15 21:30:00")
@@ -56,8 +68,8 @@ QUERIES = {
     "tx13_lexemes_english": lambda s, d: kb.lexeme_counts(_docs(s, d), "id", F.col("content")),
     "jn04_searchable_units": lambda s, d: _digest(kb.searchable_units(_docs(s, d), _lines(s, d)), "content"),
     "pf03_scope_docs": lambda s, d: kb.scope_docs(_docs(s, d), "3", ["1"]).select("id", "agent_id", "skill_id", "title"),
-    "tk01_search_simple": lambda s, d: q_search(s, d, False),
-    "tk01_search": lambda s, d: q_search(s, d, True),
+    "tk01_search_simple": q_search_simple,
+    "tk01_search": lambda s, d: ix.search_index(s, index_of(s, d), view(s, d, "questions")),
     "ag08_document_list": lambda s, d: kb.document_list(_docs(s, d), kb.chunk_documents(_docs(s, d))),
     "ag13_backfill_report": lambda s, d: kb.backfill_report(_docs(s, d).withColumn("source_type", F.when(F.col("source_url").endswith("3"), "crawl").otherwise("upload"))),
     "tx14_mask_pii": lambda s, d: _digest(_docs(s, d).select("id", tx.mask_pii(F.col("content"), F.col("agent_id").cast("int") % 2 == 0, F.lit(True)).alias("content")), "content"),
