@@ -3,13 +3,14 @@
 Two tables in one folder, both partitioned by a bucket of (agent, document), so that a changed document
 touches its own bucket alone:
 
-* `units`: one row a searchable unit, with its columns and its lexemes and their counts side by side;
-* `postings`: for every (agent, lexeme) of a bucket the units in order of falling counts, BLOCK in a row, each row with its largest count.
-
-A lexeme's score grows with its count alone, so a block's largest count bounds all its units. The k best units of a question are found in two
-stages. The rarest lexemes give first units, whose ranks (from their packed rows) set a threshold: the k-th best so far. A
-unit above it must hold a lexeme outside of the most frequent ones whose best scores together stay below it, and all its
-blocks have a bound above it; only such blocks are opened, and only units in them are ranked.
+* `units`: one row a searchable unit, with its columns and its lexemes and their scores side by side;
+* `postings`: for every (agent, lexeme) of a bucket the units and scores in order of falling scores, BLOCK in a row, each row with its largest score.
+
+A lexeme's score grows with its count alone, so a block's largest score bounds all its units. The k best units of a question are found in two
+stages. The rarest lexemes give first units, and the best of these their ranks (from their packed rows), which set a threshold: the k-th best so far. A
+unit above it must have half of it from lexemes outside of the most frequent ones, as far as their best scores together stay below the other half, and all its
+blocks have a bound above it: only such blocks are opened. Units whose scores there, with the best scores of the frequent lexemes, reach the threshold
+are ranked from their packed rows.
 """
 
 from __future__ import annotations
@@ -23,20 +24,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.shared import bounded, delete, written
-from .knowledge import chunk_units, occurrence_score
-
-#: Units of a posting row; postings that the first stage opens a question (its rarest lexeme is opened in any case); documents a bucket holds about.
-BLOCK, SEEDS, BUCKET_DOCS = 128, 256, 20_000
+from ..sources.shared import bounded, delete, spread, written
+from .knowledge import MOST_POSITIONS, RANK_LIMIT, RANK_WEIGHT, chunk_units
+
+#: Units of a posting row; documents a bucket holds about.
+BLOCK, BUCKET_DOCS = 128, 20_000
+#: The first stage opens lexemes of a question until they have so many postings (the rarest one in any case), and ranks so many units for each of the k.
+SEEDS, SEED_UNITS = 1024, 4
+#: Share of the threshold that the closed lists' best scores may reach: a larger one opens fewer lists, and leaves more units to rank.
+FREQUENT = 0.5
 #: Rows of (agent, lexeme) or (question, unit) that are broadcast at most.
 SMALL = 200_000
 #: Ranks are rounded to nine places: a bound within this of the threshold isn't below it.
 CLOSE = 1e-8
+SCORES = RANK_WEIGHT * np.concatenate([[0.0], np.cumsum(1 / np.arange(1.0, MOST_POSITIONS + 1) ** 2)]) / RANK_LIMIT
 UNITS = "unit_id string, document_id string, agent_id string, skill_id string, title string, content string"
 
 
 def pack_lexemes(units: DataFrame, english: bool = True) -> DataFrame:
-    """units with lexemes and tfs: the distinct lexemes of title and content in both vocabularies, and their counts summed (one vocabulary if not english).
+    """units with lexemes and scores: the distinct lexemes of title and content in both vocabularies, and the scores of their summed counts (one vocabulary if not english).
 
     Words come from Spark's own expression; the words of an Arrow batch are numbered, stemmed once a task and counted in numpy.
     """
@@ -66,9 +72,9 @@ def pack_lexemes(units: DataFrame, english: bool = True) -> DataFrame:
             ends = np.searchsorted(pairs, np.arange(b.num_rows + 1) * max(len(names), 1)).astype(np.int32)
             lexemes = pa.array(names, pa.string()).take(pa.array(pairs % max(len(names), 1)))
             kept = [c for c in b.schema.names if c != "words"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, lexemes), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=[*kept, "lexemes", "tfs"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, lexemes), pa.ListArray.from_arrays(ends, pa.array(SCORES[np.minimum(tf, MOST_POSITIONS)]))], names=[*kept, "lexemes", "scores"])
 
-    return units.withColumn("words", F.coalesce(tx.words_of(text), F.array())).mapInArrow(run, f"{UNITS}, lexemes array<string>, tfs array<int>")
+    return units.withColumn("words", F.coalesce(tx.words_of(text), F.array())).mapInArrow(run, f"{UNITS}, lexemes array<string>, scores array<double>")
 
 
 def _bucket(count: int) -> Column:
@@ -81,14 +87,51 @@ def _save(df: DataFrame, path: str, buckets: int, *order: str) -> None:
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+POSTINGS = "bucket int, agent_id string, lexeme string, block int, size int, top double, units array<struct<unit_id:string,score:double>>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of (bucket, agent_id, lexeme, score, unit_id) that come in that order; what a batch leaves of its last block waits for the next one."""
+    held, number = None, 0  # rows of the last list's last block, and the number of that block
+
+    def rows(t: pa.Table, starts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        ends = np.append(starts, len(t)).astype(np.int32)
+        first = pa.array(starts)
+        pairs = pa.StructArray.from_arrays([t["unit_id"].combine_chunks(), t["score"].combine_chunks()], names=["unit_id", "score"])
+        heads = [t[c].combine_chunks().take(first) for c in ("bucket", "agent_id", "lexeme")]
+        return pa.RecordBatch.from_arrays([*heads, pa.array(numbers, pa.int32()), pa.array(np.diff(ends)), t["score"].combine_chunks().take(first), pa.ListArray.from_arrays(ends, pairs)], names=["bucket", "agent_id", "lexeme", "block", "size", "top", "units"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        n = len(t)
+        if not n:
+            continue
+        fresh = np.ones(n, bool)
+        fresh[1:] = False
+        for c in ("bucket", "agent_id", "lexeme"):
+            code = t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            fresh[1:] |= code[1:] != code[:-1]
+        lists = np.flatnonzero(fresh)
+        at = np.arange(n) - np.repeat(lists, np.diff(np.append(lists, n)))  # place in its list
+        starts = np.flatnonzero(at % BLOCK == 0)
+        numbers = at[starts] // BLOCK
+        going_on = starts < (lists[1] if len(lists) > 1 else n)
+        numbers[going_on] += number
+        last = int(starts[-1])
+        if last:
+            yield rows(t.slice(0, last), starts[:-1], numbers[:-1])
+        held, number = t.slice(last), int(numbers[-1])
+    if held is not None:
+        yield rows(held, np.zeros(1, np.int64), np.array([number]))
+
+
 def _save_postings(units: DataFrame, path: str, buckets: int) -> None:
-    """Postings of whole buckets of units. A bucket is one task: its packed rows are exploded, sorted and cut into blocks where they are."""
-    own = units.select("bucket", "agent_id", "unit_id", "lexemes", "tfs").repartition(buckets, "bucket")
-    one = own.select("bucket", "agent_id", "unit_id", F.explode(F.arrays_zip("lexemes", "tfs")).alias("x")).select("bucket", "agent_id", "unit_id", F.col("x.lexemes").alias("lexeme"), F.col("x.tfs").alias("tf"))
-    place = F.row_number().over(Window.partitionBy("bucket", "agent_id", "lexeme").orderBy(F.desc("tf"), "unit_id"))
-    blocks = one.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).groupBy("bucket", "agent_id", "lexeme", "block")
-    rows = blocks.agg(F.count("*").cast("int").alias("size"), F.max("tf").alias("max_tf"), F.collect_list("unit_id").alias("units"))
-    rows.sortWithinPartitions("bucket", "agent_id", "lexeme", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Postings of whole buckets of units. A bucket is one task: its packed rows are exploded, sorted and cut into blocks where they are, a batch at a time."""
+    own = units.where(F.col("agent_id").isNotNull()).select("bucket", "agent_id", "unit_id", "lexemes", "scores").repartition(buckets, "bucket")
+    one = own.select("bucket", "agent_id", F.explode(F.arrays_zip("lexemes", "scores")).alias("x"), "unit_id").select("bucket", "agent_id", F.col("x.lexemes").alias("lexeme"), F.col("x.scores").alias("score"), "unit_id")
+    rows = one.sortWithinPartitions("bucket", "agent_id", "lexeme", F.desc("score"), "unit_id").mapInArrow(_blocks, POSTINGS)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def build_index(docs: DataFrame, path: str, english: bool = True, buckets: int | None = None) -> None:
@@ -97,8 +140,9 @@ def build_index(docs: DataFrame, path: str, english: bool = True, buckets: int |
     Texts are chunked and read once. Documents without an agent or without words are stored but never found; ids must be unique. An empty table makes an empty index.
     """
     spark = docs.sparkSession
+    docs = spread(docs)
     buckets = buckets or max(16, -(-docs.count() // BUCKET_DOCS))
-    spark.createDataFrame([(buckets, english)], "buckets int, english boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(english).alias("english")).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     units = pack_lexemes(chunk_units(docs), english).withColumn("bucket", _bucket(buckets))
     _save(units, f"{path}/units", buckets, "agent_id", "unit_id")
     _save_postings(_units(spark, path), f"{path}/postings", buckets)
@@ -110,11 +154,11 @@ def _about(spark: SparkSession, path: str) -> tuple[int, bool]:
 
 
 def _units(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{UNITS}, lexemes array<string>, tfs array<int>, bucket int").parquet(f"{path}/units")
+    return spark.read.schema(f"{UNITS}, lexemes array<string>, scores array<double>, bucket int").parquet(f"{path}/units")
 
 
 def _postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("agent_id string, lexeme string, block int, size int, max_tf int, units array<string>, bucket int").parquet(f"{path}/postings")
+    return spark.read.schema(POSTINGS).parquet(f"{path}/postings")
 
 
 def update_index(path: str, changed: DataFrame, gone: DataFrame | None = None) -> list[int]:
@@ -137,7 +181,7 @@ def update_index(path: str, changed: DataFrame, gone: DataFrame | None = None) -
     now = written(kept.unionByName(fresh), "bucket-units")
     _save(now, f"{path}/units", buckets, "agent_id", "unit_id")
     _save_postings(now, f"{path}/postings", buckets)
-    left = {r[0] for r in now.where(F.size("lexemes") > 0).select("bucket").distinct().collect()}
+    left = {r[0] for r in now.where(F.col("agent_id").isNotNull() & (F.size("lexemes") > 0)).select("bucket").distinct().collect()}
     rows = {r[0] for r in now.select("bucket").distinct().collect()}
     for b in touched:  # a bucket without rows isn't replaced by a write
         if b not in left:
@@ -160,10 +204,10 @@ def _asked(queries: DataFrame, english: bool) -> DataFrame:
 
 def _ranks(pairs: DataFrame, units: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, unit_id, rank) of pairs, from the packed rows of their units."""
-    met = units.select("unit_id", "lexemes", "tfs").join(pairs, "unit_id")
-    one = met.select("query_id", "unit_id", F.explode(F.arrays_zip("lexemes", "tfs")).alias("x")).select("query_id", "unit_id", F.col("x.lexemes").alias("lexeme"), F.col("x.tfs").alias("tf"))
+    met = units.select("unit_id", "lexemes", "scores").join(pairs, "unit_id")
+    one = met.select("query_id", "unit_id", F.explode(F.arrays_zip("lexemes", "scores")).alias("x")).select("query_id", "unit_id", F.col("x.lexemes").alias("lexeme"), F.col("x.scores").alias("score"))
     hits = one.join(asked.select("query_id", "vocabulary", "n", "lexeme"), ["query_id", "lexeme"])
-    by = hits.groupBy("query_id", "unit_id", "vocabulary").agg((F.sum(occurrence_score(F.col("tf"))) / F.max("n")).alias("rank"))
+    by = hits.groupBy("query_id", "unit_id", "vocabulary").agg((F.sum("score") / F.max("n")).alias("rank"))
     return by.groupBy("query_id", "unit_id").agg(F.round(F.max("rank"), 9).alias("rank"))
 
 
@@ -172,38 +216,55 @@ def _best(ranks: DataFrame, k: int) -> DataFrame:
     return ranks.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
+def _opened(blocks: DataFrame) -> DataFrame:
+    """(query_id, vocabulary, unit_id, part): what the lexemes of opened blocks (query_id, vocabulary, n, units) add to their units' ranks."""
+    one = blocks.select("query_id", "vocabulary", "n", F.explode("units").alias("u"))
+    return one.groupBy("query_id", "vocabulary", "n", F.col("u.unit_id").alias("unit_id")).agg((F.sum("u.score") / F.col("n")).alias("part"))
+
+
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 6, scope: Column | None = None) -> DataFrame:
     """The k best units of every question by the stored index: (query_id, unit_id, rank, position), as knowledge.search ranks all units.
 
     queries: query_id, agent_id, question. `scope` is a condition on the units' columns (their skill, for one). Questions without words, or
-    whose agent has none of them, have no rows; of equal ranks the smaller unit_id comes first. Questions and what they ask for are stored; sets of at most SMALL rows are broadcast.
+    whose agent has none of them, have no rows; of equal ranks the smaller unit_id comes first. Questions, and the lists that they ask for, are stored on the way; sets of at most SMALL rows are broadcast.
     """
     k = min(max(k, 1), 20)
     _, english = _about(spark, path)
     postings, units = _postings(spark, path), _units(spark, path)
     units = units.where(scope) if scope is not None else units
     asked = written(_asked(queries, english), "asked")
-    few = bounded(asked, SMALL)
-    wanted = bounded(asked.select("agent_id", "lexeme").distinct(), SMALL)
-    lists = postings.join(wanted, ["agent_id", "lexeme"]).groupBy("agent_id", "lexeme").agg(F.sum("size").alias("df"), F.max("max_tf").alias("m"))
+    small = F.broadcast if asked.count() <= SMALL else lambda df: df  # all that follows by (question, vocabulary, lexeme) has no more rows
+    few = small(asked)
+    met = written(postings.join(small(asked.select("agent_id", "lexeme").distinct()), ["agent_id", "lexeme"]).select("agent_id", "lexeme", "block", "size", "top", "units"), "met")
+    lists = met.groupBy("agent_id", "lexeme").agg(F.sum("size").alias("df"), F.max("top").alias("m"))
     own = Window.partitionBy("query_id", "vocabulary")
     rare = own.orderBy("df", "lexeme").rowsBetween(Window.unboundedPreceding, -1)
-    terms = asked.join(lists, ["agent_id", "lexeme"]).withColumn("top", occurrence_score(F.col("m")) / F.col("n"))
     frequent = own.orderBy(F.desc("df"), F.desc("lexeme"))
+    terms = asked.join(lists, ["agent_id", "lexeme"]).withColumn("top", F.col("m") / F.col("n"))
     terms = written(terms.withColumns({"rarer": F.coalesce(F.sum("df").over(rare), F.lit(0)), "below": F.sum("top").over(frequent), "all": F.sum("top").over(own)}).drop("m"), "terms")
-    # first stage: units of the rarest lexemes, and the k-th best rank among them
-    seeds = terms.where(F.col("rarer") < SEEDS).select("query_id", "agent_id", "lexeme").distinct()
-    first = postings.where("block = 0").join(bounded(seeds, SMALL), ["agent_id", "lexeme"]).select("query_id", F.explode("units").alias("unit_id")).distinct()
-    first = _best(_ranks(bounded(written(first, "seeds"), SMALL), units, few), k)
+    # first stage: the best units of the rarest lexemes, and the k-th best rank among them
+    seeds = terms.where(F.col("rarer") < SEEDS).select("query_id", "vocabulary", "n", "agent_id", "lexeme")
+    parts = _opened(met.where("block = 0").join(small(seeds), ["agent_id", "lexeme"])).groupBy("query_id", "unit_id").agg(F.max("part").alias("rank"))
+    first = written(_best(parts, SEED_UNITS * k).select("query_id", "unit_id"), "seeds")
+    first = _best(_ranks(bounded(first, SMALL), units, few), k)
     bar = first.where(F.col("position") == k).select("query_id", (F.col("rank") - CLOSE).alias("bar"))
-    # second stage: blocks that can hold a unit at or above it
-    needed = terms.join(written(bar, "bars"), "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(-1.0))).where(F.col("below") >= F.col("bar"))
-    needed = written(needed.select("query_id", "agent_id", "lexeme", "n", (F.col("bar") - F.col("all") + F.col("top")).alias("least")), "needed")
-    opened = postings.join(bounded(needed, SMALL), ["agent_id", "lexeme"]).where(occurrence_score(F.col("max_tf")) / F.col("n") >= F.col("least"))
-    found = written(opened.select("query_id", F.explode("units").alias("unit_id")).distinct(), "found")
+    # second stage: blocks that can hold a unit at or above it, and units that can reach it
+    held = terms.join(bar, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(-1.0)))
+    needed = held.where(F.col("below") >= FREQUENT * F.col("bar"))
+    needed = needed.withColumn("rest", F.col("all") - F.sum("top").over(own))
+    needed = written(needed.select("query_id", "vocabulary", "agent_id", "lexeme", "n", "bar", "rest", (F.col("bar") - F.col("all") + F.col("top")).alias("least")), "needed")
+    opened = met.join(small(needed), ["agent_id", "lexeme"]).where(F.col("top") / F.col("n") >= F.col("least"))
+    reach = needed.select("query_id", "vocabulary", (F.col("bar") - F.col("rest")).alias("least")).distinct()
+    found = _opened(opened).join(small(reach), ["query_id", "vocabulary"]).where(F.col("part") >= F.col("least"))
+    found = written(found.select("query_id", "unit_id").distinct(), "found")
     return _best(_ranks(bounded(found, SMALL), units, few), k)
 
 
+def posting_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(agent_id, lexeme, units, top) of all stored lists: how many units have the lexeme, and its best score. No posting is opened."""
+    return _postings(spark, path).groupBy("agent_id", "lexeme").agg(F.sum("size").alias("units"), F.round(F.max("top"), 9).alias("top"))
+
+
 def unit_texts(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
     """hits (unit_id) with title and content of their units, fetched last."""
     return _units(spark, path).select("unit_id", "title", "content").join(bounded(hits, SMALL), "unit_id")

@@ -69,6 +69,7 @@ QUERIES = {
     "jn04_searchable_units": lambda s, d: _digest(kb.searchable_units(_docs(s, d), _lines(s, d)), "content"),
     "pf03_scope_docs": lambda s, d: kb.scope_docs(_docs(s, d), "3", ["1"]).select("id", "agent_id", "skill_id", "title"),
     "tk01_search_simple": q_search_simple,
+    "tk01_posting_lists": lambda s, d: ix.posting_lists(s, index_of(s, d)),
     "tk01_search": lambda s, d: ix.search_index(s, index_of(s, d), view(s, d, "questions")),
     "ag08_document_list": lambda s, d: kb.document_list(_docs(s, d), kb.chunk_documents(_docs(s, d))),
     "ag13_backfill_report": lambda s, d: kb.backfill_report(_docs(s, d).withColumn("source_type", F.when(F.col("source_url").endswith("3"), "crawl").otherwise("upload"))),

@@ -134,6 +134,8 @@ _FOUND = f"""{_UNITS},
 SEARCH = {
     "tx13_lexemes_english": f"""WITH counted AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest({_WORDS_OF.format('content')}) AS word FROM #knowledge) GROUP BY ALL), {stemmed('counted')}
   SELECT id, lexeme, cast(sum(tf) AS bigint) AS tf FROM (SELECT id, word AS lexeme, tf FROM counted UNION ALL SELECT id, s, tf FROM counted JOIN stemmed USING (word) WHERE s IS NOT NULL) GROUP BY ALL""",
+    "tk01_posting_lists": f"""WITH {_FOUND}
+  SELECT agent_id, lexeme, count(*) AS units, round(0.1::double * list_sum(list_transform(range(1, cast(least(max(tf), 256) AS bigint) + 1), lambda j: 1.0::double / (j * j))) / 1.64493406685::double, 9) AS top FROM lexemes GROUP BY ALL""",
     "tk01_search": f"WITH {_FOUND} SELECT query_id, unit_id, rank, position FROM found",
     "tx20_build_contexts": f"""WITH {_FOUND},
   passages AS (SELECT q.agent_id AS id, string_agg('[' || title || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY f.query_id, f.position, title, content) AS p FROM found f JOIN units USING (unit_id) JOIN #questions q USING (query_id) GROUP BY 1)
