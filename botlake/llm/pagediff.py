@@ -55,24 +55,32 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][\w:-]*)[^>]*>",
     re.S | re.I,
 )
+#: Class words that name a wrapper's state (`has-sidebar`, `menu-open`), not what it holds.
+STATE = re.compile(r"(?:has|no|with|without|is|show|hide)[-_].*|.*[-_](?:open|opened|closed|visible|hidden|enabled|disabled|active)")
+#: What holds other people's words, adverts or teasers: an article in there is one of them.
+CLOSED_WORDS = frozenset("ad ads advert advertisement adverts comment comments commentlist disqus popup promo promoted related replies sponsor sponsored".split())
+CLOSED = frozenset("nav footer aside menu dialog".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCKS, _VOID, _SKIPPED = frozenset(BLOCKS), frozenset(VOID), frozenset(SKIPPED)
 
 
-def is_frame(name: str, rest: str, in_main: bool) -> bool:
-    """Does this element hold menus, notices, adverts, comments and the like?"""
-    if name in _SKIPPED or (name == "header" and not in_main):
-        return True
-    if name in ("html", "body", "main", "article") or "=" not in rest:
-        return False
-    words = [w for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", next(filter(None, m.groups()), "").lower())]
-    return any(w in FRAME_WORDS for w in words)
+def frame_of(name: str, rest: str, in_main: bool) -> str:
+    """`f` for an element that holds menus, notices, forms and the like, `x` for one that holds comments, adverts or teasers, so that no article in it is the page's; else empty."""
+    found = "x" if name in CLOSED else "f" if name in _SKIPPED or (name == "header" and not in_main) else ""
+    if found == "x" or name in ("html", "body", "main", "article") or "=" not in rest:
+        return found
+    tokens = {t for m in NAMES.finditer(rest) for t in next(filter(None, m.groups()), "").lower().split() if not STATE.fullmatch(t)}
+    words = {w for t in tokens for w in re.split(r"[^a-z]+", t)}
+    if words & CLOSED_WORDS or tokens & (FRAME_WORDS - {"form"}):
+        return "x"
+    return "f" if words & FRAME_WORDS else found
 
 
 def lines_of(page: str | None) -> list[tuple[str, str]]:
     """(zone, text) of every block: zone `m` in the main element, `o` outside, `f` in a frame element.
 
-    An end tag closes the nearest open element of its name and what is open inside it; without one it is ignored.
+    A `main` or `article` inside of a frame element (a form around the page, a wrapper named after its parts) is the main element, unless an
+    element for comments, adverts, teasers, menus, footers or dialogs holds it. An end tag closes the nearest open element of its name and what is open inside it; without one it is ignored.
     """
     out: list[tuple[str, str]] = []
     opened: list[tuple[str, str]] = []  # name, zone around it
@@ -82,7 +90,7 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
     def flush() -> None:
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
-            out.append((zone, line))
+            out.append((zone if zone != "x" else "f", line))
         text.clear()
 
     for m in TOKEN.finditer(page):
@@ -110,10 +118,12 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and opened and opened[-1][0] == name:
                 zone = opened.pop()[1]  # a new one ends the one before
             opened.append((name, zone))
-            if zone != "f" and is_frame(name, m["rest"] or "", zone == "m"):
+            frame = frame_of(name, m["rest"] or "", zone == "m") if zone != "x" else ""
+            if frame and (zone != "f" or frame == "x"):
+                flush()
+                zone = frame
+            elif zone in "of" and name in ("article", "main") or zone == "x" and name == "main" and not any(n in CLOSED for n, _ in opened):
                 flush()
-                zone = "f"
-            elif zone == "o" and name in ("article", "main"):
                 zone = "m"
     tail = page[at:]
     text.append(re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", tail))  # a tag that is cut off is no text
@@ -293,7 +303,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     is empty and gives an empty text. Pages with a null URL (or one without a host) count as one
     host with an empty path. Repeated rows and copies beside each other are compared with the nearest page of other lines;
     where their host has none, they keep their main element, or, without one, everything. A page whose neighbours have its own URL keeps
-    what no frame element holds. Very long pages are aligned exactly too. An empty table gives no rows.
+    what no frame element holds. Very long pages are aligned exactly too. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     slim = pages.select(url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(url).alias("url"), F.col(key).cast("long").alias("id"), F.col(html).alias("html"))
     partitions = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -315,7 +325,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         before, run, rows = None, [], []  # the last page of other lines, pages with the same lines, finished rows
         at = None  # the range
 
-        def finish(after: dict | None) -> None:
+        def finish(after: dict | None) -> Iterator[pa.RecordBatch]:
+            """Rows of the run, a thousand at a time: a text of many copies is written out piece by piece."""
             is_first, is_last = before is None or before["s"] == 0, after is None or after["s"] == 2
             copied = len(run) > 1 or (is_first and (at, 0) in ranges.copied) or (is_last and (at, 2) in ranges.copied)
             texts: dict[tuple, tuple] = {}
@@ -330,6 +341,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     texts[which] = main_text(list(zip(page["zones"], lines)), list(zip(other["zones"], theirs)) if other else None)
                 text, n_shared, n_frame = texts[which]
                 rows.append((page["id"], page["url"], text, len(text), n_shared, n_frame))
+                if len(rows) >= 1000:
+                    yield out()
             run.clear()
 
         def out() -> pa.RecordBatch:
@@ -341,27 +354,28 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             for page in part.to_pylist():
                 if page["b"] != at:
                     if run:
-                        finish(None)
+                        yield from finish(None)
                     at, before = page["b"], None
                 if page["s"] == 0:
                     before = page
                 elif page["s"] == 2:
                     if run:
-                        finish(page)
+                        yield from finish(page)
                 elif not page["digest"]:  # nothing to keep, and nothing to compare with
                     rows.append((page["id"], page["url"], "", 0, 0, len(page["zones"])))
                 elif run and (page["host"], page["digest"]) == (run[0]["host"], run[0]["digest"]):
-                    run.append(page | {"lines": None if page["lines"] == run[0]["lines"] else page["lines"]})
+                    same = {c: run[0][c] for c in ("host", "zones") if page[c] == run[0][c]}  # a copy holds little of its own
+                    run.append({c: page[c] for c in ("host", "path", "url", "id", "s", "zones")} | same | {"lines": None if page["lines"] == run[0]["lines"] else page["lines"]})
                 else:
                     if run:
                         last = run[-1] | {"lines": run[-1]["lines"] or run[0]["lines"]}
-                        finish(page)
+                        yield from finish(page)
                         before = last
                     run.append(page)
             if rows:
                 yield out()
         if run:
-            finish(None)
+            yield from finish(None)
         if rows:
             yield out()
 
