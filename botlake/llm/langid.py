@@ -199,24 +199,25 @@ class CrossParser:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """References by language from a bounded, hash-drawn sample of labelled rows.
 
-    A first pass counts rows by language (an error past MOST_LANGUAGES); the second keeps about four times
+    A first pass counts rows by language (the MOST_LANGUAGES most frequent ones are learned); the second keeps about four times
     REFERENCE_ROWS of each language by a hash threshold, so that what is ranked and
     sent to the driver doesn't grow with the corpus. Whole texts teach, in the order of the draw, those of up to ROW_CHARS
-    characters first, until there are REFERENCE_BYTES. Rows with a null label or no text are left out.
+    characters first, the longer ones once these are used up, until there are REFERENCE_BYTES (of which the last text may be cut). Rows with a null label or no text are left out.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.col(key).cast("string").alias("k"))
-    counts = rows.groupBy("l").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
     if not counts:
         return {}
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 4.0 * REFERENCE_ROWS / r["count"]))])
     draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30))
+    order = Window.partitionBy("l").orderBy("long", "d", "k", "t")
     kept = (
         rows.where(draw / F.lit(float(1 << 30)) < F.element_at(shares, F.col("l")))
         .withColumns({"d": draw, "long": F.length("t") > ROW_CHARS})
-        .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("long", "d", "k", "t")))
-        .where((F.col("r") <= REFERENCE_ROWS) & (~F.col("long") | (F.col("r") == 1)))
+        .withColumn("r", F.row_number().over(order))
+        .where(F.col("r") <= REFERENCE_ROWS)
+        .withColumn("before", F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        .where(F.col("before").isNull() | (F.col("before") < 2 * REFERENCE_BYTES))
     )
     out: dict[str, bytes] = {}
     for r in kept.select("l", "r", F.substring("t", 1, REFERENCE_BYTES).alias("t")).orderBy("l", "r").collect():
