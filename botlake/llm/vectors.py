@@ -39,6 +39,9 @@ SLACK = 1e-6
 
 def unit_rows(column: pa.ListArray, width: int) -> np.ndarray:
     x = np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+    if len(x):  # squares of extreme components would be infinite or zero
+        most = np.abs(x).max(axis=1, keepdims=True)
+        x = np.where((most > 1e100) | (most < 1e-100), x / most, x)
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
