@@ -156,7 +156,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: str
 
 def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key is wanted; the ids are broadcast while they are few, so that the rows aren't shuffled."""
-    ids = wanted.distinct()
+    ids = stored(wanted.distinct(), "wanted")  # its plan runs once
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
@@ -239,12 +239,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     """(key, n_shingles, component_id, kept) of every row of docs.
 
     Rows are linked if 100 x intersection >= percent x union of their sets of `size`-word shingles.
-    Texts without words (null, empty, blank) have an empty set and link with nothing. Rows
-    that share a key are one node; a row with a null key links with nothing, its
-    component is null and it is kept. An empty table gives no rows.
+    Texts without words (null, empty, blank) have an empty set and link with nothing. Rows that share a key
+    but not the set are compared each by its own text, and belong together; a row with a null key links with nothing, its
+    component is null and it is kept. Very long texts are compared whole, further columns are not read. An empty table gives no rows.
     """
     marks = stored(sketch(docs, size, key, text), "marks")
     useful = marks.where((F.col("n") > 0) & F.col("k").isNotNull())
+    several = stored(useful.groupBy("k").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("k"), "versions")
+    if several.isEmpty():
+        discard(several)
+        return _classes(docs, marks, None, size, percent, key, text)
+    # a number of its own for each text of such a key, past all keys
+    own = F.xxhash64("k", "t").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    twins = several.withColumn("more", F.lit(True))
+    numbered = rows.join(twins, "k", "left").withColumn("node", F.when(F.col("more"), own).otherwise(F.col("k")))
+    twins = stored(numbered.where("more").select("node", F.col("k").alias("real")).distinct(), "twins")
+    nodes = numbered.select("node", "t")
+    found = _classes(nodes, stored(sketch(nodes, size, "node", "t"), "marks"), twins, size, percent, "node", "t")
+    found = found.join(twins, "node", "left").withColumn(key, F.coalesce("real", "node"))
+    found = found.withColumn("component_id", F.when(F.col("component_id") == F.col("node"), F.col(key)).otherwise(F.col("component_id")))
+    return found.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _classes(docs: DataFrame, marks: DataFrame, twins: DataFrame | None, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """near_duplicates of docs whose keys have one set each; twins (node, real) links a node with the smaller number that it stands for."""
+    useful = marks.where((F.col("n") > 0) & F.col("k").isNotNull())
     groups = useful.groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"))
     classes = stored(useful.select(F.col("k").alias("rep"), "sig").join(groups.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "classes")
 
@@ -257,6 +277,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     stars = stored(heads.groupBy("a").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b")), "stars")
     links = confirm(stars, docs, size, percent, key, text)
     discard(stars)
+    if twins is not None:
+        same = twins.join(useful.select(F.col("k").alias("node"), "d1", "d2", "n"), "node").join(groups, ["d1", "d2", "n"])
+        before, links = links, stored(links.unionByName(same.select(F.col("rep").alias("a"), F.col("real").alias("b")).distinct()), "links")
+        discard(before)
     joined = components(links)
 
     # nodes of medium size, all compared at once, are enough of the first LARGE_TREES trees
