@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.shared import bounded, delete, spread, written
+from ..sources.shared import bounded, delete, written
 from .knowledge import MOST_POSITIONS, RANK_LIMIT, RANK_WEIGHT, chunk_units
 
-#: Units of a posting row; documents a bucket holds about.
-BLOCK, BUCKET_DOCS = 128, 20_000
+#: Units of a posting row; documents a bucket holds about, until there are MOST_BUCKETS.
+BLOCK, BUCKET_DOCS, MOST_BUCKETS = 128, 2000, 16_384
 #: The first stage opens lexemes of a question until they have so many postings (the rarest one in any case), and ranks so many units for each of the k.
 SEEDS, SEED_UNITS = 1024, 4
 #: Share of the threshold that the closed lists' best scores may reach: a larger one opens fewer lists, and leaves more units to rank.
@@ -77,14 +77,16 @@ def pack_lexemes(units: DataFrame, english: bool = True) -> DataFrame:
     return units.withColumn("words", F.coalesce(tx.words_of(text), F.array())).mapInArrow(run, f"{UNITS}, lexemes array<string>, scores array<double>")
 
 
-def _bucket(count: int) -> Column:
-    return F.pmod(F.xxhash64("agent_id", "document_id"), F.lit(count)).cast("int")
+def _packed(docs: DataFrame, buckets: int, english: bool) -> DataFrame:
+    """The packed units of documents with their bucket. Documents are dealt by it while they are only their text; chunks and lexemes aren't shuffled."""
+    bucket = lambda key: F.pmod(F.xxhash64("agent_id", key), F.lit(buckets)).cast("int")
+    dealt = docs.select("id", "agent_id", "skill_id", "title", "content").repartition(buckets, bucket("id"))
+    return pack_lexemes(chunk_units(dealt), english).withColumn("bucket", bucket("document_id"))
 
 
-def _save(df: DataFrame, path: str, buckets: int, *order: str) -> None:
-    """df by bucket, each one file; only the buckets that have rows are replaced."""
-    dealt = df.repartition(buckets, "bucket").sortWithinPartitions("bucket", *order)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def _save(df: DataFrame, path: str) -> None:
+    """Rows that are dealt by bucket already, each bucket one file; only the buckets that have rows are replaced."""
+    df.sortWithinPartitions("bucket", "agent_id", "unit_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 POSTINGS = "bucket int, agent_id string, lexeme string, block int, size int, top double, units array<struct<unit_id:string,score:double>>"
@@ -140,11 +142,9 @@ def build_index(docs: DataFrame, path: str, english: bool = True, buckets: int |
     Texts are chunked and read once. Documents without an agent or without words are stored but never found; ids must be unique. An empty table makes an empty index.
     """
     spark = docs.sparkSession
-    docs = spread(docs)
-    buckets = buckets or max(16, -(-docs.count() // BUCKET_DOCS))
+    buckets = buckets or min(MOST_BUCKETS, max(16, -(-docs.count() // BUCKET_DOCS)))
     spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(english).alias("english")).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
-    units = pack_lexemes(chunk_units(docs), english).withColumn("bucket", _bucket(buckets))
-    _save(units, f"{path}/units", buckets, "agent_id", "unit_id")
+    _save(_packed(docs, buckets, english), f"{path}/units")
     _save_postings(_units(spark, path), f"{path}/postings", buckets)
 
 
@@ -168,7 +168,7 @@ def update_index(path: str, changed: DataFrame, gone: DataFrame | None = None) -
     """
     spark = changed.sparkSession
     buckets, english = _about(spark, path)
-    fresh = written(pack_lexemes(chunk_units(changed), english).withColumn("bucket", _bucket(buckets)), "fresh-units")
+    fresh = written(_packed(changed, buckets, english), "fresh-units")
     ids = changed.select(F.col("id").alias("document_id"))
     ids = ids.unionByName(gone.select(F.col("id").alias("document_id"))) if gone is not None else ids
     ids = written(ids.distinct(), "changed-ids")
@@ -179,8 +179,8 @@ def update_index(path: str, changed: DataFrame, gone: DataFrame | None = None) -
         return []
     kept = stored.where(F.col("bucket").isin(touched)).join(ids, "document_id", "left_anti").select(*fresh.columns)
     now = written(kept.unionByName(fresh), "bucket-units")
-    _save(now, f"{path}/units", buckets, "agent_id", "unit_id")
-    _save_postings(now, f"{path}/postings", buckets)
+    _save(now.repartition(len(touched), "bucket"), f"{path}/units")
+    _save_postings(now, f"{path}/postings", len(touched))
     left = {r[0] for r in now.where(F.col("agent_id").isNotNull() & (F.size("lexemes") > 0)).select("bucket").distinct().collect()}
     rows = {r[0] for r in now.select("bucket").distinct().collect()}
     for b in touched:  # a bucket without rows isn't replaced by a write
