@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bins import counts_before, islands
+
 #: Messages kept of a transcript, shown to a turn, longest user message, cut of an answer.
 MOST_STORED, TURN, MOST_USER, MOST_ANSWER = 500, 20, 4000, 8000
 IDLE_MINUTES, DIRECT_GAP, GROUP_GAP, LATE_MINUTES = 30, 2.5, 4.0, 10
@@ -111,18 +113,17 @@ def first_deliveries(messages: DataFrame) -> DataFrame:
 
 
 def sessionize(messages: DataFrame, keys: list[str], idle_minutes: int = IDLE_MINUTES) -> DataFrame:
-    """messages with `session`: a new one after idle_minutes of silence, or after a message that is marked as ended."""
-    order = Window.partitionBy(*keys).orderBy("ts", "id")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(order), F.col("ts")) > idle_minutes * 60_000_000
-    opens = F.lag("ts").over(order).isNull() | gap | F.coalesce(F.lag("ended").over(order), F.lit(False))
-    return messages.withColumn("_o", opens.cast("int")).withColumn("session", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
+    """messages with `session`: a new one after idle_minutes of silence, or after a message that is marked as ended. Keys of any size are cut by time (bins.islands)."""
+    idle = idle_minutes * 60_000_000
+    rows = messages.withColumn("_us", micros(F.col("ts")))
+    opens = lambda before, here: (here("_us") - before("_us") > idle) | F.coalesce(before("ended"), F.lit(False))
+    return islands(rows, keys, "_us", ["ts", "id"], ["_us", "ended"], opens, "session").drop("_us")
 
 
 def merge_bursts(messages: DataFrame, keys: list[str], gap_seconds: float) -> DataFrame:
-    """One row per burst: messages of one chat closer than the gap; text joined by lines, addressed if any is."""
-    order = Window.partitionBy(*keys).orderBy("ts", "id")
-    far = F.timestamp_diff("MICROSECOND", F.lag("ts").over(order), F.col("ts")) >= int(gap_seconds * 1_000_000)
-    rows = messages.withColumn("_o", F.coalesce(far, F.lit(True)).cast("int")).withColumn("burst", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """One row per burst: messages of one chat closer than the gap; text joined by lines, addressed if any is. Chats of any size are cut by time."""
+    gap = int(gap_seconds * 1_000_000)
+    rows = islands(messages.withColumn("_us", micros(F.col("ts"))), keys, "_us", ["ts", "id"], ["_us"], lambda before, here: here("_us") - before("_us") >= gap, "burst")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "text"))), lambda m: m["text"]), "\n")
     return rows.groupBy(*keys, "burst").agg(F.min("ts").alias("started"), F.count("*").alias("messages"), F.max("addressed").alias("addressed"), text.alias("text"))
 
@@ -130,13 +131,13 @@ def merge_bursts(messages: DataFrame, keys: list[str], gap_seconds: float) -> Da
 def alternate_turns(messages: DataFrame, key: str) -> DataFrame:
     """(key, turn, role, content): blank and foreign messages dropped, nothing before the first user message, neighbours of one role merged.
 
-    messages: key, pos, role, content.
+    messages: key, pos, role, content. Transcripts of any size are cut by position.
     """
-    order = Window.partitionBy(key).orderBy("pos")
-    clean = messages.where(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("content", F.lit(""))) != ""))
-    clean = clean.withColumn("_u", F.sum((F.col("role") == "user").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_u > 0")
-    clean = clean.withColumn("_b", F.coalesce((F.lag("role").over(order) != F.col("role")), F.lit(True)).cast("int")).withColumn("turn", F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return clean.groupBy(key, "turn").agg(F.first("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda m: m["content"]), "\n").alias("content"))
+    clean = messages.where(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("content", F.lit(""))) != "")).withColumn("_p", F.col("pos").cast("long"))
+    start = clean.where("role = 'user'").groupBy(key).agg(F.min("pos").alias("_start"))
+    clean = clean.join(start, key).where(F.col("pos") >= F.col("_start")).drop("_start")
+    turns = islands(clean, [key], "_p", ["pos"], ["role"], lambda before, here: before("role") != here("role"), "turn")
+    return turns.groupBy(key, "turn").agg(F.first("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda m: m["content"]), "\n").alias("content"))
 
 
 def last_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -150,14 +151,10 @@ def newest_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def pace_flags(replies: DataFrame, chat_most: int = 15, chat_seconds: int = 600, number_most: int = 300, number_seconds: int = 3600) -> DataFrame:
-    """replies (number_id, chat, id, ts) with counts before each in its chat's and its number's window, and whether it may go."""
-    us = micros(F.col("ts"))
-    rows = replies.withColumn("_us", us)
-    window = lambda keys, s: Window.partitionBy(*keys).orderBy("_us").rangeBetween(-s * 1_000_000 + 1, -1)
-    rows = rows.withColumns({
-        "chat_replies": F.count("*").over(window(["number_id", "chat"], chat_seconds)),
-        "number_replies": F.count("*").over(window(["number_id"], number_seconds)),
-    })
+    """replies (number_id, chat, id, ts) with counts before each in its chat's and its number's window, and whether it may go. Numbers of any size are cut by time."""
+    rows = replies.withColumn("_us", micros(F.col("ts")))
+    rows = counts_before(rows, ["number_id", "chat"], "_us", chat_seconds * 1_000_000, {"chat_replies": F.lit(1).cast("long")})
+    rows = counts_before(rows, ["number_id"], "_us", number_seconds * 1_000_000, {"number_replies": F.lit(1).cast("long")})
     return rows.withColumn("allowed", (F.col("chat_replies") < chat_most) & (F.col("number_replies") < number_most)).drop("_us")
 
 
