@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.compare import coerce, compare, fill_template, folded_name
+from .chats import micros
 
 MOST_COLUMNS, MOST_ITEMS, TYPES = 40, 500, ("text", "number", "date", "boolean")
 COLUMN = T.StructType([T.StructField(n, T.StringType()) for n in ("key", "name", "type")])
@@ -168,27 +172,83 @@ def row_triggers(new_rows: DataFrame, automations: DataFrame) -> DataFrame:
     return met.where(F.coalesce(F.col("written_by") != F.concat(F.lit("automation:"), "automation_id"), F.lit(True))).select("row_id", "automation_id")
 
 
+class OpenWaits:
+    """The waits of one person that are open at a time, oldest first; what lapsed or was answered is forgotten."""
+
+    def __init__(self):
+        self.live: dict[int, tuple[int, bool]] = {}  # number of a wait: its run, and whether the run has other waits
+        self.by_end: list[tuple[int, int]] = []
+        self.by_age: dict[str, list[tuple[int, int, int]]] = {"approval": [], "reply": [], "other": []}
+        self.spent: set[int] = set()  # answered runs that have other waits
+
+    def add(self, number: int, start: int, until: int, kind: str, run: int, again: bool) -> None:
+        if run in self.spent:
+            return
+        self.live[number] = (run, again)
+        heapq.heappush(self.by_end, (until, number))
+        heapq.heappush(self.by_age[kind if kind in ("approval", "reply") else "other"], (start, run, number))
+
+    def oldest(self, kind: str) -> tuple[int, int, int] | None:
+        heap = self.by_age[kind]
+        while heap and heap[0][2] not in self.live:
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def answer(self, at: int, decides: bool) -> int | None:
+        """The run that a message at this time answers; `decides`: it is a yes or a no."""
+        while self.by_end and self.by_end[0][0] < at:
+            self.live.pop(heapq.heappop(self.by_end)[1], None)
+        for kind, heap in self.by_age.items():
+            if len(heap) > 2 * len(self.live) + 64:  # what is no longer live lies behind something that is
+                self.by_age[kind] = [w for w in heap if w[2] in self.live]
+                heapq.heapify(self.by_age[kind])
+        found = self.oldest("approval") if decides else None
+        if found is None:
+            found = min((w for w in (self.oldest("reply"), self.oldest("other") if decides else None) if w), default=None)
+        if found is None:
+            return None
+        run, again = self.live.pop(found[2])
+        if again:
+            self.spent.add(run)
+            self.live = {n: w for n, w in self.live.items() if w[0] != run}
+        return run
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, state, number = None, OpenWaits(), 0
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            person = (row["number_id"], row["phone"])
+            if person != at:
+                at, state = person, OpenWaits()
+            if row["side"] == 0:
+                number += 1
+                state.add(number, row["us"], row["until"], row["kind"], row["id"], row["flag"])
+            else:
+                run = state.answer(row["us"], row["flag"])
+                if run is not None:
+                    out.append((row["id"], run))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["message_id", "run_id"])
+
+
 def match_replies(messages: DataFrame, waits: DataFrame) -> DataFrame:
     """(message_id, run_id): each message answers one run at most and each run takes one message.
 
     Candidates: same number and phone, the run waiting already and still at the message's time. In message
-    order, a yes or no goes to an approval first, else to what has waited longest. Only people with
-    both messages and waits reach the ordered choice. messages: id, number_id, phone, ts, answer; waits: run_id, number_id, phone, kind, started_at, until.
+    order, a yes or no goes to an approval first, else to what has waited longest; any other message only to a run that waits for a reply. messages: id, number_id, phone, ts, answer;
+    waits: run_id, number_id, phone, kind, started_at, until. Messages of people with waits and the waits are one stream, shuffled by person and swept in time order: no pairs are
+    built, and a task holds one batch and the waits that are open. Rows without a person or a time match nothing.
     """
     keys = ["number_id", "phone"]
-    met = messages.join(waits, keys).where((F.col("started_at") <= F.col("ts")) & (F.col("ts") <= F.col("until")) & ((F.col("kind") == "reply") | F.col("answer").isNotNull()))
-
-    def choose(t: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        t = t.assign(_a=(t["kind"] != "approval")).sort_values(["ts", "id", "_a", "started_at", "run_id"])
-        for mid, g in t.groupby("id", sort=False):
-            free = [r for r in g["run_id"] if r not in used]
-            if free:
-                used.add(free[0])
-                out.append((mid, free[0]))
-        return pd.DataFrame(out, columns=["message_id", "run_id"])
-
-    return met.select(*keys, "id", "ts", "kind", "started_at", "run_id").groupBy(*keys).applyInPandas(choose, "message_id long, run_id long")
+    same = Window.partitionBy(*keys, "run_id")
+    opened = waits.where(F.col("started_at").isNotNull() & F.col("until").isNotNull()).withColumn("_again", F.count("*").over(same) > 1)
+    opened = opened.select(*keys, micros(F.col("started_at")).alias("us"), F.lit(0).alias("side"), F.col("run_id").cast("long").alias("id"), micros(F.col("until")).alias("until"), F.coalesce("kind", F.lit("")).alias("kind"), F.col("_again").alias("flag"))
+    asked = messages.where(F.col("ts").isNotNull()).join(waits.select(*keys).distinct(), keys, "left_semi")
+    asked = asked.select(*keys, micros(F.col("ts")).alias("us"), F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("until"), F.lit("").alias("kind"), F.col("answer").isNotNull().alias("flag"))
+    rows = opened.unionByName(asked).dropna(subset=keys)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "us", "side", "id").mapInArrow(_sweep, "message_id long, run_id long")
 
 
 def run_health(runs: DataFrame, as_of: str) -> DataFrame:
