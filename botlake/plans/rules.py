@@ -169,22 +169,27 @@ def q_limit(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_admit(s: SparkSession, d: str) -> DataFrame:
-    """Calls settle after 30 seconds. Anonymous ones spend the public cap, a person's the member cap, an item's the item cap, all the balance."""
+    """Calls settle after 30 seconds, every seventh is released after 20. All spend the platform's cap, nine tenths of what settles; anonymous ones the
+    public cap, a person's the member cap, an item's the item cap, all the balance.
+    """
     e = view(s, d, "llm_usage").where("org_id is not null")
     person, item = F.concat_ws(":", "org_id", "user_id"), F.concat_ws(":", "org_id", "item_type", "item_id")
     of = lambda when, scope, key: F.when(when, F.struct(F.lit(scope).alias("scope"), key.alias("key")))
-    e = e.withColumn(
-        "scopes",
-        F.array_compact(F.array(of(F.lit(True), "platform", F.lit("")), of(F.col("item_id").isNotNull(), "item", item), of(F.col("user_id").isNull(), "org-public", F.col("org_id")), of(F.col("user_id").isNotNull(), "member", person))),
-    )
-    zero, cost = F.lit(0.0), F.col("cost_usd").cast("double")
-    asks = e.select("id", F.col("at").alias("ts"), F.lit("ask").alias("kind"), F.col("id").alias("call"), "org_id", "scopes", (cost * 2).alias("estimate"), zero.alias("actual"))
-    later = F.timestamp_add("SECOND", F.lit(30), F.col("at"))
-    settled = e.select((-F.col("id") - 1).alias("id"), later.alias("ts"), F.lit("settle").alias("kind"), F.col("id").alias("call"), "org_id", "scopes", zero.alias("estimate"), cost.alias("actual"))
+    own = [of(F.lit(True), "platform", F.lit("")), of(F.col("item_id").isNotNull(), "item", item)]
+    own += [of(F.col("user_id").isNull(), "org-public", F.col("org_id")), of(F.col("user_id").isNotNull(), "member", person)]
+    e = e.withColumn("scopes", F.array_compact(F.array(*own)))
+    zero, cost, freed = F.lit(0.0), F.col("cost_usd").cast("double"), F.col("id") % 7 == 0
+    after = lambda seconds: F.timestamp_add("SECOND", F.lit(seconds), F.col("at"))
+    row = lambda df, n, ts, kind, estimate, actual: df.select(n.alias("id"), ts.alias("ts"), F.lit(kind).alias("kind"), F.col("id").alias("call"), "org_id", "scopes", estimate.alias("estimate"), actual.alias("actual"))
+    asks = row(e, F.col("id"), F.col("at"), "ask", cost * 2, zero)
+    ends = row(e.where(~freed), -F.col("id") - 1, after(30), "settle", zero, cost).unionByName(row(e.where(freed), -F.col("id") - 1, after(20), "release", zero, zero))
     items = e.where("item_id is not null").select(F.lit("item").alias("scope"), item.alias("key"), "org_id").distinct().withColumn("cap_usd", F.lit(0.3))
-    public = view(s, d, "org_billing").where("public_monthly_cap_usd is not null").select(F.lit("org-public").alias("scope"), F.col("org_id").alias("key"), "org_id", F.col("public_monthly_cap_usd").cast("double").alias("cap_usd"))
-    members = view(s, d, "usage_limits").where("kind = 'member'").select(F.lit("member").alias("scope"), F.concat_ws(":", "org_id", "target_id").alias("key"), "org_id", F.col("monthly_usd").cast("double").alias("cap_usd"))
-    return stateful.admit_calls(asks.unionByName(settled), items.unionByName(public).unionByName(members), view(s, d, "org_billing"))
+    public = view(s, d, "org_billing").where("public_monthly_cap_usd is not null")
+    public = public.select(F.lit("org-public").alias("scope"), F.col("org_id").alias("key"), "org_id", F.col("public_monthly_cap_usd").cast("double").alias("cap_usd"))
+    members = view(s, d, "usage_limits").where("kind = 'member'")
+    members = members.select(F.lit("member").alias("scope"), F.concat_ws(":", "org_id", "target_id").alias("key"), "org_id", F.col("monthly_usd").cast("double").alias("cap_usd"))
+    cap = e.where(~freed).agg(F.floor(F.sum("cost_usd").cast("double") * 0.9)).first()[0] or 0
+    return stateful.admit_calls(asks.unionByName(ends), items.unionByName(public).unionByName(members), view(s, d, "org_billing"), float(cap))
 
 
 def q_bursts(s: SparkSession, d: str) -> DataFrame:

@@ -291,24 +291,32 @@ MACHINES = {
 
 
 def _admission() -> str:
-    """The state keeps what was settled and what is held as lists of calls; amounts are billionths."""
+    """What settled before a call is a running sum, as it doesn't depend on decisions; the fold over all calls holds the open holds. Amounts are billionths."""
     live = f"list_filter(s.holds, lambda h: h.us > x.us - {stateful.HOLD_SECONDS * 10**6})"
-    used = lambda keep: f"coalesce(list_sum(list_transform(list_filter(list_concat(s.settled, {live}), lambda h: {keep}), lambda h: h.v)), 0)"
-    refusal = f"""CASE WHEN x.person IS NULL AND {used("h.person IS NULL")} + x.v > x.public_cap THEN 'org-public'
-      WHEN x.balance - {used("true")} < x.v THEN 'balance' WHEN x.item IS NOT NULL AND {used("h.item = x.item")} + x.v > 300000000 THEN 'item'
-      WHEN x.person IS NOT NULL AND {used("h.person = x.person")} + x.v > x.member_cap THEN 'member' END"""
-    mine = "{'us': x.us, 'call': x.call, 'item': x.item, 'person': x.person, 'v': x.v}"
-    step = f"""{{'settled': CASE WHEN x.ask THEN s.settled ELSE list_append(s.settled, {mine}) END,
-    'holds': CASE WHEN NOT x.ask THEN list_filter({live}, lambda h: h.call <> x.call) WHEN ({refusal}) IS NULL THEN list_append({live}, {mine}) ELSE {live} END,
-    'out': CASE WHEN x.ask THEN list_append(s.out, {{'id': x.call, 'refusal': {refusal}}}) ELSE s.out END}}"""
-    call = "STRUCT(us bigint, \"call\" bigint, item varchar, person varchar, v bigint)[]"
-    return f"""WITH u AS (SELECT l.*, item_type || ':' || item_id AS item, cast(round(cast(public_monthly_cap_usd AS double) * 1e9) AS bigint) AS public_cap, cast(round(cast(balance_usd AS double) * 1e9) AS bigint) AS balance,
-    cast(round(cast(m.monthly_usd AS double) * 1e9) AS bigint) AS member_cap FROM #llm_usage l LEFT JOIN #org_billing b ON b.org_id = l.org_id
+    held = lambda keep: f"coalesce(list_sum(list_transform(list_filter({live}, lambda h: {keep}), lambda h: h.v)), 0)"
+    refusal = f"""CASE WHEN x.all_spent + {held("true")} + x.v > x.cap THEN 'platform'
+      WHEN x.person IS NULL AND x.public_spent + {held("h.org = x.org AND h.person IS NULL")} + x.v > x.public_cap THEN 'org-public'
+      WHEN x.balance - x.org_spent - {held("h.org = x.org")} < x.v THEN 'balance'
+      WHEN x.item IS NOT NULL AND x.item_spent + {held("h.org = x.org AND h.item = x.item")} + x.v > 300000000 THEN 'item'
+      WHEN x.person IS NOT NULL AND x.person_spent + {held("h.org = x.org AND h.person = x.person")} + x.v > x.member_cap THEN 'member' END"""
+    mine = "{'us': x.us, 'call': x.call, 'org': x.org, 'item': x.item, 'person': x.person, 'v': x.v}"
+    step = f"""{{'holds': CASE WHEN x.kind <> 'ask' THEN list_filter({live}, lambda h: h.call <> x.call) WHEN ({refusal}) IS NULL THEN list_append({live}, {mine}) ELSE {live} END,
+    'out': CASE WHEN x.kind = 'ask' THEN list_append(s.out, {{'id': x.call, 'refusal': {refusal}}}) ELSE s.out END}}"""
+    hold = "STRUCT(us bigint, \"call\" bigint, org varchar, item varchar, person varchar, v bigint)[]"
+    nanos = lambda c, times="1e9": f"cast(round(cast({c} AS double) * {times}) AS bigint)"
+    spent = lambda part, when="true": f"coalesce(sum(CASE WHEN kind = 'settle' AND {when} THEN v ELSE 0 END) OVER ({part} ORDER BY us, kind, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint"
+    columns = "org_id AS org, item, user_id AS person, public_cap, balance, member_cap"
+    names = "us, kind, call, org, item, person, public_cap, balance, member_cap, v, cap, all_spent, org_spent, public_spent, item_spent, person_spent".split(", ")
+    return f"""WITH u AS (SELECT l.*, item_type || ':' || item_id AS item, {nanos('public_monthly_cap_usd')} AS public_cap, {nanos('balance_usd')} AS balance,
+    {nanos('m.monthly_usd')} AS member_cap FROM #llm_usage l LEFT JOIN #org_billing b ON b.org_id = l.org_id
     LEFT JOIN #usage_limits m ON m.kind = 'member' AND m.org_id = l.org_id AND m.target_id = l.user_id WHERE l.org_id IS NOT NULL),
-  e AS (SELECT org_id, epoch_us(at) AS us, true AS ask, id AS call, id AS n, item, user_id AS person, public_cap, balance, member_cap, cast(round(cast(cost_usd AS double) * 2e9) AS bigint) AS v FROM u
-    UNION ALL SELECT org_id, epoch_us(at) + 30000000, false, id, -id - 1, item, user_id, public_cap, balance, member_cap, cast(round(cast(cost_usd AS double) * 1e9) AS bigint) FROM u),
-  g AS (SELECT org_id, list({{'us': us, 'ask': ask, 'call': call, 'item': item, 'person': person, 'public_cap': public_cap, 'balance': balance, 'member_cap': member_cap, 'v': v}} ORDER BY us, NOT ask, n) AS es FROM e GROUP BY org_id),
-  f AS (SELECT unnest(list_reduce(es, lambda s, x: {step}, {{'settled': []::{call}, 'holds': []::{call}, 'out': []::STRUCT(id bigint, refusal varchar)[]}}).out) AS o FROM g)
+  e AS (SELECT epoch_us(at) AS us, 'ask' AS kind, id AS call, id AS n, {columns}, {nanos('cost_usd', '2e9')} AS v FROM u
+    UNION ALL SELECT epoch_us(at) + 30000000, 'settle', id, -id - 1, {columns}, {nanos('cost_usd')} FROM u WHERE id % 7 <> 0
+    UNION ALL SELECT epoch_us(at) + 20000000, 'release', id, -id - 1, {columns}, 0 FROM u WHERE id % 7 = 0),
+  w AS (SELECT *, {spent('')} AS all_spent, {spent('PARTITION BY org')} AS org_spent, {spent('PARTITION BY org', 'person IS NULL')} AS public_spent, {spent('PARTITION BY org, item')} AS item_spent,
+    {spent('PARTITION BY org, person')} AS person_spent, (SELECT cast(floor(cast(sum(cost_usd) AS double) * 0.9) AS bigint) * 1000000000 FROM u WHERE id % 7 <> 0) AS cap FROM e),
+  g AS (SELECT list({{{', '.join(f"'{c}': {c}" for c in names)}}} ORDER BY us, kind, n) AS es FROM w),
+  f AS (SELECT unnest(list_reduce(es, lambda s, x: {step}, {{'holds': []::{hold}, 'out': []::STRUCT(id bigint, refusal varchar)[]}}).out) AS o FROM g)
   SELECT o.id AS id, o.refusal AS refusal FROM f"""
 
 

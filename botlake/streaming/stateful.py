@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.bins import counts_before
 from ..operators.chats import micros
+from ..sources.shared import written
 
 SECOND = 1_000_000
 
@@ -152,8 +154,8 @@ class Admission:
     Running sums make a decision cost its own scopes only; holds lie in time order, so those that lapsed are at the front.
     """
 
-    def __init__(self, caps: dict[tuple[str, str], float], balances: dict[str, float]):
-        self.caps, self.left = {k: nano(v) for k, v in caps.items()}, {k: nano(v) for k, v in balances.items()}
+    def __init__(self, caps: dict[tuple[str, str], int], balances: dict[str, int]):
+        self.caps, self.left = dict(caps), dict(balances)
         self.used: dict[tuple[str, str], int] = {}
         self.held: dict[str | None, int] = {}
         self.holds: dict[int, tuple[int, str | None, list[tuple[str, str]], int]] = {}
@@ -163,32 +165,35 @@ class Admission:
             self.used[scope] = self.used.get(scope, 0) + amount
         self.held[org] = self.held.get(org, 0) + amount
 
-    def release(self, call: int) -> list[tuple[str, str]] | None:
-        """Takes a call's hold back; its scopes, or None without one."""
+    def release(self, call: int) -> None:
+        """Takes a call's hold back, if it has one."""
         hold = self.holds.pop(call, None)
         if hold:
             self._add(hold[1], hold[2], -hold[3])
-        return hold[2] if hold else None
 
-    def step(self, us: int, kind: str, call: int, org: str | None, scopes: list[tuple[str, str]], estimate: float, actual: float) -> str | None:
-        """The refusal of an ask, or None."""
+    def hold(self, us: int, call: int, org: str | None, scopes: list[tuple[str, str]], amount: int) -> None:
+        self.release(call)
+        self.holds[call] = (us, org, scopes, amount)
+        self._add(org, scopes, amount)
+
+    def step(self, us: int, kind: str, call: int, org: str | None, scopes: list[tuple[str, str]], estimate: int, actual: int, barred: bool = False) -> str | None:
+        """The refusal of an ask, or None; `barred`: it is known that the platform refuses. Amounts in billionths."""
         while self.holds and next(iter(self.holds.values()))[0] <= us - HOLD_SECONDS * SECOND:
             self.release(next(iter(self.holds)))
-        if kind == "settle":
-            for scope in self.release(call) or scopes:
-                self.used[scope] = self.used.get(scope, 0) + nano(actual)
-            if org in self.left:
-                self.left[org] -= nano(actual)
+        if kind != "ask":
+            self.release(call)
+            if kind == "settle":
+                for scope in scopes:
+                    self.used[scope] = self.used.get(scope, 0) + actual
+                if org in self.left:
+                    self.left[org] -= actual
             return None
-        wanted = nano(estimate)
-        found = {s[0] for s in scopes if s in self.caps and self.used.get(s, 0) + wanted > self.caps[s]}
-        if org in self.left and self.left[org] - self.held.get(org, 0) < wanted:
+        found = {s[0] for s in scopes if s in self.caps and self.used.get(s, 0) + estimate > self.caps[s]} | ({"platform"} if barred else set())
+        if org in self.left and self.left[org] - self.held.get(org, 0) < estimate:
             found.add("balance")
         refusal = next((name for name in ORDER if name in found), None)
         if refusal is None:
-            self.release(call)
-            self.holds[call] = (us, org, scopes, wanted)
-            self._add(org, scopes, wanted)
+            self.hold(us, call, org, scopes, estimate)
         return refusal
 
 
@@ -199,40 +204,114 @@ def nano(dollars: float) -> int:
 def admit_group(events: pd.DataFrame, caps: dict[tuple[str, str], float], balances: dict[str, float]) -> pd.DataFrame:
     """Decisions on the asks of one ordered group: refusal or null.
 
-    events in time order: id, us, kind (ask or settle), call, org_id, scopes (list of scope, key), estimate, actual. An ask
+    events in time order: id, us, kind (ask, settle or release), call, org_id, scopes (list of scope, key), estimate, actual. An ask
     is refused by the first of platform, org-public, balance, item, member whose spend, holds and estimate pass the cap; else
-    its estimate is held on every scope until it settles or ten minutes pass.
+    its estimate is held on every scope until it settles, is released, or ten minutes pass.
     """
-    state = Admission(caps, balances)
-    out = [(e.id, e.kind, state.step(e.us, e.kind, e.call, e.org_id, [tuple(x) for x in e.scopes], e.estimate, e.actual)) for e in events.itertuples()]
+    state = Admission({k: nano(v) for k, v in caps.items()}, {k: nano(v) for k, v in balances.items()})
+    out = [(e.id, e.kind, state.step(e.us, e.kind, e.call, e.org_id, [tuple(x) for x in e.scopes], nano(e.estimate), nano(e.actual))) for e in events.itertuples()]
     return pd.DataFrame([(i, refusal) for i, kind, refusal in out if kind == "ask"], columns=["id", "refusal"])
 
 
-def admit_calls(events: DataFrame, caps: DataFrame, billing: DataFrame, platform_cap: float | None = None) -> DataFrame:
-    """(id, refusal) of every ask in events (id, ts, kind, call, org_id, scopes array<struct<scope,key>>, estimate, actual).
+NANOS = lambda c: F.rint(F.col(c).cast("double") * NANO).cast("long")
+WALKED = ["g", "id", "_us", "kind", "call", "org_id", "scopes", "estimate", "actual", "barred"]
 
-    With a platform cap every decision depends on all earlier ones, so all calls are one ordered group, which is
-    what the rule says; without, an organization's are. A task holds one batch of rows and the group's sums. Each cap
-    (scope, key, org_id, cap_usd) comes with the rows of its scope and key by an equi-join, each balance with its organization's.
-    """
-    money = billing.where(F.col("balance_usd").isNotNull()).select("org_id", F.col("balance_usd").cast("double").alias("_bal"))
-    group = F.lit("all") if platform_cap is not None else F.coalesce("org_id", F.lit(""))
-    kept = events.select(group.alias("g"), "id", micros(F.col("ts")).alias("_us"), "kind", "call", "org_id", "scopes", F.col("estimate").cast("double").alias("estimate"), F.col("actual").cast("double").alias("actual"))
-    priced = caps.groupBy("scope", "key").agg(F.max(F.col("cap_usd").cast("double")).alias("_cap"))
-    one = kept.select("id", "kind", F.explode("scopes").alias("s")).select("id", "kind", "s.scope", "s.key").join(priced, ["scope", "key"])
-    capped = one.groupBy("id", "kind").agg(F.collect_list(F.struct("scope", "key", "_cap")).alias("_caps"))
-    rows = kept.join(capped, ["id", "kind"], "left").join(money, "org_id", "left")
 
-    def start() -> Admission:
-        return Admission({("platform", ""): platform_cap} if platform_cap is not None else {}, {})
+def _walk(rows: DataFrame, caps: DataFrame, balances: DataFrame, joint: bool) -> DataFrame:
+    """(id, refusal) of the asks among rows, group by group. A group's caps and balances come once, as its first rows."""
+    group = F.lit("all") if joint else F.coalesce("org_id", F.lit(""))
+    none = F.lit(None).cast("long")
+    scope = F.array(F.struct("scope", "key"))
+    first = caps.select(group.alias("g"), none.alias("id"), none.alias("_us"), F.lit("cap").alias("kind"), none.alias("call"), "org_id", scope.alias("scopes"), F.col("cap").alias("estimate"), none.alias("actual"), F.lit(False).alias("barred"))
+    empty = F.array().cast("array<struct<scope:string,key:string>>")
+    money = balances.select(group.alias("g"), none.alias("id"), none.alias("_us"), F.lit("balance").alias("kind"), none.alias("call"), "org_id", empty.alias("scopes"), F.col("balance").alias("estimate"), none.alias("actual"), F.lit(False).alias("barred"))
+    every = rows.withColumn("g", group).select(*WALKED).unionByName(first).unionByName(money)
 
     def step(state: Admission, row: dict) -> tuple[Admission, str | None]:
-        for c in row["_caps"] or []:
-            state.caps.setdefault((c["scope"], c["key"]), nano(c["_cap"]))
-        if row["_bal"] is not None:
-            state.left.setdefault(row["org_id"], nano(row["_bal"]))
         scopes = [(s["scope"], s["key"]) for s in row["scopes"] or []]
-        refusal = state.step(row["_us"], row["kind"], row["call"], row["org_id"], scopes, row["estimate"], row["actual"])
-        return state, refusal if row["kind"] == "ask" else "settled"
+        if row["kind"] == "cap":
+            state.caps[scopes[0]] = row["estimate"]
+        elif row["kind"] == "balance":
+            state.left[row["org_id"]] = row["estimate"]
+        elif row["kind"] == "hold":
+            state.hold(row["_us"], row["call"], row["org_id"], scopes, row["estimate"])
+        else:
+            refusal = state.step(row["_us"], row["kind"], row["call"], row["org_id"], scopes, row["estimate"], row["actual"], row["barred"])
+            if row["kind"] == "ask":
+                return state, refusal
+        return state, "-"
+
+    walked = in_order(every, ["g"], ["_us", "kind", "id"], lambda: Admission({}, {}), step, "refusal", "string")
+    return walked.where("refusal is null or refusal <> '-'").select("id", "refusal")
+
+
+def _screen(rows: DataFrame, cap: int) -> DataFrame:
+    """(id, high, low) of asks that name the platform: the most and the least that it can have spent and held, the ask included, whatever was decided before.
+
+    What settles doesn't depend on decisions. At most, every earlier ask is held until it settles, is released or lapses; at least, none is. Both are
+    running sums over all calls, taken over bins of the time.
+    """
+    on_platform = rows.where(F.exists("scopes", lambda s: s["scope"] == "platform"))
+    asks, settled = on_platform.where("kind = 'ask'"), on_platform.where("kind = 'settle'")
+    closed = rows.where("kind <> 'ask'").groupBy("call").agg(F.min("_us").alias("_c"))
+    lapse = F.col("_us") + HOLD_SECONDS * SECOND
+    closes = F.least(F.coalesce(F.when(F.col("_c") >= F.col("_us"), F.col("_c")), lapse), lapse)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    mark = lambda df, at, low, high, ask=none, estimate=zero: df.select(at.alias("_us"), low.alias("low"), high.alias("high"), ask.alias("id"), estimate.alias("estimate"))
+    us, e, a = F.col("_us"), F.col("estimate"), F.col("actual")
+    marks = mark(settled, us, a, zero).unionByName(mark(settled, us - 1, zero, a)).unionByName(mark(asks, us - 1, zero, e)).unionByName(mark(asks.join(closed, "call", "left"), closes, zero, -e))
+    marks = marks.unionByName(mark(asks, us, zero, zero, F.col("id"), e))
+    values = marks.withColumnsRenamed({"low": "_l", "high": "_h"})
+    summed = counts_before(values, [], "_us", 1 << 61, {"low": F.col("_l"), "high": F.col("_h")})
+    return summed.where(F.col("id").isNotNull()).select("id", "_us", "high", (F.col("low") + F.col("estimate")).alias("low"))
+
+
+def admit_calls(events: DataFrame, caps: DataFrame, billing: DataFrame, platform_cap: float | None = None) -> DataFrame:
+    """(id, refusal) of every ask in events (id, ts, kind, call, org_id, scopes array<struct<scope,key>>, estimate, actual).
+
+    kind: ask, settle (its actual cost goes to the scopes that it names) or release. Organizations are walked in parallel, each in time order; a task holds one batch of rows and the
+    group's sums. A platform cap orders all calls: a first pass bounds what the platform can have spent and held at each ask. Most asks can't reach the cap, or must pass it,
+    whatever was decided before, and their organizations are still walked in parallel. Only the stretch from the first to the last ask that is open is walked as one group. What
+    a stretch starts from are sums: caps and balances less what was settled, and the holds that are open. caps: scope, key, org_id, cap_usd; billing: org_id, balance_usd (null: none).
+    """
+    rows = events.select("id", micros(F.col("ts")).alias("_us"), "kind", F.col("call").cast("long").alias("call"), "org_id", F.col("scopes").cast("array<struct<scope:string,key:string>>").alias("scopes"), NANOS("estimate").alias("estimate"), NANOS("actual").alias("actual"))
+    limits = caps.groupBy("scope", "key").agg(F.max(NANOS("cap_usd")).alias("cap"), F.max("org_id").alias("org_id"))
+    balances = billing.where(F.col("balance_usd").isNotNull()).select("org_id", NANOS("balance_usd").alias("balance"))
+    if platform_cap is None:
+        return _walk(rows.withColumn("barred", F.lit(False)), limits, balances, False)
+    cap = nano(platform_cap)
+    bounds = written(_screen(rows, cap), "bounds")
+    unsure = (F.col("high") > cap) & (F.col("low") <= cap)
+    first, last = bounds.agg(F.min(F.when(unsure, F.col("_us"))), F.max(F.when(unsure, F.col("_us")))).first()
+    barred = bounds.where(F.col("low") > cap).select("id", F.lit(True).alias("barred"))
+    rows = written(rows.join(barred, "id", "left").withColumn("barred", F.coalesce("barred", F.lit(False)) & (F.col("kind") == "ask")), "calls")
+    if first is None:
+        return _walk(rows, limits, balances, False)
+    cuts = [None, first, last + 1, None]
+    decided = None
+    for k in range(3):
+        lo, hi = cuts[k], cuts[k + 1]
+        part = rows
+        part = part.where(F.col("_us") >= lo) if lo is not None else part
+        part = part.where(F.col("_us") < hi) if hi is not None else part
+        own_limits, own_balances, holds = limits, balances, None
+        platform = rows.sparkSession.range(1).select(F.lit("platform").alias("scope"), F.lit("").alias("key"), F.lit(cap).cast("long").alias("cap"), F.lit(None).cast("string").alias("org_id"))
+        own_limits = own_limits.unionByName(platform) if k == 1 else own_limits
+        if lo is not None:
+            before = rows.where(F.col("_us") < lo)
+            settled = before.where("kind = 'settle'")
+            spent = settled.select(F.explode("scopes").alias("s"), "actual").groupBy("s.scope", "s.key").agg(F.sum("actual").alias("spent"))
+            own_limits = own_limits.join(spent, ["scope", "key"], "left").withColumn("cap", F.col("cap") - F.coalesce("spent", F.lit(0))).drop("spent")
+            paid = settled.groupBy("org_id").agg(F.sum("actual").alias("paid"))
+            own_balances = own_balances.join(paid, "org_id", "left").withColumn("balance", F.col("balance") - F.coalesce("paid", F.lit(0))).drop("paid")
+            held = before.where((F.col("kind") == "ask") & (F.col("_us") > lo - HOLD_SECONDS * SECOND)).join(decided.where("refusal is null").select("id"), "id", "left_semi")
+            newest = held.groupBy("call").agg(F.max(F.struct("_us", "id")).alias("m"))
+            closed = before.where("kind <> 'ask'").groupBy("call").agg(F.max("_us").alias("_c"))
+            held = held.join(newest.select("call", F.col("m.id").alias("id")), ["call", "id"], "left_semi").join(closed, "call", "left").where(F.col("_c").isNull() | (F.col("_c") < F.col("_us")))
+            part = part.unionByName(held.drop("_c").withColumn("kind", F.lit("hold")).select(*part.columns))
+        found = _walk(part, own_limits, own_balances, k == 1)
+        found = written(found, "decided") if k < 2 else found
+        decided = found if decided is None else decided.unionByName(found)
+    return decided
+
 
-    return in_order(rows, ["g"], ["_us", "kind", "id"], start, step, "refusal", "string").where("refusal is null or refusal <> 'settled'").drop("g")
