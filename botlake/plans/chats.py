@@ -43,15 +43,26 @@ def q_recap(s: SparkSession, d: str) -> DataFrame:
     return groups.recap_messages(asks, m, m.where("text = ''").select("number_id", "chat", "phone", F.col("ts").alias("joined_at")), 50)
 
 
+def _told(messages: str):
+    """Roles and texts of messages as one digest."""
+    return F.sha2(F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"), 256).alias(messages)
+
+
+def q_append(s: SparkSession, d: str) -> DataFrame:
+    """A third of the sessions get their own messages again, half of these by another channel, which is refused."""
+    again = _sessions(s, d).where("cast(id as int) % 3 = 0").withColumn("source", F.when(F.col("id").cast("int") % 2 == 0, F.col("source")).otherwise("x"))
+    return chats.append_exchange(_sessions(s, d), again).select("id", _told("messages"))
+
+
 M = "#messages"
 QUERIES = {
     "js01_session_measures": lambda s, d: _sha(chats.session_measures(_sessions(s, d)).select("id", "duration_seconds", "message_count", "first_user_message"), "first_user_message"),
     "pf01_search_sessions": q_sessions,
     "tk02_session_page": lambda s, d: chats.page(chats.session_measures(_sessions(s, d).where("source <> 'test'")), "messages", True, 25, 5).select("id", "source", "message_count"),
     "ag05_channel_counts": lambda s, d: chats.channel_counts(view(s, d, "chat_sessions")),
-    "ar01_public_history": lambda s, d: chats.public_history(_sessions(s, d)).select("id", "error", F.size(F.coalesce("recent", F.array().cast("array<struct<role:string,content:string>>"))).alias("recent"), F.size("kept").alias("kept")),
+    "ar01_public_history": lambda s, d: chats.public_history(_sessions(s, d)).select("id", "error", _told("recent"), _told("kept")),
     "ar02_stored_transcript": lambda s, d: chats.stored_transcript(chats.public_history(_sessions(s, d)).withColumn("reply", F.lit("Thanks")), mask=lambda t: F.regexp_replace(t, "the", "***")).select("id", F.size("stored").alias("stored"), F.sha2(F.array_join(F.transform("stored", lambda m: m["content"]), "|"), 256).alias("sha")),
-    "ss06_append_exchange": lambda s, d: chats.append_exchange(_sessions(s, d), _sessions(s, d).where("cast(id as int) % 3 = 0").withColumn("source", F.when(F.col("id").cast("int") % 2 == 0, F.col("source")).otherwise("x"))).select("id", F.size("messages").alias("messages")),
+    "ss06_append_exchange": q_append,
     "st01_first_deliveries": lambda s, d: chats.first_deliveries(_messages(s, d).withColumn("wa_id", (F.col("id") % 4000).cast("string"))).select("id", "number_id", "wa_id", "late"),
     "wn02_last_n": lambda s, d: chats.last_n(_messages(s, d), ["number_id", "chat"], ["id"], 20).select("number_id", "chat", "id"),
     "wn03_sessionize": lambda s, d: chats.sessionize(_messages(s, d), ["number_id", "phone"]).select("id", "number_id", "phone", "session"),

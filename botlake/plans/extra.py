@@ -46,7 +46,7 @@ def q_catalog(s: SparkSession, d: str) -> DataFrame:
 def q_summaries(s: SparkSession, d: str) -> DataFrame:
     m = view(s, d, "messages")
     n = F.col("id")
-    sch = m.where("id % 100 = 0").select("id", "number_id", F.col("chat").alias("jid"), F.when(n % 3 == 0, "daily").otherwise("weekly").alias("repeat"), F.when(n % 4 == 0, F.timestamp_add("DAY", -(n % 13).cast("int"), F.lit(AS_OF).cast("timestamp_ntz"))).alias("last_run_at"))
+    sch = m.where("id % 50 = 0").select("id", "number_id", F.col("chat").alias("jid"), F.when(n % 3 == 0, "daily").otherwise("weekly").alias("repeat"), F.when(n % 4 == 0, F.timestamp_add("DAY", -(n % 13).cast("int"), F.lit(AS_OF).cast("timestamp_ntz"))).alias("last_run_at"))
     return schedule.due_summaries(sch, m, AS_OF)
 
 
@@ -84,7 +84,7 @@ QUERIES = {
     "tx12_restore_originals": q_restore,
     "ex02_stop_experiments": q_stop,
     "tx15_redact_definitions": lambda s, d: view(s, d, "users").select("id", experiments.redact_definitions(F.to_json(F.struct("username", F.col("org_role").alias("token"), F.struct(F.col("id").alias("apiKey"), "org_id").alias("inner")))).alias("definition")),
-    "jn12_unused_items": lambda s, d: money.org_report(money.charge_usage(view(s, d, "llm_usage").where("item_type is null"), view(s, d, "org_billing")), money.chargeable_items(("agent", view(s, d, "bots"))), view(s, d, "usage_limits")).where("calls = 0").select("org_id", "kind", "id", "name", "limit_usd"),
+    "jn12_unused_items": lambda s, d: money.org_report(money.charge_usage(view(s, d, "llm_usage"), view(s, d, "org_billing")), money.chargeable_items(("agent", view(s, d, "bots"))), view(s, d, "usage_limits")).where("calls = 0").select("org_id", "kind", "id", "name", "limit_usd"),
 }
 
 _SITE = "regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '')"
@@ -94,11 +94,11 @@ ORACLES = {
     "tx08_parse_sitemap": f"SELECT {_SITE} AS site, false AS is_index, url AS loc FROM #web_pages",
     "js02_normalize_columns": "SELECT id, k || '/' || p_name || '/text,' || k || '_2/' || upper(p_name) || '/number,k/' || p_brand || '/text,again/Again/date' AS columns FROM (SELECT *, replace(p_name, ' ', '_') AS k FROM #table_rows)",
     "mn04_clean_catalog": "SELECT id, round(p_retailprice / 1e9 * 1e6, 4) AS input_per_m, round(p_size / 1e6 * 1e6, 4) AS output_per_m, id % 2 = 0 AS tools, id % 2 <> 0 AS json, 'A model of ' || p_type AS description FROM #table_rows",
-    "dt04_due_summaries": """WITH s AS (SELECT id, number_id, chat, greatest(coalesce(CASE WHEN id % 4 = 0 THEN timestamp '2024-01-15 12:00:00' - to_days(cast(id % 13 AS int)) END, timestamp '2024-01-15 12:00:00' - to_days(CASE WHEN id % 3 = 0 THEN 1 ELSE 7 END)), timestamp '2024-01-08 12:00:00') AS since FROM #messages WHERE id % 100 = 0)
+    "dt04_due_summaries": """WITH s AS (SELECT id, number_id, chat, greatest(coalesce(CASE WHEN id % 4 = 0 THEN timestamp '2024-01-15 12:00:00' - to_days(cast(id % 13 AS int)) END, timestamp '2024-01-15 12:00:00' - to_days(CASE WHEN id % 3 = 0 THEN 1 ELSE 7 END)), timestamp '2024-01-08 12:00:00') AS since FROM #messages WHERE id % 50 = 0)
   SELECT s.id, since, count(*) AS messages FROM s JOIN #messages m ON m.number_id = s.number_id AND m.chat = s.chat AND NOT m.from_me AND m.ts > since AND m.ts <= timestamp '2024-01-15 12:00:00' GROUP BY 1, 2 HAVING count(*) >= 5""",
     "tx12_restore_originals": "SELECT id, sha256(CASE WHEN cast(id AS bigint) % 2 = 0 THEN content ELSE 'rewritten' END) AS content, false AS normalized FROM #knowledge",
     "ex02_stop_experiments": "SELECT id, CASE WHEN date_diff('second', updated_at, timestamp '2024-01-03 00:00:00') < 31 * 60 THEN 'b1' END AS branch_id FROM #chat_sessions",
     "tx15_redact_definitions": "SELECT id, '{\"username\":\"' || username || '\",\"token\":\"\",\"inner\":{\"apiKey\":\"\",\"org_id\":\"' || org_id || '\"}}' AS definition FROM #users",
-    "jn12_unused_items": "SELECT a.org_id, 'agent' AS kind, a.id, a.name, cast(l.monthly_usd AS double) AS limit_usd FROM #bots a LEFT JOIN #usage_limits l ON l.org_id = a.org_id AND l.kind = 'agent' AND l.target_id = a.id",
+    "jn12_unused_items": "SELECT a.org_id, 'agent' AS kind, a.id, a.name, cast(l.monthly_usd AS double) AS limit_usd FROM #bots a LEFT JOIN #usage_limits l ON l.org_id = a.org_id AND l.kind = 'agent' AND l.target_id = a.id WHERE NOT EXISTS (SELECT 1 FROM #llm_usage u WHERE u.org_id = a.org_id AND u.item_type = 'agent' AND u.item_id = a.id)",
 }
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}

@@ -59,6 +59,18 @@ def q_contexts(s: SparkSession, d: str) -> DataFrame:
     return kb.build_contexts(bots, hits, "2024-01-15 21:30:00")
 
 
+def _phones(s: SparkSession, d: str) -> DataFrame:
+    """Phones as people write them: with a hyphen, with 00, without the zero, and other digits after a zero."""
+    forms = F.array(F.concat(F.lit("050-"), F.lpad("id", 7, "1")), F.concat(F.lit("00972 5"), F.lpad("id", 8, "2")), F.concat(F.lit("5"), F.lpad("id", 8, "3")), F.concat(F.lit("0"), F.col("id")))
+    return view(s, d, "users").select("id", F.element_at(forms, F.col("id").cast("int") % 4 + 1).alias("phone"))
+
+
+def q_recipients(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("id").cast("int") % 5
+    to = F.when(n == 4, F.concat(F.lit(" g-"), "id", F.lit("@g.us"))).when(n == 3, F.concat("phone", F.lit("@s.whatsapp.net"))).otherwise(F.col("phone"))
+    return _phones(s, d).select("id", tx.recipient_of(to).alias("recipient"))
+
+
 WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 QUERIES = {
     "tx10_chunk_documents": lambda s, d: _digest(kb.chunk_documents(_docs(s, d)), "content"),
@@ -80,6 +92,8 @@ QUERIES = {
     "tx22_read_answer": lambda s, d: view(s, d, "messages").select("id", tx.read_answer(F.element_at(F.array(F.lit(" Yes! "), F.lit("no."), F.lit("כן"), F.lit("maybe"), F.col("text")), (F.col("id") % 5 + 1).cast("int"))).alias("answer"), tx.is_hebrew(F.element_at(F.array(F.lit("שלום"), F.col("text")), (F.col("id") % 2 + 1).cast("int"))).alias("hebrew")),
     "tx23_parse_json_reply": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", tx.parse_json_reply(F.element_at(F.array(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.concat(F.lit("Sure: "), "props", F.lit(" done")), F.col("event_type")), (F.col("event_id") % 3 + 1).cast("int"))).alias("reply")),
     "tx17_normalize_phone": lambda s, d: view(s, d, "users").select("id", tx.normalize_phone(F.element_at(F.array(F.concat(F.lit("050-"), F.lpad("id", 7, "1")), F.concat(F.lit("00972 5"), F.lpad("id", 8, "2")), F.concat(F.lit("5"), F.lpad("id", 8, "3")), F.col("id")), (F.col("id").cast("int") % 4 + 1))).alias("phone")),
+    "tx17_control_phone": lambda s, d: _phones(s, d).select("id", tx.control_phone(F.col("phone")).alias("phone")),
+    "tx17_recipient_of": q_recipients,
     "pf12_valid_session_id": lambda s, d: view(s, d, "messages").select("id", tx.valid_session_id(F.element_at(F.array(F.col("text"), F.concat(F.lit("wa_"), "wa_id"), F.concat_ws(":", "number_id", "wa_id"), F.repeat("wa_id", 60)), (F.col("id") % 4 + 1).cast("int"))).alias("valid")),
 }
 

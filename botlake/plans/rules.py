@@ -165,7 +165,8 @@ def q_feed(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_limit(s: SparkSession, d: str) -> DataFrame:
-    return stateful.rate_limit(view(s, d, "messages").select(F.col("phone").alias("bucket"), "id", "ts", (F.col("id") % 5 == 0).alias("success")), 3, 86_400, 86_400)
+    tries = view(s, d, "messages").select(F.col("phone").alias("bucket"), "id", "ts", (F.col("id") % 5 == 0).alias("success"), (F.col("id") % 41 == 0).alias("cleared"))
+    return stateful.rate_limit(tries, 3, 86_400, 86_400)
 
 
 def q_admit(s: SparkSession, d: str) -> DataFrame:

@@ -236,8 +236,9 @@ _HISTORY = """talk AS (SELECT id, len(roles) AS n, list_filter(list_zip(roles, t
     WHEN len(list_filter(t, lambda m: m[1] = 'user' AND length(m[2]) > 4000)) > 0 THEN 'A message can be at most 4000 characters long'
     WHEN NOT list_contains(list_transform(tail, lambda m: m[1]), 'user') OR len(tail) = 0 OR r[-1][1] <> 'user' OR trim(r[-1][2]) = '' THEN 'The last message must be the person''s, with some text' END AS error FROM recents)"""
 _CUT = "CASE WHEN m[1] = 'assistant' THEN substr(m[2], 1, 8000) ELSE replace(m[2], 'the', '***') END"
+_TOLD = "sha256(array_to_string(list_transform({0}, lambda m: m[1] || ':' || CASE WHEN m[1] = 'assistant' THEN substr(m[2], 1, 8000) ELSE m[2] END), chr(10)))"
 CONVERSATIONS = {
-    "ar01_public_history": f"WITH {_HISTORY} SELECT id, error, CASE WHEN error IS NULL THEN len(r) ELSE 0 END AS recent, len(t) AS kept FROM judged",
+    "ar01_public_history": f"WITH {_HISTORY} SELECT id, error, CASE WHEN error IS NULL THEN {_TOLD.format('r')} END AS recent, {_TOLD.format('t')} AS kept FROM judged",
     "ar02_stored_transcript": f"""WITH {_HISTORY}, s AS (SELECT id, list_append(list_transform(t, lambda m: {_CUT}), 'Thanks')[-500:] AS stored FROM judged)
   SELECT id, len(stored) AS stored, sha256(array_to_string(stored, '|')) AS sha FROM s""",
     "jn09_match_replies": """WITH m AS (SELECT id AS message_id, number_id, phone, ts, id % 4 = 0 AS answers FROM #messages WHERE NOT from_me),
@@ -265,13 +266,12 @@ def replayed(source: str, key: str, step: str, start: str, to: str) -> str:
 
 
 def _limiter(limit: int, window: int, lock: int) -> str:
-    fresh = f"(s.opened IS NULL OR x.us - s.opened >= {window * 10**6})"
-    hits = f"(CASE WHEN {fresh} THEN 0 ELSE s.hits END)"
-    locked = "coalesce(x.us < s.until, false)"
-    gives_back = f"(x.success AND NOT {locked})"
-    over = f"({hits} + 1 > {limit})"
-    return f"""{{'hits': CASE WHEN {gives_back} THEN greatest(0, {hits} - 1) ELSE {hits} + 1 END, 'opened': CASE WHEN {fresh} THEN x.us ELSE s.opened END,
-    'until': CASE WHEN NOT {gives_back} AND {over} THEN x.us + {lock * 10**6} ELSE s.until END, 'out': list_append(s.out, NOT {gives_back} AND ({locked} OR {over}))}}"""
+    fresh = f"(s.opened IS NULL OR x.us - s.opened > {window * 10**6})"
+    hits = f"(CASE WHEN {fresh} THEN 1 ELSE s.hits + 1 END)"
+    until = f"(CASE WHEN {hits} > {limit} THEN x.us + {lock * 10**6} ELSE s.until END)"
+    refused = f"coalesce(x.us < {until}, false)"
+    return f"""{{'hits': CASE WHEN x.cleared THEN 0 WHEN x.success AND NOT {refused} THEN {hits} - 1 ELSE {hits} END, 'opened': CASE WHEN x.cleared THEN NULL WHEN {fresh} THEN x.us ELSE s.opened END,
+    'until': CASE WHEN x.cleared THEN NULL ELSE {until} END, 'out': list_append(s.out, NOT x.cleared AND {refused})}}"""
 
 
 def _loops(fast: int, most: int, pause: int) -> str:
@@ -285,7 +285,7 @@ def _loops(fast: int, most: int, pause: int) -> str:
 
 
 MACHINES = {
-    "st04_rate_limit": replayed("SELECT phone AS bucket, id, {'us': epoch_us(ts), 'success': id % 5 = 0} AS e FROM #messages", "bucket", _limiter(3, 86_400, 86_400), "{'hits': 0::bigint, 'opened': NULL::bigint, 'until': NULL::bigint, 'out': []::boolean[]}", "refused"),
+    "st04_rate_limit": replayed("SELECT phone AS bucket, id, {'us': epoch_us(ts), 'success': id % 5 = 0, 'cleared': id % 41 = 0} AS e FROM #messages", "bucket", _limiter(3, 86_400, 86_400), "{'hits': 0::bigint, 'opened': NULL::bigint, 'until': NULL::bigint, 'out': []::boolean[]}", "refused"),
     "st05_detect_loops": replayed("SELECT chat, id, {'us': epoch_us(ts), 'me': from_me} AS e FROM #messages", "chat", _loops(600, 2, 1800), "{'replied': NULL::bigint, 'awaiting': false, 'streak': 0::bigint, 'until': NULL::bigint, 'out': []::boolean[]}", "paused"),
 }
 
@@ -377,18 +377,25 @@ CALENDARS = {
 
 _SNAPSHOT = "coalesce((SELECT list({{'t': {title}, 'c': content}} ORDER BY id)[:200] FROM #knowledge k WHERE k.agent_id = b.id), [])"
 _WORDS = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_RAW_PHONE = "CASE cast(id AS int) % 4 WHEN 0 THEN '050-' || lpad(id, 7, '1') WHEN 1 THEN '00972 5' || lpad(id, 8, '2') WHEN 2 THEN '5' || lpad(id, 8, '3') ELSE '0' || id END"
+_CONTROL = """SELECT id, CASE WHEN starts_with(d, '0') THEN '972' || substr(d, 2) ELSE d END AS phone FROM (
+  SELECT id, regexp_replace(regexp_replace({raw}, '[^0-9]', '', 'g'), '^00', '') AS d FROM #users)"""
 RULES = {
     "tx17_normalize_phone": """WITH r AS (SELECT id, CASE cast(id AS int) % 4 WHEN 0 THEN '050-' || lpad(id, 7, '1') WHEN 1 THEN '00972 5' || lpad(id, 8, '2') WHEN 2 THEN '5' || lpad(id, 8, '3') ELSE id END AS raw FROM #users),
   d AS (SELECT id, regexp_replace(regexp_replace(raw, '[^0-9]', '', 'g'), '^00', '') AS d FROM r),
   h AS (SELECT id, CASE WHEN length(d) = 10 AND starts_with(d, '0') THEN '972' || substr(d, 2) WHEN length(d) = 9 AND starts_with(d, '5') THEN '972' || d ELSE d END AS d FROM d)
   SELECT id, CASE WHEN length(d) BETWEEN 8 AND 15 THEN d END AS phone FROM h""",
+    "tx17_control_phone": f"SELECT id, phone FROM ({_CONTROL.format(raw=_RAW_PHONE)})",
+    "tx17_recipient_of": f"""SELECT id, CASE WHEN cast(id AS int) % 5 = 4 THEN 'g-' || id || '@g.us' WHEN length(phone) BETWEEN 8 AND 15 THEN phone END AS recipient FROM ({_CONTROL.format(raw=_RAW_PHONE)})""",
     "tx22_read_answer": f"""WITH t AS (SELECT id, CASE id % 5 WHEN 0 THEN ' Yes! ' WHEN 1 THEN 'no.' WHEN 2 THEN 'כן' WHEN 3 THEN 'maybe' ELSE text END AS said, CASE id % 2 WHEN 0 THEN 'שלום' ELSE text END AS other FROM #messages),
   b AS (SELECT *, lower(regexp_replace(ltrim(said), '\\s*[.!]*\\s*$', '')) AS bare FROM t)
   SELECT id, CASE WHEN bare IN {_WORDS(tx.YES)} THEN 'yes' WHEN bare IN {_WORDS(tx.NO)} THEN 'no' END AS answer, regexp_matches(other, '[\\x{{0590}}-\\x{{05ff}}]') AS hebrew FROM b""",
     "pf12_valid_session_id": """WITH v AS (SELECT id, CASE id % 4 WHEN 0 THEN text WHEN 1 THEN 'wa_' || wa_id WHEN 2 THEN number_id || ':' || wa_id ELSE repeat(wa_id, 60) END AS value FROM #messages)
   SELECT id, length(value) <= 120 AND regexp_matches(value, '^[A-Za-z0-9_.:+-]+$') AND NOT regexp_matches(value, '(?i)^wal?_') AS valid FROM v""",
-    "ss06_append_exchange": """WITH e AS (SELECT id, agent_id, CASE WHEN cast(id AS int) % 2 = 0 THEN source ELSE 'x' END AS source, len(roles) AS n FROM #chat_sessions WHERE cast(id AS int) % 3 = 0)
-  SELECT s.id, len(roles) + coalesce(n, 0) AS messages FROM #chat_sessions s LEFT JOIN e ON e.id = s.id AND e.agent_id = s.agent_id AND e.source = s.source""",
+    "ss06_append_exchange": """WITH e AS (SELECT id, agent_id, CASE WHEN cast(id AS int) % 2 = 0 THEN source ELSE 'x' END AS source, list_concat(roles, texts) AS new FROM #chat_sessions WHERE cast(id AS int) % 3 = 0)
+  SELECT s.id, sha256(array_to_string(CASE WHEN new IS NULL THEN list_transform(list_zip(roles, texts), lambda m: m[1] || ':' || m[2])
+    ELSE list_concat(list_transform(list_zip(roles, texts), lambda m: m[1] || ':' || m[2]), list_transform(list_zip(roles, texts), lambda m: m[1] || ':' || m[2])) END, chr(10))) AS messages
+  FROM #chat_sessions s LEFT JOIN e ON e.id = s.id AND e.agent_id = s.agent_id AND e.source = s.source""",
     "jn05_find_tables": """WITH w AS (SELECT id, org_id, CASE WHEN cast(id AS int) % 2 = 0 THEN org_id ELSE 'nation-' || org_id END AS ref FROM #users)
   SELECT w.id AS request_id, o.id AS table_id FROM w JOIN #organizations o ON o.id = w.org_id AND (o.id = w.ref OR translate(lower(o.name), '_-. ', '') = translate(lower(w.ref), '_-. ', ''))""",
     "ag11_starter_drift": f"SELECT id, {_SNAPSHOT.format(title='title')} <> {_SNAPSHOT.format(title="CASE WHEN agent_id = '3' THEN upper(title) ELSE title END")} AS drifted FROM #bots b",

@@ -17,21 +17,22 @@ from ..sources.shared import written
 SECOND = 1_000_000
 
 
-def limiter_step(state: tuple, us: int, success: bool, limit: int, window: int, lock: int) -> tuple[tuple, bool]:
-    """State (hits, window start, locked until) after an event, and whether it was refused. Times in microseconds.
+def limiter_step(state: tuple, us: int, success: bool, limit: int, window: int, lock: int, cleared: bool = False) -> tuple[tuple, bool]:
+    """State (hits, window start, locked until) after an attempt, and whether it was refused. Times in microseconds.
 
-    The window restarts at the first hit after it elapsed. Past the limit the key locks for `lock` seconds, later hits over it push that on; hits while locked still count. A success gives one hit back.
+    Every attempt counts before its outcome is known; the window restarts at the first one after more than its length. Past the limit the key locks for `lock` seconds, which
+    each further attempt over it pushes on. An attempt that succeeds (it wasn't refused) takes back what it counted, and nothing else; `cleared` forgets the key.
     """
+    if cleared:
+        return (0, None, None), False
     hits, start, until = state
-    if start is None or us - start >= window * SECOND:
+    if start is None or us - start > window * SECOND:
         hits, start = 0, us
-    locked = until is not None and us < until
-    if success and not locked:
-        return (max(0, hits - 1), start, until), False
     hits += 1
     if hits > limit:
         until = us + lock * SECOND
-    return (hits, start, until), locked or hits > limit
+    refused = until is not None and us < until
+    return (hits - 1 if success and not refused else hits, start, until), refused
 
 
 def loop_step(state: tuple, us: int, from_me: bool, fast: float, streak_max: int, pause: int) -> tuple[tuple, bool]:
@@ -91,8 +92,9 @@ def replay(rows: DataFrame, keys: list[str], start: tuple, step: Callable, input
 
 
 def rate_limit(events: DataFrame, limit: int = 10, window: int = 900, lock: int = 900) -> DataFrame:
-    """(bucket, id, refused) of events (bucket, id, ts, success)."""
-    return replay(events, ["bucket"], (0, None, None), lambda s, us, ok: limiter_step(s, us, ok, limit, window, lock), ["success"], "refused", "boolean")
+    """(bucket, id, refused) of attempts (bucket, id, ts, success, and maybe cleared: the row empties the bucket)."""
+    inputs = ["success", "cleared"] if "cleared" in events.columns else ["success"]
+    return replay(events, ["bucket"], (0, None, None), lambda s, us, ok, clear=False: limiter_step(s, us, ok, limit, window, lock, bool(clear)), inputs, "refused", "boolean")
 
 
 def detect_loops(messages: DataFrame, fast: float = 5.0, streak: int = 4, pause: int = 1800) -> DataFrame:
@@ -127,7 +129,9 @@ def stream_state(rows: DataFrame, keys: list[str], start: tuple, state: str, ste
 
 
 def stream_rate_limit(events: DataFrame, limit: int = 10, window: int = 900, lock: int = 900) -> DataFrame:
-    return stream_state(events, ["bucket"], (0, None, None), "hits long, start long, until long", lambda s, us, ok: limiter_step(s, us, ok, limit, window, lock), ["success"], "refused", "boolean")
+    inputs = ["success", "cleared"] if "cleared" in events.columns else ["success"]
+    step = lambda s, us, ok, clear=False: limiter_step(s, us, ok, limit, window, lock, bool(clear))
+    return stream_state(events, ["bucket"], (0, None, None), "hits long, start long, until long", step, inputs, "refused", "boolean")
 
 
 def stream_loops(messages: DataFrame, fast: float = 5.0, streak: int = 4, pause: int = 1800) -> DataFrame:
