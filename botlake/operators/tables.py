@@ -143,18 +143,6 @@ def apply_user_fn(df: DataFrame, fn, inputs: list[str], schema: T.DataType, to:
     return df.withColumn(to, F.pandas_udf(fn, schema)(*[F.col(c) for c in inputs]))
 
 
-def match_messages(messages: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(message_id, trigger_id) of the same number: sender allowed (an empty list allows all), then any text, contains or starts, case folded.
-
-    messages: id, number_id, phone, text; triggers: trigger_id, number_id, senders (array), match, words.
-    """
-    met = messages.select(F.col("id").alias("message_id"), "number_id", "phone", F.lower(F.coalesce("text", F.lit(""))).alias("t")).join(triggers, "number_id")
-    want = F.lower(F.trim(F.coalesce("words", F.lit(""))))
-    allowed = (F.coalesce(F.size("senders"), F.lit(0)) <= 0) | F.array_contains("senders", F.col("phone"))
-    fits = F.when(F.col("match") == "contains", (want != "") & F.contains(F.col("t"), want)).when(F.col("match") == "starts", (want != "") & F.startswith(F.ltrim("t"), want)).otherwise(True)
-    return met.where(F.coalesce(allowed, F.lit(False)) & fits).select("message_id", "trigger_id")
-
-
 def listening(automations: DataFrame, connections: DataFrame, users: DataFrame) -> DataFrame:
     """(automation_id, connection_id): by organization and folded name, where the publisher may use the connection: shared, its own, or as an admin of the platform or organization."""
     met = automations.where("enabled").select(F.col("id").alias("automation_id"), "org_id", F.lower("connection").alias("n"), "publisher").join(

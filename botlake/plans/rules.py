@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import compare as cmp
 from ..functions import text as tx
 from ..functions import urls as u
-from ..operators import crawl, experiments, schedule, tables
+from ..operators import crawl, experiments, schedule, tables, triggers
 from ..sources import tables as src
 from ..streaming import stateful, streams
 from .inputs import view, with_views
@@ -108,7 +108,7 @@ def q_triggers(s: SparkSession, d: str) -> DataFrame:
     m = view(s, d, "messages").select("id", "number_id", "phone", "text")
     n = F.col("id").cast("int")
     t = view(s, d, "organizations").select(F.col("id").alias("trigger_id"), (n % 3).cast("string").alias("number_id"), F.when(n % 4 == 0, F.array((n * 5).cast("string"), (n + 1).cast("string"))).otherwise(F.array().cast("array<string>")).alias("senders"), F.element_at(F.array(F.lit("any"), F.lit("contains"), F.lit("starts")), n % 3 + 1).alias("match"), F.element_at(F.array(F.lit("CLICK"), F.lit("view {"), F.lit("")), n % 2 + 1).alias("words"))
-    return tables.match_messages(m, t)
+    return triggers.match_messages(m, t)
 
 
 def q_upsert(s: SparkSession, d: str, conflicts: bool) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import money, tables
+from ..operators import money, tables, triggers
 from ..sources.tables import guarded_upsert
 
 
@@ -41,6 +41,11 @@ def stream_triggers(stream: DataFrame, automations: DataFrame) -> DataFrame:
     return tables.row_triggers(stream, automations)
 
 
+def stream_message_triggers(stream: DataFrame, rules: DataFrame) -> DataFrame:
+    """Message triggers of a stream of messages: the rules are a table, and no message meets a join or a state."""
+    return triggers.match_messages(stream, rules)
+
+
 def upsert_sink(read_current, write, key: str, guards: list[str]):
     """A foreachBatch function that upserts every batch into a table by guarded_upsert; read_current() and write(df) are the table."""
 
