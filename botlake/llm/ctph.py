@@ -236,7 +236,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and how alike they are.
 
     A null text is empty; empty texts have the fingerprint `1::`. A single document is its own successor.
-    Repeated rows are kept; an empty table gives no rows.
+    Texts of any length are fingerprinted whole; rows with equal ids follow each other in text order (a tie of equal texts changes nothing). Repeated
+    rows are kept, other columns are not read; an empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return compare_with_next(docs, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -261,7 +261,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Nulls: a null text is `und` with score 0, a null doc_id is not held out, a null
     label teaches nothing. Empty texts are `und`. Ties go to the language that sorts
-    first. Repeated rows are predicted one by one. An empty table gives no rows.
+    first. Repeated rows are predicted one by one, texts of any length whole. Other
+    columns are not read. An empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     references = fit(docs.where(~held_out()))

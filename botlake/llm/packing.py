@@ -203,7 +203,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
     """One row per piece: where it is cut from its document and where it lies in its window.
 
     A null text is empty: its document is the end id alone. Rows with the same key are
-    packed one by one; a null key stays null. Only key and text are read.
+    packed one by one; a null key stays null. Texts of any length are packed whole; ties among
+    equal lengths go by the order of reading. Only key and text are read. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +251,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_i
 def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """All documents in windows of 2048 ids of `word_bpe_49k.json`, each document ended by id 1.
 
-    Null and empty texts are one id. An empty table gives no rows.
+    Null and empty texts are one id, texts of any length are cut into as many windows as they need. An empty table gives no rows.
     """
     import public_tokenizers
 

@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", source: str = "source", lang: str = "lang", size: str = "n_chars", to: str = "quality_score") -> DataFrame:
-    """All columns of docs and `to`, 0 to 1 (null without a model). Columns of any name go through (`to` is replaced)."""
+    """All columns of docs and `to`, 0 to 1 (null without a model). Columns of any name go through (`to` is replaced). Texts of any length are scored whole; equal rows get equal scores, and a tie of the views is 0.5."""
     names = [c for c in docs.columns if c != to]
     if model is None:
         return docs.select(*names, F.lit(None).cast("double").alias(to))
