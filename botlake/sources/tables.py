@@ -4,18 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import JSON_COLUMNS, TABLES
 
 
-def read_table(spark: SparkSession, name: str, path: str, kind: str = "parquet", **options: str) -> DataFrame:
-    """A platform table with its declared schema: parquet, JSON lines, or JDBC (path: the URL); JSON columns are typed."""
+def read_table(spark: SparkSession, name: str, path: str, kind: str = "parquet", partitions: int | None = None, **options: str) -> DataFrame:
+    """A platform table with its declared schema: parquet, JSON lines, or JDBC (path: the URL); JSON columns are typed.
+
+    A table behind JDBC is read by `partitions` connections (twice the default parallelism if not given), each a range of its split_column between its least and largest value; tables without
+    such a column, and empty ones, by one. Types are the declared ones, whatever the server's.
+    """
     reader = spark.read.options(**options)
-    if kind == "jdbc":
-        df = reader.format("jdbc").option("url", path).option("dbtable", name).load()
-    else:
-        df = reader.schema(TABLES[name]).format(kind).load(path)
-    return type_json(df, name)
+    if kind != "jdbc":
+        return type_json(reader.schema(TABLES[name]).format(kind).load(path), name)
+    reader = reader.format("jdbc").option("url", path)
+    split = split_column(name)
+    if split:
+        low, high = reader.option("query", f'select min("{split}") as low, max("{split}") as high from {name}').load().first()
+        if low is not None and low != high:
+            bounds = {"lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions or 2 * spark.sparkContext.defaultParallelism)}
+            reader = spark.read.options(**options).format("jdbc").option("url", path).options(partitionColumn=split, **bounds)
+        else:
+            reader = spark.read.options(**options).format("jdbc").option("url", path)
+    return type_json(reader.option("dbtable", name).option("customSchema", TABLES[name]).load(), name)
+
+
+def split_column(name: str) -> str | None:
+    """The column that ranges of a table are read by: a numeric id, else the first time column; None without either."""
+    fields = T.StructType.fromDDL(TABLES[name]).fields
+    ids = [f.name for f in fields if f.name == "id" and isinstance(f.dataType, T.LongType)]
+    return next(iter(ids + [f.name for f in fields if isinstance(f.dataType, T.TimestampType)]), None)
 
 
 def type_json(df: DataFrame, name: str) -> DataFrame:
