@@ -7,6 +7,7 @@ the next stage's input. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,8 +20,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose best and second language need almost equally many phrases have no language.
 LEAST_LANGUAGE_SCORE = 0.02
 LEAST_QUALITY = 0.5
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most (a longer text stands alone).
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """Whole texts go to the workers and back: small batches bound what executors hold of them. A stage's rows are read after it has returned, so the settings stay; returns what they were."""
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    for name, most in BATCHES.items():
+        spark.conf.set(name, str(min(most, int(re.sub(r"\D", "", before[name])))))
+    return before
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows are judged one by one, texts of any length whole; ties go by the language that sorts first and are alike near.
     Without labels nothing goes. Columns beside those of documents are dropped; an empty table stays empty.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     references = langid.fit(docs)
     if not references:
@@ -43,6 +54,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null texts are scored as empty ones, null metadata as such, repeated rows one by one, texts of any length whole.
     Columns beside those of documents are dropped; an empty table stays empty.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = quality.score(docs, model)
@@ -56,6 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns stays. Rows without an id all stay. Texts without words are no one's duplicates. Columns beside those of
     documents are dropped; an empty table stays empty.
     """
+    small_batches(spark)
     docs = row_keys(docs.select(*COLUMNS))
     found = minhash.near_duplicates(docs, key="k")
     gone = found.where(~F.col("kept")).select("k").distinct()
@@ -80,6 +93,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts and rows without an id stay as they are; rows that share an id lose nothing to each other.
     Columns beside those of documents are dropped; an empty table stays empty.
     """
+    small_batches(spark)
     out = cdc.dedup_substrings(docs.select(*COLUMNS))
     changed = F.size("removed") > 0
     out = out.where(~changed | (F.trim("text") != ""))
@@ -90,6 +104,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 ids. Null and empty texts are one id, repeated rows are packed one by one, a null id stays null; an empty table has no pieces."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -106,17 +121,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages one after the other. When a stage's table is written, all that was stored for it is deleted, the stage before included."""
-    # whole texts go to the workers and back: small batches bound what executors hold of them
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(rows, str(min(BATCH_ROWS, int(spark.conf.get(rows)))))
+    """All stages one after the other. When a stage's table is written, all that was stored for it is deleted, the stage before included. The session's batch settings are put back."""
+    settings = small_batches(spark)
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         with gathered() as made:
             docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
         discard(before, *[table for table in made if table is not docs])
         before = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
