@@ -50,8 +50,13 @@ def q_frontier(s: SparkSession, d: str) -> DataFrame:
     return crawl.next_frontier(p.where("position % 2 = 0"), p.where("position % 2 = 1"), p.where("position % 10 = 0").select("site", "url").distinct(), _robots(s, d), 10)
 
 
-def _crawled(s: SparkSession, d: str) -> DataFrame:
-    return crawl.crawl_documents(view(s, d, "web_pages").withColumnRenamed("url", "final_url"))
+def _crawled(s: SparkSession, d: str, least: int = crawl.LEAST_CHARS) -> DataFrame:
+    return crawl.crawl_documents(view(s, d, "web_pages").withColumnRenamed("url", "final_url"), least)
+
+
+def q_crawl_report(s: SparkSession, d: str) -> DataFrame:
+    paths = _pages(s, d).select("site", u.url_part(F.col("url"), "path").alias("path"))
+    return crawl.crawl_report(_crawled(s, d, 0), _pages(s, d).select("site", "url").distinct(), crawl.robots_allowed(paths, _robots(s, d)))
 
 
 def q_shape(s: SparkSession, d: str) -> DataFrame:
@@ -230,7 +235,7 @@ QUERIES = {
     "pf04_crawlable": lambda s, d: _pages(s, d).select("page_id", u.crawlable(F.col("url"), F.col("site")).alias("crawlable")),
     "pf05_robots_allowed": lambda s, d: crawl.robots_allowed(_pages(s, d).select("page_id", "site", u.url_part(F.col("url"), "path").alias("path")), _robots(s, d)).select("page_id", "allowed"),
     "tk04_next_frontier": q_frontier,
-    "ag09_crawl_report": lambda s, d: crawl.crawl_report(_crawled(s, d), _pages(s, d).select("site", "url").distinct(), crawl.robots_allowed(_pages(s, d).select("site", u.url_part(F.col("url"), "path").alias("path")), _robots(s, d))),
+    "ag09_crawl_report": q_crawl_report,
     "ag10_recrawl_plan": lambda s, d: crawl.recrawl_plan(view(s, d, "bots").select("id", F.array(F.concat(F.lit("https://s"), F.col("id").cast("int") % 9, F.lit(".example/?a")), F.lit("ftp://x"), F.concat(F.lit("https://s"), F.col("id").cast("int") % 4, F.lit(".example/"))).alias("urls"), (F.col("id").cast("int") % 3 * 400).alias("max_pages"), F.when(F.col("id").cast("int") % 3 > 0, F.col("id")).alias("last_crawled_at"))).select("key", "max_pages", "url", F.array_join("bots", ",").alias("bots")),
     "jn14_copy_crawl": lambda s, d: crawl.copy_crawl(view(s, d, "knowledge").select("id", F.lit(None).cast("string").alias("parent_id"), "source_url", "agent_id"), view(s, d, "bots").select(F.concat(F.lit("src"), F.col("id").cast("int") % 20).alias("source_url"), F.col("id").alias("agent_id"))),
     "pf06_compare": q_compare,

@@ -217,11 +217,12 @@ _CRAWLED = f"""{_ONE}, {page_text('pages_of')},
   crawled AS (SELECT page_id, {_SITE} AS site, url, substr(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '<[^>]+>', '', 'g')), 1, 200) AS title,
     CASE WHEN length(t) > {crawl.MOST_CHARS} THEN substr(t, 1, {crawl.MOST_CHARS}) || chr(10) || chr(10) || '[…truncated]' ELSE t END AS content, length(t) > {crawl.MOST_CHARS} AS truncated
     FROM pages_of JOIN texted USING (page_id) WHERE length(t) >= {crawl.LEAST_CHARS})"""
+_READ = _CRAWLED.replace(f"WHERE length(t) >= {crawl.LEAST_CHARS})", ")")
 PAGES = {
     "tx01_html_to_text": f"WITH {page_text('#web_pages')} SELECT page_id, sha256(t) AS text FROM texted",
     "tx09_crawl_documents": f"WITH {_CRAWLED} SELECT page_id, site, url, title, sha256(content) AS content, truncated FROM crawled",
-    "ag09_crawl_report": f"""WITH {_CRAWLED},
-  stored AS (SELECT site, count(*) AS pages, sum(length(content)) AS chars, count(*) FILTER (length(content) < {crawl.THIN_CHARS}) AS thin, count(*) FILTER (truncated) AS truncated FROM crawled GROUP BY site),
+    "ag09_crawl_report": f"""WITH {_READ},
+  stored AS (SELECT site, count(*) FILTER (length(content) >= {crawl.LEAST_CHARS}) AS pages, sum(length(content)) FILTER (length(content) >= {crawl.LEAST_CHARS}) AS chars, count(*) FILTER (length(content) < {crawl.THIN_CHARS}) AS thin, count(*) FILTER (truncated) AS truncated FROM crawled GROUP BY site),
   asked AS (SELECT site, count(DISTINCT url) AS found, count(*) FILTER (NOT CASE WHEN path LIKE '/fr/8%' THEN true WHEN path LIKE '/fr/%' THEN false ELSE path NOT LIKE '/%/' END) AS blocked FROM (SELECT {_SITE} AS site, url, {_PATH} AS path FROM #web_pages) GROUP BY site)
   SELECT site, coalesce(pages, 0) AS pages, cast(coalesce(chars, 0) AS bigint) AS chars, coalesce(thin, 0) AS thin, coalesce(truncated, 0) AS truncated, found, blocked FROM asked LEFT JOIN stored USING (site)""",
 }
