@@ -155,25 +155,27 @@ def balance_ledger(topups: DataFrame, usage: DataFrame) -> DataFrame:
     rows = topups.select("org_id", "at", F.lit(0).alias("step"), "id", F.when(~F.col("removal"), F.col("amount_usd").cast(CHARGE)).alias("amount"), F.col("removal")).unionByName(
         usage.select("org_id", "at", F.lit(1).alias("step"), "id", (-F.coalesce("charged_usd", F.lit(0).cast(CHARGE))).cast(CHARGE).alias("amount"), F.lit(False).alias("removal"))
     )
+    # inside an organization's day: its stretches between removals, and each row's running sums, of all and of what follows a first top-up
     rows = rows.withColumn("day", F.to_date("at"))
-    # each running value is that of the days before, from day totals, and that inside the day
     upto, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     today = Window.partitionBy("org_id", "day").orderBy("at", "step", "id").rowsBetween(*upto)
-    days = rows.groupBy("org_id", "day").agg(F.count_if("removal").alias("_n"))
-    days = days.select("org_id", "day", F.coalesce(F.sum("_n").over(Window.partitionBy("org_id").orderBy("day").rowsBetween(*earlier)), F.lit(0)).alias("_era"))
-    rows = rows.withColumn("era", F.count_if("removal").over(today)).join(days, ["org_id", "day"]).withColumn("era", F.col("era") + F.col("_era")).drop("_era")
-    begins = (F.col("step") == 0) & ~F.col("removal")
-    before = Window.partitionBy("org_id", "era").orderBy("day").rowsBetween(*earlier)
-    inside = Window.partitionBy("org_id", "era", "day").orderBy("at", "step", "id").rowsBetween(*upto)
-    days = rows.groupBy("org_id", "era", "day").agg(F.bool_or(begins).alias("_b"))
-    days = days.select("org_id", "era", "day", F.coalesce(F.bool_or("_b").over(before), F.lit(False)).alias("_started"))
-    rows = rows.withColumn("_begun", F.bool_or(begins).over(inside)).join(days, ["org_id", "era", "day"])
-    live = (F.col("_started") | F.col("_begun")) & ~F.col("removal")
-    rows = rows.withColumn("_live", live).withColumn("_counts", F.when(live, F.col("amount")))
-    days = rows.groupBy("org_id", "era", "day").agg(F.sum("_counts").alias("_t"))
-    days = days.select("org_id", "era", "day", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_inside", F.sum("_counts").over(inside)).join(days, ["org_id", "era", "day"])
-    return rows.select("org_id", "at", F.when(F.col("step") == 0, "topup").otherwise("charge").alias("kind"), "id", "amount", F.when(F.col("_live"), F.col("_before") + F.coalesce("_inside", F.lit(0))).alias("balance"))
+    stretch = Window.partitionBy("org_id", "day", "_cut").orderBy("at", "step", "id").rowsBetween(*upto)
+    rows = rows.withColumn("_cut", F.count_if("removal").over(today)).withColumn("_begun", F.bool_or((F.col("step") == 0) & ~F.col("removal")).over(stretch))
+    rows = rows.withColumns({"_all": F.sum("amount").over(stretch), "_own": F.sum(F.when(F.col("_begun"), F.col("amount"))).over(stretch)})
+    # a day hands on what its last stretch ends with; one without a removal adds to what it was handed
+    last = F.max(F.struct("_cut", "at", "step", "id", "_begun", "_all", "_own"))
+    days = rows.groupBy("org_id", "day").agg(last.alias("m")).select("org_id", "day", "m.*")
+    days = days.withColumn("_part", F.coalesce(F.sum((F.col("_cut") > 0).cast("int")).over(Window.partitionBy("org_id").orderBy("day").rowsBetween(*upto)), F.lit(0)))
+    entry = Window.partitionBy("org_id", "_part").orderBy("day")  # from a day with a removal to the next such day
+    whole = F.coalesce(F.bool_or("_begun").over(entry.rowsBetween(*earlier)), F.lit(False)) & (F.col("_cut") == 0)
+    days = days.withColumn("_adds", F.when(whole, F.col("_all")).otherwise(F.coalesce("_own", F.lit(0))))
+    days = days.withColumns({"_on": F.bool_or("_begun").over(entry.rowsBetween(*upto)), "_sum": F.sum("_adds").over(entry.rowsBetween(*upto))})
+    next_day = Window.partitionBy("org_id").orderBy("day")
+    days = days.select("org_id", "day", F.coalesce(F.lag("_on").over(next_day), F.lit(False)).alias("_started"), F.coalesce(F.lag("_sum").over(next_day), F.lit(0)).alias("_before"))
+    rows = rows.join(days, ["org_id", "day"])
+    goes_on = F.col("_started") & (F.col("_cut") == 0)
+    balance = F.when(goes_on, F.col("_before") + F.coalesce("_all", F.lit(0))).when(F.col("_begun"), F.col("_own"))
+    return rows.select("org_id", "at", F.when(F.col("step") == 0, "topup").otherwise("charge").alias("kind"), "id", "amount", F.when(~F.col("removal"), balance).alias("balance"))
 
 
 def limit_audit(usage: DataFrame, caps: DataFrame) -> DataFrame:
