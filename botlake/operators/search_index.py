@@ -130,8 +130,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _save_postings(units: DataFrame, path: str, buckets: int) -> None:
     """Postings of whole buckets of units. A bucket is one task: its packed rows are exploded, sorted and cut into blocks where they are, a batch at a time."""
-    own = units.where(F.col("agent_id").isNotNull()).select("bucket", "agent_id", "unit_id", "lexemes", "scores").repartition(buckets, "bucket")
-    one = own.select("bucket", "agent_id", F.explode(F.arrays_zip("lexemes", "scores")).alias("x"), "unit_id").select("bucket", "agent_id", F.col("x.lexemes").alias("lexeme"), F.col("x.scores").alias("score"), "unit_id")
+    full = units.where(F.col("agent_id").isNotNull() & (F.size("lexemes") > 0))
+    # lexemes have no blanks: as one text they are a fifth of what an array of them is in a shuffle
+    own = full.select("bucket", "agent_id", "unit_id", F.concat_ws(" ", "lexemes").alias("text"), "scores").repartition(buckets, "bucket")
+    one = own.select("bucket", "agent_id", F.explode(F.arrays_zip(F.split("text", " ").alias("lexemes"), "scores")).alias("x"), "unit_id").select("bucket", "agent_id", F.col("x.lexemes").alias("lexeme"), F.col("x.scores").alias("score"), "unit_id")
     rows = one.sortWithinPartitions("bucket", "agent_id", "lexeme", F.desc("score"), "unit_id").mapInArrow(_blocks, POSTINGS)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
