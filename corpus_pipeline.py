@@ -7,7 +7,6 @@ the next stage's input. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,16 +19,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Texts whose best and second language need almost equally many phrases have no language.
 LEAST_LANGUAGE_SCORE = 0.02
 LEAST_QUALITY = 0.5
-#: Rows and bytes of an Arrow batch at most (a longer text stands alone).
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+#: Rows of an Arrow batch at most.
+BATCH_ROWS, BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> dict[str, str]:
-    """Whole texts go to the workers and back: small batches bound what executors hold of them. A stage's rows are read after it has returned, so the settings stay; returns what they were."""
-    before = {name: spark.conf.get(name) for name in BATCHES}
-    for name, most in BATCHES.items():
-        spark.conf.set(name, str(min(most, int(re.sub(r"\D", "", before[name])))))
+def small_batches(spark: SparkSession) -> str:
+    """Whole texts go to the workers and back: small batches bound what executors hold of them. A stage's rows are read after it has returned, so the setting stays; returns what it was."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(BATCH_ROWS, int(before))))
     return before
 
 
@@ -121,8 +118,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages one after the other. When a stage's table is written, all that was stored for it is deleted, the stage before included. The session's batch settings are put back."""
-    settings = small_batches(spark)
+    """All stages one after the other. When a stage's table is written, all that was stored for it is deleted, the stage before included. The session's batch size is put back."""
+    before_run = small_batches(spark)
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
         with gathered() as made:
@@ -130,8 +127,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         discard(before, *[table for table in made if table is not docs])
         before = docs
     out = STAGES[-1][1](spark, docs, sf_dir)
-    for name, value in settings.items():
-        spark.conf.set(name, value)
+    spark.conf.set(BATCH, before_run)
     return out
 
 
