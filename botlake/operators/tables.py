@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.compare import coerce, compare, fill_template, folded_name
+from ..sources.shared import dealt_join
 from .chats import micros
 
 MOST_COLUMNS, MOST_ITEMS, TYPES = 40, 500, ("text", "number", "date", "boolean")
@@ -145,18 +146,18 @@ def apply_user_fn(df: DataFrame, fn, inputs: list[str], schema: T.DataType, to:
 
 def listening(automations: DataFrame, connections: DataFrame, users: DataFrame) -> DataFrame:
     """(automation_id, connection_id): by organization and folded name, where the publisher may use the connection: shared, its own, or as an admin of the platform or organization."""
-    met = automations.where("enabled").select(F.col("id").alias("automation_id"), "org_id", F.lower("connection").alias("n"), "publisher").join(
-        connections.select(F.col("id").alias("connection_id"), "org_id", F.lower("name").alias("n"), "shared", "created_by"), ["org_id", "n"]
-    )
     who = users.select(F.col("id").alias("publisher"), "is_admin", (F.col("org_role") == "admin").alias("_a"), F.col("org_id").alias("_o"))
+    # an automation meets its publisher before the connections: the pairs are shuffled no more
+    live = automations.where("enabled").select(F.col("id").alias("automation_id"), "org_id", F.lower("connection").alias("n"), "publisher").join(who, "publisher", "left")
+    met = dealt_join(connections.select(F.col("id").alias("connection_id"), "org_id", F.lower("name").alias("n"), "shared", "created_by"), live, ["org_id", "n"], "connection_id")
     may = F.coalesce("shared", F.lit(True)) | (F.col("created_by") == F.col("publisher")) | F.col("is_admin") | (F.col("_a") & (F.col("_o") == F.col("org_id")))
-    return met.join(who, "publisher", "left").where(F.coalesce(may, F.lit(False))).select("automation_id", "connection_id")
+    return met.where(F.coalesce(may, F.lit(False))).select("automation_id", "connection_id")
 
 
 def row_triggers(new_rows: DataFrame, automations: DataFrame) -> DataFrame:
     """(row_id, automation_id): every added row and the live automations that watch its table, but the one that wrote it."""
     watching = automations.where("enabled").select(F.col("id").alias("automation_id"), "org_id", "table_id")
-    met = new_rows.select(F.col("id").alias("row_id"), "org_id", "table_id", "written_by").join(watching, ["org_id", "table_id"])
+    met = dealt_join(new_rows.select(F.col("id").alias("row_id"), "org_id", "table_id", "written_by"), watching, ["org_id", "table_id"], "row_id")
     return met.where(F.coalesce(F.col("written_by") != F.concat(F.lit("automation:"), "automation_id"), F.lit(True))).select("row_id", "automation_id")
 
 
