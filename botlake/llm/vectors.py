@@ -7,11 +7,11 @@ member of another cell has a distance to that cell's pivot of at most its own pi
 distance + 2r, and lies within r of the hyperplane between the two pivots (the sharper bound
 in a Euclidean space); only then is it copied there. Each cell then finds all
 neighbours of its own members without looking at other cells. Cells that are still large get pivots of
-their own, by the same rule, to LEVELS levels. A cell whose vectors would be copied to most of its pivots (one dense
-heap) stays whole.
+their own, by the same rule, to LEVELS levels. A cell is cut only where that doesn't raise what is sent: its vectors
+are copied at most MOST_COPIES times on average, or less often than the whole cell's blocks are. Others (dense heaps) stay whole.
 
-Equal vectors are one vector with a count before any of this. A cell with more than
-BLOCK members is compared in pairs of hash blocks, so a task never holds more than two blocks. A comparison
+Equal vectors are one vector with a count before any of this. A cell with more members than a block holds is compared in
+pairs of hash blocks, each pair once, tile by tile; a task never holds more than two blocks and one tile. A comparison
 returns a neighbour count and one root for each member, never the pairs; the roots
 go to connected components.
 """
@@ -23,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components, discard, stored
 
 #: Vectors of a cell that are aimed at, pivots of one cell at most, members of a block, levels of cells, and
 #: the size past which a cell of the first level is cut again.
-CELL, PIVOTS, BLOCK, LEVELS, LARGE = 512, 64, 1024, 3, 8192
-#: A cell is cut if its sampled vectors go to at most so many of its new cells on average, or to fewer than the blocks that they would be sent to in the whole cell.
-MOST_COPIES = 16
+CELL, PIVOTS, BLOCK, LEVELS, LARGE = 512, 64, 16_384, 3, 8192
+#: Components of a block's vectors at most (8 MB; a block has 64 vectors at least), and vectors of a tile on either side.
+BLOCK_VALUES, TILE = 1 << 20, (1024, 4096)
+#: A cell is cut if its sampled vectors go to so many of its new cells on average at most.
+MOST_COPIES = 2
 #: Widens the radius in the pivot bounds, so that rounding never loses a pair; pairs are decided by cosine.
 SLACK = 1e-6
 
@@ -45,9 +47,14 @@ def unit_rows(column: pa.ListArray, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
+def values_of(vectors: DataFrame, vector: str) -> Column:
+    """The vector column: single precision stays as it is (half the bytes, the same numbers), all else is double."""
+    return F.col(vector) if dict(vectors.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+
+
 def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(l, v, key, c, k): distinct vectors of each label that can link, with the smallest key, the number of rows, and a number of their own."""
-    values = F.col(vector).cast("array<double>")
+    values = values_of(vectors, vector)
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     some = F.exists(values, lambda x: x != 0)
     good = vectors.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.coalesce(finite & some, F.lit(False)))
@@ -57,6 +64,11 @@ def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 CELLS = ["l", "d", "cell"]
 
 
+def block_size(d: int) -> int:
+    """Members of a block of vectors of d components."""
+    return max(64, min(BLOCK, BLOCK_VALUES // max(d, 1)))
+
+
 def reaches(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """The nearest pivot of every vector, and which pivots' cells may hold vectors within the radius of it."""
     far = np.maximum(0, 2 - 2 * (x @ p.T))  # squared distances to the pivots
@@ -79,9 +91,12 @@ def choose_pivots(cells: DataFrame, large: DataFrame, radius: float, level: int)
         n, want = t["n"][0].as_py(), t["want"][0].as_py()
         x = unit_rows(t["v"].combine_chunks(), t["d"][0].as_py())
         copies = reaches(x, x[:want], radius)[1].sum(axis=1).mean()
-        return t.slice(0, want if want > 1 and copies <= max(MOST_COPIES, 2 * n / BLOCK) else 0).select([*CELLS, "n", "v"])
+        blocks = n / block_size(t["d"][0].as_py())
+        # in cells of n * copies / want members each, the copies of copies are copies ** 2 / want of the whole cell's blocks
+        fewer = copies <= MOST_COPIES or (copies <= blocks / 2 and copies**2 <= want / 2)
+        return t.slice(0, want if want > 1 and fewer else 0).select([*CELLS, "n", "v"])
 
-    return sample.groupBy(*CELLS).applyInArrow(choose, "l string, d int, cell string, n long, v array<double>")
+    return sample.groupBy(*CELLS).applyInArrow(choose, f"l string, d int, cell string, n long, v {dict(cells.dtypes)['v']}")
 
 
 def cut_cells(cells: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
@@ -121,11 +136,11 @@ def cut_cells(cells: DataFrame, pivots: DataFrame, radius: float) -> DataFrame:
                 own = sent.column("own").to_numpy(zero_copy_only=False) & (home[to] == new)
                 yield pa.RecordBatch.from_arrays([sent.column("l"), sent.column("d"), pa.array([f"{cell}.{i}" for i in new]), pa.array(own, pa.bool_()), sent.column("k"), sent.column("c"), sent.column("v")], names=[*CELLS, "own", "k", "c", "v"])
 
-    return whole.unionByName(met.mapInArrow(assign, "l string, d int, cell string, own boolean, k long, c long, v array<double>"))
+    return whole.unionByName(met.mapInArrow(assign, f"l string, d int, cell string, own boolean, k long, c long, v {dict(cells.dtypes)['v']}"))
 
 
 def cells_of(points: DataFrame, radius: float) -> DataFrame:
-    """(l, d, cell, own, k, c, v), stored: the vectors of every label and dimension in cells, cut until they are small or no use cutting."""
+    """(l, d, cell, own, k, c, v), stored if cut: the vectors of every label and dimension in cells, cut until they are small or no use cutting."""
     cells = points.select("l", F.size("v").alias("d"), F.lit("").alias("cell"), F.lit(True).alias("own"), "k", "c", "v")
     before = None
     for level in range(LEVELS):
@@ -133,42 +148,75 @@ def cells_of(points: DataFrame, radius: float) -> DataFrame:
         if large.isEmpty():
             break
         pivots = stored(choose_pivots(cells, large, radius, level + 3), "pivots")
+        if pivots.isEmpty():
+            discard(pivots)
+            break
         cells = stored(cut_cells(cells, pivots, radius), "cells")
         discard(before, pivots)
         before = cells
     return cells
 
 
+def _roots(parent: np.ndarray) -> np.ndarray:
+    """Every place's root, in a forest whose parents are never larger than their children."""
+    while True:
+        above = parent[parent]
+        if (above == parent).all():
+            return above
+        parent = above
+
+
+def _merge(parent: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The forest (as roots) after the links of a tile: near[x, y] links the places i[x] and j[y].
+
+    Each round every row and column with a link to another tree takes one, so the trees that have such links are at most half as many after it.
+    """
+    while True:
+        between = near & (parent[i][:, None] != parent[j][None, :])
+        x, y = np.flatnonzero(between.any(axis=1)), np.flatnonzero(between.any(axis=0))
+        if not len(x):
+            return parent
+        pairs = [*zip(i[x], j[between[x].argmax(axis=1)]), *zip(i[between[:, y].argmax(axis=0)], j[y])]
+        parent = parent.copy()
+        for a, b in pairs:
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+        parent = _roots(parent)
+
+
 def compare(t: pa.Table, cosine: float) -> pa.Table:
-    """Of one pair of blocks: for every own member that asks, the rows within reach among the targets and the smallest key of its local component."""
-    empty = pa.table({"k": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    """Of one pair of blocks: for every vector that has a neighbour in it the rows within reach (an own member's; else 0) and the smallest key of its local component.
+
+    Columns: d, k, c, v, own, b (its block), i and j (the pair). All rows of a block meet all of the other (of a block with itself: each other), a tile at a time.
+    """
     if not t.num_rows:
-        return empty
-    d = t["d"][0].as_py()
-    x = unit_rows(t["v"].combine_chunks(), d)
-    key, count = t["k"].to_numpy(), t["c"].to_numpy()
-    asks, target = t["asks"].to_numpy(zero_copy_only=False), t["target"].to_numpy(zero_copy_only=False)
-    i, j = np.flatnonzero(asks), np.flatnonzero(target)
-    near = (x[i] @ x[j].T) >= cosine
-    near &= key[i][:, None] != key[j][None, :]
-    links = near @ count[j]
-    root = key.copy()  # smallest key reachable inside this pair of blocks
-    while True:
-        low = np.minimum(root[i], np.where(near, root[j][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-        back = np.where(near, low[:, None], np.iinfo(np.int64).max).min(axis=0, initial=np.iinfo(np.int64).max)
-        new = root.copy()
-        new[i] = low
-        new[j] = np.minimum(new[j], back)
-        if (new == root).all():
-            break
-        root = new
-    linked = np.zeros(len(key), bool)
-    linked[i] = near.any(axis=1)
-    linked[j] |= near.any(axis=0)
-    n = np.zeros(len(key), np.int64)
-    n[i] = links
-    out = linked | (n > 0)
-    return pa.table({"k": pa.array(key[out]), "links": pa.array(n[out]), "root": pa.array(root[out])})
+        return pa.table({"k": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    t = t.sort_by([("k", "ascending")])  # the root of a tree is its first place, and so its smallest key
+    x = unit_rows(t["v"].combine_chunks(), t["d"][0].as_py())
+    key, count, block = t["k"].to_numpy(), t["c"].to_numpy(), t["b"].to_numpy()
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    parent, links, linked = np.arange(len(key)), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    for lo in range(0, len(left), TILE[0]):
+        a = left[lo : lo + TILE[0]]
+        for at in range(0, len(right), TILE[1]):
+            b = right[at : at + TILE[1]]
+            near = (x[a] @ x[b].T) >= cosine
+            near &= a[:, None] != b[None, :]
+            rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(rows):
+                continue
+            near, a_, b_ = near[np.ix_(rows, columns)], a[rows], b[columns]
+            linked[a_] = linked[b_] = True
+            links[a_] += near @ count[b_]
+            if i != j:
+                links[b_] += count[a_] @ near
+            parent = _merge(parent, near, a_, b_)
+    links[~t["own"].to_numpy(zero_copy_only=False)] = 0
+    return pa.table({"k": pa.array(key[linked]), "links": pa.array(links[linked]), "root": pa.array(key[parent][linked])})
 
 
 def range_join(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -183,16 +231,13 @@ def range_join(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", ve
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     points = stored(usable(vectors, key, vector, label), "points")
     cells = cells_of(points, radius)
-    # a pair of blocks: own members ask, all members are targets, each in blocks of their own number; small cells are one pair
-    sizes = cells.groupBy(*CELLS).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.greatest(F.ceil(F.count_if("own") / BLOCK), F.lit(1)).cast("int").alias("na"))
-    number = lambda blocks: F.pmod(F.xxhash64("k", F.lit(1)), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    rows = cells.join(sizes, CELLS)
-    base = [*CELLS, "k", "c", "v"]
-    one = rows.where("nb = 1").select(*base, F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("own").alias("asks"), F.lit(True).alias("target"))
-    asking = rows.where("nb > 1 and own").select(*base, number("na").alias("i"), every("nb").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("target"))
-    targets = rows.where("nb > 1").select(*base, every("na").alias("i"), number("nb").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("target"))
-    met = one.unionByName(asking).unionByName(targets).groupBy(*CELLS, "i", "j").applyInArrow(lambda t: compare(t, cosine), "k long, links long, root long")
+    # every vector lies in one of its cell's blocks, and goes to the pairs (i, j), i <= j, of that block with each
+    size = F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.col("d"))))
+    sizes = cells.groupBy(*CELLS).agg(F.count("*").alias("n")).select(*CELLS, F.ceil(F.col("n") / size).cast("int").alias("nb"))
+    rows = cells.join(sizes, CELLS).withColumn("b", F.pmod(F.xxhash64("k", F.lit(1)), F.col("nb")).cast("int"))
+    rows = rows.select(*CELLS, "own", "k", "c", "v", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    pairs = rows.select(*CELLS, "own", "k", "c", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    met = pairs.groupBy(*CELLS, "i", "j").applyInArrow(lambda t: compare(t, cosine), "k long, links long, root long")
     found = stored(met, "found")
     discard(cells)
     near = found.groupBy("k").agg(F.sum("links").alias("links"))
@@ -202,7 +247,7 @@ def range_join(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", ve
     least = known.groupBy("_g").agg(F.min("key").alias("_component"))  # of a component: its smallest key
     classes = stored(known.join(least, "_g").select("l", "v", "_c", "_links", "_component"), "classes")
     discard(points, found, group)
-    rows = vectors.select(F.col(key), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(key), F.col(label).cast("string").alias("l"), values_of(vectors, vector).alias("v"))
     back = rows.where(F.col(key).isNotNull()).join(classes, ["l", "v"], "left").select(key, "_c", "_links", "_component")
     none = rows.where(F.col(key).isNull()).select(key, F.lit(None).cast("long").alias("_c"), F.lit(None).cast("long").alias("_links"), F.lit(None).cast("long").alias("_component"))
     return back.unionByName(none).select(
