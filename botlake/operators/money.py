@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bins import bin_of
+
 #: USD a million tokens (input, output) where the catalog has no price; output tokens that are assumed, and allowed at most.
 FALLBACK_PRICE, DEFAULT_OUTPUT, MOST_OUTPUT = (10.0, 40.0), 4096, 128_000
 CHARGE = "decimal(38,12)"
@@ -181,16 +183,17 @@ def balance_ledger(topups: DataFrame, usage: DataFrame) -> DataFrame:
 def limit_audit(usage: DataFrame, caps: DataFrame) -> DataFrame:
     """Month-to-date spend before each call of every capped scope, and the call that crossed the cap.
 
-    caps: scope, key, cap_usd. A scope's day totals give the offset of every day (a window over few
-    rows), and the running sum inside a day is keyed by (scope, key, day): the platform's
-    single key is no single task.
+    caps: scope, key, cap_usd. A scope's totals of bins of the time give the offset of every bin (a window over few
+    rows), and the running sum inside a bin is keyed by (scope, key, month, bin). Caps meet these totals, not the calls: a join of the calls by (scope, key)
+    would leave the platform's single key in a single task, windows included.
     """
-    calls = spend_scopes(usage).join(caps, ["scope", "key"]).withColumns({"day": F.to_date("at"), "month": month_of(F.col("at"))})
-    days = calls.groupBy("scope", "key", "month", "day").agg(F.sum("amount").alias("total"))
-    before = Window.partitionBy("scope", "key", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("earlier", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
-    today = Window.partitionBy("scope", "key", "month", "day").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    out = calls.withColumn("inside", F.coalesce(F.sum("amount").over(today), F.lit(0))).join(days, ["scope", "key", "month", "day"])
+    usage = usage.withColumns({"_us": F.unix_micros(F.col("at").cast("timestamp")), "month": month_of(F.col("at"))})
+    calls = spend_scopes(usage.withColumn("_bin", bin_of(usage, "_us"))).select("scope", "key", "month", "_bin", "at", "id", "amount")
+    totals = calls.groupBy("scope", "key", "month", "_bin").agg(F.sum("amount").alias("total")).join(caps, ["scope", "key"])
+    before = Window.partitionBy("scope", "key", "month", "cap_usd").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.withColumn("earlier", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
+    inside = Window.partitionBy("scope", "key", "month", "_bin").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    out = calls.withColumn("inside", F.coalesce(F.sum("amount").over(inside), F.lit(0))).join(earlier, ["scope", "key", "month", "_bin"])
     spent = (F.col("earlier") + F.col("inside")).cast("double")
     crossed = (spent < F.col("cap_usd").cast("double")) & (spent + F.col("amount").cast("double") >= F.col("cap_usd").cast("double"))
     return out.select("scope", "key", "id", "at", F.round(spent, 9).alias("spent_before"), crossed.alias("crossed"))

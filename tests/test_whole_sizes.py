@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import zoneinfo
 
 import pytest
+from pyspark.sql import functions as F
 
-from botlake.operators import schedule
+from botlake.operators import money, schedule
 
 
 def slow_next_run(row, now, days=400):
@@ -49,3 +51,30 @@ def test_next_group_runs_tries_few_days(spark):
     df = spark.createDataFrame([(1, "daily", "2024-01-01", "10:00", [1], 1, "UTC")], "id long, repeat string, on_date string, at_time string, weekdays array<int>, month_day int, timezone string")
     plan = schedule.next_group_runs(df, "2024-01-15 12:00:00")._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" in plan and " 400), None" not in plan
+
+
+def test_limit_audit_spreads_the_platform(spark):
+    """The platform's only key has all calls: no task of the windows takes more than a few bins of it."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), "o1", None, "home", None, None, decimal.Decimal("0.01"), decimal.Decimal("0.01")) for i in range(4000)]
+    usage = spark.createDataFrame(rows, "id long, at timestamp_ntz, org_id string, user_id string, source string, item_type string, item_id string, cost_usd decimal(18,6), charged_usd decimal(18,6)")
+    caps = spark.createDataFrame([("platform", "", 20.0), ("platform", "", 1.0)], "scope string, key string, cap_usd double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("16", "false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        out = money.limit_audit(usage, caps)
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        got = sorted((r["id"], r["spent_before"], r["crossed"]) for r in out.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) > 8 and max(sizes) < 2000
+    want = []
+    for cap in (20.0, 1.0):
+        spent, month = decimal.Decimal(0), None
+        for i, at, *_ in rows:
+            spent, month = (decimal.Decimal(0) if at.month != month else spent), at.month
+            want.append((i, float(spent), float(spent) < cap <= float(spent + decimal.Decimal("0.01"))))
+            spent += decimal.Decimal("0.01")
+    assert [(i, round(s, 9)) for i, s, _ in got] == [(i, round(s, 9)) for i, s, _ in sorted(want)]
+    assert sum(c for _, _, c in got) == sum(c for _, _, c in want)
