@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import bounded
 
 #: Rank of a lexeme that occurs n times: RANK_WEIGHT x (1 + 1/4 + ... + 1/n^2) / (pi^2 / 6); occurrences count up to MOST_POSITIONS.
 RANK_WEIGHT, RANK_LIMIT, MOST_POSITIONS = 0.1, 1.64493406685, 256
+#: Rows of (agent, word) that are broadcast at most.
+SMALL = 200_000
 #: Largest rewrite input, and least share (and characters) of the original that a rewrite must keep.
 MOST_REWRITE, LEAST_SHARE, LEAST_CHARS = 120_000, 0.4, 200
 
@@ -87,7 +90,8 @@ def search(units: DataFrame, queries: DataFrame, k: int = 6, english: bool = Tru
     units: unit_id, agent_id, title, content; queries: query_id, agent_id, question. A unit matches if it
     has any lexeme of the question in either vocabulary. Its rank under a vocabulary is the sum of
     its lexemes' scores over the number of the question's lexemes; the greater one counts.
-    Distinct words are stemmed once; of a unit's words only those that an agent's questions ask for are counted and shuffled.
+    Distinct words are stemmed once; of a unit's words only those that an agent's questions ask for are shuffled: where these are at most SMALL they go
+    to the units, else a unit's words are counted before they meet them.
     """
     k = min(max(k, 1), 20)
     words = tx.words_of(F.col("question"))
@@ -105,7 +109,9 @@ def search(units: DataFrame, queries: DataFrame, k: int = 6, english: bool = Tru
     else:
         meant = wanted.select(F.col("lexeme").alias("word")).distinct().transform(word_lexemes, False)
     meant = meant.join(wanted, "lexeme").select("agent_id", "word", "lexeme", "weight")
-    index = words.join(meant, ["agent_id", "word"]).groupBy("agent_id", "unit_id", "lexeme").agg(F.sum("weight").alias("tf"))
+    few = bounded(meant, SMALL)
+    words = words.withColumn("_n", F.lit(1)) if few is not meant else words.groupBy("unit_id", "agent_id", "word").agg(F.count("*").alias("_n"))
+    index = words.join(few, ["agent_id", "word"]).groupBy("agent_id", "unit_id", "lexeme").agg(F.sum(F.col("weight") * F.col("_n")).alias("tf"))
     hits = index.join(asked, ["agent_id", "lexeme"]).groupBy("query_id", "unit_id", "vocabulary").agg((F.sum(occurrence_score(F.col("tf"))) / F.max("n")).alias("rank"))
     best = hits.groupBy("query_id", "unit_id").agg(F.round(F.max("rank"), 9).alias("rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "unit_id")

@@ -9,7 +9,7 @@ import zoneinfo
 import pytest
 from pyspark.sql import functions as F
 
-from botlake.operators import money, schedule
+from botlake.operators import knowledge, money, schedule
 
 
 def slow_next_run(row, now, days=400):
@@ -78,3 +78,19 @@ def test_limit_audit_spreads_the_platform(spark):
             spent += decimal.Decimal("0.01")
     assert [(i, round(s, 9)) for i, s, _ in got] == [(i, round(s, 9)) for i, s, _ in sorted(want)]
     assert sum(c for _, _, c in got) == sum(c for _, _, c in want)
+
+
+@pytest.mark.parametrize("english", [False, True])
+def test_search_brings_asked_words_to_units(spark, monkeypatch, english):
+    """Units' words aren't shuffled by word, whatever the sizes are thought to be; past the bound they are counted first, with equal results."""
+    units = spark.createDataFrame([(str(i), "a" if i % 3 else "b", f"doc {i}", "the cats run " * (i % 5 + 1) + f"w{i % 7}") for i in range(60)], "unit_id string, agent_id string, title string, content string")
+    asked = spark.createDataFrame([(1, "a", "the cat runs w3"), (2, "b", "doc w5"), (3, "c", "the"), (4, "a", "")], "query_id long, agent_id string, question string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = knowledge.search(units, asked, english=english)
+        assert "BroadcastHashJoin [agent_id" in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(knowledge, "SMALL", 0)
+    assert len(got) == 12 and got == sorted(map(tuple, knowledge.search(units, asked, english=english).collect()))
