@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from ..sources.shared import bounded
 RANK_WEIGHT, RANK_LIMIT, MOST_POSITIONS = 0.1, 1.64493406685, 256
 #: Rows of (agent, word) that are broadcast at most.
 SMALL = 200_000
+#: Rows of a batch of counts at most.
+COUNTED = 100_000
 #: Largest rewrite input, and least share (and characters) of the original that a rewrite must keep.
 MOST_REWRITE, LEAST_SHARE, LEAST_CHARS = 120_000, 0.4, 200
 
@@ -66,13 +71,23 @@ def word_lexemes(words: DataFrame, english: bool = True) -> DataFrame:
 def lexeme_counts(rows: DataFrame, key: str, text: Column, english: bool = True) -> DataFrame:
     """The inverted index (key, lexeme, tf), both vocabularies summed, as the stored search vector concatenates them.
 
-    Words are counted first, so each distinct word of the table is stemmed once and long texts stay linear.
+    A row's lexemes are counted where its text is read (Spark's own words, numbered, stemmed once a task and counted in numpy, an Arrow batch at a time), so one shuffle
+    of counts is left, for rows that share a key.
     """
-    counted = rows.select(key, F.explode(tx.words_of(text)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
+    words = rows.select(F.col(key), F.coalesce(tx.words_of(text), F.array()).alias("words"))
     if not english:
-        return counted.withColumnRenamed("word", "lexeme")
-    met = counted.join(word_lexemes(counted.select("word").distinct()), "word")
-    return met.groupBy(key, "lexeme").agg(F.sum(F.col("tf") * F.col("weight")).alias("tf"))
+        return words.select(key, F.explode("words").alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("tf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for b in batches:
+            names, at, lexeme, tf = tx.count_lexemes(b.column("words"), known)
+            for lo in range(0, len(at), COUNTED):
+                part = slice(lo, lo + COUNTED)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[part])), names.take(pa.array(lexeme[part])), pa.array(tf[part])], names=[key, "lexeme", "tf"])
+
+    counted = words.mapInArrow(run, f"`{key}` {dict(words.dtypes)[key]}, lexeme string, tf long")
+    return counted.groupBy(key, "lexeme").agg(F.sum("tf").alias("tf"))
 
 
 def occurrence_score(tf: Column) -> Column:

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,30 +48,12 @@ def pack_lexemes(units: DataFrame, english: bool = True) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop, known = frozenset(tx.STOP_WORDS), {}
+        known: dict[str, str] = {}
         for b in batches:
-            words = b.column("words")
-            coded = pc.dictionary_encode(words.flatten())
-            row = np.repeat(np.arange(b.num_rows), np.diff(words.offsets.to_numpy()))
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            names = coded.dictionary.to_pylist()
-            if english:
-                places = {w: i for i, w in enumerate(names)}
-                stems = np.full(len(names), -1, np.int64)
-                for i in range(len(places)):
-                    w = names[i]
-                    if w not in stop:
-                        if w not in known:
-                            known[w] = tx.stem(w)
-                        stems[i] = places.setdefault(known[w], len(places))
-                names = list(places)
-                meant = stems[code] if len(code) else code
-                row, code = np.concatenate([row, row[meant >= 0]]), np.concatenate([code, meant[meant >= 0]])
-            pairs, tf = np.unique(row * max(len(names), 1) + code, return_counts=True)
-            ends = np.searchsorted(pairs, np.arange(b.num_rows + 1) * max(len(names), 1)).astype(np.int32)
-            lexemes = pa.array(names, pa.string()).take(pa.array(pairs % max(len(names), 1)))
+            names, at, lexeme, tf = tx.count_lexemes(b.column("words"), known, english)
+            ends = np.searchsorted(at, np.arange(b.num_rows + 1)).astype(np.int32)
             kept = [c for c in b.schema.names if c != "words"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, lexemes), pa.ListArray.from_arrays(ends, pa.array(SCORES[np.minimum(tf, MOST_POSITIONS)]))], names=[*kept, "lexemes", "scores"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, names.take(pa.array(lexeme))), pa.ListArray.from_arrays(ends, pa.array(SCORES[np.minimum(tf, MOST_POSITIONS)]))], names=[*kept, "lexemes", "scores"])
 
     return units.withColumn("words", F.coalesce(tx.words_of(text), F.array())).mapInArrow(run, f"{UNITS}, lexemes array<string>, scores array<double>")
 

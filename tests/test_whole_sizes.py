@@ -94,3 +94,14 @@ def test_search_brings_asked_words_to_units(spark, monkeypatch, english):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     monkeypatch.setattr(knowledge, "SMALL", 0)
     assert len(got) == 12 and got == sorted(map(tuple, knowledge.search(units, asked, english=english).collect()))
+
+
+def test_lexemes_are_counted_where_texts_are_read(spark, monkeypatch):
+    """One shuffle; rows that share a key (null too) are summed, null and empty texts have no lexemes, counts in several batches stay whole."""
+    monkeypatch.setattr(knowledge, "COUNTED", 3)
+    rows = [("1", "The Cats run running runs"), ("1", "cats"), (None, "flies fly"), (None, "fly"), ("2", None), ("3", " ,. "), ("4", "the the")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    out = knowledge.lexeme_counts(df, "id", F.col("text"))
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    want = {("1", "the"): 1, ("1", "cats"): 2, ("1", "cat"): 2, ("1", "run"): 4, ("1", "running"): 1, ("1", "runs"): 1, (None, "flies"): 1, (None, "fli"): 3, (None, "fly"): 2, ("4", "the"): 2}
+    assert {(r["id"], r["lexeme"]): r["tf"] for r in out.collect()} == want
