@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.bins import counts_before
+from ..operators.bins import BINS, bin_of
 from ..operators.chats import micros
 from ..sources.shared import written
 
@@ -61,8 +62,8 @@ def session_step(state: tuple, us: int, ended: bool, idle: int) -> tuple[tuple,
     return (us, session, ended), session
 
 
-def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, to: str, kind: str) -> DataFrame:
-    """(keys, id, to) of rows walked key by key in the given order; step(state, row) returns the next state and the row's value.
+def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, to: str, kind: str, parts: int | None = None) -> DataFrame:
+    """(keys, id, to) of rows walked key by key in the given order; step(state, row) returns the next state and the row's value. parts: keys are dealt to so many tasks.
 
     Spark shuffles by key and sorts; a task walks its rows Arrow batch by Arrow batch and holds one state and one batch,
     so a key of any number of rows is bounded in memory (its rows stay sequential, as the rule is). Null keys are one key.
@@ -82,7 +83,7 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*keys, "id"]), pa.array(out, {"boolean": pa.bool_(), "string": pa.string()}[kind])], names=[*keys, "id", to])
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"id {kinds['id']}", f"{to} {kind}"])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(*([parts] if parts else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def replay(rows: DataFrame, keys: list[str], start: tuple, step: Callable, inputs: list[str], to: str, kind: str) -> DataFrame:
@@ -218,6 +219,8 @@ def admit_group(events: pd.DataFrame, caps: dict[tuple[str, str], float], balanc
 
 
 NANOS = lambda c: F.rint(F.col(c).cast("double") * NANO).cast("long")
+#: Rows of a group that are walked in one stretch of the time, and rows of a bin of the first pass, about. Tasks that groups are dealt to.
+MOST_WALKED, BIN_ROWS, DEALT = 1_000_000, 100_000, 96
 WALKED = ["g", "id", "_us", "kind", "call", "org_id", "scopes", "estimate", "actual", "barred"]
 
 
@@ -245,29 +248,56 @@ def _walk(rows: DataFrame, caps: DataFrame, balances: DataFrame, joint: bool) ->
                 return state, refusal
         return state, "-"
 
-    walked = in_order(every, ["g"], ["_us", "kind", "id"], lambda: Admission({}, {}), step, "refusal", "string")
+    walked = in_order(every, ["g"], ["_us", "kind", "id"], lambda: Admission({}, {}), step, "refusal", "string", 1 if joint else DEALT)
     return walked.where("refusal is null or refusal <> '-'").select("id", "refusal")
 
 
-def _screen(rows: DataFrame, cap: int) -> DataFrame:
-    """(id, high, low) of asks that name the platform: the most and the least that it can have spent and held, the ask included, whatever was decided before.
+def _screen(rows: DataFrame, bins: int) -> DataFrame:
+    """rows with their bin of the time and, for asks that name the platform, high and low: the most and the least that it can have spent and held, the ask included, whatever was decided before.
 
     What settles doesn't depend on decisions. At most, every earlier ask is held until it settles, is released or lapses; at least, none is. Both are
-    running sums over all calls, taken over bins of the time.
+    running sums over all calls, inside bins of the time and over the bins before. Rows go with their marks, so no join by id follows; every shuffle has as many parts as there are bins.
     """
-    on_platform = rows.where(F.exists("scopes", lambda s: s["scope"] == "platform"))
-    asks, settled = on_platform.where("kind = 'ask'"), on_platform.where("kind = 'settle'")
-    closed = rows.where("kind <> 'ask'").groupBy("call").agg(F.min("_us").alias("_c"))
-    lapse = F.col("_us") + HOLD_SECONDS * SECOND
-    closes = F.least(F.coalesce(F.when(F.col("_c") >= F.col("_us"), F.col("_c")), lapse), lapse)
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    mark = lambda df, at, low, high, ask=none, estimate=zero: df.select(at.alias("_us"), low.alias("low"), high.alias("high"), ask.alias("id"), estimate.alias("estimate"))
+    on_platform = F.exists("scopes", lambda s: s["scope"] == "platform")
+    asks, settled = on_platform & (F.col("kind") == "ask"), on_platform & (F.col("kind") == "settle")
+    zero = F.lit(0).cast("long")
     us, e, a = F.col("_us"), F.col("estimate"), F.col("actual")
-    marks = mark(settled, us, a, zero).unionByName(mark(settled, us - 1, zero, a)).unionByName(mark(asks, us - 1, zero, e)).unionByName(mark(asks.join(closed, "call", "left"), closes, zero, -e))
-    marks = marks.unionByName(mark(asks, us, zero, zero, F.col("id"), e))
-    values = marks.withColumnsRenamed({"low": "_l", "high": "_h"})
-    summed = counts_before(values, [], "_us", 1 << 61, {"low": F.col("_l"), "high": F.col("_h")})
-    return summed.where(F.col("id").isNotNull()).select("id", "_us", "high", (F.col("low") + F.col("estimate")).alias("low"))
+    mark = lambda at, low, high: F.struct(at.alias("at"), low.alias("l"), high.alias("h"))
+    # the hold of an ask and its end, by call; only what is needed for that is shuffled
+    closed = rows.where("kind <> 'ask'").select("call", "_us").repartition(bins, "call").groupBy("call").agg(F.min("_us").alias("_c"))
+    lapse = us + HOLD_SECONDS * SECOND
+    closes = F.least(F.coalesce(F.when(F.col("_c") >= us, F.col("_c")), lapse), lapse)
+    held = rows.where(asks).select("call", "_us", "estimate").repartition(bins, "call").join(closed, "call", "left")
+    marks = held.select(F.explode(F.array(mark(us - 1, zero, e), mark(closes, zero, -e))).alias("m"))
+    marks = marks.unionByName(rows.where(settled).select(F.explode(F.array(mark(us, a, zero), mark(us - 1, zero, a))).alias("m")))
+    every = [F.col(c) for c in rows.columns]
+    marks = marks.select("m.*", F.lit(None).cast(rows.schema).alias("row")).unionByName(rows.select(us.alias("at"), zero.alias("l"), zero.alias("h"), F.struct(*every).alias("row")))
+    marks = marks.withColumn("_bin", bin_of(rows.select(us.alias("at")), "at", bins))
+    over = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marks.groupBy("_bin").agg(F.sum("l").alias("_l"), F.sum("h").alias("_h"))
+    bases = sums.select("_bin", *[F.coalesce(F.sum(c).over(over), zero).alias(c) for c in ("_l", "_h")])
+    inside = Window.partitionBy("_bin").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    run = marks.repartition(bins, "_bin").withColumns({c: F.coalesce(F.sum(c).over(inside), zero) for c in ("l", "h")}).where("row is not null")
+    out = run.join(F.broadcast(bases), "_bin").select("_bin", "row.*", (F.col("_h") + F.col("h")).alias("high"), (F.col("_l") + F.col("l")).alias("low"))
+    return out.withColumns({"high": F.when(asks, F.col("high")), "low": F.when(asks, F.col("low") + e)})
+
+
+def _stretches(rows: DataFrame, first: int | None, last: int | None) -> list[tuple[int | None, int | None, bool]]:
+    """(from, to, joint) of the stretches of the time, one after the other: those before, from and after the first and last open call (joint), and each cut between bins so that no group has
+    more than about MOST_WALKED rows. Per bin its bounds and its largest group's rows, with and without organizations, are what reaches the driver.
+    """
+    part = (F.when(F.col("_us") < first, 0).when(F.col("_us") <= last, 1).otherwise(2) if first is not None else F.lit(0)).alias("part")
+    groups = rows.where(F.col("_us").isNotNull()).groupBy("_bin", part, F.coalesce("org_id", F.lit("")).alias("g")).agg(F.count("*").alias("n"), F.min("_us").alias("at"))
+    found = groups.groupBy("part", "_bin").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.min("at").alias("at")).collect()
+    cuts, size, before = [], 0, None
+    for r in sorted(found, key=lambda r: (r["part"], r["_bin"])):
+        rows_of = r["all"] if r["part"] == 1 else r["most"]
+        if r["part"] != before or size + rows_of > MOST_WALKED:
+            cuts.append((r["at"], r["part"] == 1))
+            size, before = 0, r["part"]
+        size += rows_of
+    ends = [at for at, _ in cuts[1:]] + [None]
+    return [(at if i else None, end, joint) for i, ((at, joint), end) in enumerate(zip(cuts, ends))]
 
 
 def admit_calls(events: DataFrame, caps: DataFrame, billing: DataFrame, platform_cap: float | None = None) -> DataFrame:
@@ -275,47 +305,51 @@ def admit_calls(events: DataFrame, caps: DataFrame, billing: DataFrame, platform
 
     kind: ask, settle (its actual cost goes to the scopes that it names) or release. Organizations are walked in parallel, each in time order; a task holds one batch of rows and the
     group's sums. A platform cap orders all calls: a first pass bounds what the platform can have spent and held at each ask. Most asks can't reach the cap, or must pass it,
-    whatever was decided before, and their organizations are still walked in parallel. Only the stretch from the first to the last ask that is open is walked as one group. What
-    a stretch starts from are sums: caps and balances less what was settled, and the holds that are open. caps: scope, key, org_id, cap_usd; billing: org_id, balance_usd (null: none).
+    whatever was decided before, and their organizations are still walked in parallel. Only the stretch from the first to the last ask that is open is walked as one group. Stretches
+    are cut where a group would have more than MOST_WALKED rows, so that what a task sorts doesn't grow with the tables. What a stretch starts from are sums: caps and balances less
+    what was settled, and the holds that are open. caps: scope, key, org_id, cap_usd; billing: org_id, balance_usd (null: none).
     """
+    spark = events.sparkSession
     rows = events.select("id", micros(F.col("ts")).alias("_us"), "kind", F.col("call").cast("long").alias("call"), "org_id", F.col("scopes").cast("array<struct<scope:string,key:string>>").alias("scopes"), NANOS("estimate").alias("estimate"), NANOS("actual").alias("actual"))
-    limits = caps.groupBy("scope", "key").agg(F.max(NANOS("cap_usd")).alias("cap"), F.max("org_id").alias("org_id"))
+    limits = caps.groupBy("scope", "key").agg(F.max(NANOS("cap_usd")).alias("cap"), F.max("org_id").alias("org_id")).withColumn("joint", F.lit(False))
     balances = billing.where(F.col("balance_usd").isNotNull()).select("org_id", NANOS("balance_usd").alias("balance"))
+    rows = written(rows, "events")
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BINS, -(-rows.count() // BIN_ROWS)))
+    first = last = None
     if platform_cap is None:
-        return _walk(rows.withColumn("barred", F.lit(False)), limits, balances, False)
-    cap = nano(platform_cap)
-    bounds = written(_screen(rows, cap), "bounds")
-    unsure = (F.col("high") > cap) & (F.col("low") <= cap)
-    first, last = bounds.agg(F.min(F.when(unsure, F.col("_us"))), F.max(F.when(unsure, F.col("_us")))).first()
-    barred = bounds.where(F.col("low") > cap).select("id", F.lit(True).alias("barred"))
-    rows = written(rows.join(barred, "id", "left").withColumn("barred", F.coalesce("barred", F.lit(False)) & (F.col("kind") == "ask")), "calls")
-    if first is None:
-        return _walk(rows, limits, balances, False)
-    cuts = [None, first, last + 1, None]
-    decided = None
-    for k in range(3):
-        lo, hi = cuts[k], cuts[k + 1]
+        rows = rows.withColumns({"_bin": bin_of(rows, "_us", bins), "barred": F.lit(False)})
+    else:
+        cap = nano(platform_cap)
+        rows = written(_screen(rows, bins), "calls")
+        unsure = (F.col("high") > cap) & (F.col("low") <= cap)
+        first, last = rows.agg(F.min(F.when(unsure, F.col("_us"))), F.max(F.when(unsure, F.col("_us")))).first()
+        rows = rows.withColumn("barred", F.coalesce(F.col("low") > cap, F.lit(False)))
+        platform = spark.range(1).select(F.lit("platform").alias("scope"), F.lit("").alias("key"), F.lit(cap).cast("long").alias("cap"), F.lit(None).cast("string").alias("org_id"), F.lit(True).alias("joint"))
+        limits = limits.unionByName(platform)
+    decided: list[tuple[int | None, DataFrame]] = []
+    stretches = _stretches(rows, first, last)
+    for lo, hi, joint in stretches or [(None, None, False)]:
         part = rows
         part = part.where(F.col("_us") >= lo) if lo is not None else part
         part = part.where(F.col("_us") < hi) if hi is not None else part
-        own_limits, own_balances, holds = limits, balances, None
-        platform = rows.sparkSession.range(1).select(F.lit("platform").alias("scope"), F.lit("").alias("key"), F.lit(cap).cast("long").alias("cap"), F.lit(None).cast("string").alias("org_id"))
-        own_limits = own_limits.unionByName(platform) if k == 1 else own_limits
+        walked = part.select(*[c for c in WALKED if c != "g"])
         if lo is not None:
-            before = rows.where(F.col("_us") < lo)
-            settled = before.where("kind = 'settle'")
-            spent = settled.select(F.explode("scopes").alias("s"), "actual").groupBy("s.scope", "s.key").agg(F.sum("actual").alias("spent"))
-            own_limits = own_limits.join(spent, ["scope", "key"], "left").withColumn("cap", F.col("cap") - F.coalesce("spent", F.lit(0))).drop("spent")
-            paid = settled.groupBy("org_id").agg(F.sum("actual").alias("paid"))
-            own_balances = own_balances.join(paid, "org_id", "left").withColumn("balance", F.col("balance") - F.coalesce("paid", F.lit(0))).drop("paid")
-            held = before.where((F.col("kind") == "ask") & (F.col("_us") > lo - HOLD_SECONDS * SECOND)).join(decided.where("refusal is null").select("id"), "id", "left_semi")
+            recent = rows.where((F.col("_us") < lo) & (F.col("_us") > lo - HOLD_SECONDS * SECOND))
+            known = reduce(DataFrame.unionByName, [d for end, d in decided if end > lo - HOLD_SECONDS * SECOND])
+            held = recent.where("kind = 'ask'").join(known.where("refusal is null").select("id"), "id", "left_semi")
             newest = held.groupBy("call").agg(F.max(F.struct("_us", "id")).alias("m"))
-            closed = before.where("kind <> 'ask'").groupBy("call").agg(F.max("_us").alias("_c"))
+            closed = recent.where("kind <> 'ask'").groupBy("call").agg(F.max("_us").alias("_c"))
             held = held.join(newest.select("call", F.col("m.id").alias("id")), ["call", "id"], "left_semi").join(closed, "call", "left").where(F.col("_c").isNull() | (F.col("_c") < F.col("_us")))
-            part = part.unionByName(held.drop("_c").withColumn("kind", F.lit("hold")).select(*part.columns))
-        found = _walk(part, own_limits, own_balances, k == 1)
-        found = written(found, "decided") if k < 2 else found
-        decided = found if decided is None else decided.unionByName(found)
-    return decided
-
-
+            walked = walked.unionByName(held.withColumn("kind", F.lit("hold")).select(*walked.columns))
+        own = limits if joint else limits.where(~F.col("joint"))
+        found = _walk(walked, own.drop("joint"), balances, joint)
+        if hi is None:
+            decided.append((hi, found))
+            break
+        decided.append((hi, written(found, "decided")))
+        settled = part.where("kind = 'settle'")
+        spent = settled.select(F.explode("scopes").alias("s"), "actual").groupBy("s.scope", "s.key").agg(F.sum("actual").alias("spent"))
+        limits = written(limits.join(spent, ["scope", "key"], "left").withColumn("cap", F.col("cap") - F.coalesce("spent", F.lit(0))).drop("spent"), "limits")
+        paid = settled.groupBy("org_id").agg(F.sum("actual").alias("paid"))
+        balances = written(balances.join(paid, "org_id", "left").withColumn("balance", F.col("balance") - F.coalesce("paid", F.lit(0))).drop("paid"), "balances")
+    return reduce(DataFrame.unionByName, [d for _, d in decided])

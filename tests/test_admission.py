@@ -76,3 +76,22 @@ def test_only_the_open_stretch_is_one_group(spark, monkeypatch):
     sizes.clear()
     admitted(spark, rows, 60.0)
     assert [joint for joint, _ in sizes] == [False, True, False] and sizes[1][1] < len(rows) / 2
+
+
+@pytest.mark.parametrize("cap", [None, 60.0])
+def test_no_group_of_a_stretch_grows_with_the_table(spark, monkeypatch, cap):
+    """Stretches are cut between bins, the joint one too; sums and open holds go on from one to the next."""
+    monkeypatch.setattr(stateful, "MOST_WALKED", 60, raising=False)
+    monkeypatch.setattr(stateful, "BIN_ROWS", 10, raising=False)
+    sizes = []
+    plain = stateful._walk
+
+    def walk(rows, caps, balances, joint):
+        groups = rows.where("kind <> 'hold'").groupBy("org_id").count().collect()
+        sizes.append(sum(r["count"] for r in groups) if joint else max((r["count"] for r in groups), default=0))
+        return plain(rows, caps, balances, joint)
+
+    monkeypatch.setattr(stateful, "_walk", walk)
+    rows = calls(12, 500)
+    assert admitted(spark, rows, cap) == walked(rows, cap)
+    assert len(sizes) >= 6 and max(sizes) <= 60
