@@ -71,7 +71,7 @@ def word_lexemes(words: DataFrame, english: bool = True) -> DataFrame:
 def lexeme_counts(rows: DataFrame, key: str, text: Column, english: bool = True) -> DataFrame:
     """The inverted index (key, lexeme, tf), both vocabularies summed, as the stored search vector concatenates them.
 
-    A row's lexemes are counted where its text is read (Spark's own words, numbered, stemmed once a task and counted in numpy, an Arrow batch at a time), so one shuffle
+    A row's lexemes are counted where its text is read (Spark's own words, numbered, stemmed once and counted in numpy, an Arrow batch at a time), so one shuffle
     of counts is left, for rows that share a key.
     """
     words = rows.select(F.col(key), F.coalesce(tx.words_of(text), F.array()).alias("words"))
@@ -79,9 +79,8 @@ def lexeme_counts(rows: DataFrame, key: str, text: Column, english: bool = True)
         return words.select(key, F.explode("words").alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("tf"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
         for b in batches:
-            names, at, lexeme, tf = tx.count_lexemes(b.column("words"), known)
+            names, at, lexeme, tf = tx.count_lexemes(b.column("words"))
             for lo in range(0, len(at), COUNTED):
                 part = slice(lo, lo + COUNTED)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[part])), names.take(pa.array(lexeme[part])), pa.array(tf[part])], names=[key, "lexeme", "tf"])

@@ -4,7 +4,7 @@ Two tables in one folder, both partitioned by a bucket of (agent, document), so
 touches its own bucket alone:
 
 * `units`: one row a searchable unit, with its columns and its lexemes and their scores side by side;
-* `postings`: for every (agent, lexeme) of a bucket the units and scores in order of falling scores, BLOCK in a row, each row with its largest score.
+* `postings`: for every (agent, lexeme) of a bucket (of about RUN postings of one) the units and scores in order of falling scores, BLOCK in a row, each row with its largest score.
 
 A lexeme's score grows with its count alone, so a block's largest score bounds all its units. The k best units of a question are found in two
 stages. The rarest lexemes give first units, and the best of these their ranks (from their packed rows), which set a threshold: the k-th best so far. A
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .knowledge import MOST_POSITIONS, RANK_LIMIT, RANK_WEIGHT, chunk_units
 
 #: Units of a posting row; documents a bucket holds about, until there are MOST_BUCKETS.
 BLOCK, BUCKET_DOCS, MOST_BUCKETS = 128, 2000, 16_384
+#: Postings that a task sorts at a time, about: a bucket's, while there are fewer than MOST_BUCKETS.
+RUN = 1 << 19
 #: The first stage opens lexemes of a question until they have so many postings (the rarest one in any case), and ranks so many units for each of the k.
 SEEDS, SEED_UNITS = 1024, 4
 #: Share of the threshold that the closed lists' best scores may reach: a larger one opens fewer lists, and leaves more units to rank.
@@ -43,14 +46,13 @@ UNITS = "unit_id string, document_id string, agent_id string, skill_id string, t
 def pack_lexemes(units: DataFrame, english: bool = True) -> DataFrame:
     """units with lexemes and scores: the distinct lexemes of title and content in both vocabularies, and the scores of their summed counts (one vocabulary if not english).
 
-    Words come from Spark's own expression; the words of an Arrow batch are numbered, stemmed once a task and counted in numpy.
+    Words come from Spark's own expression; the words of an Arrow batch are numbered, stemmed once and counted in numpy.
     """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
         for b in batches:
-            names, at, lexeme, tf = tx.count_lexemes(b.column("words"), known, english)
+            names, at, lexeme, tf = tx.count_lexemes(b.column("words"), english=english)
             ends = np.searchsorted(at, np.arange(b.num_rows + 1)).astype(np.int32)
             kept = [c for c in b.schema.names if c != "words"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, names.take(pa.array(lexeme))), pa.ListArray.from_arrays(ends, pa.array(SCORES[np.minimum(tf, MOST_POSITIONS)]))], names=[*kept, "lexemes", "scores"])
@@ -73,49 +75,54 @@ def _save(df: DataFrame, path: str) -> None:
 POSTINGS = "bucket int, agent_id string, lexeme string, block int, size int, top double, units array<struct<unit_id:string,score:double>>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting rows of (bucket, agent_id, lexeme, score, unit_id) that come in that order; what a batch leaves of its last block waits for the next one."""
-    held, number = None, 0  # rows of the last list's last block, and the number of that block
+def _run(units: pa.Table) -> pa.RecordBatch:
+    """Posting rows of units (bucket, agent_id, unit_id, text: lexemes, scores) that come in the order of these columns: lists by lexeme, by falling score, then unit."""
+    units = units.combine_chunks()
+    bucket, agent, ids = (units[c].combine_chunks() for c in ("bucket", "agent_id", "unit_id"))
+    lists = pc.split_pattern(units["text"].combine_chunks(), " ")
+    unit = np.repeat(np.arange(len(units)), pc.list_value_length(lists).to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    score = units["scores"].combine_chunks().flatten().to_numpy()
+    n = len(code)
+    place = np.empty(len(coded.dictionary), np.int64)
+    place[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+    group = np.zeros(len(units), np.int64)
+    for c in (bucket, agent):
+        own = c.dictionary_encode().indices.to_numpy()
+        group[1:] |= own[1:] != own[:-1]
+    levels, level = np.unique(-score, return_inverse=True)
+    key = (np.cumsum(group)[unit] * len(place) + place[code]) * len(levels) + level
+    order = np.argsort(key, kind="stable")
+    key = key[order] // len(levels)
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    at = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))  # place in its list
+    starts = np.flatnonzero(at % BLOCK == 0)
+    ends, first = np.append(starts, n).astype(np.int32), order[starts]
+    pairs = pa.StructArray.from_arrays([ids.take(pa.array(unit[order])), pa.array(score[order])], names=["unit_id", "score"])
+    of = pa.array(unit[first])
+    columns = [bucket.take(of), agent.take(of), coded.dictionary.take(pa.array(code[first])), pa.array((at[starts] // BLOCK).astype(np.int32)), pa.array(np.diff(ends)), pa.array(score[first]), pa.ListArray.from_arrays(ends, pairs)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "agent_id", "lexeme", "block", "size", "top", "units"])
 
-    def rows(t: pa.Table, starts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-        ends = np.append(starts, len(t)).astype(np.int32)
-        first = pa.array(starts)
-        pairs = pa.StructArray.from_arrays([t["unit_id"].combine_chunks(), t["score"].combine_chunks()], names=["unit_id", "score"])
-        heads = [t[c].combine_chunks().take(first) for c in ("bucket", "agent_id", "lexeme")]
-        return pa.RecordBatch.from_arrays([*heads, pa.array(numbers, pa.int32()), pa.array(np.diff(ends)), t["score"].combine_chunks().take(first), pa.ListArray.from_arrays(ends, pairs)], names=["bucket", "agent_id", "lexeme", "block", "size", "top", "units"])
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of units as they come, about RUN postings at a time: a bucket that has more gets several lists of a lexeme, each in order."""
+    held, size = [], 0
     for b in batches:
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([held, t]) if held is not None else t
-        n = len(t)
-        if not n:
-            continue
-        fresh = np.ones(n, bool)
-        fresh[1:] = False
-        for c in ("bucket", "agent_id", "lexeme"):
-            code = t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            fresh[1:] |= code[1:] != code[:-1]
-        lists = np.flatnonzero(fresh)
-        at = np.arange(n) - np.repeat(lists, np.diff(np.append(lists, n)))  # place in its list
-        starts = np.flatnonzero(at % BLOCK == 0)
-        numbers = at[starts] // BLOCK
-        going_on = starts < (lists[1] if len(lists) > 1 else n)
-        numbers[going_on] += number
-        last = int(starts[-1])
-        if last:
-            yield rows(t.slice(0, last), starts[:-1], numbers[:-1])
-        held, number = t.slice(last), int(numbers[-1])
-    if held is not None:
-        yield rows(held, np.zeros(1, np.int64), np.array([number]))
+        held, size = [*held, b], size + len(b.column("scores").flatten())
+        if size >= RUN:
+            yield _run(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield _run(pa.Table.from_batches(held))
 
 
 def _save_postings(units: DataFrame, path: str, buckets: int) -> None:
-    """Postings of whole buckets of units. A bucket is one task: its packed rows are exploded, sorted and cut into blocks where they are, a batch at a time."""
+    """Postings of whole buckets of units. Units are dealt by bucket and sorted, a row each; their postings are sorted in numpy, RUN at a time, and never are rows of their own."""
     full = units.where(F.col("agent_id").isNotNull() & (F.size("lexemes") > 0))
     # lexemes have no blanks: as one text they are a fifth of what an array of them is in a shuffle
     own = full.select("bucket", "agent_id", "unit_id", F.concat_ws(" ", "lexemes").alias("text"), "scores").repartition(buckets, "bucket")
-    one = own.select("bucket", "agent_id", F.explode(F.arrays_zip(F.split("text", " ").alias("lexemes"), "scores")).alias("x"), "unit_id").select("bucket", "agent_id", F.col("x.lexemes").alias("lexeme"), F.col("x.scores").alias("score"), "unit_id")
-    rows = one.sortWithinPartitions("bucket", "agent_id", "lexeme", F.desc("score"), "unit_id").mapInArrow(_blocks, POSTINGS)
+    rows = own.sortWithinPartitions("bucket", "agent_id", "unit_id").mapInArrow(_blocks, POSTINGS)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

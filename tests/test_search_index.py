@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,36 @@ def test_emptied_buckets_and_empty_tables(spark, tmp_path):
     assert ix.update_index(path, none, spark.createDataFrame([("nobody",)], "id string")) == []
     ix.build_index(none, str(tmp_path / "empty"))
     assert rows_of(ix.search_index(spark, str(tmp_path / "empty"), asked)) == []
+
+
+def test_postings_are_sorted_a_bounded_number_at_a_time(monkeypatch):
+    """Units come as rows, whole; lists are in impact order, cut into blocks, and together hold each posting once."""
+    monkeypatch.setattr(ix, "RUN", 40, raising=False)
+    monkeypatch.setattr(ix, "BLOCK", 4)
+    rng, rows = random.Random(3), []
+    for n in range(60):
+        own = rng.sample(WORDS, rng.randrange(1, 12))
+        rows.append((n // 30, f"a{n // 15}", f"u{n:03}", " ".join(own), [rng.choice([0.1, 0.2, 0.3]) for _ in own]))
+    schema = pa.schema([("bucket", pa.int32()), ("agent_id", pa.string()), ("unit_id", pa.string()), ("text", pa.string()), ("scores", pa.list_(pa.float64()))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2]), schema.types)], schema=schema) for i in range(0, 60, 2)]
+    found = list(ix._blocks(iter(batches)))
+    assert len(found) > 3 and all(sum(r["size"] for r in b.to_pylist()) < 40 + 2 * 12 for b in found)
+    got = []
+    for b in found:
+        lists = {}
+        for r in b.to_pylist():
+            here = lists.setdefault((r["bucket"], r["agent_id"], r["lexeme"]), [])
+            assert r["block"] * 4 == len(here) and r["size"] == len(r["units"]) <= 4 and r["top"] == r["units"][0]["score"]
+            here += [(-u["score"], u["unit_id"]) for u in r["units"]]
+        assert list(lists) == sorted(lists) and all(x == sorted(x) for x in lists.values())
+        got += [(*k, u, -s) for k, x in lists.items() for s, u in x]
+    assert sorted(got) == sorted((b, a, w, u, s) for b, a, u, text, scores in rows for w, s in zip(text.split(" "), scores))
+
+
+def test_stems_are_remembered_from_task_to_task():
+    from botlake.functions import text as tx
+
+    tx.KNOWN.clear()
+    words = pa.array([["running", "the", "nationally"]], pa.list_(pa.string()))
+    names = [tx.count_lexemes(words)[0].to_pylist() for _ in range(2)]
+    assert names[0] == names[1] and tx.KNOWN == {"running": "run", "nationally": "nation"}
