@@ -256,5 +256,6 @@ def posting_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unit_texts(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
-    """hits (unit_id) with title and content of their units, fetched last."""
+    """hits (unit_id) with title and content of their units, fetched last. Hits are stored on the way: they are counted and joined, and found once."""
+    hits = written(hits, "hits")
     return _units(spark, path).select("unit_id", "title", "content").join(bounded(hits, SMALL), "unit_id")

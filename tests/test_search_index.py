@@ -131,6 +131,20 @@ def test_postings_are_sorted_a_bounded_number_at_a_time(monkeypatch):
     assert sorted(got) == sorted((b, a, w, u, s) for b, a, u, text, scores in rows for w, s in zip(text.split(" "), scores))
 
 
+def test_hits_are_found_once(spark, tmp_path):
+    ix.build_index(spark.createDataFrame([("1", "a", None, "t", "some words")], DOCS), str(tmp_path / "ix"), buckets=1)
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    hits = spark.createDataFrame([("1",)], "unit_id string").mapInArrow(seen, "unit_id string")
+    assert [r["content"] for r in ix.unit_texts(spark, str(tmp_path / "ix"), hits).collect()] == ["some words"]
+    assert runs.value == 1
+
+
 def test_stems_are_remembered_from_task_to_task():
     from botlake.functions import text as tx
 
