@@ -46,7 +46,8 @@ UNITS = "unit_id string, document_id string, agent_id string, skill_id string, t
 def pack_lexemes(units: DataFrame, english: bool = True) -> DataFrame:
     """units with lexemes and scores: the distinct lexemes of title and content in both vocabularies, and the scores of their summed counts (one vocabulary if not english).
 
-    Words come from Spark's own expression; the words of an Arrow batch are numbered, stemmed once and counted in numpy.
+    Words come from Spark's own expression; the words of an Arrow batch are numbered, stemmed once and counted in numpy. What a batch took is given back
+    before the next one comes: an executor keeps two workers a core, idle ones too, each with all that its allocator has not returned.
     """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
 
@@ -56,6 +57,8 @@ def pack_lexemes(units: DataFrame, english: bool = True) -> DataFrame:
             ends = np.searchsorted(at, np.arange(b.num_rows + 1)).astype(np.int32)
             kept = [c for c in b.schema.names if c != "words"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, names.take(pa.array(lexeme))), pa.ListArray.from_arrays(ends, pa.array(SCORES[np.minimum(tf, MOST_POSITIONS)]))], names=[*kept, "lexemes", "scores"])
+            del b, names, at, lexeme, tf, ends
+            pa.default_memory_pool().release_unused()
 
     return units.withColumn("words", F.coalesce(tx.words_of(text), F.array())).mapInArrow(run, f"{UNITS}, lexemes array<string>, scores array<double>")
 
@@ -76,32 +79,43 @@ POSTINGS = "bucket int, agent_id string, lexeme string, block int, size int, top
 
 
 def _run(units: pa.Table) -> pa.RecordBatch:
-    """Posting rows of units (bucket, agent_id, unit_id, text: lexemes, scores) that come in the order of these columns: lists by lexeme, by falling score, then unit."""
+    """Posting rows of units (bucket, agent_id, unit_id, text: lexemes, scores) that come in the order of these columns: lists by lexeme, by falling score, then unit.
+
+    A posting is one long number until it is placed, made in place; all else that is held of it are narrow ones.
+    """
     units = units.combine_chunks()
     bucket, agent, ids = (units[c].combine_chunks() for c in ("bucket", "agent_id", "unit_id"))
     lists = pc.split_pattern(units["text"].combine_chunks(), " ")
-    unit = np.repeat(np.arange(len(units)), pc.list_value_length(lists).to_numpy())
+    unit = np.repeat(np.arange(len(units), dtype=np.int32), pc.list_value_length(lists).to_numpy())
     coded = lists.flatten().dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
+    del lists
     score = units["scores"].combine_chunks().flatten().to_numpy()
-    n = len(code)
-    place = np.empty(len(coded.dictionary), np.int64)
-    place[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+    n, names, code = len(unit), coded.dictionary, coded.indices.to_numpy()
+    place = np.empty(len(names), np.int64)
+    place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(place))
     group = np.zeros(len(units), np.int64)
     for c in (bucket, agent):
         own = c.dictionary_encode().indices.to_numpy()
         group[1:] |= own[1:] != own[:-1]
-    levels, level = np.unique(-score, return_inverse=True)
-    key = (np.cumsum(group)[unit] * len(place) + place[code]) * len(levels) + level
-    order = np.argsort(key, kind="stable")
-    key = key[order] // len(levels)
+    levels = np.unique(score)  # a few hundred at most
+    key = np.cumsum(group)[unit]
+    key *= len(place)
+    key += place[code]
+    key *= len(levels)
+    key += len(levels) - 1
+    key -= np.searchsorted(levels, score)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    key //= len(levels)
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    at = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))  # place in its list
-    starts = np.flatnonzero(at % BLOCK == 0)
+    del key
+    sizes = np.diff(np.append(heads, n))
+    starts = np.flatnonzero((np.arange(n, dtype=np.int32) - np.repeat(heads.astype(np.int32), sizes)) % BLOCK == 0)
+    at = (starts - heads[np.searchsorted(heads, starts, "right") - 1]) // BLOCK
     ends, first = np.append(starts, n).astype(np.int32), order[starts]
     pairs = pa.StructArray.from_arrays([ids.take(pa.array(unit[order])), pa.array(score[order])], names=["unit_id", "score"])
     of = pa.array(unit[first])
-    columns = [bucket.take(of), agent.take(of), coded.dictionary.take(pa.array(code[first])), pa.array((at[starts] // BLOCK).astype(np.int32)), pa.array(np.diff(ends)), pa.array(score[first]), pa.ListArray.from_arrays(ends, pairs)]
+    columns = [bucket.take(of), agent.take(of), names.take(pa.array(code[first])), pa.array(at.astype(np.int32)), pa.array(np.diff(ends)), pa.array(score[first]), pa.ListArray.from_arrays(ends, pairs)]
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "agent_id", "lexeme", "block", "size", "top", "units"])
 
 
@@ -111,8 +125,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held, size = [*held, b], size + len(b.column("scores").flatten())
         if size >= RUN:
-            yield _run(pa.Table.from_batches(held))
+            rows = _run(pa.Table.from_batches(held))
             held, size = [], 0
+            yield rows
+            del b, rows
+            pa.default_memory_pool().release_unused()
     if size:
         yield _run(pa.Table.from_batches(held))
 
